@@ -83,6 +83,10 @@ _NULLS = {
 }
 
 
+BREAK_STRUCT_TYPE = ("struct<step:int,break_type:string,severity:string,"
+                     + ",".join(f"{k}:{v}" for k, v in _NULLS.items()) + ">")
+
+
 def break_struct(step: int, break_type: str, severity: str, **vals: Column) -> Column:
     """One break as a struct with every typed slot (nulls where unused)."""
     fields = [F.lit(step).alias("step"), F.lit(break_type).alias("break_type"),

@@ -56,8 +56,10 @@ def collapse(df: DataFrame, order_by: Sequence[str], key: str = KEY,
     first row; it is computed partially on the map side.
     """
     payload = [c for c in (payload or df.columns) if c != key]
-    first = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-                     *[F.col(c) for c in payload])
+    # order keys lead the struct (min picks the first row); payload columns
+    # that are already order keys are not carried twice
+    first = F.struct(*[F.col(c) for c in order_by],
+                     *[F.col(c) for c in payload if c not in order_by])
     agg = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_col), F.min(first).alias("_first"))
     return agg.select(key, count_col, *[F.col(f"_first.{c}").alias(c) for c in payload])
 

@@ -18,24 +18,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tradetally.operators.compare import (Checks, Tolerances, break_struct, dates_differ,
+from tradetally.operators.compare import (BREAK_STRUCT_TYPE, Checks, Tolerances, break_struct,
+                                          dates_differ,
                                           days_apart, norm_side, num_differs, side_differs)
 from tradetally.operators.dedupe import KEY, collapse, valid_key
 
-_CMP = ["side", "quantity", "price", "settlement_date", "consideration", "ticker"]
+_CMP = ["side", "quantity", "price", "settlement_date"]
 
 
-def _side(df: DataFrame, order_by: Sequence[str], suffix: str, extra: Sequence[str]) -> DataFrame:
-    payload = [c for c in _CMP + list(extra) if c in df.columns]
+def payload_for(checks: "Checks", detail: bool) -> list[str]:
+    """Columns carried through the per-side aggregate: only what the enabled
+    checks compare, plus the MISSING detail (ticker) when breaks are built."""
+    cols = list(_CMP)
+    if checks.consideration:
+        cols.append("consideration")
+    if detail:
+        cols.append("ticker")
+    return cols
+
+
+def _side(df: DataFrame, order_by: Sequence[str], suffix: str, payload: Sequence[str]) -> DataFrame:
+    payload = [c for c in payload if c in df.columns]
     c = collapse(valid_key(df), order_by, KEY, payload=payload, count_col="n")
     return c.select(KEY, *[F.col(x).alias(x + suffix) for x in ["n"] + payload])
 
 
 def pair_frame(a: DataFrame, b: DataFrame, order_by: Sequence[str] = ("ingest_seq",),
-               order_by_b: Sequence[str] | None = None, extra: Sequence[str] = ()) -> DataFrame:
+               order_by_b: Sequence[str] | None = None,
+               payload: Sequence[str] = tuple(_CMP) + ("ticker",)) -> DataFrame:
     """Deduplicated sides joined full-outer on ``trade_id``: one row per id."""
-    sa = _side(a, order_by, "_a", extra)
-    sb = _side(b, order_by_b or order_by, "_b", extra)
+    sa = _side(a, order_by, "_a", payload)
+    sb = _side(b, order_by_b or order_by, "_b", payload)
     return sa.join(sb, KEY, "full_outer")
 
 
@@ -90,40 +103,44 @@ def break_array(cols: Sequence[str], fl: Flags, checks: Checks) -> Column:
     has = set(cols)
     sev = checks.severity
     g = lambda n: _opt(has, n)
+    both = lambda x, y: x in has and y in has
     items = [
-        F.when(fl.dup_a, break_struct(1, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_a"),
-                                      occurrences=F.col("n_a"))),
-        F.when(fl.dup_b, break_struct(2, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_b"),
-                                      occurrences=F.col("n_b"))),
-        F.when(fl.missing_in_b, break_struct(
+        (fl.dup_a, break_struct(1, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_a"),
+                                occurrences=F.col("n_a"))),
+        (fl.dup_b, break_struct(2, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_b"),
+                                occurrences=F.col("n_b"))),
+        (fl.missing_in_b, break_struct(
             3, "MISSING", sev["MISSING"], source=F.lit("source_a"), ticker=g("ticker_a"),
             a_str=g("side_a"), a_num=g("quantity_a"), unit_price=g("price_a"))),
-        F.when(fl.missing_in_a, break_struct(
+        (fl.missing_in_a, break_struct(
             4, "MISSING", sev["MISSING"], source=F.lit("source_b"), ticker=g("ticker_b"),
             b_str=g("side_b"), b_num=g("quantity_b"), unit_price=g("price_b"))),
-        F.when(fl.side, break_struct(5, "SIDE_BREAK", sev["SIDE_BREAK"],
-                                     a_str=norm_side(F.col("side_a")) if "side_a" in has else None,
-                                     b_str=norm_side(F.col("side_b")) if "side_b" in has else None)),
-        F.when(fl.qty, break_struct(5, "QTY_BREAK", sev["QTY_BREAK"], a_num=g("quantity_a"),
-                                    b_num=g("quantity_b"),
-                                    diff_num=(F.col("quantity_a") - F.col("quantity_b"))
-                                    if "quantity_a" in has and "quantity_b" in has else None)),
-        F.when(fl.price, break_struct(5, "PRICE_BREAK", sev["PRICE_BREAK"], a_num=g("price_a"),
-                                      b_num=g("price_b"),
-                                      diff_num=(F.col("price_a") - F.col("price_b"))
-                                      if "price_a" in has and "price_b" in has else None)),
-        F.when(fl.settle, break_struct(
+        (fl.side, break_struct(5, "SIDE_BREAK", sev["SIDE_BREAK"],
+                               a_str=norm_side(F.col("side_a")) if "side_a" in has else None,
+                               b_str=norm_side(F.col("side_b")) if "side_b" in has else None)),
+        (fl.qty, break_struct(5, "QTY_BREAK", sev["QTY_BREAK"], a_num=g("quantity_a"),
+                              b_num=g("quantity_b"),
+                              diff_num=(F.col("quantity_a") - F.col("quantity_b"))
+                              if both("quantity_a", "quantity_b") else None)),
+        (fl.price, break_struct(5, "PRICE_BREAK", sev["PRICE_BREAK"], a_num=g("price_a"),
+                                b_num=g("price_b"),
+                                diff_num=(F.col("price_a") - F.col("price_b"))
+                                if both("price_a", "price_b") else None)),
+        (fl.settle, break_struct(
             5, "SETTLE_BREAK", sev["SETTLE_BREAK"], a_date=g("settlement_date_a"),
             b_date=g("settlement_date_b"),
             diff_days=days_apart(F.col("settlement_date_a"), F.col("settlement_date_b"))
-            if "settlement_date_a" in has and "settlement_date_b" in has else None)),
+            if both("settlement_date_a", "settlement_date_b") else None)),
     ]
     if checks.consideration:
-        items.append(F.when(fl.consideration, break_struct(
+        items.append((fl.consideration, break_struct(
             5, "CONSIDERATION_BREAK", sev.get("CONSIDERATION_BREAK", "MEDIUM"),
             a_num=F.col("consideration_a"), b_num=F.col("consideration_b"),
             diff_num=F.col("consideration_a") - F.col("consideration_b"))))
-    return F.array_compact(F.array(*items))
+    # each break is a one-element array when its condition holds, else empty;
+    # ``concat`` joins them without a lambda, so the stage stays in generated code
+    empty = F.array().cast(f"array<{BREAK_STRUCT_TYPE}>")
+    return F.concat(*[F.when(cond, F.array(st)).otherwise(empty) for cond, st in items])
 
 
 def break_id(run_id: Column) -> Column:
@@ -186,11 +203,13 @@ class Reconciliation:
 def reconcile(a: DataFrame, b: DataFrame, order_by: Sequence[str] = ("ingest_seq",),
               run_id: str = "run", tolerances: Tolerances | dict | None = None,
               checks: Checks | None = None, order_by_b: Sequence[str] | None = None,
-              pairs: DataFrame | None = None) -> Reconciliation:
+              pairs: DataFrame | None = None, detail: bool = True) -> Reconciliation:
     """C10. ``order_by`` fixes the surviving copy of a duplicated id (file order
     by default). ``pairs`` may be a pre-built pair frame (e.g. enriched with
-    per-row tolerance columns)."""
+    per-row tolerance columns). ``detail=False`` drops the MISSING detail
+    columns when only counts are wanted."""
     tol = tolerances if isinstance(tolerances, Tolerances) else Tolerances.from_config(tolerances)
     checks = checks or Checks()
-    p = pairs if pairs is not None else pair_frame(a, b, order_by, order_by_b)
+    p = pairs if pairs is not None else pair_frame(a, b, order_by, order_by_b,
+                                                   payload_for(checks, detail))
     return Reconciliation(p, flags(p.columns, tol, checks), checks, run_id)

@@ -36,7 +36,7 @@ UNION ALL SELECT 'SETTLE_BREAK', count(*) FILTER (WHERE settle_break) FROM flagg
 @query("recon_summary", SUMMARY_SQL)
 def recon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: break counts per type plus the clean-match count."""
-    return recon(spark, sf_dir).summary()
+    return recon(spark, sf_dir, detail=False).summary()
 
 
 @query("recon_breaks", S.with_ctes(S.BREAKS, BREAK_SELECT))
@@ -179,7 +179,7 @@ SELECT count(*) FILTER (WHERE clean) AS clean_count,
        count(*) FILTER (WHERE n_a IS NOT NULL AND n_b IS NOT NULL) AS matched_ids FROM flagged"""))
 def clean_count(spark, sf_dir):
     """C5 / A4."""
-    c = recon(spark, sf_dir).counts()
+    c = recon(spark, sf_dir, detail=False).counts()
     return c.select(F.col("clean").alias("clean_count"), "matched_ids")
 
 
@@ -193,7 +193,7 @@ UNION ALL SELECT 'PRICE_BREAK', count(*) FILTER (WHERE price_break) FROM flagged
 UNION ALL SELECT 'SETTLE_BREAK', count(*) FILTER (WHERE settle_break) FROM flagged"""))
 def settle_tolerance_1(spark, sf_dir):
     """C4/C11 with wider tolerances: 1 settlement day and 0.05 price."""
-    r = recon(spark, sf_dir, tolerances=Tolerances(price=0.05, settlement_days=1))
+    r = recon(spark, sf_dir, tolerances=Tolerances(price=0.05, settlement_days=1), detail=False)
     return r.summary().where(F.col("break_type").isin("CLEAN", "PRICE_BREAK", "SETTLE_BREAK"))
 
 

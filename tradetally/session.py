@@ -19,7 +19,8 @@ def build_session(master: str | None = None, partitions: int | None = None,
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          .config("spark.ui.showConsoleProgress", "false"))
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in (extra or {}).items():

@@ -14,7 +14,8 @@ from tradetally.sources.tables import table
 # Survivor order for keep-first on the derived feeds (identical on both sides).
 FEED_ORDER = ["isin", "l_suppkey", "quantity", "price", "trade_date", "side"]
 
-_H = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+def _h() -> Column:
+    return F.col("l_orderkey") * 7 + F.col("l_linenumber")
 
 
 def _base(lineitem: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def _base(lineitem: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("trader_id"),
         F.when(F.col("l_linestatus") == "O", "CONFIRMED").otherwise("PENDING").alias("status"),
         F.col("l_suppkey"),
-        _H.alias("h"),
+        _h().alias("h"),
     )
 
 
@@ -66,3 +67,56 @@ def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.when(h % 50 == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     b = b.withColumn("_copy", F.explode(copies))
     return b.withColumn("source", F.lit("source_b")).drop("h", "_copy")
+
+
+RAW_COLUMNS = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity",
+               "price", "consideration", "counterparty", "broker", "trader_id", "status"]
+
+
+def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-string raw feed with one kind of dirt per ``h mod 40`` (0..19);
+    the other rows are clean text. ``ingest_seq`` is the lineitem key."""
+    li = table(spark, sf_dir, "lineitem")
+    k = _h() % 40
+    d = F.to_date("l_shipdate")
+    raw_side = F.when(F.col("l_returnflag") == "R", "S").otherwise("B")
+    tid = F.concat(F.lit("TRD"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"),
+                   F.lit("-"), F.col("l_linenumber").cast("string"))
+    qty = F.col("l_quantity").cast("bigint").cast("string")
+    px = F.col("l_extendedprice").cast("decimal(12,2)")
+    ticker = F.concat(F.lit("P"), (F.col("l_partkey") % 100).cast("string"))
+    isin = F.concat(F.lit("US"), F.lpad(F.col("l_partkey").cast("string"), 10, "0"))
+    blank = F.lit("")
+
+    def dirt(clean: Column, *cases: tuple[int, Column]) -> Column:
+        out = F.when(k == 18, blank)
+        for kk, v in cases:
+            out = out.when(k == kk, v)
+        return out.otherwise(clean)
+
+    cols = {
+        "trade_id": dirt(tid, (17, F.lit("   "))),
+        "trade_date": dirt(F.date_format(d, "yyyy-MM-dd"), (16, F.date_format(d, "yyyy/MM/dd"))),
+        "settlement_date": dirt(F.date_format(F.date_add(d, 2), "yyyy-MM-dd"),
+                                (11, F.date_format(F.date_sub(d, 1), "yyyy-MM-dd"))),
+        "ticker": dirt(ticker, (19, F.concat(F.lit(" "), F.lower(ticker), F.lit(" ")))),
+        "isin": dirt(isin, (8, F.substring(isin, 1, 5)),
+                     (9, F.concat(F.lit("12"), F.substring(isin, 3, 10))),
+                     (10, F.concat(F.substring(isin, 1, 11), F.lit("*"))),
+                     (19, F.concat(F.lit(" "), F.lower(isin), F.lit(" ")))),
+        "side": dirt(raw_side, (0, F.when(raw_side == "B", " Buy ").otherwise(" sElL ")),
+                     (1, F.when(raw_side == "B", "1").otherwise("-1")), (2, F.lit("HOLD"))),
+        "quantity": dirt(qty, (3, F.lit("1,234")), (4, F.concat(qty, F.lit("d"))),
+                         (7, F.concat(F.lit("-"), qty))),
+        "price": dirt(px.cast("string"), (5, F.lit("NaN")), (6, F.lit("0"))),
+        "consideration": dirt((px * F.col("l_quantity").cast("bigint")).cast("string"),
+                              (12, (px * F.col("l_quantity").cast("bigint") * 2).cast("string"))),
+        "counterparty": dirt(F.concat(F.lit("CP"), F.col("l_suppkey").cast("string")), (14, blank)),
+        "broker": dirt(F.concat(F.lit("BR"), F.col("l_linestatus")), (15, F.lit("N/A"))),
+        "trader_id": dirt(F.concat(F.lit("TDR"), F.col("l_suppkey").cast("string"))),
+        "status": dirt(F.when(F.col("l_linestatus") == "O", "CONFIRMED").otherwise("PENDING"),
+                       (13, F.lit("DONE"))),
+    }
+    seq = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                   F.col("l_suppkey")).alias("ingest_seq")
+    return li.select(*[v.alias(n) for n, v in cols.items()], seq)
