@@ -191,6 +191,27 @@ class Reconciliation:
             "'QTY_BREAK', qty_break, 'PRICE_BREAK', price_break, "
             "'SETTLE_BREAK', settle_break) AS (break_type, n)"))
 
+    def run_row(self) -> DataFrame:
+        """A6 from one pass over the pairs: totals per severity derived from the
+        per-type counts through the severity map, plus source and match counts."""
+        sev = self.checks.severity
+        by_type = {"DUPLICATE": "(duplicate_a + duplicate_b)",
+                   "MISSING": "(missing_in_b + missing_in_a)", "SIDE_BREAK": "side_break",
+                   "QTY_BREAK": "qty_break", "PRICE_BREAK": "price_break",
+                   "SETTLE_BREAK": "settle_break"}
+
+        def total(level: str | None) -> F.Column:
+            parts = [v for k, v in by_type.items() if level is None or sev[k] == level]
+            return F.expr(" + ".join(parts) if parts else "0").cast("bigint")
+
+        c = self.counts()
+        return c.select(F.lit(self.run_id).alias("run_id"), total(None).alias("total_breaks"),
+                        total("CRITICAL").alias("critical_breaks"), total("HIGH").alias("high_breaks"),
+                        total("MEDIUM").alias("medium_breaks"),
+                        F.col("source_a_rows").alias("source_a_count"),
+                        F.col("source_b_rows").alias("source_b_count"),
+                        F.col("clean").alias("matched_count"))
+
     def observed_breaks(self, name: str = "recon") -> tuple[DataFrame, Observation]:
         """Breaks frame that also gathers the counts while it is written: one
         job yields both (result-stage metrics are applied once per partition)."""

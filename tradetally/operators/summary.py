@@ -61,3 +61,30 @@ def run_status(error_count: Column, total_breaks: Column) -> Column:
     return (F.when((error_count > 0) & (total_breaks == 0), "FAILED")
              .when(error_count > 0, "PARTIAL")
              .otherwise("COMPLETED"))
+
+
+def escalation(breaks: DataFrame, pairs: DataFrame, break_count_threshold: int = 10,
+               consideration_threshold: float = 100000.0,
+               always_escalate_critical: bool = True) -> DataFrame:
+    """One row per run: escalate when breaks exceed the count threshold,
+    when the consideration at risk exceeds its threshold, or on any CRITICAL.
+
+    Risk = sum over distinct broken trades of A's consideration (B's when the
+    trade is missing in A), summed as exact cents."""
+    per_run = breaks.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_breaks"),
+        F.count_if(F.col("severity") == "CRITICAL").cast("bigint").alias("critical_breaks"))
+    broken = breaks.select("run_id", "trade_id").distinct()
+    cons = pairs.select("trade_id", F.coalesce("consideration_a", "consideration_b")
+                        .cast("decimal(18,2)").alias("c"))
+    risk = (broken.join(cons, "trade_id", "left").groupBy("run_id")
+            .agg(F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("consideration_at_risk")))
+    r = per_run.join(risk, "run_id", "left")
+    count_hit = F.col("total_breaks") > break_count_threshold
+    risk_hit = F.col("consideration_at_risk") > consideration_threshold
+    crit_hit = (F.col("critical_breaks") > 0) & F.lit(always_escalate_critical)
+    reasons = F.concat_ws(", ", F.when(count_hit, F.lit("break_count")),
+                          F.when(risk_hit, F.lit("consideration")),
+                          F.when(crit_hit, F.lit("critical")))
+    return r.select("run_id", "total_breaks", "critical_breaks", "consideration_at_risk",
+                    (count_hit | risk_hit | crit_hit).alias("escalate"), reasons.alias("reasons"))
