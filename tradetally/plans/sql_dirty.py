@@ -88,7 +88,7 @@ def _code(cond: str, code: str) -> str:
     return f"CASE WHEN {cond} THEN '{code}' END"
 
 
-def field_codes(strict_isin: bool = False) -> list[str]:
+def field_codes(strict_isin: bool = False, date_range: tuple[str, str] | None = None) -> list[str]:
     out = []
     for f in ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity",
               "price", "consideration", "counterparty", "broker", "status"]:
@@ -106,11 +106,14 @@ def field_codes(strict_isin: bool = False) -> list[str]:
             out.append(_code("status NOT IN ('CONFIRMED', 'PENDING', 'CANCELLED', 'FAILED')", "status:enum"))
         if f in ("quantity", "price", "consideration"):
             out.append(_code(f"{f} <= 0", f"{f}:not_positive"))
+    if date_range:
+        out.append(_code(f"NOT (trade_date BETWEEN DATE '{date_range[0]}' AND DATE '{date_range[1]}')",
+                         "trade_date:out_of_range"))
     return out
 
 
-def validated(strict_isin: bool = False) -> str:
-    codes = ", ".join(field_codes(strict_isin))
+def validated(strict_isin: bool = False, date_range: tuple[str, str] | None = None) -> str:
+    codes = ", ".join(field_codes(strict_isin, date_range))
     return NORM + f""",
 fe AS (SELECT *, concat_ws('; ', {codes}) AS field_errors FROM norm),
 validated AS (
