@@ -13,8 +13,8 @@ from tradetally.functions.dates import parse_date
 from tradetally.functions.numeric import parse_number
 from tradetally.functions.text import fold_na as fold_na_value
 from tradetally.functions.text import normalise_side
-from tradetally.schemas import (COLUMN_ALIASES, DATE_COLUMNS, NUMERIC_COLUMNS, REQUIRED_COLUMNS,
-                                TRADE_COLUMNS)
+from tradetally.schemas import (COLUMN_ALIASES, DATE_COLUMNS, NA_TOKENS, NUMERIC_COLUMNS,
+                                REQUIRED_COLUMNS, TRADE_COLUMNS)
 
 # columns that are never source columns
 META_COLUMNS = ("ingest_seq", "source")
@@ -119,9 +119,13 @@ def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
     # P8 on the NA-folded source text: a cheap predicate next to the scan
     # (a drop after parsing would be pushed down with every parse inlined)
     empty = F.lit(True)
+    types = dict(out.dtypes)
     for c in source_cols:
-        v = fold_na_value(F.col(c)) if fold_na and dict(out.dtypes)[c] == "string" else F.col(c)
-        empty = empty & v.isNull()
+        if fold_na and types[c] == "string":
+            # NULL or an NA token ('' is one): references the column once
+            empty = empty & F.coalesce(F.col(c), F.lit("")).isin(*NA_TOKENS)
+        else:
+            empty = empty & F.col(c).isNull()
     out = out.where(~empty)
     cols = []
     for c, t in out.dtypes:

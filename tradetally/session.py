@@ -20,7 +20,10 @@ def build_session(master: str | None = None, partitions: int | None = None,
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.ui.showConsoleProgress", "false"))
+          .config("spark.ui.showConsoleProgress", "false")
+          # generated methods above HotSpot's 8000-bytecode JIT limit would run
+          # interpreted; split such stages into per-operator code instead
+          .config("spark.sql.codegen.hugeMethodLimit", "8000"))
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in (extra or {}).items():

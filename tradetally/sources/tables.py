@@ -7,5 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Small-input guard: a scan with fewer splits than the cluster has cores
+    (e.g. one large parquet row group, which cannot be split) is spread
+    round-robin so the CPU-heavy narrow work that follows uses every core.
+    A large input already has more splits than cores and is left untouched:
+    no shuffle is added at scale."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if balanced else df
