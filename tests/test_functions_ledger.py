@@ -49,8 +49,8 @@ def test_ledger_runs_breaks_audit(spark, tmpdir_path):
     a = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T2", "side": "SELL"}])
     b = trades_df(spark, [{"trade_id": "T2"}], "source_b")
     br = reconcile(a, b, run_id="r1").breaks()
-    led.write_breaks(br, run_ids=["r1"])
-    led.write_breaks(br, run_ids=["r1"])                  # idempotent
+    assert led.write_breaks(br, run_ids=["r1"]) == 2
+    assert led.write_breaks(br, run_ids=["r1"]) == 0      # idempotent
     got = led.get_breaks_for_run("r1").collect()
     assert [(r["severity"], r["break_type"]) for r in got] == [("CRITICAL", "SIDE_BREAK"), ("HIGH", "MISSING")]
     with pytest.raises(LedgerError, match="runs that do not exist"):

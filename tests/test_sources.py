@@ -96,3 +96,15 @@ def test_source_profile(spark, tmpdir_path):
     prof = files.source_profile(spark, f"{tmpdir_path}/*.csv", expected=["ok.csv", "gone.csv"])
     fails = {r["name"]: r["reason"] for r in files.profile_failures(prof).collect()}
     assert fails == {"tiny.csv": "too small", "gone.csv": "not found"}
+
+
+def test_reference_csv_and_enrichment(spark, tmpdir_path):
+    from tradetally.operators import enrich
+    with open(f"{tmpdir_path}/ref.csv", "w") as f:
+        f.write("ticker,isin,name,asset_class,currency\n aapl ,US0378331005,Apple Inc,EQUITY,USD\n"
+                "MSFT,US5949181045,Microsoft Corporation,EQUITY,USD\n")
+    ref = readers.load_reference_csv(spark, f"{tmpdir_path}/ref.csv")
+    trades = spark.createDataFrame([("T1", "AAPL"), ("T2", "ZZZ")], "trade_id string, ticker string")
+    got = {r["trade_id"]: r["asset_class"] for r in enrich.enrich(trades, ref).collect()}
+    assert got == {"T1": "EQUITY", "T2": None}
+    assert [r["ticker"] for r in enrich.unmatched_keys(trades, ref).collect()] == ["ZZZ"]

@@ -19,3 +19,9 @@ def parse_number(c: Column) -> Column:
 def nan_to_null(c: Column) -> Column:
     """F14 (``nanvl`` evaluates its input once)."""
     return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def derived_consideration(quantity: Column, price: Column, scale: int = 2) -> Column:
+    """consideration = round(quantity * price, 2) (HALF_UP; Python rounds
+    the binary value half-even, so exact ties may differ)."""
+    return F.round(quantity * price, scale)

@@ -45,3 +45,26 @@ def matched_pairs(a: DataFrame, b: DataFrame, key: str = KEY,
     rb = b.select(key, *[F.col(c).alias(c + suffixes[1]) if c in overlap else F.col(c)
                          for c in b.columns if c != key])
     return ra.join(rb, key, "inner")
+
+
+def concat_frames(*frames: DataFrame) -> DataFrame:
+    """U4: UNION ALL by column name (break lists of several steps)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def detect_missing(a: DataFrame, b: DataFrame, order_by, key: str = KEY,
+                   payload=("ticker", "side", "quantity", "price")) -> DataFrame:
+    """J5 as a stand-alone operator: both directions of missing ids, each with
+    the first copy's payload and the side it was found on (two anti joins and
+    a union). ``reconcile`` gets the same rows from its single full outer join."""
+    from tradetally.operators.dedupe import keep_first, valid_key
+    cols = [key, *[c for c in payload if c in a.columns and c in b.columns]]
+    keep = list(dict.fromkeys([*cols, *order_by]))
+    fa = keep_first(valid_key(a).select(*keep), order_by, key).select(*cols)
+    fb = keep_first(valid_key(b).select(*keep), order_by, key).select(*cols)
+    only_a = missing_from(fa, valid_key(b)).withColumn("source", F.lit("source_a"))
+    only_b = missing_from(fb, valid_key(a)).withColumn("source", F.lit("source_b"))
+    return concat_frames(only_a, only_b)

@@ -216,3 +216,27 @@ def type_counts(spark, sf_dir):
 def breaks_ordered_topk(spark, sf_dir):
     """O3: a run's breaks by (severity, break_type) lexical, top 100 with a total order."""
     return summary.ordered_breaks(recon(spark, sf_dir).breaks()).limit(100)
+
+
+@query("missing_trades", S.with_ctes(S.SIDES, """
+SELECT trade_id, ticker, side, quantity, price, 'source_a' AS source FROM fa
+WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.trade_id = fa.trade_id)
+UNION ALL
+SELECT trade_id, ticker, side, quantity, price, 'source_b' AS source FROM fb
+WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.trade_id = fb.trade_id)"""))
+def missing_trades(spark, sf_dir):
+    """Both directions of missing trades by two anti joins and a union."""
+    return joins.detect_missing(feed_a(spark, sf_dir), feed_b(spark, sf_dir), FEED_ORDER)
+
+
+@query("derived_consideration", S.with_ctes(S.FEEDS, """
+SELECT trade_id, quantity, price, round(quantity * price, 2) AS derived_consideration,
+       abs(round(quantity * price, 2) - consideration) <= 0.01 AS agrees
+FROM feed_a"""))
+def derived_consideration(spark, sf_dir):
+    """Consideration recomputed as round(quantity * price, 2)."""
+    from tradetally.functions.numeric import derived_consideration as dc
+    a = feed_a(spark, sf_dir)
+    d = dc(F.col("quantity"), F.col("price"))
+    return a.select("trade_id", "quantity", "price", d.alias("derived_consideration"),
+                    (F.abs(d - F.col("consideration")) <= 0.01).alias("agrees"))

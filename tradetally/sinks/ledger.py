@@ -12,8 +12,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tradetally.functions.ids import stable_id
@@ -124,22 +125,32 @@ class Ledger:
         return self.runs().where(F.col("run_id") == run_id)
 
     # ---- breaks -------------------------------------------------------------
-    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None) -> None:
+    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None) -> int:
         """K1 + K6 + V15: insert-or-ignore by ``break_id`` into ``breaks/``
-        (partitioned by run_id). ``run_ids`` limits the existing-key read to
+        (partitioned by run_id). Returns the number of rows inserted.
+
+        The upstream plan (a whole reconciliation) runs once: the breaks are
+        staged as Parquet in the ledger folder, and the checks and the insert
+        read the staged copy. ``run_ids`` limits the existing-key read to
         those partitions."""
-        bad = breaks.where(enum_violations(breaks, {"break_type": BREAK_TYPES + ["CONSIDERATION_BREAK"],
-                                                    "severity": SEVERITIES}))
-        if not bad.isEmpty():
-            raise LedgerError("break rows with unknown type or severity")
-        if not fk_violations(breaks, self.runs()).isEmpty():
+        stage = self._p(f"_staging/breaks-{uuid.uuid4().hex}")
+        breaks.write.mode("overwrite").parquet(stage)
+        staged = self.spark.read.parquet(stage)
+        chk = staged.agg(F.count_if(enum_violations(staged, {
+            "break_type": BREAK_TYPES + ["CONSIDERATION_BREAK"], "severity": SEVERITIES})).alias("bad"),
+            F.count_if(F.col("run_id").isNull()).alias("no_run")).first()
+        if chk["bad"] or chk["no_run"]:
+            raise LedgerError("break rows with unknown type or severity, or without a run id")
+        if not fk_violations(staged, self.runs()).isEmpty():
             raise LedgerError("breaks reference runs that do not exist")
         existing = self.read_breaks()
         if run_ids:
             existing = existing.where(F.col("run_id").isin(*run_ids))
-        new = insert_ignore(breaks, existing)
-        (new.withColumn("created_at", F.current_timestamp())
-            .write.mode("append").partitionBy("run_id").parquet(self._p("breaks")))
+        new = insert_ignore(staged, existing).withColumn("created_at", F.current_timestamp())
+        obs = Observation("inserted")
+        new.observe(obs, F.count(F.lit(1)).alias("n")) \
+            .write.mode("append").partitionBy("run_id").parquet(self._p("breaks"))
+        return obs.get["n"]
 
     def read_breaks(self) -> DataFrame:
         try:

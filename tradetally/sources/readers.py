@@ -71,7 +71,8 @@ def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8") -> Dat
     """All-string CSV read (no schema inference); quoted fields may hold commas."""
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("escape", '"').option("encoding", encoding)
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def load_csv(spark: SparkSession, path: str, source_name: str, encoding: str = "utf-8",
@@ -148,3 +149,14 @@ def local_path(p: str) -> str:
 
 __all__ = ["load_csv", "load_fixed_width", "load_query", "load_frame", "load_source",
            "with_ingest_seq", "read_csv_raw", "SourceError", "os"]
+
+
+def load_reference_csv(spark: SparkSession, path: str, key: str = "ticker",
+                       encoding: str = "utf-8") -> DataFrame:
+    """Security master CSV (ticker, isin, name, asset_class, currency),
+    all strings, keys trimmed and upper-cased."""
+    _exists(spark, path)
+    df = read_csv_raw(spark, path, encoding)
+    df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+    return df.select(*[F.upper(F.trim(F.col(c))).alias(c) if c in (key, "isin") else F.trim(F.col(c)).alias(c)
+                       for c in df.columns])
