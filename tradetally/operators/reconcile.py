@@ -212,6 +212,35 @@ class Reconciliation:
                         F.col("source_b_rows").alias("source_b_count"),
                         F.col("clean").alias("matched_count"))
 
+    def escalation(self, break_count_threshold: int = 10, consideration_threshold: float = 100000.0,
+                   always_escalate_critical: bool = True) -> DataFrame:
+        """D4 in one aggregate over the pairs: a pair with any break is one
+        broken trade; its consideration at risk is A's, or B's when A lacks the
+        trade (exact cents). Needs ``consideration`` in the pair payload."""
+        fl = self.flags
+        any_break = fl.dup_a | fl.dup_b | fl.missing_in_b | fl.missing_in_a | fl.field_break
+        cons = F.coalesce(F.col("consideration_a"), F.col("consideration_b")).cast("decimal(18,2)")
+        c = self.pairs.agg(*self.count_columns(),
+                           F.coalesce(F.sum(F.when(any_break, cons)), F.lit(0)).cast("double")
+                           .alias("consideration_at_risk"))
+        total = F.expr("duplicate_a + duplicate_b + missing_in_b + missing_in_a + side_break + "
+                       "qty_break + price_break + settle_break").cast("bigint")
+        sev = self.checks.severity
+        by_type = {"SIDE_BREAK": "side_break", "QTY_BREAK": "qty_break", "PRICE_BREAK": "price_break",
+                   "SETTLE_BREAK": "settle_break", "DUPLICATE": "(duplicate_a + duplicate_b)",
+                   "MISSING": "(missing_in_b + missing_in_a)"}
+        crit = [v for k, v in by_type.items() if sev[k] == "CRITICAL"]
+        critical = F.expr(" + ".join(crit) if crit else "0").cast("bigint")
+        r = c.select(F.lit(self.run_id).alias("run_id"), total.alias("total_breaks"),
+                     critical.alias("critical_breaks"), "consideration_at_risk")
+        count_hit = F.col("total_breaks") > break_count_threshold
+        risk_hit = F.col("consideration_at_risk") > consideration_threshold
+        crit_hit = (F.col("critical_breaks") > 0) & F.lit(always_escalate_critical)
+        reasons = F.concat_ws(", ", F.when(count_hit, F.lit("break_count")),
+                              F.when(risk_hit, F.lit("consideration")),
+                              F.when(crit_hit, F.lit("critical")))
+        return r.select("*", (count_hit | risk_hit | crit_hit).alias("escalate"), reasons.alias("reasons"))
+
     def observed_breaks(self, name: str = "recon") -> tuple[DataFrame, Observation]:
         """Breaks frame that also gathers the counts while it is written: one
         job yields both (result-stage metrics are applied once per partition)."""

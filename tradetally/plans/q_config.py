@@ -105,10 +105,9 @@ FROM (SELECT run_id, count(*) AS total_breaks, count(*) FILTER (WHERE severity =
       FROM bx GROUP BY run_id), risk"""))
 def escalation(spark, sf_dir):
     """Escalation flags and reasons per run."""
-    r = recon(spark, sf_dir, checks=Checks())
     pairs = pair_frame(feed_a(spark, sf_dir), feed_b(spark, sf_dir), FEED_ORDER,
-                       payload=["consideration"])
-    return SM.escalation(r.breaks(), pairs, **ESCALATION)
+                       payload=["side", "quantity", "price", "settlement_date", "consideration"])
+    return reconcile(None, None, run_id=RUN_ID, pairs=pairs).escalation(**ESCALATION)
 
 
 @query("security_master", S.with_ctes(S.FEEDS + "," + MASTER_SQL, """

@@ -84,7 +84,7 @@ SELECT concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linen
        concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isin,
        CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS Direction,
        l_quantity AS ` QTY `,
-       l_extendedprice / l_quantity AS `Exec Price`,
+       try_divide(l_extendedprice, l_quantity) AS `Exec Price`,
        l_extendedprice AS Notional,
        concat('CP', CAST(l_suppkey AS STRING)) AS CPTY,
        concat('BR', l_linestatus) AS `Executing Broker`,

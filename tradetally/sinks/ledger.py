@@ -150,7 +150,15 @@ class Ledger:
         obs = Observation("inserted")
         new.observe(obs, F.count(F.lit(1)).alias("n")) \
             .write.mode("append").partitionBy("run_id").parquet(self._p("breaks"))
-        return obs.get["n"]
+        inserted = obs.get["n"]
+        self._remove(stage)
+        return inserted
+
+    def _remove(self, path: str) -> None:
+        """Drop a staging folder of this ledger through the Hadoop file system."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def read_breaks(self) -> DataFrame:
         try:

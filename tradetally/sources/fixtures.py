@@ -29,7 +29,7 @@ def _base(lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("US"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("isin"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
         F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
         F.col("l_extendedprice").alias("consideration"),
         F.concat(F.lit("CP"), F.col("l_suppkey").cast("string")).alias("counterparty"),
         F.concat(F.lit("BR"), F.col("l_linestatus")).alias("broker"),
