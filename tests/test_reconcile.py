@@ -223,3 +223,23 @@ def test_golden_sample(spark, tmpdir_path):
     from tradetally.functions.render import render
     txt = render(r.breaks().where(F.col("break_type") == "PRICE_BREAK")).first()
     assert txt["difference"] == "-0.2500"
+
+
+def test_scan_reads_only_needed_columns(spark):
+    from tradetally.plans.q_match import recon_summary
+    plan = recon_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # tax, discount and line status are never read by the summary
+    assert "l_tax" not in plan and "l_discount" not in plan and "l_linestatus" not in plan
+
+
+def test_ledger_reads_prune_run_partitions(spark, tmpdir_path):
+    import datetime as dt
+    from tradetally.sinks.ledger import Ledger
+    led = Ledger(spark, tmpdir_path + "/l")
+    for rid in ("r1", "r2"):
+        led.create_run(rid, dt.date(2026, 3, 1))
+        a = trades_df(spark, [{"trade_id": "T1"}])
+        led.write_breaks(reconcile(a, a.limit(0), run_id=rid).breaks(), run_ids=[rid])
+    df = led.get_breaks_for_run("r2")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and df.count() == 1
