@@ -15,7 +15,7 @@ from tradetally.plans.registry import query
 from tradetally.schemas import TRADE_COLUMNS
 from tradetally.session import scratch_path
 from tradetally.sources import files, readers
-from tradetally.sources.fixtures import feed_a
+from tradetally.sources.fixtures import FEED_ORDER, feed_a, feed_b
 from tradetally.sources.tables import table
 
 CANON = [c for c in TRADE_COLUMNS]
@@ -33,13 +33,20 @@ def _fixture_dir(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return scratch_path(spark, f"fixtures/{kind}-{tag}")
 
 
-def write_feed_a_csv(spark: SparkSession, sf_dir: str) -> str:
-    path = _fixture_dir(spark, sf_dir, "feed_a_csv")
-    (feed_a(spark, sf_dir).select(*[c for c in CANON if c != "source"])
+def write_feed_csv(spark: SparkSession, sf_dir: str, side: str = "a") -> str:
+    """Feed A or B as CSV part files, globally sorted by (trade_id, survivor
+    order): file order then yields the same surviving copies as FEED_ORDER."""
+    path = _fixture_dir(spark, sf_dir, f"feed_{side}_csv")
+    feed = feed_a(spark, sf_dir) if side == "a" else feed_b(spark, sf_dir)
+    (feed.orderBy("trade_id", *FEED_ORDER).select(*[c for c in CANON if c != "source"])
      .write.mode("overwrite").option("header", True).csv(path))
     return path
 
 
+def write_feed_a_csv(spark: SparkSession, sf_dir: str) -> str:
+    return write_feed_csv(spark, sf_dir, "a")
+
+
 def write_feed_a_fixed(spark: SparkSession, sf_dir: str) -> str:
     path = _fixture_dir(spark, sf_dir, "feed_a_fixed")
     a = feed_a(spark, sf_dir)
@@ -127,3 +134,32 @@ def content_sha256(spark, sf_dir):
     """SHA-256 of every document's full text."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", sha256_hex(F.col("text")).alias("sha256"), "n_chars")
+
+
+@query("daily_run", S.with_ctes(S.FLAGGED, """
+SELECT 'run-0001' AS run_id, 'COMPLETED' AS status,
+  count(*) FILTER (WHERE dup_a) + count(*) FILTER (WHERE dup_b) + count(*) FILTER (WHERE missing_in_a OR missing_in_b)
+  + count(*) FILTER (WHERE side_break) + count(*) FILTER (WHERE qty_break) + count(*) FILTER (WHERE price_break)
+  + count(*) FILTER (WHERE settle_break) AS total_breaks,
+  count(*) FILTER (WHERE side_break) AS critical_breaks,
+  count(*) FILTER (WHERE dup_a) + count(*) FILTER (WHERE dup_b) + count(*) FILTER (WHERE missing_in_a OR missing_in_b)
+  + count(*) FILTER (WHERE qty_break) AS high_breaks,
+  count(*) FILTER (WHERE price_break) + count(*) FILTER (WHERE settle_break) AS medium_breaks,
+  (SELECT count(*) FROM feed_a WHERE abs(consideration - quantity * price) <= greatest(quantity * price * 0.01, 0.01))
+    AS source_a_count,
+  (SELECT count(*) FROM feed_b WHERE abs(consideration - quantity * price) <= greatest(quantity * price * 0.01, 0.01))
+    AS source_b_count,
+  count(*) FILTER (WHERE clean) AS matched_count
+FROM flagged"""))
+def daily_run(spark, sf_dir):
+    """A whole day end to end (guardrail S6, ingestion S1/S5/V/A5/V12, C10,
+    K1-K4, A6/A7): both feeds as CSV files, the run row read back from the ledger."""
+    import datetime as dt
+    from tradetally.runner import SourceSpec, run_day
+    pa, pb = write_feed_csv(spark, sf_dir, "a"), write_feed_csv(spark, sf_dir, "b")
+    root = _fixture_dir(spark, sf_dir, "daily-ledger")
+    row = run_day(spark, root, "run-0001", dt.date(2026, 3, 1),
+                  SourceSpec(pa, "source_a", date_format="%Y-%m-%d"),
+                  SourceSpec(pb, "source_b", date_format="%Y-%m-%d"))
+    return row.select("run_id", "status", "total_breaks", "critical_breaks", "high_breaks",
+                      "medium_breaks", "source_a_count", "source_b_count", "matched_count")

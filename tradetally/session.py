@@ -40,9 +40,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder is created and registered.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tradetally-ckpt-")
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradetally-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

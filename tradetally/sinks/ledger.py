@@ -78,11 +78,19 @@ class Ledger:
     def _p(self, name: str) -> str:
         return os.path.join(self.root, name)
 
+    def _fs_path(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        p, fs = self._fs_path(self._p(name))
+        return bool(fs.exists(p))
+
     def _read(self, name: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self._p(name))
-        except Exception:  # noqa: BLE001 - table not written yet
+        if not self._exists(name):                      # table not written yet
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._p(name))
 
     # ---- runs ---------------------------------------------------------------
     def _run_event(self, **vals) -> DataFrame:
@@ -156,15 +164,13 @@ class Ledger:
 
     def _remove(self, path: str) -> None:
         """Drop a staging folder of this ledger through the Hadoop file system."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._fs_path(path)
+        fs.delete(p, True)
 
     def read_breaks(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self._p("breaks"))
-        except Exception:  # noqa: BLE001
+        if not self._exists("breaks"):
             return self.spark.createDataFrame([], "break_id string, run_id string")
+        return self.spark.read.parquet(self._p("breaks"))
 
     def get_breaks_for_run(self, run_id: str, by_rank: bool = False) -> DataFrame:
         """L2: partition-pruned read, ordered by (severity, break_type)."""
