@@ -10,7 +10,6 @@ and their counts observed on that write.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import time
 from dataclasses import dataclass, field
 
@@ -148,7 +147,7 @@ def run_day(spark: SparkSession, ledger_root: str, run_id: str, run_date: dt.dat
     led.complete_run(run_id, status, counts, error_message="; ".join(errors) or None)
     led.quick_audit("audit", "pipeline_complete", "SUCCESS" if status == "COMPLETED" else "WARNING",
                     run_id=run_id, duration_ms=_ms(t_start),
-                    detail=json.loads(json.dumps(dict(counts, final_status=status))))
+                    detail=dict(counts, final_status=status))
     return led.get_run(run_id)
 
 

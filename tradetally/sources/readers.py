@@ -7,7 +7,6 @@ to fail fast (empty source, and strict date parsing when asked).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,7 +147,7 @@ def local_path(p: str) -> str:
 
 
 __all__ = ["load_csv", "load_fixed_width", "load_query", "load_frame", "load_source",
-           "with_ingest_seq", "read_csv_raw", "SourceError", "os"]
+           "with_ingest_seq", "read_csv_raw", "SourceError", "load_reference_csv"]
 
 
 def load_reference_csv(spark: SparkSession, path: str, key: str = "ticker",
