@@ -243,3 +243,27 @@ def test_ledger_reads_prune_run_partitions(spark, tmpdir_path):
     df = led.get_breaks_for_run("r2")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan and df.count() == 1
+
+
+def test_hot_id_holding_a_third_of_rows(spark):
+    """One id holds a third of A: partial aggregation before the exchange,
+    results whole (every row counted, one DUPLICATE break)."""
+    from pyspark.sql import types as T
+    from tradetally.operators import joins
+    n = 30000
+    a = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("T"), F.col("id").cast("string")))
+        .alias("trade_id"),
+        F.lit("BUY").alias("side"), F.lit(10.0).alias("quantity"), F.lit(1.0).alias("price"),
+        F.to_date(F.lit("2024-01-17")).alias("settlement_date"), F.lit("X").alias("ticker"),
+        F.col("id").alias("ingest_seq"))
+    b = a.where(F.col("trade_id") != "HOT").union(a.where(F.col("ingest_seq") == 0))
+    r = reconcile(a, b, run_id="hot")
+    c = r.counts().first()
+    assert c["source_a_rows"] == n and c["duplicate_a"] == 1 and c["clean"] == n - n // 3 + 1
+    dup = r.breaks().where("break_type = 'DUPLICATE'").first()
+    assert dup["trade_id"] == "HOT" and dup["occurrences"] == n // 3
+    plan = r.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "partial_min" in plan
+    assert joins.common_ids(a, b).where("trade_id = 'HOT'").count() == 1
+    assert joins.missing_from(a, b).count() == 0

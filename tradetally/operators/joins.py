@@ -9,28 +9,30 @@ KEY = "trade_id"
 
 
 def distinct_ids(df: DataFrame, key: str = KEY) -> DataFrame:
-    """A8."""
+    """Distinct non-null ids (partial aggregate: a hot id is one row per task)."""
     return df.select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def common_ids(a: DataFrame, b: DataFrame, key: str = KEY) -> DataFrame:
-    """Ids in both (INTERSECT DISTINCT -> aggregate + left-semi join)."""
-    return a.select(key).intersect(b.select(key)).where(F.col(key).isNotNull())
+    """Ids in both. Both sides are reduced to distinct ids first, so the
+    semi join sees unique keys on each side whatever the skew."""
+    return distinct_ids(a, key).join(distinct_ids(b, key), key, "left_semi")
 
 
 def ids_only_in(a: DataFrame, b: DataFrame, key: str = KEY) -> DataFrame:
-    """Ids of ``a`` absent from ``b`` (EXCEPT DISTINCT -> left-anti join)."""
-    return a.select(key).subtract(b.select(key)).where(F.col(key).isNotNull())
+    """Ids of ``a`` absent from ``b`` (EXCEPT DISTINCT on unique keys)."""
+    return distinct_ids(a, key).join(distinct_ids(b, key), key, "left_anti")
 
 
 def missing_from(a: DataFrame, b: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of ``a`` whose id is absent from ``b`` (left anti)."""
-    return a.join(b.select(key), key, "left_anti")
+    """Rows of ``a`` whose id is absent from ``b`` (left anti against
+    ``b``'s distinct ids; ``a`` streams, AQE may split a hot id of ``a``)."""
+    return a.join(distinct_ids(b, key), key, "left_anti")
 
 
 def common_trades(a: DataFrame, b: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of ``a`` whose id is present in ``b`` (left semi)."""
-    return a.join(b.select(key), key, "left_semi")
+    """Rows of ``a`` whose id is present in ``b`` (left semi on distinct ids)."""
+    return a.join(distinct_ids(b, key), key, "left_semi")
 
 
 def matched_pairs(a: DataFrame, b: DataFrame, key: str = KEY,

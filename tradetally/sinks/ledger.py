@@ -45,9 +45,17 @@ def insert_ignore(new: DataFrame, existing: DataFrame, key: str = "break_id") ->
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def missing_parent_keys(child: DataFrame, parents: DataFrame, key: str = "run_id") -> DataFrame:
+    """K6 on keys: the distinct non-null keys of ``child`` with no parent.
+    All rows of a run share one key, so the check works on distinct keys
+    (a partial aggregate), never on the rows themselves."""
+    keys = child.select(key).where(F.col(key).isNotNull()).distinct()
+    return keys.join(parents.select(key).distinct(), key, "left_anti")
+
+
 def fk_violations(child: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
     """K6: child rows whose non-null run id has no run."""
-    return child.where(F.col(key).isNotNull()).join(runs.select(key), key, "left_anti")
+    return child.join(missing_parent_keys(child, runs, key), key, "left_semi")
 
 
 def merge_explanations(breaks: DataFrame, explanations: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ class Ledger:
             F.count_if(F.col("run_id").isNull()).alias("no_run")).first()
         if chk["bad"] or chk["no_run"]:
             raise LedgerError("break rows with unknown type or severity, or without a run id")
-        if not fk_violations(staged, self.runs()).isEmpty():
+        if not missing_parent_keys(staged, self.runs()).isEmpty():
             raise LedgerError("breaks reference runs that do not exist")
         existing = self.read_breaks()
         if run_ids:
@@ -191,7 +199,7 @@ class Ledger:
             raise LedgerError("audit rows with unknown status")
         if "duration_ms" in entries.columns and not entries.where(F.col("duration_ms") < 0).isEmpty():
             raise LedgerError("duration_ms must be >= 0")
-        if not fk_violations(entries, self.runs()).isEmpty():
+        if not missing_parent_keys(entries, self.runs()).isEmpty():
             raise LedgerError("audit rows reference runs that do not exist")
         entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_SCHEMA.fields]) \
             .write.mode("append").parquet(self._p("audit"))
