@@ -82,3 +82,10 @@ def test_routing_and_escalation(spark):
     e = summary.escalation(br, pairs).first()
     assert e["escalate"] and e["consideration_at_risk"] == 200000.0 + 185500.0
     assert e["reasons"] == "consideration, critical"
+
+
+def test_type_summary_map(spark):
+    a = trades_df(spark, [{"trade_id": "T1", "side": "SELL"}, {"trade_id": "T2"}, {"trade_id": "T3", "price": 1.0}])
+    b = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T3"}], "source_b")
+    m = summary.type_summary_map(reconcile(a, b).breaks()).first()["type_summary"]
+    assert m == {"MISSING": 1, "PRICE_BREAK": 1, "SIDE_BREAK": 1}

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradetally.operators.compare import (BREAK_STRUCT_TYPE, Checks, Tolerances, break_struct,
-                                          dates_differ,
-                                          days_apart, norm_side, num_differs, side_differs)
+                                          dates_differ, days_apart, norm_side, num_differs,
+                                          side_differs)
 from tradetally.operators.dedupe import KEY, collapse, valid_key
 
 _CMP = ["side", "quantity", "price", "settlement_date"]

@@ -81,6 +81,16 @@ def dedup_first_b(spark, sf_dir):
     return dedupe.keep_first(feed_b(spark, sf_dir).select(*cols), FEED_ORDER)
 
 
+@query("dedup_first_a", S.with_ctes(S.FEEDS, f"""
+SELECT {_FIRST_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY {S.ORDER}) AS rn FROM feed_a
+) WHERE rn = 1"""))
+def dedup_first_a(spark, sf_dir):
+    """W1 on A (whose copies come from the table's own repeated keys)."""
+    cols = [c.strip() for c in _FIRST_COLS.split(",")]
+    return dedupe.keep_first(feed_a(spark, sf_dir).select(*cols), FEED_ORDER)
+
+
 _MISSING_COLS = "trade_id, ticker, side, quantity, price"
 
 
