@@ -89,3 +89,21 @@ def test_type_summary_map(spark):
     b = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T3"}], "source_b")
     m = summary.type_summary_map(reconcile(a, b).breaks()).first()["type_summary"]
     assert m == {"MISSING": 1, "PRICE_BREAK": 1, "SIDE_BREAK": 1}
+
+
+def test_consideration_check_is_optional(spark):
+    from tradetally.operators.compare import Checks, Tolerances
+    a = trades_df(spark, [{"trade_id": "T1", "consideration": 185500.0}])
+    b = trades_df(spark, [{"trade_id": "T1", "consideration": 185502.0}], "source_b")
+    assert reconcile(a, b).breaks().count() == 0                      # off by default
+    on = reconcile(a, b, checks=Checks(consideration=True)).breaks().collect()
+    assert [(r["break_type"], r["diff_num"]) for r in on] == [("CONSIDERATION_BREAK", -2.0)]
+    loose = reconcile(a, b, checks=Checks(consideration=True), tolerances=Tolerances(consideration=5.0))
+    assert loose.breaks().count() == 0
+
+
+def test_negative_counts_rejected(spark, tmpdir_path):
+    led = Ledger(spark, tmpdir_path + "/neg")
+    led.create_run("n1", dt.date(2026, 3, 1))
+    with pytest.raises(LedgerError, match=">= 0"):
+        led.complete_run("n1", "COMPLETED", {"total_breaks": -1})
