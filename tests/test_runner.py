@@ -21,8 +21,13 @@ def test_golden_day(spark, tmpdir_path):
     led = Ledger(spark, root)
     assert led.get_breaks_for_run("g1").count() == 4
     actions = [r["action"] for r in led.get_audit_for_run("g1").collect()]
-    assert actions[0] == "pre_flight_validation" and actions[-1] == "pipeline_complete"
+    assert actions[0] == "pre_flight_validation" and actions[-1] == "run_complete"
     assert actions.count("load_source") == 2
+    import hashlib
+    one = hashlib.sha256(open(f"{tmpdir_path}/a.csv", "rb").read()).hexdigest()
+    want = hashlib.sha256(f"1:{int(one[:15], 16)}".encode()).hexdigest()
+    hashes = {r["input_hash"] for r in led.get_audit_for_run("g1").collect() if r["action"] == "load_source"}
+    assert want in hashes
 
 
 def test_missing_source_fails_preflight(spark, tmpdir_path):
