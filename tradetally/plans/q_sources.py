@@ -132,7 +132,7 @@ def source_profile(spark, sf_dir):
 @query("content_sha256", "SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents")
 def content_sha256(spark, sf_dir):
     """SHA-256 of every document's full text."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", balanced=True)
     return d.select("doc_id", sha256_hex(F.col("text")).alias("sha256"), "n_chars")
 
 

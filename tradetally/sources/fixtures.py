@@ -41,7 +41,7 @@ def _base(lineitem: DataFrame) -> DataFrame:
 
 
 def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(table(spark, sf_dir, "lineitem"))
+    base = _base(table(spark, sf_dir, "lineitem", balanced=True))
     return (base.where(F.col("h") % 50 != 5)
                 .withColumn("source", F.lit("source_a"))
                 .drop("h"))
@@ -49,7 +49,7 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("h")
-    base = _base(table(spark, sf_dir, "lineitem")).where(h % 25 != 0)
+    base = _base(table(spark, sf_dir, "lineitem", balanced=True)).where(h % 25 != 0)
     flipped: Column = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
     b = base.select(
         "trade_id", "trade_date",
@@ -76,7 +76,7 @@ RAW_COLUMNS = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "s
 def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string raw feed with one kind of dirt per ``h mod 40`` (0..19);
     the other rows are clean text. ``ingest_seq`` is the lineitem key."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balanced=True)
     k = _h() % 40
     d = F.to_date("l_shipdate")
     raw_side = F.when(F.col("l_returnflag") == "R", "S").otherwise("B")

@@ -19,6 +19,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = False) -> DataFrame:
+    """A driver table; ``balanced`` applies the small-input guard (used for the
+    fact-sized reads that feed CPU-heavy projections, not for dimensions)."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if balanced else df
