@@ -13,10 +13,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin so the CPU-heavy narrow work that follows uses every core.
     A large input already has more splits than cores and is left untouched:
     no shuffle is added at scale."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = False) -> DataFrame:
