@@ -267,3 +267,12 @@ def test_hot_id_holding_a_third_of_rows(spark):
     assert "partial_count" in plan and "partial_min" in plan
     assert joins.common_ids(a, b).where("trade_id = 'HOT'").count() == 1
     assert joins.missing_from(a, b).count() == 0
+
+
+def test_check_skipped_when_a_column_is_absent(spark):
+    """A compared column missing from one source switches that check off."""
+    a = trades_df(spark, [{"trade_id": "T1"}])
+    b = trades_df(spark, [{"trade_id": "T1", "settlement_date": dt.date(2024, 2, 1), "price": 1.0}],
+                  "source_b").drop("settlement_date")
+    c = reconcile(a, b).counts().first()
+    assert c["settle_break"] == 0 and c["price_break"] == 1
