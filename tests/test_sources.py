@@ -108,3 +108,12 @@ def test_reference_csv_and_enrichment(spark, tmpdir_path):
     got = {r["trade_id"]: r["asset_class"] for r in enrich.enrich(trades, ref).collect()}
     assert got == {"T1": "EQUITY", "T2": None}
     assert [r["ticker"] for r in enrich.unmatched_keys(trades, ref).collect()] == ["ZZZ"]
+
+
+def test_quoted_fields_with_commas_and_line_breaks(spark, tmpdir_path):
+    body = ['T1,2024-01-15,2024-01-17,AAPL,US0378331005,BUY,10,185.5,1855,"CITI, London",INST,,CONFIRMED',
+            'T2,2024-01-15,2024-01-17,AAPL,US0378331005,BUY,10,185.5,1855,"Two\nLines",INST,,CONFIRMED']
+    write(f"{tmpdir_path}/q.csv", body)
+    rows = {r["trade_id"]: r["counterparty"]
+            for r in readers.load_csv(spark, f"{tmpdir_path}/q.csv", "a", multiline=True).collect()}
+    assert rows == {"T1": "CITI, London", "T2": "Two\nLines"}

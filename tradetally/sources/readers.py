@@ -66,19 +66,24 @@ def _exists(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"Source not found: {path}")
 
 
-def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """All-string CSV read (no schema inference); quoted fields may hold commas."""
+def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8",
+                 multiline: bool = False) -> DataFrame:
+    """All-string CSV read (no schema inference); quoted fields may hold commas.
+    ``multiline=True`` allows line breaks inside quoted fields, at the price of
+    one task per file (such files cannot be split)."""
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("escape", '"').option("encoding", encoding)
+            .option("multiLine", multiline)
             .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def load_csv(spark: SparkSession, path: str, source_name: str, encoding: str = "utf-8",
-             date_format: str | None = None, dates: str = "strict") -> DataFrame:
+             date_format: str | None = None, dates: str = "strict",
+             multiline: bool = False) -> DataFrame:
     """S1."""
     _exists(spark, path)
-    raw = with_ingest_seq(read_csv_raw(spark, path, encoding))
+    raw = with_ingest_seq(read_csv_raw(spark, path, encoding, multiline))
     return _finish(raw, source_name, date_format, dates, f"CSV file {path}")
 
 
