@@ -109,8 +109,9 @@ def check_required_columns(df: DataFrame) -> list[str]:
 
 def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
               aliases: dict[str, str] = COLUMN_ALIASES, fold_na: bool = True,
-              keep_raw_dates: bool = False) -> DataFrame:
-    """P1, S8, P3, P4, P5, P6, P7 in one projection, then P8.
+              keep_raw_dates: bool = False, drop_empty: bool = True) -> DataFrame:
+    """P1, S8, P3, P4, P5, P6, P7 in one projection, then P8 (or, with
+    ``drop_empty=False``, an ``empty_row`` flag instead of the drop).
 
     The steps compose per column, so each raw column feeds exactly one output
     expression (the step-by-step helpers above stay available on their own)."""
@@ -126,8 +127,9 @@ def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
             empty = empty & F.coalesce(F.col(c), F.lit("")).isin(*NA_TOKENS)
         else:
             empty = empty & F.col(c).isNull()
-    out = out.where(~empty)
-    cols = []
+    if drop_empty:
+        out = out.where(~empty)
+    cols = [] if drop_empty else [empty.alias("empty_row")]
     for c, t in out.dtypes:
         if c in META_COLUMNS and c != "source":
             cols.append(F.col(c))

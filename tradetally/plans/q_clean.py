@@ -58,12 +58,11 @@ _NULLS_SQL = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c
 SELECT (SELECT count(*) FROM raw) AS raw_rows, count(*) AS kept_rows, {_NULLS_SQL} FROM norm"""))
 def na_tokens(spark, sf_dir):
     """S8 + P8: NULLs per column after token folding, and rows left after the
-    all-empty drop (one aggregate per side of the count)."""
-    raw = dirty_raw(spark, sf_dir).agg(F.count(F.lit(1)).alias("raw_rows"))
-    n = normalised(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("kept_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in RAW_COLUMNS])
-    return raw.crossJoin(n)   # 1 row x 1 row
+    all-empty drop, in one aggregate over the raw feed."""
+    n = N.normalise(dirty_raw(spark, sf_dir), "source_a", date_format="%Y-%m-%d", drop_empty=False)
+    kept = ~F.col("empty_row")
+    return n.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(kept).alias("kept_rows"),
+                 *[F.count_if(kept & F.col(c).isNull()).alias(f"null_{c}") for c in RAW_COLUMNS])
 
 
 @query("trim_strings", with_ctes(D.NORM, """
