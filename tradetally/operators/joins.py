@@ -60,13 +60,17 @@ def concat_frames(*frames: DataFrame) -> DataFrame:
 def detect_missing(a: DataFrame, b: DataFrame, order_by, key: str = KEY,
                    payload=("ticker", "side", "quantity", "price")) -> DataFrame:
     """J5 as a stand-alone operator: both directions of missing ids, each with
-    the first copy's payload and the side it was found on (two anti joins and
-    a union). ``reconcile`` gets the same rows from its single full outer join."""
+    the first copy's payload and the side it was found on. The two keep-first
+    outputs meet in one full outer join (one exchange per side) and the rows
+    present on one side only are kept: the same rows two anti joins and a
+    union give, without aggregating either feed twice."""
     from tradetally.operators.dedupe import keep_first, valid_key
-    cols = [key, *[c for c in payload if c in a.columns and c in b.columns]]
-    keep = list(dict.fromkeys([*cols, *order_by]))
-    fa = keep_first(valid_key(a).select(*keep), order_by, key).select(*cols)
-    fb = keep_first(valid_key(b).select(*keep), order_by, key).select(*cols)
-    only_a = missing_from(fa, valid_key(b)).withColumn("source", F.lit("source_a"))
-    only_b = missing_from(fb, valid_key(a)).withColumn("source", F.lit("source_b"))
-    return concat_frames(only_a, only_b)
+    cols = [c for c in payload if c in a.columns and c in b.columns]
+    keep = list(dict.fromkeys([key, *cols, *order_by]))
+    fa = keep_first(valid_key(a).select(*keep), order_by, key)
+    fb = keep_first(valid_key(b).select(*keep), order_by, key)
+    j = (fa.select(key, F.struct(*cols).alias("_a"))
+         .join(fb.select(key, F.struct(*cols).alias("_b")), key, "full_outer"))
+    one_sided = j.where(F.col("_a").isNull() | F.col("_b").isNull())
+    return one_sided.select(key, *[F.coalesce(F.col(f"_a.{c}"), F.col(f"_b.{c}")).alias(c) for c in cols],
+                            F.when(F.col("_b").isNull(), "source_a").otherwise("source_b").alias("source"))

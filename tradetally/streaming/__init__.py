@@ -1,0 +1,3 @@
+"""Streaming: none. The reconciled system is a once-a-day batch with no
+watermark, window or state code; a new day is picked up by running the batch
+on the new folder (see README, "Not built, or re-aimed")."""
