@@ -14,7 +14,7 @@ from tradetally.operators.summary import run_status as status_of
 from tradetally.plans import sql_feeds as S
 from tradetally.plans.q_match import BREAK_SELECT, RUN_ID, recon
 from tradetally.plans.registry import query
-from tradetally.session import scratch_path
+from tradetally.session import checkpoint_dir, scratch_path
 from tradetally.sinks import ledger as L
 from tradetally.sources.tables import table
 
@@ -149,7 +149,8 @@ SELECT break_id, trade_id, break_type FROM ({BREAK_SELECT}) WHERE step > 2"""))
 def breaks_insert_ignore(spark, sf_dir):
     """K1: new breaks minus those already stored (here: the duplicate breaks
     of an earlier partial write), by ``break_id``."""
-    new = recon(spark, sf_dir).breaks()
+    checkpoint_dir(spark)
+    new = recon(spark, sf_dir).breaks().checkpoint()     # computed once, read twice
     existing = new.where(F.col("step") <= 2)
     return L.insert_ignore(new, existing).select("break_id", "trade_id", "break_type")
 
@@ -160,7 +161,8 @@ SELECT break_id, break_type,
 FROM ({BREAK_SELECT})"""))
 def explanations_merge(spark, sf_dir):
     """K5: explanations arrive as a table and are merged onto the breaks."""
-    b = recon(spark, sf_dir).breaks()
+    checkpoint_dir(spark)
+    b = recon(spark, sf_dir).breaks().checkpoint()       # computed once, read twice
     exp = (b.where(F.col("break_type") == "SIDE_BREAK")
             .select("break_id", F.concat(F.lit("Side differs: "), "a_str", F.lit(" vs "), "b_str")
                     .alias("explanation"), F.current_timestamp().alias("explained_at")))
