@@ -276,3 +276,24 @@ def test_check_skipped_when_a_column_is_absent(spark):
                   "source_b").drop("settlement_date")
     c = reconcile(a, b).counts().first()
     assert c["settle_break"] == 0 and c["price_break"] == 1
+
+
+def test_bucketed_feed_is_not_shuffled(spark, tmpdir_path):
+    """A feed stored bucketed by trade_id skips its exchange; results unchanged."""
+    from tradetally.sinks.tables import write_bucketed
+    from tradetally.sources.fixtures import FEED_ORDER, feed_a, feed_b
+    sf = "/root/testdata/sf0.001"
+    write_bucketed(feed_a(spark, sf), "tt_feed_a_bucketed", 8, path=tmpdir_path + "/a_bucketed")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a_b = spark.table("tt_feed_a_bucketed")
+        r1 = reconcile(a_b, feed_b(spark, sf), order_by=FEED_ORDER, run_id="bk")
+        r2 = reconcile(feed_a(spark, sf), feed_b(spark, sf), order_by=FEED_ORDER, run_id="bk")
+        plan = r1.breaks()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(trade_id") == 1
+        ids = lambda r: sorted(x["break_id"] for x in r.breaks().select("break_id").collect())
+        assert ids(r1) == ids(r2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS tt_feed_a_bucketed")
