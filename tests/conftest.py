@@ -13,7 +13,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from tradetally.session import build_session, checkpoint_dir
-    s = build_session("local[*]", 8)
+    s = build_session("local[*]", 8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tt-warehouse-")})
     checkpoint_dir(s)
     yield s
     s.stop()
