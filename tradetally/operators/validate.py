@@ -1,7 +1,7 @@
 """Row validation against the trade contract (V1-V15) as column expressions.
 
-``errors`` is an array of stable codes; ``valid`` is ``size(errors) = 0``.
-No Python runs per row.
+``error_codes`` joins stable codes with ``'; '`` (``errors`` is the same as an
+array); ``valid`` is ``error_codes = ''``. No Python runs per row.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def error_array(strict_isin: bool = False, date_range: tuple[str, str] | None =
 
 def validate(df: DataFrame, strict_isin: bool = False,
              date_range: tuple[str, str] | None = None) -> DataFrame:
-    """Adds ``error_codes`` (text), ``errors`` (array<string>) and ``valid``, and the V13
-    output forms of trade_id, ticker and isin for valid rows."""
+    """Adds ``error_codes`` (text), ``errors`` (array<string>) and ``valid``, and
+    replaces trade_id, ticker and isin by their V13 output forms (trimmed;
+    ticker and isin upper-cased)."""
     out = df.withColumn("error_codes", error_text(strict_isin, date_range))
     out = out.withColumn("valid", F.col("error_codes") == "")
     out = out.withColumn("errors", F.when(F.col("valid"), F.array().cast("array<string>"))
