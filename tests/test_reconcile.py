@@ -297,3 +297,12 @@ def test_bucketed_feed_is_not_shuffled(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS tt_feed_a_bucketed")
+
+
+def test_presentation_orders(spark):
+    from tradetally.operators import joins
+    a = trades_df(spark, [{"trade_id": t} for t in ["T3", "T1", "T3", "T2", "T1"]])
+    b = trades_df(spark, [{"trade_id": t} for t in ["T9", "T2", "T5"]], "source_b")
+    assert [r["trade_id"] for r in dedupe.duplicate_groups(a, sort=True).collect()] == ["T1", "T3"]
+    got = [(r["source"], r["trade_id"]) for r in joins.detect_missing(a, b, ["ingest_seq"], sort=True).collect()]
+    assert got == [("source_a", "T1"), ("source_a", "T3"), ("source_b", "T5"), ("source_b", "T9")]

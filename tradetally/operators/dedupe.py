@@ -23,14 +23,16 @@ def blank_key(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.where(F.col(key).isNull() | (F.trim(F.col(key)) == ""))
 
 
-def duplicate_groups(df: DataFrame, key: str = KEY) -> DataFrame:
+def duplicate_groups(df: DataFrame, key: str = KEY, sort: bool = False) -> DataFrame:
     """A1: one row per id occurring more than once, with its count.
 
-    Partial + final hash aggregate; null ids are not reported.
+    Partial + final hash aggregate; null ids are not reported. ``sort`` adds
+    the ascending id order of the report (O2, a distributed sort).
     """
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(key).agg(F.count(F.lit(1)).alias("occurrences"))
-              .where(F.col("occurrences") > 1))
+    out = (df.where(F.col(key).isNotNull())
+             .groupBy(key).agg(F.count(F.lit(1)).alias("occurrences"))
+             .where(F.col("occurrences") > 1))
+    return out.orderBy(key) if sort else out
 
 
 def mark_duplicates(df: DataFrame, key: str = KEY) -> DataFrame:

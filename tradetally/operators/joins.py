@@ -58,7 +58,7 @@ def concat_frames(*frames: DataFrame) -> DataFrame:
 
 
 def detect_missing(a: DataFrame, b: DataFrame, order_by, key: str = KEY,
-                   payload=("ticker", "side", "quantity", "price")) -> DataFrame:
+                   payload=("ticker", "side", "quantity", "price"), sort: bool = False) -> DataFrame:
     """J5 as a stand-alone operator: both directions of missing ids, each with
     the first copy's payload and the side it was found on. The two keep-first
     outputs meet in one full outer join (one exchange per side) and the rows
@@ -72,5 +72,7 @@ def detect_missing(a: DataFrame, b: DataFrame, order_by, key: str = KEY,
     j = (fa.select(key, F.struct(*cols).alias("_a"))
          .join(fb.select(key, F.struct(*cols).alias("_b")), key, "full_outer"))
     one_sided = j.where(F.col("_a").isNull() | F.col("_b").isNull())
-    return one_sided.select(key, *[F.coalesce(F.col(f"_a.{c}"), F.col(f"_b.{c}")).alias(c) for c in cols],
-                            F.when(F.col("_b").isNull(), "source_a").otherwise("source_b").alias("source"))
+    out = one_sided.select(key, *[F.coalesce(F.col(f"_a.{c}"), F.col(f"_b.{c}")).alias(c) for c in cols],
+                           F.when(F.col("_b").isNull(), "source_a").otherwise("source_b").alias("source"))
+    # O1: A-only ids ascending, then B-only ids ascending (presentation order)
+    return out.orderBy("source", key) if sort else out

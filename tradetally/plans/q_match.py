@@ -48,7 +48,7 @@ def recon_breaks(spark, sf_dir):
 SELECT trade_id, count(*) AS occurrences FROM feed_a WHERE trade_id IS NOT NULL
 GROUP BY trade_id HAVING count(*) > 1"""))
 def duplicates_a(spark, sf_dir):
-    return dedupe.duplicate_groups(feed_a(spark, sf_dir))
+    return dedupe.duplicate_groups(feed_a(spark, sf_dir), sort=True)
 
 
 @query("duplicates_b", S.with_ctes(S.FEEDS, """
@@ -235,8 +235,8 @@ UNION ALL
 SELECT trade_id, ticker, side, quantity, price, 'source_b' AS source FROM fb
 WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.trade_id = fb.trade_id)"""))
 def missing_trades(spark, sf_dir):
-    """Both directions of missing trades by two anti joins and a union."""
-    return joins.detect_missing(feed_a(spark, sf_dir), feed_b(spark, sf_dir), FEED_ORDER)
+    """Both directions of missing trades, ids ascending per direction."""
+    return joins.detect_missing(feed_a(spark, sf_dir), feed_b(spark, sf_dir), FEED_ORDER, sort=True)
 
 
 @query("derived_consideration", S.with_ctes(S.FEEDS, """
