@@ -306,3 +306,13 @@ def test_presentation_orders(spark):
     assert [r["trade_id"] for r in dedupe.duplicate_groups(a, sort=True).collect()] == ["T1", "T3"]
     got = [(r["source"], r["trade_id"]) for r in joins.detect_missing(a, b, ["ingest_seq"], sort=True).collect()]
     assert got == [("source_a", "T1"), ("source_a", "T3"), ("source_b", "T5"), ("source_b", "T9")]
+
+
+def test_emission_order(spark):
+    a = trades_df(spark, [{"trade_id": "T5", "side": "SELL", "price": 1.0}, {"trade_id": "T1"},
+                          {"trade_id": "T1"}, {"trade_id": "T4"}])
+    b = trades_df(spark, [{"trade_id": "T5"}, {"trade_id": "T2"}, {"trade_id": "T2"}, {"trade_id": "T1"}],
+                  "source_b")
+    got = [(r["step"], r["trade_id"], r["break_type"]) for r in reconcile(a, b).breaks(ordered=True).collect()]
+    assert got == [(1, "T1", "DUPLICATE"), (2, "T2", "DUPLICATE"), (3, "T4", "MISSING"),
+                   (4, "T2", "MISSING"), (5, "T5", "SIDE_BREAK"), (5, "T5", "PRICE_BREAK")]

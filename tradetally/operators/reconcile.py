@@ -156,15 +156,23 @@ class Reconciliation:
     checks: Checks
     run_id: str
 
-    def breaks(self) -> DataFrame:
-        """One row per break (typed columns, see ``BREAK_SCHEMA``)."""
+    def breaks(self, ordered: bool = False) -> DataFrame:
+        """One row per break (typed columns, see ``BREAK_SCHEMA``). ``ordered``
+        returns them in emission order (O7): duplicates of A, of B, missing in
+        B, missing in A, then field breaks; ids ascending within a step and the
+        field breaks of one pair in side, quantity, price, settlement order."""
         arr = break_array(self.pairs.columns, self.flags, self.checks)
         exploded = self.pairs.select(KEY, F.inline(arr))
         rid = F.lit(self.run_id)
-        return exploded.select(break_id(rid).alias("break_id"), rid.alias("run_id"), "step", KEY,
-                               "break_type", "severity", "source", "occurrences", "ticker",
-                               "unit_price", "a_str", "b_str", "a_num", "b_num", "diff_num",
-                               "a_date", "b_date", "diff_days")
+        out = exploded.select(break_id(rid).alias("break_id"), rid.alias("run_id"), "step", KEY,
+                              "break_type", "severity", "source", "occurrences", "ticker",
+                              "unit_price", "a_str", "b_str", "a_num", "b_num", "diff_num",
+                              "a_date", "b_date", "diff_days")
+        if not ordered:
+            return out
+        kinds = ["SIDE_BREAK", "QTY_BREAK", "PRICE_BREAK", "SETTLE_BREAK", "CONSIDERATION_BREAK"]
+        kind_rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("break_type"))
+        return out.orderBy("step", KEY, kind_rank)
 
     def count_columns(self) -> list[Column]:
         fl = self.flags

@@ -9,8 +9,8 @@ from tradetally.operators import normalise as N
 from tradetally.operators import validate as V
 from tradetally.plans import sql_dirty as D
 from tradetally.plans.registry import query
-from tradetally.plans.sql_feeds import with_ctes
-from tradetally.sources.fixtures import RAW_COLUMNS, dirty_raw
+from tradetally.plans.sql_feeds import FEEDS, with_ctes
+from tradetally.sources.fixtures import RAW_COLUMNS, dirty_raw, feed_a, feed_b
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,3 +127,16 @@ def strict_isin(spark, sf_dir):
     v = validated(spark, sf_dir, strict_isin=True)
     return (v.where(F.array_contains("errors", "isin:strict"))
              .select("trade_id", "isin", _codes()))
+
+
+@query("ingestion_counts", with_ctes(FEEDS + """,
+feeds_ab AS (SELECT * FROM feed_a UNION ALL SELECT * FROM feed_b)""", """
+SELECT source, count(*) AS record_count,
+       count(*) FILTER (WHERE abs(consideration - quantity * price) <= greatest(quantity * price * 0.01, 0.01)) AS valid_count,
+       count(*) FILTER (WHERE abs(consideration - quantity * price) > greatest(quantity * price * 0.01, 0.01)) AS invalid_count
+FROM feeds_ab GROUP BY source"""))
+def ingestion_counts(spark, sf_dir):
+    """A5 over both feeds: record / valid / invalid counts per source (B's
+    quantity-shifted rows fail the consideration rule)."""
+    both = feed_a(spark, sf_dir).unionByName(feed_b(spark, sf_dir))
+    return V.counts(V.validate(both))
