@@ -1,6 +1,7 @@
 """Property checks against the pandas behaviour the normalisation reproduces."""
 
 import math
+import re
 
 import pandas as pd
 from hypothesis import given, settings
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from tradetally.functions.numeric import parse_number
 from tradetally.functions.text import normalise_side
 
-NUMERIC_ISH = st.text(alphabet="0123456789.eE+-, d", min_size=1, max_size=8)
+# three-digit exponents are left out: pandas' parser gives up on some of
+# them ('0E310' -> NaN) where Spark returns the exact value
+NUMERIC_ISH = st.text(alphabet="0123456789.eE+-, d", min_size=1, max_size=8).filter(
+    lambda t: not re.search(r"[eE][+-]?[0-9]{3}", t))
 
 
 def pandas_number(s):
@@ -18,7 +22,7 @@ def pandas_number(s):
     return None if pd.isna(v) else float(v)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(st.lists(NUMERIC_ISH, min_size=50, max_size=200))
 def test_parse_number_matches_pandas(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "s string")
@@ -28,7 +32,9 @@ def test_parse_number_matches_pandas(spark, values):
         if want is None or (isinstance(want, float) and math.isinf(want)):
             assert g is None or math.isinf(g), (v, g, want)
         else:
-            assert g is not None and math.isclose(g, want, rel_tol=0, abs_tol=0), (v, g, want)
+            # pandas' fast text-to-float parser can be one ulp off for long
+            # exponent forms (e.g. '11E23'); Spark parses correctly rounded
+            assert g is not None and (g == want or abs(g - want) <= math.ulp(want)), (v, g, want)
 
 
 @settings(max_examples=5, deadline=None)
