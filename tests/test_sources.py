@@ -117,3 +117,13 @@ def test_quoted_fields_with_commas_and_line_breaks(spark, tmpdir_path):
     rows = {r["trade_id"]: r["counterparty"]
             for r in readers.load_csv(spark, f"{tmpdir_path}/q.csv", "a", multiline=True).collect()}
     assert rows == {"T1": "CITI, London", "T2": "Two\nLines"}
+
+
+def test_lazy_strict_dates_fail_on_use(spark, tmpdir_path):
+    rows = [ROW.format(i=1, q=10, c=1855.0), ROW.format(i=2, q=10, c=1855.0).replace("2024-01-15", "2024/01/15")]
+    write(f"{tmpdir_path}/d.csv", rows)
+    df = readers.load_csv(spark, f"{tmpdir_path}/d.csv", "a", date_format="%Y-%m-%d", dates="strict_lazy")
+    with pytest.raises(Exception, match="Failed to parse date columns"):
+        df.collect()
+    ok = readers.load_csv(spark, f"{tmpdir_path}/d.csv", "a", date_format="%Y-%m-%d", dates="strict_lazy")
+    assert ok.where("trade_id = 'T1'").select("trade_date").first()[0].isoformat() == "2024-01-15"

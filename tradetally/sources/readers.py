@@ -33,7 +33,10 @@ def with_ingest_seq(df: DataFrame) -> DataFrame:
 def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str,
             what: str) -> DataFrame:
     """Normalise, check required columns (plan time), then the S7 empty check
-    and, in strict mode, the P4 date check in one aggregate job."""
+    and the P4 date policy: ``strict`` checks every date in one aggregate job
+    now; ``strict_lazy`` folds the check into the parse, so the first job
+    that uses the dates fails instead (no extra pass over the source);
+    ``quarantine`` flags rows with ``date_parse_failed``."""
     norm = normalise(df, source_name, date_format, keep_raw_dates=True)
     missing = check_required_columns(norm)
     if missing:
@@ -47,14 +50,22 @@ def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str
         if row["bad"]:
             raise SourceError(f"Failed to parse date columns of '{source_name}': "
                               f"{row['bad']} row(s) do not match {date_format or 'any known format'}")
-    elif dates == "quarantine":
+    elif dates in ("quarantine", "strict_lazy"):
         if norm.isEmpty():
             raise SourceError(f"{what} is empty")
     else:
-        raise ValueError(f"dates must be 'strict' or 'quarantine', not {dates!r}")
+        raise ValueError(f"dates must be 'strict', 'strict_lazy' or 'quarantine', not {dates!r}")
     raw_cols = [c for c in norm.columns if c.endswith("_raw")]
     if dates == "quarantine":
         return norm.withColumn("date_parse_failed", date_failures(norm)).drop(*raw_cols)
+    if dates == "strict_lazy":
+        # no separate pass: the first job that reads a date fails on a bad one
+        msg = (f"Failed to parse date columns of '{source_name}': a value does not match "
+               f"{date_format or 'any known format'}")
+        for c in [r[:-4] for r in raw_cols]:
+            bad = F.col(c + "_raw").isNotNull() & F.col(c).isNull()
+            norm = norm.withColumn(c, F.when(bad, F.raise_error(F.lit(msg)).cast("date"))
+                                   .otherwise(F.col(c)))
     return norm.drop(*raw_cols)
 
 
