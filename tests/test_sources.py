@@ -127,3 +127,25 @@ def test_lazy_strict_dates_fail_on_use(spark, tmpdir_path):
         df.collect()
     ok = readers.load_csv(spark, f"{tmpdir_path}/d.csv", "a", date_format="%Y-%m-%d", dates="strict_lazy")
     assert ok.where("trade_id = 'T1'").select("trade_date").first()[0].isoformat() == "2024-01-15"
+
+
+def test_fixed_width_success(spark, tmpdir_path):
+    layout = [("trade_id", 0, 8), ("trade_date", 8, 18), ("settlement_date", 18, 28), ("ticker", 28, 34),
+              ("isin", 34, 46), ("side", 46, 50), ("quantity", 50, 56), ("price", 56, 64),
+              ("consideration", 64, 74), ("counterparty", 74, 80), ("broker", 80, 84), ("status", 84, 94)]
+    def line(vals):
+        return "".join(str(v).ljust(e - s)[: e - s] for v, (_, s, e) in zip(vals, layout))
+    rows = [line(["T1", "2024-01-15", "2024-01-17", "aapl", "US0378331005", "B", "10", "185.5", "1855", "CITI",
+                  "INST", "CONFIRMED"]),
+            "",
+            line(["T2", "2024-01-16", "2024-01-18", "MSFT", "US5949181045", "S", "7", "", "700", "UBS",
+                  "GS", "PENDING"])]
+    with open(f"{tmpdir_path}/fw.txt", "w") as f:
+        f.write("\n".join(rows) + "\n")
+    df = readers.load_fixed_width(spark, f"{tmpdir_path}/fw.txt", "a", [(s, e) for _, s, e in layout],
+                                  [n for n, _, _ in layout], date_format="%Y-%m-%d")
+    got = {r["trade_id"]: r for r in df.collect()}
+    assert set(got) == {"T1", "T2"}                      # blank line skipped
+    assert (got["T1"]["side"], got["T1"]["quantity"], got["T1"]["ticker"]) == ("BUY", 10.0, "aapl")
+    assert got["T2"]["price"] is None and got["T2"]["side"] == "SELL"   # blank field -> NULL
+    assert str(got["T2"]["settlement_date"]) == "2024-01-18"
