@@ -107,3 +107,19 @@ def test_negative_counts_rejected(spark, tmpdir_path):
     led.create_run("n1", dt.date(2026, 3, 1))
     with pytest.raises(LedgerError, match=">= 0"):
         led.complete_run("n1", "COMPLETED", {"total_breaks": -1})
+
+
+def test_class_tolerances_with_configured_keys(spark):
+    from tradetally.operators import enrich
+    from tradetally.operators.compare import Tolerances
+    from tradetally.schemas import ASSET_CLASS_TOLERANCES
+    master = spark.createDataFrame([("AAPL", "EQUITY"), ("SPY", "ETF")], "ticker string, asset_class string")
+    ov = enrich.tolerance_table(spark, dict(ASSET_CLASS_TOLERANCES, etf={"price_tolerance": 0.5}))
+    a = trades_df(spark, [{"trade_id": "T1", "ticker": "AAPL"}, {"trade_id": "T2", "ticker": "SPY"}])
+    b = trades_df(spark, [{"trade_id": "T1", "ticker": "AAPL", "price": 185.60},
+                          {"trade_id": "T2", "ticker": "SPY", "price": 185.60}], "source_b")
+    p, tol = enrich.with_class_tolerances(pair_frame(a, b), master, ov, Tolerances())
+    got = {r["asset_class"]: r["asset_class"] for r in p.select("asset_class").collect()}
+    assert set(got) == {"equities", "etf"}
+    r = reconcile(None, None, tolerances=tol, pairs=p)
+    assert [x["trade_id"] for x in r.breaks().collect()] == ["T1"]     # 0.10 > 0.01; within 0.5 for etf

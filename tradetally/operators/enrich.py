@@ -45,13 +45,22 @@ def tolerance_table(spark, overrides: dict[str, dict]) -> DataFrame:
                                        "settlement_date_tolerance_days int")
 
 
+# Master asset classes that name a configured class differently (compared lower-case).
+CLASS_ALIASES = {"equity": "equities"}
+
+
 def with_class_tolerances(pairs: DataFrame, master: DataFrame, overrides: DataFrame,
-                          default: Tolerances) -> tuple[DataFrame, Tolerances]:
+                          default: Tolerances,
+                          class_aliases: dict[str, str] = CLASS_ALIASES) -> tuple[DataFrame, Tolerances]:
     """Pairs gain their asset class (via A's ticker, B's when A is absent)
     and per-row tolerance columns = coalesce(class override, default).
-    Class keys are compared lower-case (config says ``equities``, data may say
-    ``EQUITY``: map them in the master, not here)."""
-    m = master.select(F.col("ticker").alias("_tk"), F.lower("asset_class").alias("asset_class"))
+    Classes are compared lower-case after ``class_aliases`` (the configuration
+    says ``equities`` where security-master data says ``EQUITY``)."""
+    cls = F.lower(F.col("asset_class"))
+    if class_aliases:
+        m_alias = F.create_map(*[F.lit(x) for kv in class_aliases.items() for x in kv])
+        cls = F.coalesce(F.try_element_at(m_alias, cls), cls)
+    m = master.select(F.col("ticker").alias("_tk"), cls.alias("asset_class"))
     p = pairs.withColumn("_tk", F.coalesce(F.col("ticker_a"), F.col("ticker_b")))
     p = p.join(bounded_broadcast(m), "_tk", "left").drop("_tk")
     p = p.join(bounded_broadcast(overrides), "asset_class", "left")
