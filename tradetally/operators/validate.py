@@ -85,14 +85,14 @@ def validate(df: DataFrame, strict_isin: bool = False,
     """Adds ``error_codes`` (text), ``errors`` (array<string>) and ``valid``, and
     replaces trade_id, ticker and isin by their V13 output forms (trimmed;
     ticker and isin upper-cased)."""
-    out = df.withColumn("error_codes", error_text(strict_isin, date_range))
-    out = out.withColumn("valid", F.col("error_codes") == "")
-    out = out.withColumn("errors", F.when(F.col("valid"), F.array().cast("array<string>"))
-                         .otherwise(F.split("error_codes", SEP)))
-    for c, f in (("isin", upper_trim), ("ticker", upper_trim), ("trade_id", F.trim)):
-        if c in out.columns:
-            out = out.withColumn(c, f(F.col(c)))
-    return out
+    # one select (chained withColumn calls would re-analyse the plan each time)
+    v13 = {"isin": upper_trim, "ticker": upper_trim, "trade_id": F.trim}
+    codes = df.select("*", error_text(strict_isin, date_range).alias("error_codes"))
+    valid = F.col("error_codes") == ""
+    return codes.select(
+        *[v13[c](F.col(c)).alias(c) if c in v13 else F.col(c) for c in df.columns],
+        "error_codes", valid.alias("valid"),
+        F.when(valid, F.array().cast("array<string>")).otherwise(F.split("error_codes", SEP)).alias("errors"))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

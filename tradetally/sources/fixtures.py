@@ -18,105 +18,100 @@ def _h() -> Column:
     return F.col("l_orderkey") * 7 + F.col("l_linenumber")
 
 
+# The feeds are written as SQL expressions: one parse per column on the JVM
+# instead of one call per function from Python (planning time, not run time).
+_BASE = [
+    "concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linenumber AS STRING)) AS trade_id",
+    "to_date(l_shipdate) AS trade_date",
+    "date_add(to_date(l_shipdate), 2) AS settlement_date",
+    "concat('P', CAST(l_partkey % 100 AS STRING)) AS ticker",
+    "concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isin",
+    "CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side",
+    "l_quantity AS quantity",
+    "try_divide(l_extendedprice, l_quantity) AS price",
+    "l_extendedprice AS consideration",
+    "concat('CP', CAST(l_suppkey AS STRING)) AS counterparty",
+    "concat('BR', l_linestatus) AS broker",
+    "CAST(NULL AS STRING) AS trader_id",
+    "CASE WHEN l_linestatus = 'O' THEN 'CONFIRMED' ELSE 'PENDING' END AS status",
+    "l_suppkey",
+    "l_orderkey * 7 + l_linenumber AS h",
+]
+
+FEED_COLUMNS = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity",
+                "price", "consideration", "counterparty", "broker", "trader_id", "status", "l_suppkey"]
+
+# Feed B's changes by h mod 25 (1 side, 2 quantity, 3 price, 4 settlement).
+_B_CHANGED = {
+    "settlement_date": "CASE WHEN h % 25 = 4 THEN date_add(settlement_date, 1) ELSE settlement_date END",
+    "side": "CASE WHEN h % 25 = 1 THEN CASE WHEN side = 'BUY' THEN 'SELL' ELSE 'BUY' END ELSE side END",
+    "quantity": "CASE WHEN h % 25 = 2 THEN quantity + 50 ELSE quantity END",
+    "price": "CASE WHEN h % 25 = 3 THEN price + 0.05D ELSE price END",
+}
+
+
 def _base(lineitem: DataFrame) -> DataFrame:
-    d = F.to_date("l_shipdate")
-    return lineitem.select(
-        F.concat(F.lit("TRD"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"),
-                 F.lit("-"), F.col("l_linenumber").cast("string")).alias("trade_id"),
-        d.alias("trade_date"),
-        F.date_add(d, 2).alias("settlement_date"),
-        F.concat(F.lit("P"), (F.col("l_partkey") % 100).cast("string")).alias("ticker"),
-        F.concat(F.lit("US"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("isin"),
-        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
-        F.col("l_quantity").alias("quantity"),
-        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
-        F.col("l_extendedprice").alias("consideration"),
-        F.concat(F.lit("CP"), F.col("l_suppkey").cast("string")).alias("counterparty"),
-        F.concat(F.lit("BR"), F.col("l_linestatus")).alias("broker"),
-        F.lit(None).cast("string").alias("trader_id"),
-        F.when(F.col("l_linestatus") == "O", "CONFIRMED").otherwise("PENDING").alias("status"),
-        F.col("l_suppkey"),
-        _h().alias("h"),
-    )
+    return lineitem.selectExpr(*_BASE)
 
 
 def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base(table(spark, sf_dir, "lineitem", balanced=True))
-    return (base.where(F.col("h") % 50 != 5)
-                .withColumn("source", F.lit("source_a"))
-                .drop("h"))
+    return base.where("h % 50 <> 5").selectExpr(*FEED_COLUMNS, "'source_a' AS source")
 
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("h")
-    base = _base(table(spark, sf_dir, "lineitem", balanced=True)).where(h % 25 != 0)
-    flipped: Column = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
-    b = base.select(
-        "trade_id", "trade_date",
-        F.when(h % 25 == 4, F.date_add("settlement_date", 1))
-         .otherwise(F.col("settlement_date")).alias("settlement_date"),
-        "ticker", "isin",
-        F.when(h % 25 == 1, flipped).otherwise(F.col("side")).alias("side"),
-        F.when(h % 25 == 2, F.col("quantity") + 50).otherwise(F.col("quantity")).alias("quantity"),
-        F.when(h % 25 == 3, F.col("price") + F.lit(0.05).cast("double"))
-         .otherwise(F.col("price")).alias("price"),
-        "consideration", "counterparty", "broker", "trader_id", "status", "l_suppkey", "h",
-    )
+    base = _base(table(spark, sf_dir, "lineitem", balanced=True)).where("h % 25 <> 0")
+    row = ", ".join(f"{_B_CHANGED.get(c, c)} AS {c}" for c in FEED_COLUMNS)
     # rows with h mod 50 = 6 are delivered twice: a narrow generator on one
     # scan instead of a union that would read lineitem a second time
-    copies = F.when(h % 50 == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    b = b.withColumn("_copy", F.explode(copies))
-    return b.withColumn("source", F.lit("source_b")).drop("h", "_copy")
+    return base.selectExpr(f"inline(array_repeat(struct({row}), CASE WHEN h % 50 = 6 THEN 2 ELSE 1 END))",
+                           "'source_b' AS source")
 
 
 RAW_COLUMNS = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity",
                "price", "consideration", "counterparty", "broker", "trader_id", "status"]
 
 
+def _dirt(clean: str, *cases: tuple[int, str]) -> str:
+    """CASE over k = h mod 40: 18 blanks every column, listed ks get their dirt."""
+    whens = " ".join(f"WHEN k = {kk} THEN {v}" for kk, v in cases)
+    return f"CASE WHEN k = 18 THEN '' {whens} ELSE {clean} END"
+
+
+_DIRTY_PREP = [
+    "(l_orderkey * 7 + l_linenumber) % 40 AS k", "to_date(l_shipdate) AS d",
+    "CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS raw_side",
+    "concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linenumber AS STRING)) AS tid",
+    "CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty", "CAST(l_quantity AS BIGINT) AS q",
+    "CAST(l_extendedprice AS DECIMAL(12,2)) AS px",
+    "concat('P', CAST(l_partkey % 100 AS STRING)) AS tk",
+    "concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isn",
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+]
+
+_DIRTY = {
+    "trade_id": _dirt("tid", (17, "'   '")),
+    "trade_date": _dirt("date_format(d, 'yyyy-MM-dd')", (16, "date_format(d, 'yyyy/MM/dd')")),
+    "settlement_date": _dirt("date_format(date_add(d, 2), 'yyyy-MM-dd')",
+                             (11, "date_format(date_sub(d, 1), 'yyyy-MM-dd')")),
+    "ticker": _dirt("tk", (19, "concat(' ', lower(tk), ' ')")),
+    "isin": _dirt("isn", (8, "substring(isn, 1, 5)"), (9, "concat('12', substring(isn, 3, 10))"),
+                  (10, "concat(substring(isn, 1, 11), '*')"), (19, "concat(' ', lower(isn), ' ')")),
+    "side": _dirt("raw_side", (0, "CASE WHEN raw_side = 'B' THEN ' Buy ' ELSE ' sElL ' END"),
+                  (1, "CASE WHEN raw_side = 'B' THEN '1' ELSE '-1' END"), (2, "'HOLD'")),
+    "quantity": _dirt("qty", (3, "'1,234'"), (4, "concat(qty, 'd')"), (7, "concat('-', qty)")),
+    "price": _dirt("CAST(px AS STRING)", (5, "'NaN'"), (6, "'0'")),
+    "consideration": _dirt("CAST(px * q AS STRING)", (12, "CAST(px * q * 2 AS STRING)")),
+    "counterparty": _dirt("concat('CP', CAST(l_suppkey AS STRING))", (14, "''")),
+    "broker": _dirt("concat('BR', l_linestatus)", (15, "'N/A'")),
+    "trader_id": _dirt("concat('TDR', CAST(l_suppkey AS STRING))"),
+    "status": _dirt("CASE WHEN l_linestatus = 'O' THEN 'CONFIRMED' ELSE 'PENDING' END", (13, "'DONE'")),
+}
+
+
 def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string raw feed with one kind of dirt per ``h mod 40`` (0..19);
     the other rows are clean text. ``ingest_seq`` is the lineitem key."""
-    li = table(spark, sf_dir, "lineitem", balanced=True)
-    k = _h() % 40
-    d = F.to_date("l_shipdate")
-    raw_side = F.when(F.col("l_returnflag") == "R", "S").otherwise("B")
-    tid = F.concat(F.lit("TRD"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"),
-                   F.lit("-"), F.col("l_linenumber").cast("string"))
-    qty = F.col("l_quantity").cast("bigint").cast("string")
-    px = F.col("l_extendedprice").cast("decimal(12,2)")
-    ticker = F.concat(F.lit("P"), (F.col("l_partkey") % 100).cast("string"))
-    isin = F.concat(F.lit("US"), F.lpad(F.col("l_partkey").cast("string"), 10, "0"))
-    blank = F.lit("")
-
-    def dirt(clean: Column, *cases: tuple[int, Column]) -> Column:
-        out = F.when(k == 18, blank)
-        for kk, v in cases:
-            out = out.when(k == kk, v)
-        return out.otherwise(clean)
-
-    cols = {
-        "trade_id": dirt(tid, (17, F.lit("   "))),
-        "trade_date": dirt(F.date_format(d, "yyyy-MM-dd"), (16, F.date_format(d, "yyyy/MM/dd"))),
-        "settlement_date": dirt(F.date_format(F.date_add(d, 2), "yyyy-MM-dd"),
-                                (11, F.date_format(F.date_sub(d, 1), "yyyy-MM-dd"))),
-        "ticker": dirt(ticker, (19, F.concat(F.lit(" "), F.lower(ticker), F.lit(" ")))),
-        "isin": dirt(isin, (8, F.substring(isin, 1, 5)),
-                     (9, F.concat(F.lit("12"), F.substring(isin, 3, 10))),
-                     (10, F.concat(F.substring(isin, 1, 11), F.lit("*"))),
-                     (19, F.concat(F.lit(" "), F.lower(isin), F.lit(" ")))),
-        "side": dirt(raw_side, (0, F.when(raw_side == "B", " Buy ").otherwise(" sElL ")),
-                     (1, F.when(raw_side == "B", "1").otherwise("-1")), (2, F.lit("HOLD"))),
-        "quantity": dirt(qty, (3, F.lit("1,234")), (4, F.concat(qty, F.lit("d"))),
-                         (7, F.concat(F.lit("-"), qty))),
-        "price": dirt(px.cast("string"), (5, F.lit("NaN")), (6, F.lit("0"))),
-        "consideration": dirt((px * F.col("l_quantity").cast("bigint")).cast("string"),
-                              (12, (px * F.col("l_quantity").cast("bigint") * 2).cast("string"))),
-        "counterparty": dirt(F.concat(F.lit("CP"), F.col("l_suppkey").cast("string")), (14, blank)),
-        "broker": dirt(F.concat(F.lit("BR"), F.col("l_linestatus")), (15, F.lit("N/A"))),
-        "trader_id": dirt(F.concat(F.lit("TDR"), F.col("l_suppkey").cast("string"))),
-        "status": dirt(F.when(F.col("l_linestatus") == "O", "CONFIRMED").otherwise("PENDING"),
-                       (13, F.lit("DONE"))),
-    }
-    seq = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                   F.col("l_suppkey")).alias("ingest_seq")
-    return li.select(*[v.alias(n) for n, v in cols.items()], seq)
+    li = table(spark, sf_dir, "lineitem", balanced=True).selectExpr(*_DIRTY_PREP)
+    return li.selectExpr(*[f"{v} AS {n}" for n, v in _DIRTY.items()],
+                         "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ingest_seq")
