@@ -61,11 +61,13 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base(table(spark, sf_dir, "lineitem", balanced=True)).where("h % 25 <> 0")
-    row = ", ".join(f"{_B_CHANGED.get(c, c)} AS {c}" for c in FEED_COLUMNS)
     # rows with h mod 50 = 6 are delivered twice: a narrow generator on one
-    # scan instead of a union that would read lineitem a second time
-    return base.selectExpr(f"inline(array_repeat(struct({row}), CASE WHEN h % 50 = 6 THEN 2 ELSE 1 END))",
-                           "'source_b' AS source")
+    # scan instead of a union that would read lineitem a second time. Only a
+    # copy counter is generated, so unused columns are still pruned below it.
+    return (base.selectExpr(*[f"{_B_CHANGED.get(c, c)} AS {c}" for c in FEED_COLUMNS],
+                            "explode(array_repeat(1, CASE WHEN h % 50 = 6 THEN 2 ELSE 1 END)) AS _copy",
+                            "'source_b' AS source")
+            .drop("_copy"))
 
 
 RAW_COLUMNS = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity",
