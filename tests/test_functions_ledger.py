@@ -123,3 +123,34 @@ def test_class_tolerances_with_configured_keys(spark):
     assert set(got) == {"equities", "etf"}
     r = reconcile(None, None, tolerances=tol, pairs=p)
     assert [x["trade_id"] for x in r.breaks().collect()] == ["T1"]     # 0.10 > 0.01; within 0.5 for etf
+
+
+def test_render_every_break_type(spark):
+    from tradetally.functions.render import render
+    a = trades_df(spark, [{"trade_id": "D1"}, {"trade_id": "D1"}, {"trade_id": "M1", "ticker": "GOOGL",
+                                                                   "quantity": 4698.0, "price": 274.0989},
+                          {"trade_id": "S1"}, {"trade_id": "Q1"}, {"trade_id": "P1", "price": 185.51},
+                          {"trade_id": "T1"}])
+    b = trades_df(spark, [{"trade_id": "D1"}, {"trade_id": "S1", "side": "SELL"},
+                          {"trade_id": "Q1", "quantity": 900.0}, {"trade_id": "P1", "price": 185.40},
+                          {"trade_id": "T1", "settlement_date": dt.date(2024, 1, 19)},
+                          {"trade_id": "M2", "ticker": "MSFT", "quantity": 10.0, "price": 2.5}], "source_b")
+    rows = {(r["trade_id"], r["break_type"]): (r["source_a_value"], r["source_b_value"], r["difference"])
+            for r in render(reconcile(a, b).breaks()).collect()}
+    assert rows[("D1", "DUPLICATE")] == ("source_a: 2 occurrences", None, "Expected 1, found 2")
+    assert rows[("M1", "MISSING")] == ("GOOGL BUY 4698.0@274.0989", "NOT FOUND",
+                                       "Trade present in Source A, absent in Source B")
+    assert rows[("M2", "MISSING")] == ("NOT FOUND", "MSFT BUY 10.0@2.5",
+                                       "Trade present in Source B, absent in Source A")
+    assert rows[("S1", "SIDE_BREAK")] == ("BUY", "SELL", "Source A=BUY, Source B=SELL")
+    assert rows[("Q1", "QTY_BREAK")] == ("1000.0", "900.0", "100.0")
+    assert rows[("P1", "PRICE_BREAK")] == ("185.51", "185.4", "+0.1100")
+    assert rows[("T1", "SETTLE_BREAK")] == ("2024-01-17", "2024-01-19", "2 day(s)")
+
+
+def test_tolerance_config_defaults():
+    from tradetally.operators.compare import Tolerances
+    t = Tolerances.from_config({"defaults": {"price_tolerance": 0.05}})
+    assert (t.quantity, t.price, t.consideration, t.settlement_days) == (0.0, 0.05, 1.0, 0)
+    assert Tolerances.from_config(None).price == 0.01
+    assert Tolerances.from_config({"settlement_date_tolerance_days": 2}).settlement_days == 2
