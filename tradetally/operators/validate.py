@@ -87,7 +87,10 @@ def validate(df: DataFrame, strict_isin: bool = False,
     ticker and isin upper-cased)."""
     # one select (chained withColumn calls would re-analyse the plan each time)
     v13 = {"isin": upper_trim, "ticker": upper_trim, "trade_id": F.trim}
-    codes = df.select("*", error_text(strict_isin, date_range).alias("error_codes"))
+    # the codes come out of a one-element generator: a filter on ``valid``
+    # then stays above it, instead of being pushed below with the whole rule
+    # tree substituted into it (the rules run once per row either way)
+    codes = df.select("*", F.explode(F.array(error_text(strict_isin, date_range))).alias("error_codes"))
     valid = F.col("error_codes") == ""
     return codes.select(
         *[v13[c](F.col(c)).alias(c) if c in v13 else F.col(c) for c in df.columns],
