@@ -154,3 +154,30 @@ def test_tolerance_config_defaults():
     assert (t.quantity, t.price, t.consideration, t.settlement_days) == (0.0, 0.05, 1.0, 0)
     assert Tolerances.from_config(None).price == 0.01
     assert Tolerances.from_config({"settlement_date_tolerance_days": 2}).settlement_days == 2
+
+
+def test_break_order_lexical_and_by_rank(spark):
+    a = trades_df(spark, [{"trade_id": "T1", "side": "SELL"}, {"trade_id": "T2", "price": 1.0},
+                          {"trade_id": "T3"}])
+    b = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T2"}], "source_b")
+    br = reconcile(a, b).breaks()
+    lex = [r["severity"] for r in summary.ordered_breaks(br).collect()]
+    rank = [r["severity"] for r in summary.ordered_breaks(br, by_rank=True).collect()]
+    assert lex == ["CRITICAL", "HIGH", "MEDIUM"] and rank == ["CRITICAL", "HIGH", "MEDIUM"]
+    sev = spark.createDataFrame([("LOW", "X", "T9", 5), ("MEDIUM", "Y", "T8", 5), ("HIGH", "Z", "T7", 5)],
+                                "severity string, break_type string, trade_id string, step int")
+    assert [r["severity"] for r in summary.ordered_breaks(sev).collect()] == ["HIGH", "LOW", "MEDIUM"]
+    assert [r["severity"] for r in summary.ordered_breaks(sev, by_rank=True).collect()] == ["HIGH", "MEDIUM", "LOW"]
+
+
+def test_load_frame_with_explicit_order(spark):
+    from tradetally.sources.readers import load_frame
+    src = spark.createDataFrame(
+        [("T1", "2024-01-15", "2024-01-17", "AAPL", "US0378331005", "B", "10", "2", "20", "C", "K", "CONFIRMED", 2),
+         ("T1", "2024-01-15", "2024-01-17", "AAPL", "US0378331005", "S", "10", "2", "20", "C", "K", "CONFIRMED", 1)],
+        "trade_id string, trade_date string, settlement_date string, ticker string, isin string, side string, "
+        "quantity string, price string, consideration string, counterparty string, broker string, "
+        "status string, seq int")
+    df = load_frame(src, "a", order_by=["seq"])
+    from tradetally.operators.dedupe import keep_first
+    assert keep_first(df, ["ingest_seq"]).first()["side"] == "SELL"     # seq 1 survives
