@@ -181,3 +181,22 @@ def test_load_frame_with_explicit_order(spark):
     df = load_frame(src, "a", order_by=["seq"])
     from tradetally.operators.dedupe import keep_first
     assert keep_first(df, ["ingest_seq"]).first()["side"] == "SELL"     # seq 1 survives
+
+
+def test_run_summary_from_stored_breaks_and_concat(spark):
+    from tradetally.operators import joins
+    a = trades_df(spark, [{"trade_id": "T1", "side": "SELL"}, {"trade_id": "T2", "price": 1.0}, {"trade_id": "T3"}])
+    b = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T2"}], "source_b")
+    br1 = reconcile(a, b, run_id="r1").breaks()
+    br2 = reconcile(a, a, run_id="r2").breaks()             # no breaks for r2
+    both = joins.concat_frames(br1, br2)                     # U4
+    counts = spark.createDataFrame([("r1", 3, 2, 1), ("r2", 3, 3, 3)],
+                                   "run_id string, source_a_count long, source_b_count long, matched_count long")
+    rows = {r["run_id"]: r.asDict() for r in summary.run_summary(both, counts).collect()}
+    assert (rows["r1"]["total_breaks"], rows["r1"]["critical_breaks"], rows["r1"]["high_breaks"],
+            rows["r1"]["medium_breaks"]) == (3, 1, 1, 1)
+    assert rows["r2"]["total_breaks"] == 0 and rows["r2"]["matched_count"] == 3
+    assert summary.run_status(F.lit(0), F.lit(0)) is not None
+    st = spark.createDataFrame([(1, 0), (1, 5), (0, 5)], "e int, t int").select(
+        summary.run_status(F.col("e"), F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in st] == ["FAILED", "PARTIAL", "COMPLETED"]
