@@ -13,9 +13,13 @@ stream is not full.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import accumulate
+from struct import pack as pack_ids
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +31,7 @@ from tradetally.llm.common import stored, table, utf8
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 _KNOWN: dict[str, tuple] = {}
 
 
@@ -47,7 +51,15 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        # the same merges for words that are already single normal parts
+        parts = json.loads(self.tokenizer.to_str())
+        self.bare = Tokenizer.from_str(json.dumps(parts | {
+            "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        shown = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or 174 <= i <= 255]
+        hidden = [i for i in range(256) if i not in shown]
+        letter = {i: chr(i) for i in shown} | {i: chr(256 + n) for n, i in enumerate(hidden)}
+        self.letters = "".join(letter[i] for i in range(256))
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -55,22 +67,63 @@ class WordIds:
             _KNOWN[path] = cls(path)
         return _KNOWN[path]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _encode(self, tokenizer, words: list[str], inputs: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            found = tokenizer.encode_batch_fast(inputs[at:at + 20_000], add_special_tokens=False)
+            for w, e in zip(words[at:at + 20_000], found):
+                i = e.ids
+                self.ids[w] = pack_ids(f"<{len(i)}I", *i)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers words. Words of Latin letters alone need no normal form
+        and no cutting, only lower case and their bytes as the model's letters;
+        a comma or full stop behind them is a part of its own."""
         ids = self.ids
-        new = {w for p in parts for w in p if w not in ids}
-        if len(ids) + len(new) > REMEMBERED:
+        if len(ids) + len(words) > REMEMBERED:
             ids.clear()
+        if "," not in ids:
             ids[""] = b""
-            new = {w for p in parts for w in p if w}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                ids[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for p in parts:
-            yield b"".join(map(ids.__getitem__, p))
+            self._encode(self.tokenizer, [",", "."], [",", "."])
+        stems, other, made = {}, [], []
+        for w in words:
+            mark = "" if w.isalpha() else w[-1:]
+            s = (w if not mark else w[:-1]).lower()
+            if mark in ("", ",", ".") and s.isalpha():
+                if s.isascii():
+                    stems[s] = s
+                elif max(b := s.encode()) < 0xC4:
+                    stems[s] = charmap_decode(b, "strict", self.letters)[0]
+                else:
+                    other.append(w)
+                    continue
+                if s is not w:
+                    made.append((w, s, mark))
+            elif w:
+                other.append(w)
+        new = [s for s in stems if s not in ids]
+        self._encode(self.bare, new, [stems[s] for s in new])
+        self._encode(self.tokenizer, other, other)
+        for w, s, mark in made:
+            ids[w] = ids[s] + ids[mark] if mark else ids[s]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(self.ids.get, p)) for p in parts]
+        holes = [list(_places(f)) for f in found]
+        self._learn({p[i] for p, h in zip(parts, holes) for i in h})
+        for p, f, h in zip(parts, found, holes):
+            for i in h:
+                f[i] = self.ids[p[i]]
+            yield b"".join(f)
+
+
+def _places(values: list) -> Iterator[int]:
+    """Indexes of the nulls."""
+    at = -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        yield at
 
 
 def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
@@ -80,6 +133,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end
 
     def tokenise(batches):
         encode, part, start = WordIds.of(tokenizer), TaskContext.get().partitionId(), 0
+        gc.disable()  # nothing here is cyclic, and large word tables are slow to walk
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 s = b.slice(at, 500)
@@ -91,6 +145,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end
                     [s.column(0), pa.array([part] * len(n), pa.int32()), pa.array(ends, pa.int64()),
                      pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     ["id", "part", "start", "n_tokens", "ids"])
+        gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
