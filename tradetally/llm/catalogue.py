@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from tradetally.llm import op2_packing
+import corpus_pipeline
+from tradetally.llm import (
+    op1_decontam,
+    op2_packing,
+    op3_langid,
+    op4_permutation,
+    op5_attention_lm,
+    op6_pii,
+    op7_urls,
+    op8_substrings,
+    op9_superminhash,
+    op10_toxicity,
+)
 
 
 def queries() -> dict:
     return {
+        "op1_latent_semantic_decontamination": op1_decontam.query,
         "op2_concat_and_cut": op2_packing.query,
+        "op3_family_then_svm": op3_langid.query,
+        "op4_permutation_index": op4_permutation.query,
+        "op5_attention_lm": op5_attention_lm.query,
+        "op6_bootstrapped_pii": op6_pii.query,
+        "op7_host_reputation": op7_urls.query,
+        "op8_prefix_suffix_trees": op8_substrings.query,
+        "op9_superminhash": op9_superminhash.query,
+        "op10_bidirectional_gru": op10_toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op7_host_reputation": op7_urls.ORACLE_SQL}

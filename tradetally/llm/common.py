@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradetally.session import checkpoint_dir
+
 #: Documents are handled in slices of about this many bytes inside a task.
 SLICE_BYTES = 4 << 20
 
@@ -21,13 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="llm-shared-")
+    """The folder in ``spark.checkpoint.dir``."""
+    return checkpoint_dir(spark)
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +44,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES):
-    """(from, to) index ranges of ``texts`` of about ``limit`` bytes each."""
+def slices(texts: list[bytes], limit: int = SLICE_BYTES, rows: int = 2000):
+    """(from, to) index ranges of ``texts`` of about ``limit`` bytes or of ``rows`` texts."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= limit:
+        if size >= limit or i + 1 - at >= rows:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):
@@ -66,8 +62,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = [t.split() for t in texts]
     offsets = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=offsets[1:])
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for ws in words for w in ws), np.uint64, offsets[-1]), offsets
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, offsets[-1]), offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,3 +107,31 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def sample_of(labelled: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
+    """(id_col, label_col) of about ``per_label`` rows of each label, chosen by
+    a hash of the id, and never more than twice as many in all."""
+    counts = labelled.groupBy(label_col).count().collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(label_col) == r[0], F.lit(per_label / r["count"])).otherwise(share)
+    lot = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 30)) / F.lit(1 << 30)
+    return labelled.select(id_col, label_col).where(lot < share).limit(2 * per_label * max(1, len(counts)))
+
+
+class Adam:
+    """Adam steps for a dictionary of arrays."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.t = params, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in params.items()}
+        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            m, v = self.m[k] / (1 - 0.9 ** self.t), self.v[k] / (1 - 0.999 ** self.t)
+            self.p[k] -= self.rate * m / (np.sqrt(v) + 1e-8)
