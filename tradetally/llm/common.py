@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradetally.session import checkpoint_dir
 
@@ -34,6 +35,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with further fields of the given SQL types."""
+    more = df.sparkSession.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+    return StructType(df.schema.fields + more.schema.fields)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo ``modulus`` (null: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

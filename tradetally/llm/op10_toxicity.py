@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, mix, sample_of, slices, stored, table, utf8
+from tradetally.llm.common import Adam, fold, mix, sample_of, slices, stored, table, utf8, with_fields
 
 #: Labelled texts of either kind in the training sample, about, and windows of each text.
 PER_LABEL = 900
@@ -310,26 +310,26 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     return net
 
 
-def score(spark: SparkSession, docs: DataFrame, net: Net | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the probability of being toxic."""
-    shared, kept = spark.sparkContext.broadcast(net), [c for c in docs.columns if c != out_col]
-    at = kept.index(text_col)
+def score(spark: SparkSession, docs: DataFrame, net: Net | None, text_col: str = "text", out_col: str = "score",
+          keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not named) with the probability of being toxic."""
+    shared, kept = spark.sparkContext.broadcast(net), [c for c in keep or docs.columns if c != out_col]
 
     def run(batches):
         for b in batches:
-            texts = utf8(b.column(at))
+            texts = utf8(b.column(0))
             for lo, hi in slices(texts):
                 s = np.zeros(hi - lo) if shared.value is None else shared.value.score([_words(t) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(s.astype(np.float64))], [*kept, out_col])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[1:], pa.array(s.astype(np.float64))], [*kept, out_col])
 
-    rows = docs.select(*kept)
-    return rows.mapInArrow(run, rows.schema.add(out_col, "double"))
+    rows = docs.select(text_col, *kept)
+    return rows.mapInArrow(run, with_fields(docs.select(*kept), **{out_col: "double"}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     net = train(spark, docs, labels.where(fold("doc_id", 5) != 0))
-    return score(spark, docs, net).select(
+    return score(spark, docs, net, keep=["doc_id"]).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import stored, table
+from tradetally.llm.common import stored, table, with_fields
 
 #: Nearest pivots kept of each vector, files it is posted in, files a query reads.
-ORDER = 12
-POSTED = 4
-PROBED = 12
-#: Of each file's block, the best by footrule distance that are reranked for a query.
-RERANKED = 64
+ORDER = 64
+POSTED = 8
+PROBED = 32
+#: Of each file's block, the share that is reranked for a query, the best by
+#: footrule distance; at least ``LEAST_RERANKED``.
+RERANKED = 0.25
+LEAST_RERANKED = 64
 #: Classes and queries in a block of a file; queries in a block of the full search.
 BLOCK = 1024
 FULL_BLOCK = 2048
@@ -44,20 +46,22 @@ MOST_PIVOTS = 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of vectors that take part; one row for each id and vector."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    """(id, vec) of vectors that can be compared; one row for each id and vector."""
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where("id is not null and vec is not null and size(vec) > 0").where(~bad)
-    v = v.where(F.exists("vec", lambda x: x != 0)).distinct()
-    sizes = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("vec") == (sizes[0].n if sizes else 0))
+    return v.where(F.exists("vec", lambda x: x != 0)).distinct()
 
 
 def _matrix(column) -> np.ndarray:
     """Rows of a list column as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _orders(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1).astype(np.int64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,20 +74,21 @@ def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(np.einsum("ij,ij->i", q, v), -1.0, 1.0)
 
 
-def orders(frame: DataFrame, pivots: np.ndarray, order: int) -> DataFrame:
-    """``frame`` (id, vec, ...) with the indexes of its nearest pivots, nearest first."""
+def orders(frame: DataFrame, pivots: np.ndarray, files: int) -> DataFrame:
+    """``frame`` (id, vec, ...) with the order of its ``ORDER`` nearest pivots,
+    nearest first, as 16-bit numbers, and the first ``files`` of them as a list."""
     def run(batches):
         unit = _unit(pivots)
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
                 near = _unit(_matrix(s.column(1))) @ unit.T
-                n = min(order, near.shape[1])
-                best = np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(best) * n + 1, n, dtype=np.int32)), pa.array(best.ravel()))
-                yield pa.RecordBatch.from_arrays([*s.columns, lists], [*b.schema.names, "near"])
+                best = np.argsort(-near, axis=1, kind="stable")[:, :ORDER]
+                yield pa.RecordBatch.from_arrays(
+                    [*s.columns, pa.array([r.tobytes() for r in best.astype("<i2")], pa.binary()),
+                     pa.array(list(best[:, :files].astype(np.int32)), pa.list_(pa.int32()))], [*b.schema.names, "near", "files"])
 
-    return frame.mapInArrow(run, frame.schema.add("near", "array<int>"))
+    return frame.mapInArrow(run, with_fields(frame, near="binary", files="array<int>"))
 
 
 def _top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -96,24 +101,26 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     cosine found for each row of ``queries``, without the query's own id."""
     take = k + 1  # a query finds itself
     rows = stored(spark, usable(vectors, id_col, vec_col), "vectors")
+    length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    most = F.size("vec") == (length[0].n if length else 0)
+    rows = rows.where(most)
     # the smallest ids of each class, limited before the exchange
     smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= take)
     classes = smallest.groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
     classes = stored(spark, classes.select("id", "vec", "ids"), "classes")
     count = classes.count()
-    asked = stored(spark, usable(queries, id_col, vec_col), "queries")
+    asked = stored(spark, usable(queries, id_col, vec_col).where(most), "queries")
     searched = asked.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
 
     pivots = min(MOST_PIVOTS, max(1, math.ceil(PIVOTS * math.sqrt(count))))
     pick = classes.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(pivots).collect()
-    pivots = np.array([r.vec for r in pick], np.float64).reshape(len(pick), -1)
-    if not len(pivots):
+    pivots = np.array([r.vec for r in pick], np.float64)
+    if not pick:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
 
-    posted = orders(classes, pivots, ORDER).withColumn("pivot", F.explode(F.slice("near", 1, POSTED)))
-    posted = stored(spark, posted, "posted")
-    searched = stored(spark, orders(searched, pivots, ORDER), "searched")
-    probes = searched.withColumn("pivot", F.explode(F.slice("near", 1, PROBED)))
+    posted = stored(spark, orders(classes, pivots, POSTED), "posted").withColumn("pivot", F.explode("files"))
+    searched = stored(spark, orders(searched, pivots, PROBED), "searched")
+    probes = searched.withColumn("pivot", F.explode("files"))
     blocks = posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(
         probes.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks")), "pivot")
     blocks = F.broadcast(blocks)  # one row for each pivot
@@ -129,9 +136,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     n_pivots, order = len(pivots), min(ORDER, len(pivots))
 
     def places(column) -> np.ndarray:
-        near = _matrix(column)
+        near = _orders(column)
         out = np.full((len(near), n_pivots), order, np.int16)
-        np.put_along_axis(out, near.astype(np.int64), np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
+        np.put_along_axis(out, near, np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
         return out
 
     def rank(x: pa.Table, q: pa.Table) -> pa.Table:
@@ -140,16 +147,15 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         vec, asked_vec = _unit(_matrix(x["vec"])), _unit(_matrix(q["vec"]))
         own, ids, query = x["id"].to_numpy(), x["ids"].to_pylist(), q["id"].to_numpy()
         # pivots outside of both orders do not count, so the places of those within are enough
-        at, near = places(x["near"]), _matrix(q["near"]).astype(np.int64)
-        inside = (at < order).astype(np.int16)
-        rest = ((order - at) * inside).sum(axis=1)
+        at, near = places(x["near"]), _orders(q["near"])
+        rest = (order - at).sum(axis=1)
         out_q, out_id, out_s = [], [], []
         step = np.arange(near.shape[1], dtype=np.int16)
         for i in range(len(query)):
             mine = at[:, near[i]]
             # |a - b| over the query's pivots, and the places of the vector's others to the end
             foot = np.abs(mine - step).sum(axis=1) + rest - (order - mine).sum(axis=1)
-            n = min(RERANKED, len(foot))
+            n = min(max(LEAST_RERANKED, math.ceil(RERANKED * len(foot))), len(foot))
             best = np.argpartition(foot, n - 1)[:n]
             score = _cosine(np.broadcast_to(asked_vec[i], (n, vec.shape[1])), vec[best])
             for j in _top(own[best], score, take):

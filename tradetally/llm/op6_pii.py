@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import stored, table
+from tradetally.llm.common import stored, table, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least share of a pattern's instances that are of its kind, least instances,
@@ -189,12 +189,13 @@ def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict[
     return out
 
 
-def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
-    """``docs`` with a column of spans (kind, start, end, base), ordered by
-    kind as in ``KINDS`` and start; ``base`` marks the fixed formats."""
+def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col: str = "spans",
+         keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not named) with a column of
+    spans (kind, start, end, base), ordered by kind as in ``KINDS`` and start;
+    ``base`` marks the fixed formats."""
     known = spark.sparkContext.broadcast(learn(spark, docs, text_col))
-    rest = [c for c in docs.columns if c != out_col]
-    at = rest.index(text_col)
+    rest = [c for c in keep or docs.columns if c != out_col]
 
     def mark(text: str) -> list[dict]:
         if not text or not _HINT.search(text):
@@ -218,16 +219,11 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
-                spans = pa.array([mark(t) for t in s.column(at).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*s.columns, spans], [*rest, out_col])
+                spans = pa.array([mark(t) for t in s.column(0).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*s.columns[1:], spans], [*rest, out_col])
 
-    fields = docs.select(*rest)
-    schema = fields.schema.add(out_col, _span_type(spark))
-    return fields.mapInArrow(run, schema)
-
-
-def _span_type(spark: SparkSession):
-    return spark.range(0).select(F.lit(None).cast(_SPANS).alias("x")).schema["x"].dataType
+    rows = docs.select(F.col(text_col).cast("string").alias(text_col), *rest)
+    return rows.mapInArrow(run, with_fields(docs.select(*rest), **{out_col: _SPANS}))
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -252,7 +248,7 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = find(spark, docs)
+    spans = find(spark, docs, keep=["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
 
     def joined(column):

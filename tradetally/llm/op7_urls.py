@@ -28,7 +28,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 Z = 1.645
 BAD_RATE = 0.5
 #: Limits of a prior's strength, in pages.
-STRENGTH = (1.0, 1000.0)
+STRENGTH = (4.0, 1000.0)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
