@@ -218,13 +218,14 @@ def _strip(joined: DataFrame, hot, window: int, prefix: int) -> DataFrame:
         for b in batches:
             out = []
             ids, texts = b.column(0), utf8(b.column(1))
-            ranges, owned = b.column(2).to_pylist(), b.column(3).to_pylist()
+            row, ranges, owned = (b.column(i).to_pylist() for i in (2, 3, 4))
             for i, t in enumerate(texts):
                 words = t.split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 for r in ranges[i] or ():
-                    gone[r["lo"]] += 1
-                    gone[r["hi"]] -= 1
+                    if r["row"] == row[i]:
+                        gone[r["lo"]] += 1
+                        gone[r["hi"]] -= 1
                 if len(known) and len(words) >= window and ids[i].is_valid:
                     h, offsets = word_hashes([t])
                     at, _, node, least = _windows(h, offsets, window, prefix)
@@ -255,14 +256,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     hot = spark.sparkContext.broadcast(signed_set(hot_prefixes(rows, window, prefix, group)))
     found = _subtrees(_deal(rows, hot, window, prefix), window)
     # ranges and owned nodes of a document: no more than it has words
-    found = found.groupBy("doc", "row").agg(
-        F.collect_list(F.when(F.col("lo") >= 0, F.struct("lo", "hi"))).alias("ranges"),
+    found = found.groupBy("doc").agg(
+        F.collect_list(F.when(F.col("lo") >= 0, F.struct("row", "lo", "hi"))).alias("ranges"),
         F.collect_list(F.when(F.col("lo") < 0, F.col("hi"))).alias("owned"))
-    found = found.withColumn("of_id", F.size("owned") > 0)
-    ranges = found.where("not of_id").select("doc", "row", "ranges")
-    owned = found.where("of_id").select("doc", F.col("owned"))
-    joined = rows.join(ranges, ["doc", "row"], "left").join(owned, "doc", "left") \
-        .select("doc", "text", "ranges", "owned")
+    joined = rows.join(found, "doc", "left").select("doc", "text", "row", "ranges", "owned")
     return _strip(joined, hot, window, prefix).withColumnRenamed("doc", id_col)
 
 
