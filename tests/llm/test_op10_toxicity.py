@@ -2,7 +2,7 @@ import numpy as np
 
 from tradetally.llm import op10_toxicity as op
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def auc(score, label):

@@ -74,12 +74,31 @@ def test_brute_force(spark):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
-def test_residue_without_star_rounds(spark, monkeypatch):
-    monkeypatch.setattr(op, "STAR_ROUNDS", 1)
+def test_groups_are_compared_in_blocks(spark, monkeypatch):
+    """A large cluster of copies with few to many changes, in small blocks."""
+    monkeypatch.setattr(op, "BLOCK", 8)
+    monkeypatch.setattr(op.between_groups, "__defaults__", (8,))
     rng = random.Random(5)
-    rows = [(i, t) for i, t in enumerate(texts(rng))]
+    base = [rng.choice("abcdef") + str(rng.randint(0, 99)) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        near = list(base)
+        for _ in range(rng.randint(0, 8)):
+            near[rng.choice([3, 40, 77, 100, 120, rng.randrange(150)])] = rng.choice(["x", "y"])
+        rows.append((i, " ".join(near)))
+    rng.shuffle(rows)
     got = op.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {tuple(r)[:4] for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()} == set(brute(rows))
+    got = {tuple(r)[:4] for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    want = set(brute(rows))
+    assert got == want and 2 < len({r[2] for r in want}) < 110
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    value = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 1, 20, 40, 50, 60)]
+    left, right = np.array([0, 2, 3]), np.array([1, 4, 5])
+    got = op.intersections(value, left, right, columns=7)
+    assert got.tolist() == [[len(np.intersect1d(value[i], value[j])) for j in right] for i in left]
 
 
 def test_signature_is_superminhash():

@@ -4,7 +4,7 @@ import corpus_pipeline as cp
 from tradetally.llm import op1_decontam, op9_superminhash, op10_toxicity
 from tradetally.llm.common import stored
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")

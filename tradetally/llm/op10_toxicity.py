@@ -6,7 +6,7 @@ Overlapping windows of words are read by two gated recurrent units, one from
 each side, and pooled by attention; all windows of a text are scored, and the
 most toxic one decides. The model is trained in numpy on windows of a bounded
 sample of labelled texts: first all windows of a toxic text count as toxic,
-then those only that the network itself finds so, and at least the first of
+then those only that the network itself finds so, and at least the worst of
 each text. Last, the largest window value is mapped to a probability.
 
 Defined results: null text counts as empty; an empty text is scored as one
@@ -28,7 +28,7 @@ from tradetally.llm.common import Adam, fold, mix, sample_of, slices, stored, ta
 
 #: Labelled texts of either kind in the training sample, about, and windows of each text.
 PER_LABEL = 900
-WINDOWS_PER_TEXT = 12
+WINDOWS_PER_TEXT = 40
 #: Words in a window and from one window's start to the next.
 WINDOW = 32
 STRIDE = 24
@@ -38,10 +38,15 @@ WORD_DIM = 12
 CHAR_DIM = 12
 CHAR_BUCKETS = 4096
 #: A word has its own embedding if so many sampled windows hold it.
-LEAST_COUNT = 8
+LEAST_COUNT = 30
 MOST_WORDS = 20_000
 ROUNDS = 3
-BATCH = 512
+#: Steps of a round, each on a batch that is half toxic.
+STEPS = 130
+BATCH = 256
+#: Decay of the embeddings in a step, in learning rates; share of words left out of training windows.
+DECAY = 0.3
+DROPPED = 0.2
 THRESHOLD = 0.5
 
 
@@ -174,6 +179,8 @@ class Net:
         g["word"] = _sum_rows(known, ids, len(self.p["word"]))
         g["char"] = _sum_rows((dinputs[:, WORD_DIM:] / np.maximum(count, 1))[owner], cell, CHAR_BUCKETS)
         opt.step({x: y.astype(np.float32) for x, y in g.items()})
+        for k in ("word", "char"):
+            self.p[k] *= 1 - opt.rate * DECAY
 
     def values(self, texts: list[list[bytes]]) -> np.ndarray:
         """Largest window value of each text."""
@@ -235,10 +242,11 @@ def fit(windows: list[list[bytes]], owner: np.ndarray, toxic: np.ndarray, seed:
             best = np.full(len(toxic), -np.inf)
             np.maximum.at(best, owner, value)
             target = (toxic[owner] & ((value > 0) | (value >= best[owner]))).astype(np.float32)
-        order = rng.permutation(len(start))
-        for i in range(0, len(order), BATCH):
-            rows = order[i:i + BATCH]
+        bad, good = np.flatnonzero(target > 0), np.flatnonzero(target == 0)
+        for _ in range(STEPS):
+            rows = np.concatenate([rng.choice(bad, BATCH // 2), rng.choice(good, BATCH // 2)])
             index, mask = _grid(flat, start[rows], start[rows] + size[rows])
+            mask *= rng.random(mask.shape) >= DROPPED
             used, local = np.unique(index, return_inverse=True)
             own = [by_word[j] for j in used]
             some = (np.concatenate(own), np.repeat(np.arange(len(used)), [len(c) for c in own]))
@@ -322,7 +330,7 @@ def score(spark: SparkSession, docs: DataFrame, net: Net | None, text_col: str =
                 s = np.zeros(hi - lo) if shared.value is None else shared.value.score([_words(t) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[1:], pa.array(s.astype(np.float64))], [*kept, out_col])
 
-    rows = docs.select(text_col, *kept)
+    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *kept)
     return rows.mapInArrow(run, with_fields(docs.select(*kept), **{out_col: "double"}))
 
 

@@ -47,7 +47,7 @@ def family(lang: str) -> str:
 
 def features(texts: list[bytes]) -> np.ndarray:
     """Unit rows of square roots of n-gram counts."""
-    data = np.frombuffer(b" ".join(t.lower() for t in texts) + b"  ", np.uint8).astype(np.int32)
+    data = np.frombuffer(b" ".join(t.lower() for t in texts) + b"   ", np.uint8).astype(np.int32)
     size = np.array([len(t) + 1 for t in texts])
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, size)

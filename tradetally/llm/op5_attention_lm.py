@@ -230,7 +230,7 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndar
                     pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], ["id", "at", "ids"])
 
     got = docs.select(F.col("id"), "text").mapInArrow(run, "id long, at long, ids binary").collect()
-    got.sort(key=lambda r: (r.id, r.at, bytes(r.ids)))
+    got.sort(key=lambda r: (r.id is not None, r.id or 0, r.at, bytes(r.ids)))
     x = np.frombuffer(b"".join(bytes(r.ids) for r in got), "<i4").reshape(len(got), WINDOW + 1).astype(np.int64)
     weight = (x[:, 1:] >= 0).astype(np.float32)
     x = np.maximum(x, 0)

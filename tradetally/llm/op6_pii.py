@@ -222,7 +222,7 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
                 spans = pa.array([mark(t) for t in s.column(0).to_pylist()], kind)
                 yield pa.RecordBatch.from_arrays([*s.columns[1:], spans], [*rest, out_col])
 
-    rows = docs.select(F.col(text_col).cast("string").alias(text_col), *rest)
+    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *rest)
     return rows.mapInArrow(run, with_fields(docs.select(*rest), **{out_col: _SPANS}))
 
 
@@ -251,9 +251,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find(spark, docs, keep=["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
 
+    def count(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     def joined(column):
         return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     return spans.select(
-        "doc_id", *(F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        "doc_id", *(count(k) for k in KINDS),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
