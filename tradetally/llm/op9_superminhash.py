@@ -9,11 +9,12 @@ document at once, and it stops as soon as no later level can lower a slot.
 
 Bands of the signature propose links; every proposed link is confirmed on the
 full shingle sets. Equal sets form classes first, so copies of any number
-cost one row. Within a band's bucket no pairs are listed: the members are
-compared with the bucket's first member, then, as far as they are not yet in
-one group with it, with another; what is still in several groups after these
-rounds is compared across the groups only. Confirmed links are grouped by
-union-find inside tasks and by distributed star contraction across them.
+cost one row. Within a band's bucket no pairs are listed: its members are
+compared with its first member. Ids that buckets connect form a cluster; where
+a cluster still falls into several groups, these are compared with each other
+inside tasks, in blocks of bounded size, which return only links that unite
+groups. Confirmed links are grouped by union-find inside tasks and by
+distributed star contraction across them.
 
 Defined results: words are runs without ASCII white space, A-Z folded; a text
 of fewer than ``SHINGLE`` words has its whole word sequence as its one shingle;
@@ -40,11 +41,9 @@ SHINGLE = 5
 #: 0.85 is missed by all 16 bands with a probability of 1e-5.
 SLOTS = 64
 BAND = 4
-#: Rounds in which a bucket is compared with a single member.
-STAR_ROUNDS = 2
-#: Agreeing slots under which members of different groups are not compared;
-#: at the threshold 54 agree on average, with a deviation under 2.9.
-LEAST_AGREEING = 37
+#: Documents in a block when groups are compared; links in a file of the grouping's tables.
+BLOCK = 512
+LINKS_A_FILE = 500_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -110,7 +109,7 @@ def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_key, bands, slots): ``set_key`` is equal for equal
+    """(id, n_shingles, set_key, bands): ``set_key`` is equal for equal
     sets only; ``bands`` is null for documents that are linked with nothing."""
     per = SLOTS // BAND
 
@@ -130,32 +129,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     bands[:, j] = at
                 key = np.stack([_sums(value, offsets), _sums(mix(value), offsets), n.astype(np.uint64)], axis=1)
                 blank = (n == 0) | none[lo:hi]
-                small = (cells >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()),
                      pa.array([None if x else k.astype("<u8").tobytes() for x, k in zip(blank, key)], pa.binary()),
-                     pa.array([None if x else r for x, r in zip(blank, signed(bands))], pa.list_(pa.int64())),
-                     pa.array([r.tobytes() for r in small], pa.binary())],
-                    ["id", "n_shingles", "set_key", "bands", "slots"])
+                     pa.array([None if x else r for x, r in zip(blank, signed(bands))], pa.list_(pa.int64()))],
+                    ["id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>, slots binary")
+        .mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>")
+
+
+def _top(up: dict[int, int], x: int) -> int:
+    while (y := up.setdefault(x, x)) != x:
+        up[x] = x = up.setdefault(y, y)
+    return x
 
 
 def _union_find(pairs):
     """Least member of the group of each node, for links (a, b)."""
     up: dict[int, int] = {}
 
-    def top(x):
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
-
     for a, b in pairs:
-        a, b = top(a), top(b)
+        a, b = _top(up, a), _top(up, b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    return [(x, top(x)) for x in list(up)]
+    return [(x, _top(up, x)) for x in list(up)]
 
 
 def groups(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -173,22 +171,24 @@ def groups(spark: SparkSession, links: DataFrame) -> DataFrame:
                                               pa.array([r for _, r in rows], pa.int64())], ["a", "b"])
 
     def state(df):
-        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     # a > b in every link from here on
     star = stored(spark, links.select("a", "b").mapInArrow(unite, "a long, b long").distinct(), "links")
     before, now = None, state(star)
+    files = 1 + now[0] // LINKS_A_FILE
     while now != before:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(spark, both.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(spark, least.coalesce(files), "least")
         # large-star: larger neighbours go to the least of a node and its neighbours
-        large = stored(spark, both.where("b > a").join(least, "a").select(
-            F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "large")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = stored(spark, large.distinct().coalesce(files), "large")
         # small-star: a node and its smaller neighbours go to the least of these
-        least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a")
-        star = stored(spark, small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                      .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "least")
+        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        star = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        star = stored(spark, star.coalesce(files), "links")
         before, now = now, state(star)
     return star.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
@@ -236,45 +236,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     with_set = signed_docs.where(F.col("set_key").isNotNull())
     # a set's class: represented by its least id
     classes = stored(spark, with_set.groupBy("set_key").agg(
-        F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("slots", "id").alias("slots"),
-        F.min("n_shingles").alias("n")), "classes")
-    cells = classes.select("id", "n", "slots", F.explode("bands").alias("band"))
-    sizes = cells.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max("id").alias("last"))
+        F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
+    cells = classes.select("id", F.explode("bands").alias("band"))
+    sizes = cells.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("first"))
     buckets = stored(spark, sizes.where("members > 1"), "buckets")
-    members = stored(spark, cells.join(buckets.select("band", "first", "last"), "band"), "members")
+    members = stored(spark, cells.join(buckets, "band").select("id", "first"), "members")
     # an id may stand for several classes if rows share it; sets are then taken of all its rows
     wanted = stored(spark, members.select("id").distinct(), "wanted")
     sets = stored(spark, _sets_of(docs, wanted, id_col, text_col), "sets")
 
-    near = F.least("n", "n2") * den >= F.greatest("n", "n2") * num
-    compared = None
-    links = None
-    root = None
-    for center in ["first", "last"][:STAR_ROUNDS]:
-        pairs = members.where(F.col("id") != F.col(center)).select(
-            F.least("id", center).alias("a"), F.greatest("id", center).alias("b")).distinct()
-        if root is not None:
-            pairs = _apart(pairs, root).join(compared, ["a", "b"], "left_anti")
-        pairs = stored(spark, pairs, "pairs")
-        found = confirm(spark, pairs, sets, num, den)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        root = groups(spark, links)
-    # buckets that still hold several groups: their members outside of the
-    # bucket's largest group are compared across the groups
-    placed = stored(spark, members.join(root, "id", "left").select(
-        "band", "id", "n", "slots", F.coalesce("root", "id").alias("root")), "placed")
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
-    split = parts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"),
-                                      F.count("*").alias("parts"))
-    split = stored(spark, split.where("parts > 1").select("band", "main"), "split")
-    rest = stored(spark, placed.join(split, "band"), "rest")
-    other = rest.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "slots", "root")))
-    across = rest.where("root != main").join(other, "band").where((F.col("root") != F.col("root2")) & near)
-    pairs = across.select("id", "id2", "slots", "slots2").mapInArrow(_agreeing, "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(spark, pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirm(spark, pairs, sets, num, den))
+    pairs = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stored(spark, pairs, "pairs")
+    links = confirm(spark, pairs, sets, num, den)
+    links = links.unionByName(between_groups(spark, sets, groups(spark, pairs), groups(spark, links), num, den))
     root = groups(spark, links)
 
     class_of = classes.select("set_key", F.col("id").alias("class_id"))
@@ -289,21 +263,86 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                       F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), "class_id")
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs that are not yet in one group."""
-    a = pairs.join(root.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
-    b = a.join(root.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return b.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _agreeing(batches):
-    """Pairs whose signatures agree in enough slots to reach the threshold."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
-        keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+def between_groups(spark: SparkSession, sets: DataFrame, cluster: DataFrame, root: DataFrame, num: int, den: int,
+                   block: int = BLOCK) -> DataFrame:
+    """Links between different groups (``root``) of a cluster of ids that band
+    buckets connect. Members outside of the cluster's largest group are
+    compared with all others, block against block: a task gets two blocks,
+    finds their intersections by matrix products over the shingles that two
+    of them share, and returns no more links than unite its groups."""
+    ids = sets.select("id", "shingles")
+    placed = ids.join(cluster.withColumnRenamed("root", "cluster"), "id", "left").join(root, "id", "left").select(
+        F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("root"), "id")
+    placed = stored(spark, placed.distinct(), "placed")
+    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"),
+                                         F.sum("n").alias("n"), F.count("*").alias("groups"))
+    mixed = stored(spark, mixed.where("groups > 1").select(
+        "cluster", "main", F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("others"),
+        F.ceil(F.col("most") / block).cast("int").alias("mains")), "mixed")
+    member = placed.join(mixed, "cluster").withColumn("own", F.col("root") != F.col("main"))
+    lot = F.xxhash64("id")
+    member = member.withColumn("at", F.when(F.col("own"), F.pmod(lot, F.col("others"))).otherwise(
+        F.col("others") + F.pmod(lot, F.col("mains"))).cast("int"))
+    # block pairs (p, q), p <= q, where p holds members outside of the main group
+    first = F.sequence(F.lit(0), F.least(F.col("at"), F.col("others") - 1))
+    later = F.when(F.col("own") & (F.col("at") < F.col("others") + F.col("mains") - 1),
+                   F.sequence(F.col("at") + 1, F.col("others") + F.col("mains") - 1)).otherwise(F.array().cast("array<int>"))
+    member = member.select("cluster", "id", "root", "at", F.explode(F.concat(
+        F.transform(first, lambda p: F.struct(p.alias("p"), F.col("at").alias("q"))),
+        F.transform(later, lambda q: F.struct(F.col("at").alias("p"), q.alias("q"))))).alias("pair"))
+    member = stored(spark, member.select("cluster", "id", "root", "at", "pair.p", "pair.q"), "members")
+
+    def compare(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            key = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
+            start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.zeros(0, int)
+            held = t.slice(int(start[-1])) if len(start) else None
+            for lo, hi in zip(start[:-1], start[1:]):
+                yield unite(t.slice(int(lo), int(hi - lo)))
+        if held is not None and len(held):
+            yield unite(held)
+
+    def unite(t: pa.Table) -> pa.RecordBatch:
+        p, q, at = t.column(1)[0].as_py(), t.column(2)[0].as_py(), t.column(5).to_numpy()
+        left, right = np.flatnonzero(at == p), np.flatnonzero(at == q)
+        out = []
+        if len(left) and len(right):
+            ids, root = t.column(3).to_pylist(), t.column(4).to_pylist()
+            value = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            n = np.array([len(x) for x in value])
+            common = intersections(value, left, right)
+            enough = den * common >= num * (n[left][:, None] + n[right][None, :] - common)
+            up: dict[int, int] = {}
+            for i, j in zip(*np.nonzero(enough)):
+                x, y = int(left[i]), int(right[j])
+                a, b = _top(up, root[x]), _top(up, root[y])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    dealt = member.join(ids, "id").select("cluster", "p", "q", "id", "root", "at", "shingles")
+    dealt = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    return stored(spark, dealt.mapInArrow(compare, "a long, b long"), "between")
+
+
+def intersections(value: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``."""
+    owner = np.repeat(np.arange(len(value)), [len(v) for v in value])
+    _, cell, count = np.unique(np.concatenate(value), return_inverse=True, return_counts=True)
+    shared = count[cell] > 1
+    order = np.argsort(cell[shared], kind="stable")
+    owner, cell = owner[shared][order], np.cumsum(count > 1)[cell[shared][order]] - 1
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(cell[-1]) + 1 if len(cell) else 0, columns):
+        s, e = np.searchsorted(cell, [lo, lo + columns])
+        m = np.zeros((len(value), columns), np.float32)
+        m[owner[s:e], cell[s:e] - lo] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
