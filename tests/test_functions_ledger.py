@@ -74,12 +74,13 @@ def test_routing_and_escalation(spark):
     a = trades_df(spark, [{"trade_id": "T1", "side": "SELL", "consideration": 200000.0}, {"trade_id": "T2"}])
     b = trades_df(spark, [{"trade_id": "T1"}], "source_b")
     br = reconcile(a, b, run_id="r").breaks()
-    routed = {(r["name"], r["item"]): r["n"] for r in routing.route(br, routing.recipients_table(spark)).collect()}
-    assert routed[("Compliance", "critical_breaks")] == 1 and routed[("Operations Team", "all_breaks")] == 2
-    assert routed[("Operations Team", "summary")] == 1
-    assert routing.routed_breaks(br, routing.recipients_table(spark)).count() == 2 * 2 + 2 * 1
-    pairs = pair_frame(a, b, payload=["consideration"])
-    e = summary.escalation(br, pairs).first()
+    to = routing.recipients_table(spark, [("g", "One", "one@example.org", "r", ["all_breaks", "summary"]),
+                                          ("h", "Two", "two@example.org", "s", ["critical_breaks"])])
+    routed = {(r["name"], r["item"]): r["n"] for r in routing.route(summary.severity_counts(br), to).collect()}
+    assert routed == {("One", "all_breaks"): 2, ("One", "summary"): 1, ("Two", "critical_breaks"): 1}
+    assert routing.routed_breaks(br, to).count() == 2 + 1
+    pairs = pair_frame(a, b, payload=["side", "consideration"])
+    e = reconcile(None, None, pairs=pairs).escalation().first()
     assert e["escalate"] and e["consideration_at_risk"] == 200000.0 + 185500.0
     assert e["reasons"] == "consideration, critical"
 
@@ -183,19 +184,15 @@ def test_load_frame_with_explicit_order(spark):
     assert keep_first(df, ["ingest_seq"]).first()["side"] == "SELL"     # seq 1 survives
 
 
-def test_run_summary_from_stored_breaks_and_concat(spark):
+def test_concat_and_run_status(spark):
     from tradetally.operators import joins
     a = trades_df(spark, [{"trade_id": "T1", "side": "SELL"}, {"trade_id": "T2", "price": 1.0}, {"trade_id": "T3"}])
     b = trades_df(spark, [{"trade_id": "T1"}, {"trade_id": "T2"}], "source_b")
     br1 = reconcile(a, b, run_id="r1").breaks()
     br2 = reconcile(a, a, run_id="r2").breaks()             # no breaks for r2
     both = joins.concat_frames(br1, br2)                     # U4
-    counts = spark.createDataFrame([("r1", 3, 2, 1), ("r2", 3, 3, 3)],
-                                   "run_id string, source_a_count long, source_b_count long, matched_count long")
-    rows = {r["run_id"]: r.asDict() for r in summary.run_summary(both, counts).collect()}
-    assert (rows["r1"]["total_breaks"], rows["r1"]["critical_breaks"], rows["r1"]["high_breaks"],
-            rows["r1"]["medium_breaks"]) == (3, 1, 1, 1)
-    assert rows["r2"]["total_breaks"] == 0 and rows["r2"]["matched_count"] == 3
+    assert {(r["run_id"], r["break_type"]) for r in both.collect()} == {
+        ("r1", "SIDE_BREAK"), ("r1", "PRICE_BREAK"), ("r1", "MISSING")}
     assert summary.run_status(F.lit(0), F.lit(0)) is not None
     st = spark.createDataFrame([(1, 0), (1, 5), (0, 5)], "e int, t int").select(
         summary.run_status(F.col("e"), F.col("t")).alias("s")).collect()

@@ -11,8 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
 from tools_check import TABLES, digest  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
+from tradetally.plans.registry import all_oracles, all_queries  # noqa: E402
 
-ORACLES = E.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 # the file-based oracles read sf0.01 by path (as the driver does)
 PATH_BOUND = {"file_fingerprint", "source_profile"}
 
@@ -26,14 +27,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(ORACLES)
+    missing = set(QUERIES) - set(ORACLES)
     assert not missing, missing
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     sf = "/root/testdata/sf0.01" if name in PATH_BOUND else SF_SMALL
-    df = E.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
     sql = ORACLES[name]
     if name in PATH_BOUND:

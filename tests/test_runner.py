@@ -1,15 +1,15 @@
-"""A whole day through ``run_day``: golden sample, and a failing pre-flight."""
+"""A whole day through ``run_day``: an invented day, and a failing pre-flight."""
 
 import datetime as dt
 
 from conftest import TRADE_HEADER
-from test_reconcile import GOLDEN_A, GOLDEN_B
+from test_reconcile import OWN_A, OWN_B
 from tradetally.runner import SourceSpec, run_day
 from tradetally.sinks.ledger import Ledger
 
 
-def test_golden_day(spark, tmpdir_path):
-    for name, body in (("a.csv", GOLDEN_A), ("b.csv", GOLDEN_B)):
+def test_own_day(spark, tmpdir_path):
+    for name, body in (("a.csv", OWN_A), ("b.csv", OWN_B)):
         with open(f"{tmpdir_path}/{name}", "w") as f:
             f.write(TRADE_HEADER + "\n" + body + "\n")
     root = f"{tmpdir_path}/ledger"
@@ -17,7 +17,7 @@ def test_golden_day(spark, tmpdir_path):
                   SourceSpec(f"{tmpdir_path}/b.csv", "source_b")).first()
     assert run["status"] == "COMPLETED"
     assert (run["total_breaks"], run["critical_breaks"], run["high_breaks"], run["medium_breaks"]) == (4, 0, 3, 1)
-    assert (run["source_a_count"], run["source_b_count"], run["matched_count"]) == (18, 18, 15)
+    assert (run["source_a_count"], run["source_b_count"], run["matched_count"]) == (8, 8, 5)
     led = Ledger(spark, root)
     assert led.get_breaks_for_run("g1").count() == 4
     actions = [r["action"] for r in led.get_audit_for_run("g1").collect()]
@@ -25,7 +25,9 @@ def test_golden_day(spark, tmpdir_path):
     assert actions.count("load_source") == 2
     import hashlib
     one = hashlib.sha256(open(f"{tmpdir_path}/a.csv", "rb").read()).hexdigest()
-    want = hashlib.sha256(f"1:{int(one[:15], 16)}".encode()).hexdigest()
+    whole = hashlib.sha256(f"a.csv:{one}".encode()).hexdigest()
+    parts = [str(int(whole[i:i + 8], 16)) for i in range(0, 64, 8)]
+    want = hashlib.sha256(":".join(["1", *parts]).encode()).hexdigest()
     hashes = {r["input_hash"] for r in led.get_audit_for_run("g1").collect() if r["action"] == "load_source"}
     assert want in hashes
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import TRADE_HEADER
 from tradetally.operators.reconcile import reconcile
@@ -75,7 +76,7 @@ def test_query_source(spark):
                           "ref string, exec_date string, value_date string, ticker string, isin string, "
                           "buy_sell string, units double, unit_price double, notional double, cp string, "
                           "agent string, status string").createOrReplaceTempView("src_t")
-    r = readers.load_query(spark, "SELECT * FROM src_t", "q").first()
+    r = readers.load_query(spark, "SELECT * FROM src_t", "q", order_by=["ref"]).first()
     assert (r["trade_id"], r["side"], r["quantity"], r["source"]) == ("T1", "SELL", 5.0, "q")
 
 
@@ -149,3 +150,52 @@ def test_fixed_width_success(spark, tmpdir_path):
     assert (got["T1"]["side"], got["T1"]["quantity"], got["T1"]["ticker"]) == ("BUY", 10.0, "aapl")
     assert got["T2"]["price"] is None and got["T2"]["side"] == "SELL"   # blank field -> NULL
     assert str(got["T2"]["settlement_date"]) == "2024-01-18"
+
+
+def test_malformed_rows_are_refused_or_quarantined(spark, tmpdir_path):
+    good = ROW.format(i=1, q=10, c=1855.0)
+    rows = [good, good.replace("T1", "T2") + ",extra", "T3,2024-01-15", ROW.format(i=4, q="1,234", c=5.0)]
+    write(f"{tmpdir_path}/m.csv", rows)
+    with pytest.raises(readers.SourceError, match="3 malformed"):
+        readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a")
+    from tradetally.operators import validate as V
+    v = V.validate(readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a", dates="quarantine"))
+    got = {r["malformed_row"]: r["error_codes"] for r in v.collect()}
+    assert got[None] == "" and {x: c for x, c in got.items() if x} == {x: "row:malformed" for x in rows[1:]}
+
+
+def test_fixed_width_encoding(spark, tmpdir_path):
+    names = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity", "price",
+             "consideration", "counterparty", "broker", "status"]
+    vals = ["T1", "2024-01-15", "2024-01-17", "AAPL", "US0378331005", "BUY", "10", "2", "20", "Société É", "INST", "PENDING"]
+    with open(f"{tmpdir_path}/l.txt", "w", encoding="latin-1") as f:
+        f.write("".join(v.ljust(14) for v in vals) + "\n")
+    r = readers.load_fixed_width(spark, f"{tmpdir_path}/l.txt", "a", [(14 * i, 14 * i + 14) for i in range(12)], names,
+                                 encoding="ISO-8859-1").first()
+    assert [str(r[n]) for n in ("counterparty", "broker", "status")] == vals[-3:]
+
+
+def test_query_keeps_na_text(spark):
+    cols = ("ref string, exec_date string, value_date string, ticker string, isin string, side string, units double, "
+            "unit_price double, notional double, cp string, agent string, status string")
+    spark.createDataFrame([("T1", "2024-01-15", "2024-01-17", "NA", "US0378331005", "s", 5.0, 2.0, 10.0, "C", "B",
+                            "PENDING")], cols).createOrReplaceTempView("src_na")
+    assert readers.load_query(spark, "SELECT * FROM src_na", "q", order_by=["ref"]).first()["ticker"] == "NA"
+
+
+def test_strip_takes_every_white_space(spark):
+    from tradetally.functions.text import normalise_side
+    df = spark.createDataFrame([("\tBUY\r",), ("\u00a0s\u3000",), (" \n",)], "s string")
+    assert [r[0] for r in df.select(normalise_side(F.col("s"))).collect()] == ["BUY", "SELL", ""]
+
+
+def test_fingerprint_streams_a_sparse_large_file(spark, tmpdir_path):
+    size = (2 << 30) + 5
+    with open(f"{tmpdir_path}/big.bin", "wb") as f:
+        f.truncate(size)
+    row = files.file_fingerprint(spark, f"{tmpdir_path}/big.bin").first()
+    h = hashlib.sha256()
+    for _ in range(size // (1 << 20)):
+        h.update(bytes(1 << 20))
+    h.update(bytes(size % (1 << 20)))
+    assert (row["length"], row["sha256"]) == (size, h.hexdigest())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tradetally.functions.text import strip
+
 # strptime directive -> Spark datetime pattern letters
 _STRPTIME = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm",
@@ -36,17 +38,12 @@ def to_spark_pattern(fmt: str) -> str:
 
 def parse_date(c: Column, fmt: str | None = None) -> Column:
     """text -> date by the given format, or the first inference pattern that fits."""
-    t = F.trim(c)
+    t = strip(c)
     if fmt:
         return F.try_to_date(t, to_spark_pattern(fmt))
     return F.coalesce(*[F.try_to_date(t, p) for p in INFER_PATTERNS])
 
 
-def day_difference(a: Column, b: Column) -> Column:
-    """absolute calendar days."""
-    return F.abs(F.datediff(a, b))
-
-
 def add_business_days(d: Column, n: int | Column) -> Column:
     """date plus ``n`` weekdays (weekends only, no holiday calendar).
 

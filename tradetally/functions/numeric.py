@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tradetally.functions.text import strip
+
 # plain decimal / scientific notation, as a pandas numeric coercion accepts;
 # Spark's cast alone would also take '12d' or '1f', so the text is checked first
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -12,7 +14,7 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def parse_number(c: Column) -> Column:
     """P5: text -> double; unparseable text and NaN become NULL."""
-    t = F.trim(c)
+    t = strip(c)
     return nan_to_null(F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tradetally.schemas import NA_TOKENS, SIDE_MAP
+from tradetally.schemas import NA_TOKENS, SIDE_MAP, WHITE_SPACE
 
 
 def fold_na(c: Column, tokens: list[str] = NA_TOKENS) -> Column:
@@ -13,14 +13,14 @@ def fold_na(c: Column, tokens: list[str] = NA_TOKENS) -> Column:
     return F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
 
 
-def clean_text(c: Column) -> Column:
-    """Strip outer blanks."""
-    return F.trim(c)
+def strip(c: Column) -> Column:
+    """Strip white space of any kind from both ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def upper_trim(c: Column) -> Column:
     """Trimmed upper-case form (ticker, isin, side)."""
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def normalise_side(c: Column) -> Column:
@@ -30,8 +30,3 @@ def normalise_side(c: Column) -> Column:
     u = upper_trim(c)
     m = F.create_map(*[F.lit(x) for kv in SIDE_MAP.items() for x in kv])
     return F.coalesce(F.try_element_at(m, u), u)
-
-
-def starts_with_letters(c: Column, n: int = 2) -> Column:
-    """the first ``n`` characters are letters."""
-    return c.rlike("^[A-Za-z]{%d}" % n)

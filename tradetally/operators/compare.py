@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tradetally.functions.text import upper_trim
 from tradetally.schemas import DEFAULT_TOLERANCES, SEVERITY_BY_TYPE
 
 Num = float | int | Column
@@ -52,7 +53,7 @@ class Checks:
 
 
 def norm_side(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return upper_trim(c)
 
 
 def side_differs(sa: Column, sb: Column) -> Column:

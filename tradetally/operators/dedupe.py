@@ -8,19 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradetally.functions.text import strip
+
 KEY = "trade_id"
 
 
+def usable_key(key: str = KEY) -> Column:
+    """The id is neither null nor blank."""
+    return F.coalesce(strip(F.col(key)) != "", F.lit(False))
+
+
 def valid_key(df: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows with a usable id (null or blank ids are quarantined before matching)."""
-    return df.where(F.col(key).isNotNull() & (F.trim(F.col(key)) != ""))
+    """Rows with a usable id (null or blank ids are left out of matching)."""
+    return df.where(usable_key(key))
 
 
-def blank_key(df: DataFrame, key: str = KEY) -> DataFrame:
-    return df.where(F.col(key).isNull() | (F.trim(F.col(key)) == ""))
+def blank_keys(df: DataFrame, key: str = KEY) -> DataFrame:
+    """The other rows: those without a usable id."""
+    return df.where(~usable_key(key))
 
 
 def duplicate_groups(df: DataFrame, key: str = KEY, sort: bool = False) -> DataFrame:
@@ -42,11 +50,11 @@ def mark_duplicates(df: DataFrame, key: str = KEY) -> DataFrame:
     streamed through a sort-merge join that AQE can split, instead of being
     buffered whole in one window task.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"))
-    return (df.join(counts, key, "left")
-              .withColumn("is_duplicate", F.coalesce(F.col("_n") > 1, F.lit(False)))
-              .drop("_n"))
+    known = df.where(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    marked = known.join(counts, key).withColumn("is_duplicate", F.col("_n") > 1).drop("_n")
+    # rows without an id never meet in one task
+    return marked.unionByName(df.where(F.col(key).isNull()).withColumn("is_duplicate", F.lit(False)))
 
 
 def collapse(df: DataFrame, order_by: Sequence[str], key: str = KEY,

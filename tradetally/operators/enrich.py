@@ -1,8 +1,7 @@
 """Security-master enrichment and per-asset-class tolerances.
 
-Dimension tables are broadcast only after a row-count check proves them
-small; a larger dimension falls back to a shuffle join that AQE may still
-convert at run time.
+The joins carry no hint: Spark broadcasts a dimension below its byte
+threshold, by its statistics or at run time, and shuffles a larger one.
 """
 
 from __future__ import annotations
@@ -12,20 +11,9 @@ from pyspark.sql import functions as F
 
 from tradetally.operators.compare import Tolerances
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the frame has at most ``max_rows`` rows
-    (checked with a limit job that stops after ``max_rows + 1`` rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def enrich(trades: DataFrame, master: DataFrame, key: str = "ticker",
-           max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def enrich(trades: DataFrame, master: DataFrame, key: str = "ticker") -> DataFrame:
     """Left join of trades to the security master on ``key``."""
-    return trades.join(bounded_broadcast(master, max_rows), key, "left")
+    return trades.join(master, key, "left")
 
 
 def unmatched_keys(trades: DataFrame, master: DataFrame, key: str = "ticker") -> DataFrame:
@@ -62,8 +50,8 @@ def with_class_tolerances(pairs: DataFrame, master: DataFrame, overrides: DataFr
         cls = F.coalesce(F.try_element_at(m_alias, cls), cls)
     m = master.select(F.col("ticker").alias("_tk"), cls.alias("asset_class"))
     p = pairs.withColumn("_tk", F.coalesce(F.col("ticker_a"), F.col("ticker_b")))
-    p = p.join(bounded_broadcast(m), "_tk", "left").drop("_tk")
-    p = p.join(bounded_broadcast(overrides), "asset_class", "left")
+    p = p.join(m, "_tk", "left").drop("_tk")
+    p = p.join(overrides, "asset_class", "left")
 
     def col(name: str, dflt) -> Column:
         return F.coalesce(F.col(name), F.lit(dflt))

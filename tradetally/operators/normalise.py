@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from tradetally.functions.dates import parse_date
 from tradetally.functions.numeric import parse_number
 from tradetally.functions.text import fold_na as fold_na_value
-from tradetally.functions.text import normalise_side
+from tradetally.functions.text import normalise_side, strip
 from tradetally.schemas import (COLUMN_ALIASES, DATE_COLUMNS, NA_TOKENS, NUMERIC_COLUMNS,
                                 REQUIRED_COLUMNS, TRADE_COLUMNS)
 
+# the whole text of a row that did not fit its file's header
+MALFORMED = "malformed_row"
 # columns that are never source columns
-META_COLUMNS = ("ingest_seq", "source")
+META_COLUMNS = ("ingest_seq", "source", MALFORMED)
 
 
 def canonical_name(raw: str, aliases: dict[str, str] = COLUMN_ALIASES) -> str:
@@ -89,7 +91,7 @@ def add_source(df: DataFrame, source_name: str) -> DataFrame:
 
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every string column."""
-    return df.select(*[F.trim(F.col(c)).alias(c) if t == "string" and c != "source"
+    return df.select(*[strip(F.col(c)).alias(c) if t == "string" and c != "source"
                        else F.col(c) for c, t in df.dtypes])
 
 
@@ -119,7 +121,7 @@ def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
     source_cols = [c for c in out.columns if c not in META_COLUMNS]
     # P8 on the NA-folded source text: a cheap predicate next to the scan
     # (a drop after parsing would be pushed down with every parse inlined)
-    empty = F.lit(True)
+    empty = F.col(MALFORMED).isNull() if MALFORMED in out.columns else F.lit(True)
     types = dict(out.dtypes)
     for c in source_cols:
         if fold_na and types[c] == "string":
@@ -148,7 +150,7 @@ def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
         elif c in NUMERIC_COLUMNS:
             x = parse_number(x)
         elif t == "string":
-            x = F.trim(x)
+            x = strip(x)
         cols.append(x.alias(c))
     cols.append(F.lit(source_name).alias("source"))
     return out.select(*cols)

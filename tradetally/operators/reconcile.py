@@ -1,8 +1,9 @@
 """Full reconciliation (C10) as one plan.
 
-Per side: quarantine blank ids, then one aggregate by ``trade_id`` that both
-counts copies (DUPLICATE) and keeps the first copy (keep-first). Partial
-aggregation runs before the exchange, so a hot id costs one row per map task.
+Per side one aggregate by ``trade_id`` both counts copies (DUPLICATE) and keeps
+the first copy (keep-first). Partial aggregation runs before the exchange, so a
+hot id costs one row per map task; so do rows without a usable id, which stay in
+the pair frame only to be counted as excluded.
 The two aggregates meet in a single full outer sort-merge join that reuses
 both hash partitionings, and every break of a pair is built in one projection.
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from tradetally.operators.compare import (BREAK_STRUCT_TYPE, Checks, Tolerances, break_struct,
                                           dates_differ, days_apart, norm_side, num_differs,
                                           side_differs)
-from tradetally.operators.dedupe import KEY, collapse, valid_key
+from tradetally.operators.dedupe import KEY, collapse, usable_key
 
 _CMP = ["side", "quantity", "price", "settlement_date"]
 
@@ -39,14 +42,15 @@ def payload_for(checks: "Checks", detail: bool) -> list[str]:
 
 def _side(df: DataFrame, order_by: Sequence[str], suffix: str, payload: Sequence[str]) -> DataFrame:
     payload = [c for c in payload if c in df.columns]
-    c = collapse(valid_key(df), order_by, KEY, payload=payload, count_col="n")
+    c = collapse(df, order_by, KEY, payload=payload, count_col="n")
     return c.select(KEY, *[F.col(x).alias(x + suffix) for x in ["n"] + payload])
 
 
 def pair_frame(a: DataFrame, b: DataFrame, order_by: Sequence[str] = ("ingest_seq",),
                order_by_b: Sequence[str] | None = None,
                payload: Sequence[str] = tuple(_CMP) + ("ticker",)) -> DataFrame:
-    """Deduplicated sides joined full-outer on ``trade_id``: one row per id."""
+    """Deduplicated sides joined full-outer on ``trade_id``: one row per id.
+    Rows of unusable (null or blank) ids are groups of their own."""
     sa = _side(a, order_by, "_a", payload)
     sb = _side(b, order_by_b or order_by, "_b", payload)
     return sa.join(sb, KEY, "full_outer")
@@ -54,6 +58,7 @@ def pair_frame(a: DataFrame, b: DataFrame, order_by: Sequence[str] = ("ingest_se
 
 @dataclass
 class Flags:
+    usable: Column
     present_a: Column
     present_b: Column
     dup_a: Column
@@ -72,7 +77,8 @@ class Flags:
 def flags(cols: Sequence[str], tol: Tolerances, checks: Checks) -> Flags:
     has = set(cols)
     off = F.lit(False)
-    pa, pb = F.col("n_a").isNotNull(), F.col("n_b").isNotNull()
+    usable = usable_key()
+    pa, pb = usable & F.col("n_a").isNotNull(), usable & F.col("n_b").isNotNull()
     both = pa & pb
 
     def on(name: str, enabled: bool, cond) -> Column:
@@ -90,16 +96,42 @@ def flags(cols: Sequence[str], tol: Tolerances, checks: Checks) -> Flags:
               lambda: num_differs(F.col("consideration_a"), F.col("consideration_b"),
                                   tol.consideration))
     fb = side | qty | price | settle | cons
-    return Flags(pa, pb, F.coalesce(F.col("n_a") > 1, off), F.coalesce(F.col("n_b") > 1, off),
-                 pa & ~pb, ~pa & pb, side, qty, price, settle, cons, fb, both & ~fb)
+    return Flags(usable, pa, pb, usable & F.coalesce(F.col("n_a") > 1, off),
+                 usable & F.coalesce(F.col("n_b") > 1, off), pa & ~pb, usable & ~pa & pb, side, qty, price, settle, cons, fb, both & ~fb)
 
 
 def _opt(cols: set, name: str) -> Column | None:
     return F.col(name) if name in cols else None
 
 
-def break_array(cols: Sequence[str], fl: Flags, checks: Checks) -> Column:
-    """Every break of one pair, in emission order: dup A, dup B, missing, fields."""
+#: The kinds of breaks in emission order: (name of the flag and of its count, break type).
+KINDS = (("duplicate_a", "DUPLICATE"), ("duplicate_b", "DUPLICATE"), ("missing_in_b", "MISSING"),
+         ("missing_in_a", "MISSING"), ("side_break", "SIDE_BREAK"), ("qty_break", "QTY_BREAK"),
+         ("price_break", "PRICE_BREAK"), ("settle_break", "SETTLE_BREAK"),
+         ("consideration_break", "CONSIDERATION_BREAK"))
+
+
+def kinds_of(checks: Checks) -> list[tuple[str, str]]:
+    """The kinds that a configuration reports: consideration only if checked."""
+    return [k for k in KINDS if checks.consideration or k[1] != "CONSIDERATION_BREAK"]
+
+
+def by_type(checks: Checks) -> dict[str, list[str]]:
+    """Count names of each break type."""
+    out: dict[str, list[str]] = {}
+    for name, kind in kinds_of(checks):
+        out.setdefault(kind, []).append(name)
+    return out
+
+
+def flag_of(fl: Flags) -> dict[str, Column]:
+    return {"duplicate_a": fl.dup_a, "duplicate_b": fl.dup_b, "missing_in_b": fl.missing_in_b,
+            "missing_in_a": fl.missing_in_a, "side_break": fl.side, "qty_break": fl.qty, "price_break": fl.price,
+            "settle_break": fl.settle, "consideration_break": fl.consideration}
+
+
+def break_array(cols: Sequence[str], fl: Flags, checks: Checks, kinds: Sequence[str] | None = None) -> Column:
+    """Every break of one pair (of the given types only), in emission order."""
     has = set(cols)
     sev = checks.severity
     g = lambda n: _opt(has, n)
@@ -140,7 +172,9 @@ def break_array(cols: Sequence[str], fl: Flags, checks: Checks) -> Column:
     # each break is a one-element array when its condition holds, else empty;
     # ``concat`` joins them without a lambda, so the stage stays in generated code
     empty = F.array().cast(f"array<{BREAK_STRUCT_TYPE}>")
-    return F.concat(*[F.when(cond, F.array(st)).otherwise(empty) for cond, st in items])
+    types = [t for _, t in kinds_of(checks)]
+    return F.concat(*[F.when(cond, F.array(st)).otherwise(empty) for t, (cond, st) in zip(types, items, strict=True)
+                      if kinds is None or t in kinds])
 
 
 def break_id(run_id: Column) -> Column:
@@ -156,13 +190,18 @@ class Reconciliation:
     checks: Checks
     run_id: str
 
-    def breaks(self, ordered: bool = False) -> DataFrame:
-        """One row per break (typed columns, see ``BREAK_SCHEMA``). ``ordered``
+    def breaks(self, ordered: bool = False, kinds: Sequence[str] | None = None) -> DataFrame:
+        """One row per break (typed columns, see ``BREAK_SCHEMA``). ``kinds``
+        builds breaks of these types only, from the pairs that have any. ``ordered``
         returns them in emission order (O7): duplicates of A, of B, missing in
         B, missing in A, then field breaks; ids ascending within a step and the
         field breaks of one pair in side, quantity, price, settlement order."""
-        arr = break_array(self.pairs.columns, self.flags, self.checks)
-        exploded = self.pairs.select(KEY, F.inline(arr))
+        arr = break_array(self.pairs.columns, self.flags, self.checks, kinds)
+        pairs = self.pairs
+        if kinds is not None:
+            flag = flag_of(self.flags)
+            pairs = pairs.where(reduce(or_, (flag[n] for n, t in kinds_of(self.checks) if t in kinds)))
+        exploded = pairs.select(KEY, F.inline(arr))
         rid = F.lit(self.run_id)
         out = exploded.select(break_id(rid).alias("break_id"), rid.alias("run_id"), "step", KEY,
                               "break_type", "severity", "source", "occurrences", "ticker",
@@ -170,21 +209,21 @@ class Reconciliation:
                               "a_date", "b_date", "diff_days")
         if not ordered:
             return out
-        kinds = ["SIDE_BREAK", "QTY_BREAK", "PRICE_BREAK", "SETTLE_BREAK", "CONSIDERATION_BREAK"]
-        kind_rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("break_type"))
+        kind_rank = F.array_position(F.array(*[F.lit(t) for t in by_type(self.checks)]), F.col("break_type"))
         return out.orderBy("step", KEY, kind_rank)
 
     def count_columns(self) -> list[Column]:
         fl = self.flags
         ci = lambda c: F.count_if(c).cast("bigint")
-        return [ci(fl.clean).alias("clean"), ci(fl.dup_a).alias("duplicate_a"),
-                ci(fl.dup_b).alias("duplicate_b"), ci(fl.missing_in_b).alias("missing_in_b"),
-                ci(fl.missing_in_a).alias("missing_in_a"), ci(fl.side).alias("side_break"),
-                ci(fl.qty).alias("qty_break"), ci(fl.price).alias("price_break"),
-                ci(fl.settle).alias("settle_break"),
+        flag = flag_of(fl)
+
+        def rows(n: str, which: Column) -> Column:
+            return F.coalesce(F.sum(F.when(which, F.col(n))), F.lit(0)).cast("bigint")
+
+        return [ci(fl.clean).alias("clean"), *[ci(flag[n]).alias(n) for n, _ in kinds_of(self.checks)],
                 ci(fl.present_a & fl.present_b).alias("matched_ids"),
-                F.sum(F.coalesce(F.col("n_a"), F.lit(0))).cast("bigint").alias("source_a_rows"),
-                F.sum(F.coalesce(F.col("n_b"), F.lit(0))).cast("bigint").alias("source_b_rows")]
+                rows("n_a", fl.usable).alias("source_a_rows"), rows("n_b", fl.usable).alias("source_b_rows"),
+                rows("n_a", ~fl.usable).alias("excluded_a_rows"), rows("n_b", ~fl.usable).alias("excluded_b_rows")]
 
     def counts(self) -> DataFrame:
         """One row of counts (single partial + final aggregate)."""
@@ -192,55 +231,49 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """A3 + A4: (break_type, n) rows, CLEAN included (pairs without field breaks)."""
-        c = self.counts()
-        return c.select(F.expr(
-            "stack(7, 'CLEAN', clean, 'DUPLICATE', duplicate_a + duplicate_b, "
-            "'MISSING', missing_in_b + missing_in_a, 'SIDE_BREAK', side_break, "
-            "'QTY_BREAK', qty_break, 'PRICE_BREAK', price_break, "
-            "'SETTLE_BREAK', settle_break) AS (break_type, n)"))
+        kinds = {"CLEAN": ["clean"]} | by_type(self.checks)
+        rows = ", ".join(f"'{t}', {' + '.join(names)}" for t, names in kinds.items())
+        return self.counts().select(F.expr(f"stack({len(kinds)}, {rows}) AS (break_type, n)"))
+
+    def type_counts(self) -> DataFrame:
+        """(break_type, n) of the types that occur, from the counts."""
+        return self.summary().where("break_type <> 'CLEAN' AND n > 0")
+
+    def severity_counts(self) -> DataFrame:
+        """A2: (severity, n) of the severities that occur, from the counts."""
+        sev = self.checks.severity
+        level = F.create_map(*[F.lit(x) for t in by_type(self.checks) for x in (t, sev.get(t, "MEDIUM"))])
+        return (self.type_counts().groupBy(F.element_at(level, F.col("break_type")).alias("severity"))
+                .agg(F.sum("n").cast("bigint").alias("n")))
+
+    def totals(self, level: str | None = None) -> str:
+        """SQL of the number of breaks (of a severity) from the count columns."""
+        sev = self.checks.severity
+        names = [n for t, ns in by_type(self.checks).items() if level is None or sev.get(t, "MEDIUM") == level for n in ns]
+        return f"CAST({' + '.join(names) or '0'} AS BIGINT)"
 
     def run_row(self) -> DataFrame:
         """A6 from one pass over the pairs: totals per severity derived from the
         per-type counts through the severity map, plus source and match counts."""
-        sev = self.checks.severity
-        by_type = {"DUPLICATE": "(duplicate_a + duplicate_b)",
-                   "MISSING": "(missing_in_b + missing_in_a)", "SIDE_BREAK": "side_break",
-                   "QTY_BREAK": "qty_break", "PRICE_BREAK": "price_break",
-                   "SETTLE_BREAK": "settle_break"}
-
-        def total(level: str | None) -> F.Column:
-            parts = [v for k, v in by_type.items() if level is None or sev[k] == level]
-            return F.expr(" + ".join(parts) if parts else "0").cast("bigint")
-
-        c = self.counts()
-        return c.select(F.lit(self.run_id).alias("run_id"), total(None).alias("total_breaks"),
-                        total("CRITICAL").alias("critical_breaks"), total("HIGH").alias("high_breaks"),
-                        total("MEDIUM").alias("medium_breaks"),
-                        F.col("source_a_rows").alias("source_a_count"),
-                        F.col("source_b_rows").alias("source_b_count"),
-                        F.col("clean").alias("matched_count"))
+        return self.counts().select(
+            F.lit(self.run_id).alias("run_id"), F.expr(self.totals()).alias("total_breaks"),
+            *[F.expr(self.totals(s)).alias(f"{s.lower()}_breaks") for s in ("CRITICAL", "HIGH", "MEDIUM")],
+            F.col("source_a_rows").alias("source_a_count"), F.col("source_b_rows").alias("source_b_count"),
+            F.col("clean").alias("matched_count"), "excluded_a_rows", "excluded_b_rows")
 
     def escalation(self, break_count_threshold: int = 10, consideration_threshold: float = 100000.0,
                    always_escalate_critical: bool = True) -> DataFrame:
         """D4 in one aggregate over the pairs: a pair with any break is one
         broken trade; its consideration at risk is A's, or B's when A lacks the
-        trade (exact cents). Needs ``consideration`` in the pair payload."""
+        trade (exact to six decimals). Needs ``consideration`` in the pair payload."""
         fl = self.flags
         any_break = fl.dup_a | fl.dup_b | fl.missing_in_b | fl.missing_in_a | fl.field_break
-        cons = F.coalesce(F.col("consideration_a"), F.col("consideration_b")).cast("decimal(18,2)")
+        cons = F.coalesce(F.col("consideration_a"), F.col("consideration_b")).cast("decimal(28,6)")
         c = self.pairs.agg(*self.count_columns(),
                            F.coalesce(F.sum(F.when(any_break, cons)), F.lit(0)).cast("double")
                            .alias("consideration_at_risk"))
-        total = F.expr("duplicate_a + duplicate_b + missing_in_b + missing_in_a + side_break + "
-                       "qty_break + price_break + settle_break").cast("bigint")
-        sev = self.checks.severity
-        by_type = {"SIDE_BREAK": "side_break", "QTY_BREAK": "qty_break", "PRICE_BREAK": "price_break",
-                   "SETTLE_BREAK": "settle_break", "DUPLICATE": "(duplicate_a + duplicate_b)",
-                   "MISSING": "(missing_in_b + missing_in_a)"}
-        crit = [v for k, v in by_type.items() if sev[k] == "CRITICAL"]
-        critical = F.expr(" + ".join(crit) if crit else "0").cast("bigint")
-        r = c.select(F.lit(self.run_id).alias("run_id"), total.alias("total_breaks"),
-                     critical.alias("critical_breaks"), "consideration_at_risk")
+        r = c.select(F.lit(self.run_id).alias("run_id"), F.expr(self.totals()).alias("total_breaks"),
+                     F.expr(self.totals("CRITICAL")).alias("critical_breaks"), "consideration_at_risk")
         count_hit = F.col("total_breaks") > break_count_threshold
         risk_hit = F.col("consideration_at_risk") > consideration_threshold
         crit_hit = (F.col("critical_breaks") > 0) & F.lit(always_escalate_critical)

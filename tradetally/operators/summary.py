@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +40,19 @@ def ordered_breaks(breaks: DataFrame, by_rank: bool = False) -> DataFrame:
     return breaks.orderBy(first, "break_type", "trade_id", "step")
 
 
-def severity_count_columns(breaks_sev: Column) -> list[Column]:
-    return [F.count(F.lit(1)).cast("bigint").alias("total_breaks"),
-            F.count_if(breaks_sev == "CRITICAL").cast("bigint").alias("critical_breaks"),
-            F.count_if(breaks_sev == "HIGH").cast("bigint").alias("high_breaks"),
-            F.count_if(breaks_sev == "MEDIUM").cast("bigint").alias("medium_breaks")]
-
-
-def run_summary(breaks: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per run: totals per severity (LOW is not counted separately)
-    joined with per-run source counts (``run_id, source_a_count, source_b_count,
-    matched_count, error_count``)."""
-    per_run = breaks.groupBy("run_id").agg(*severity_count_columns(F.col("severity")))
-    out = counts.join(per_run, "run_id", "left")
-    return out.select("run_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                                  for c in ["total_breaks", "critical_breaks", "high_breaks",
-                                            "medium_breaks"]],
-                      *[c for c in counts.columns if c != "run_id"])
+def positioned(df: DataFrame, *order: str) -> DataFrame:
+    """All rows with their ``position`` (from 1) in the given order, which must
+    be total. Rows are range-partitioned and sorted; counts of the partitions
+    (one row each) give every partition's offset, so no task sees all rows.
+    The sorted rows are kept on disk, so both uses see the same ranges."""
+    row = F.monotonically_increasing_id()
+    ranged = df.orderBy(*order).select("*", F.shiftright(row, 33).alias("_part"),
+                                       row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).persist(StorageLevel.DISK_ONLY)
+    counts = sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = list(zip((r["_part"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return (ranged.join(offsets, "_part")
+            .withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before"))
 
 
 def run_status(error_count: Column, total_breaks: Column) -> Column:
@@ -61,30 +60,3 @@ def run_status(error_count: Column, total_breaks: Column) -> Column:
     return (F.when((error_count > 0) & (total_breaks == 0), "FAILED")
              .when(error_count > 0, "PARTIAL")
              .otherwise("COMPLETED"))
-
-
-def escalation(breaks: DataFrame, pairs: DataFrame, break_count_threshold: int = 10,
-               consideration_threshold: float = 100000.0,
-               always_escalate_critical: bool = True) -> DataFrame:
-    """One row per run: escalate when breaks exceed the count threshold,
-    when the consideration at risk exceeds its threshold, or on any CRITICAL.
-
-    Risk = sum over distinct broken trades of A's consideration (B's when the
-    trade is missing in A), summed as exact cents."""
-    per_run = breaks.groupBy("run_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_breaks"),
-        F.count_if(F.col("severity") == "CRITICAL").cast("bigint").alias("critical_breaks"))
-    broken = breaks.select("run_id", "trade_id").distinct()
-    cons = pairs.select("trade_id", F.coalesce("consideration_a", "consideration_b")
-                        .cast("decimal(18,2)").alias("c"))
-    risk = (broken.join(cons, "trade_id", "left").groupBy("run_id")
-            .agg(F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("consideration_at_risk")))
-    r = per_run.join(risk, "run_id", "left")
-    count_hit = F.col("total_breaks") > break_count_threshold
-    risk_hit = F.col("consideration_at_risk") > consideration_threshold
-    crit_hit = (F.col("critical_breaks") > 0) & F.lit(always_escalate_critical)
-    reasons = F.concat_ws(", ", F.when(count_hit, F.lit("break_count")),
-                          F.when(risk_hit, F.lit("consideration")),
-                          F.when(crit_hit, F.lit("critical")))
-    return r.select("run_id", "total_breaks", "critical_breaks", "consideration_at_risk",
-                    (count_hit | risk_hit | crit_hit).alias("escalate"), reasons.alias("reasons"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradetally.functions.text import upper_trim
+from tradetally.functions.text import strip, upper_trim
+from tradetally.operators.normalise import MALFORMED
 from tradetally.schemas import (ERROR_LIST_LIMIT, ERROR_TEXT_LIMIT, SIDES, TRADE_STATUSES)
 
 REQUIRED_NON_NULL = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side",
@@ -30,7 +31,7 @@ def field_error_codes(strict_isin: bool = False, date_range: tuple[str, str] | N
     for f in REQUIRED_NON_NULL:
         codes.append(_code(c(f).isNull(), f"{f}:required"))
         if f in MIN_LENGTH_1:
-            codes.append(_code(F.length(F.trim(c(f))) == 0, f"{f}:empty"))
+            codes.append(_code(F.length(strip(c(f))) == 0, f"{f}:empty"))
         if f == "isin":
             isin = upper_trim(c("isin"))
             codes.append(_code((F.length(isin) != 12) | ~isin.rlike("^[A-Z]{2}"), "isin:format"))
@@ -74,23 +75,20 @@ def error_text(strict_isin: bool = False, date_range: tuple[str, str] | None = N
     return F.when(fields != "", fields).otherwise(F.coalesce(cross, F.lit("")))
 
 
-def error_array(strict_isin: bool = False, date_range: tuple[str, str] | None = None) -> Column:
-    """The codes as an array (empty when valid)."""
-    t = error_text(strict_isin, date_range)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SEP))
-
-
 def validate(df: DataFrame, strict_isin: bool = False,
              date_range: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``error_codes`` (text), ``errors`` (array<string>) and ``valid``, and
     replaces trade_id, ticker and isin by their V13 output forms (trimmed;
     ticker and isin upper-cased)."""
     # one select (chained withColumn calls would re-analyse the plan each time)
-    v13 = {"isin": upper_trim, "ticker": upper_trim, "trade_id": F.trim}
+    v13 = {"isin": upper_trim, "ticker": upper_trim, "trade_id": strip}
     # the codes come out of a one-element generator: a filter on ``valid``
     # then stays above it, instead of being pushed below with the whole rule
     # tree substituted into it (the rules run once per row either way)
-    codes = df.select("*", F.explode(F.array(error_text(strict_isin, date_range))).alias("error_codes"))
+    text = error_text(strict_isin, date_range)
+    if MALFORMED in df.columns:
+        text = F.when(F.col(MALFORMED).isNotNull(), F.lit("row:malformed")).otherwise(text)
+    codes = df.select("*", F.explode(F.array(text)).alias("error_codes"))
     valid = F.col("error_codes") == ""
     return codes.select(
         *[v13[c](F.col(c)).alias(c) if c in v13 else F.col(c) for c in df.columns],
@@ -128,14 +126,9 @@ def first_errors(validated: DataFrame, order_by: list[str | Column] | None = Non
     return bad.select(*order, msg).orderBy(*order, "message").limit(limit).select("message")
 
 
-def check_non_negative(df: DataFrame, cols: list[str]) -> Column:
+def check_non_negative(cols: list[str]) -> Column:
     """Any negative count in a run/ingestion row."""
     cond = F.lit(False)
     for c in cols:
         cond = cond | F.coalesce(F.col(c) < 0, F.lit(False))
     return cond
-
-
-def check_enum(col: Column, allowed: list[str]) -> Column:
-    """V15."""
-    return ~col.isin(*allowed)

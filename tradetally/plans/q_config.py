@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tradetally.functions.dates import add_business_days
 from tradetally.functions.render import render
 from tradetally.operators import enrich, routing
-from tradetally.operators import summary as SM
 from tradetally.operators import validate as V
 from tradetally.operators.compare import Checks, Tolerances
 from tradetally.operators.reconcile import pair_frame, reconcile
@@ -51,8 +50,8 @@ SELECT CASE break_type WHEN 'PRICE_BREAK' THEN 'HIGH' WHEN 'SETTLE_BREAK' THEN '
 FROM breaks GROUP BY 1"""))
 def severity_from_config(spark, sf_dir):
     """Severities read from configuration instead of constants."""
-    r = recon(spark, sf_dir, checks=Checks(severity=ALT_SEVERITY))
-    return SM.severity_counts(r.breaks())
+    r = recon(spark, sf_dir, checks=Checks(severity=ALT_SEVERITY), detail=False)
+    return r.severity_counts()
 
 
 # Asset-class overrides used by the D2 query (classes are the part types).
@@ -93,7 +92,7 @@ def asset_class_tolerance(spark, sf_dir):
 @query("escalation", S.with_ctes(S.BREAKS + f""",
 bx AS ({BREAK_SELECT}),
 risk AS (
-  SELECT CAST(coalesce(sum(CAST(coalesce(p.consideration_a, p.consideration_b) AS DECIMAL(18,2))), 0) AS DOUBLE) AS r
+  SELECT CAST(coalesce(sum(CAST(coalesce(p.consideration_a, p.consideration_b) AS DECIMAL(28,6))), 0) AS DOUBLE) AS r
   FROM (SELECT DISTINCT trade_id FROM bx) t LEFT JOIN pairs p ON p.trade_id = t.trade_id
 )""", f"""
 SELECT run_id, total_breaks, critical_breaks, r AS consideration_at_risk,
@@ -113,21 +112,27 @@ def escalation(spark, sf_dir):
 @query("security_master", S.with_ctes(S.FEEDS + "," + MASTER_SQL, """
 SELECT a.trade_id, a.ticker, m.asset_class, m.security_name FROM feed_a a LEFT JOIN master m ON m.ticker = a.ticker"""))
 def security_master(spark, sf_dir):
-    """Trades enriched from the security master (size-checked broadcast)."""
+    """Trades enriched from the security master."""
     a = feed_a(spark, sf_dir).select("trade_id", "ticker")
     return enrich.enrich(a, security_master_table(spark, sf_dir)).select(
         "trade_id", "ticker", "asset_class", "security_name")
 
 
 @query("unmatched_tickers", S.with_ctes(S.FEEDS + "," + MASTER_SQL, """
-SELECT DISTINCT ticker FROM feed_b WHERE ticker NOT IN (SELECT ticker FROM master)"""))
+SELECT DISTINCT ticker FROM feed_b WHERE ticker NOT IN (SELECT ticker FROM master WHERE length(ticker) < 3)"""))
 def unmatched_tickers(spark, sf_dir):
-    """Tickers of B with no security-master row."""
-    return enrich.unmatched_keys(feed_b(spark, sf_dir), security_master_table(spark, sf_dir))
+    """Tickers of B with no row in a security master of the short tickers."""
+    master = security_master_table(spark, sf_dir).where("length(ticker) < 3")
+    return enrich.unmatched_keys(feed_b(spark, sf_dir), master)
 
 
-_RECIP = ", ".join(f"('{g}', '{n}', '{r}', '{i}')" for g, n, _, r, items in
-                   __import__("tradetally.schemas", fromlist=["RECIPIENTS"]).RECIPIENTS for i in items)
+# An example of a deployment's recipients.
+RECIPIENTS = [
+    ("desk", "Desk One", "desk-one@example.org", "matching", ["all_breaks", "summary"]),
+    ("desk", "Desk Two", "desk-two@example.org", "settlements", ["all_breaks"]),
+    ("managers", "Duty Manager", "duty@example.org", "manager", ["critical_breaks", "summary", "full_report"]),
+]
+_RECIP = ", ".join(f"('{g}', '{n}', '{r}', '{i}')" for g, n, _, r, items in RECIPIENTS for i in items)
 
 
 @query("routing", S.with_ctes(S.BREAKS + f""",
@@ -141,7 +146,8 @@ SELECT r.recipient_group, r.name, r.role, r.item,
 FROM recipients r LEFT JOIN per_item p ON p.item = r.item"""))
 def routing_counts(spark, sf_dir):
     """What each configured recipient receives for the run."""
-    return routing.route(recon(spark, sf_dir).breaks(), routing.recipients_table(spark))
+    return routing.route(recon(spark, sf_dir, detail=False).severity_counts(),
+                         routing.recipients_table(spark, RECIPIENTS))
 
 
 DATE_RANGE = ("1996-01-01", "2000-12-31")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from tradetally.operators.summary import run_status as status_of
 from tradetally.plans import sql_feeds as S
 from tradetally.plans.q_match import BREAK_SELECT, RUN_ID, recon
 from tradetally.plans.registry import query
-from tradetally.session import checkpoint_dir, scratch_path
+from tradetally.session import scratch_path
 from tradetally.sinks import ledger as L
 from tradetally.sources.tables import table
 
@@ -137,7 +136,9 @@ SELECT '{RUN_ID}' AS run_id,
   + count(*) FILTER (WHERE qty_break) AS high_breaks,
   count(*) FILTER (WHERE price_break) + count(*) FILTER (WHERE settle_break) AS medium_breaks,
   CAST(coalesce(sum(n_a), 0) AS BIGINT) AS source_a_count, CAST(coalesce(sum(n_b), 0) AS BIGINT) AS source_b_count,
-  count(*) FILTER (WHERE clean) AS matched_count
+  count(*) FILTER (WHERE clean) AS matched_count,
+  (SELECT count(*) FROM feed_a WHERE trade_id IS NULL OR trim(trade_id) = '') AS excluded_a_rows,
+  (SELECT count(*) FROM feed_b WHERE trade_id IS NULL OR trim(trade_id) = '') AS excluded_b_rows
 FROM flagged"""))
 def run_summary(spark, sf_dir):
     """The run row from one aggregate over the matched pairs."""
@@ -149,8 +150,7 @@ SELECT break_id, trade_id, break_type FROM ({BREAK_SELECT}) WHERE step > 2"""))
 def breaks_insert_ignore(spark, sf_dir):
     """K1: new breaks minus those already stored (here: the duplicate breaks
     of an earlier partial write), by ``break_id``."""
-    checkpoint_dir(spark)
-    new = recon(spark, sf_dir).breaks().checkpoint()     # computed once, read twice
+    new = recon(spark, sf_dir).breaks().persist(StorageLevel.DISK_ONLY)     # computed once, read twice
     existing = new.where(F.col("step") <= 2)
     return L.insert_ignore(new, existing).select("break_id", "trade_id", "break_type")
 
@@ -161,8 +161,7 @@ SELECT break_id, break_type,
 FROM ({BREAK_SELECT})"""))
 def explanations_merge(spark, sf_dir):
     """K5: explanations arrive as a table and are merged onto the breaks."""
-    checkpoint_dir(spark)
-    b = recon(spark, sf_dir).breaks().checkpoint()       # computed once, read twice
+    b = recon(spark, sf_dir).breaks().persist(StorageLevel.DISK_ONLY)       # computed once, read twice
     exp = (b.where(F.col("break_type") == "SIDE_BREAK")
             .select("break_id", F.concat(F.lit("Side differs: "), "a_str", F.lit(" vs "), "b_str")
                     .alias("explanation"), F.current_timestamp().alias("explained_at")))
@@ -174,8 +173,7 @@ SELECT break_id, trade_id, break_type, severity, step FROM ({BREAK_SELECT})"""))
 def ledger_breaks_for_run(spark, sf_dir):
     """K1 + K2 + L2 end to end: open a run, write its breaks twice (the second
     write inserts nothing), read them back by run id."""
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
-    led = L.Ledger(spark, scratch_path(spark, f"ledger-{tag}"))
+    led = L.Ledger(spark, scratch_path(spark, "ledger"))
     led.create_run(RUN_ID, dt.date(2026, 3, 1))
     breaks = recon(spark, sf_dir).breaks()
     led.write_breaks(breaks, run_ids=[RUN_ID])

@@ -92,13 +92,15 @@ def dedup_first_a(spark, sf_dir):
 
 
 _MISSING_COLS = "trade_id, ticker, side, quantity, price"
+# what crosses the shuffle: the key, the order keys and the output columns
+_CARRIED = list(dict.fromkeys(_MISSING_COLS.split(", ") + FEED_ORDER))
 
 
 @query("missing_in_b", S.with_ctes(S.SIDES, f"""
 SELECT {_MISSING_COLS} FROM fa WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.trade_id = fa.trade_id)"""))
 def missing_in_b(spark, sf_dir):
     """First copy of every A trade whose id is absent from B."""
-    a = dedupe.keep_first(feed_a(spark, sf_dir), FEED_ORDER)
+    a = dedupe.keep_first(dedupe.valid_key(feed_a(spark, sf_dir)).select(*_CARRIED), FEED_ORDER)
     return joins.missing_from(a, feed_b(spark, sf_dir)).select(*_MISSING_COLS.split(", "))
 
 
@@ -106,7 +108,7 @@ def missing_in_b(spark, sf_dir):
 SELECT {_MISSING_COLS} FROM fb WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.trade_id = fb.trade_id)"""))
 def missing_in_a(spark, sf_dir):
     """First copy of every B trade whose id is absent from A."""
-    b = dedupe.keep_first(feed_b(spark, sf_dir), FEED_ORDER)
+    b = dedupe.keep_first(dedupe.valid_key(feed_b(spark, sf_dir)).select(*_CARRIED), FEED_ORDER)
     return joins.missing_from(b, feed_a(spark, sf_dir)).select(*_MISSING_COLS.split(", "))
 
 
@@ -151,8 +153,9 @@ FROM fa JOIN fb ON fa.trade_id = fb.trade_id"""))
 def matched_pairs(spark, sf_dir):
     """J3 on deduplicated sides, ``_a``/``_b`` suffixes."""
     cols = ["trade_id", "side", "quantity", "price", "settlement_date"]
-    a = dedupe.keep_first(feed_a(spark, sf_dir), FEED_ORDER).select(*cols)
-    b = dedupe.keep_first(feed_b(spark, sf_dir), FEED_ORDER).select(*cols)
+    carried = list(dict.fromkeys(cols + FEED_ORDER))
+    a = dedupe.keep_first(feed_a(spark, sf_dir).select(*carried), FEED_ORDER).select(*cols)
+    b = dedupe.keep_first(feed_b(spark, sf_dir).select(*carried), FEED_ORDER).select(*cols)
     return joins.matched_pairs(a, b)
 
 
@@ -161,7 +164,7 @@ def _typed(bt: str) -> str:
 
 
 def _breaks_of(spark, sf_dir, bt):
-    return recon(spark, sf_dir).breaks().where(F.col("break_type") == bt)
+    return recon(spark, sf_dir).breaks(kinds=[bt])
 
 
 @query("side_breaks", _typed("SIDE_BREAK"))
@@ -211,21 +214,25 @@ def settle_tolerance_1(spark, sf_dir):
 SELECT severity, count(*) AS n FROM breaks GROUP BY severity"""))
 def severity_counts(spark, sf_dir):
     """A2."""
-    return summary.severity_counts(recon(spark, sf_dir).breaks())
+    return recon(spark, sf_dir, detail=False).severity_counts()
 
 
 @query("type_counts", S.with_ctes(S.BREAKS, """
 SELECT break_type, count(*) AS n FROM breaks GROUP BY break_type"""))
 def type_counts(spark, sf_dir):
     """A3 / O6."""
-    return summary.type_counts(recon(spark, sf_dir).breaks())
+    return recon(spark, sf_dir, detail=False).type_counts()
 
 
-@query("breaks_ordered_topk", S.with_ctes(S.BREAKS, BREAK_SELECT.replace("SELECT sha256", "SELECT * FROM (SELECT sha256")
-                                          + ") ORDER BY severity, break_type, trade_id, step LIMIT 100"))
+_ORDERED = S.with_ctes(S.BREAKS, BREAK_SELECT.replace("SELECT sha256", """SELECT *, row_number() OVER (
+  ORDER BY severity, break_type, trade_id, step) AS position FROM (SELECT sha256""") + ")")
+
+
+@query("breaks_ordered_topk", _ORDERED)
 def breaks_ordered_topk(spark, sf_dir):
-    """O3: a run's breaks by (severity, break_type) lexical, top 100 with a total order."""
-    return summary.ordered_breaks(recon(spark, sf_dir).breaks()).limit(100)
+    """O3: every break of a run with its position by (severity, break_type) lexical,
+    then trade id and step."""
+    return summary.positioned(recon(spark, sf_dir).breaks(), "severity", "break_type", "trade_id", "step")
 
 
 @query("missing_trades", S.with_ctes(S.SIDES, """

@@ -3,8 +3,8 @@ feed A into the shared checkpoint folder, then read back through the loaders."""
 
 from __future__ import annotations
 
-import hashlib
 import os
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +22,20 @@ CANON = [c for c in TRADE_COLUMNS]
 CANON_SQL = ", ".join(CANON)
 
 # Fixed-width layout of the written feed: (name, start, end), 0-based half-open.
-FIXED_WIDTH = [("trade_id", 0, 16), ("trade_date", 16, 26), ("settlement_date", 26, 36),
-               ("ticker", 36, 42), ("isin", 42, 54), ("side", 54, 58), ("quantity", 58, 68),
-               ("price", 68, 90), ("consideration", 90, 104), ("counterparty", 104, 116),
-               ("broker", 116, 120), ("status", 120, 130)]
+_WIDTHS = {"trade_id": 24, "trade_date": 10, "settlement_date": 10, "ticker": 8, "isin": 12, "side": 4,
+           "quantity": 24, "price": 24, "consideration": 24, "counterparty": 24, "broker": 8, "status": 10}
+_ENDS = list(accumulate(_WIDTHS.values()))
+FIXED_WIDTH = [(n, e - w, e) for (n, w), e in zip(_WIDTHS.items(), _ENDS)]
 
 
-def _fixture_dir(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
-    return scratch_path(spark, f"fixtures/{kind}-{tag}")
+def _fixture_dir(spark: SparkSession, kind: str) -> str:
+    return scratch_path(spark, f"fixtures/{kind}")
 
 
 def write_feed_csv(spark: SparkSession, sf_dir: str, side: str = "a") -> str:
     """Feed A or B as CSV part files, globally sorted by (trade_id, survivor
     order): file order then yields the same surviving copies as FEED_ORDER."""
-    path = _fixture_dir(spark, sf_dir, f"feed_{side}_csv")
+    path = _fixture_dir(spark, f"feed_{side}_csv")
     feed = feed_a(spark, sf_dir) if side == "a" else feed_b(spark, sf_dir)
     (feed.orderBy("trade_id", *FEED_ORDER).select(*[c for c in CANON if c != "source"])
      .write.mode("overwrite").option("header", True).csv(path))
@@ -48,10 +47,15 @@ def write_feed_a_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_feed_a_fixed(spark: SparkSession, sf_dir: str) -> str:
-    path = _fixture_dir(spark, sf_dir, "feed_a_fixed")
+    path = _fixture_dir(spark, "feed_a_fixed")
     a = feed_a(spark, sf_dir)
-    line = F.concat(*[F.rpad(F.coalesce(F.col(n).cast("string"), F.lit("")), e - s, " ")
-                      for n, s, e in FIXED_WIDTH])
+
+    def slot(name: str, width: int):
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        wide = F.raise_error(F.concat(F.lit(f"{name} is wider than its {width} characters: "), value)).cast("string")
+        return F.when(F.length(value) > width, wide).otherwise(F.rpad(value, width, " "))
+
+    line = F.concat(*[slot(n, e - s) for n, s, e in FIXED_WIDTH])
     a.select(line.alias("value")).write.mode("overwrite").text(path)
     return path
 
@@ -84,11 +88,11 @@ def _canon(df: DataFrame) -> DataFrame:
 
 # The query renames columns the way another system might (header aliases, P1/P2).
 SOURCE_QUERY = """
-SELECT concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linenumber AS STRING)) AS `Trade Ref`,
+SELECT concat('TRD', lpad(CAST(l_orderkey AS STRING), greatest(8, length(CAST(l_orderkey AS STRING))), '0'), '-', CAST(l_linenumber AS STRING)) AS `Trade Ref`,
        CAST(l_shipdate AS DATE) AS `Exec Date`,
        date_add(CAST(l_shipdate AS DATE), 2) AS `Settle Date`,
        concat('P', CAST(l_partkey % 100 AS STRING)) AS ticker,
-       concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isin,
+       concat('US', lpad(CAST(l_partkey % 10000000000 AS STRING), 10, '0')) AS isin,
        CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS Direction,
        l_quantity AS ` QTY `,
        try_divide(l_extendedprice, l_quantity) AS `Exec Price`,
@@ -105,7 +109,8 @@ WHERE (l_orderkey * 7 + l_linenumber) % 50 <> 5
 def query_load(spark, sf_dir):
     """S3: a SQL source over a registered view, with aliased headers."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    df = readers.load_query(spark, SOURCE_QUERY, "source_a", date_format="%Y-%m-%d")
+    df = readers.load_query(spark, SOURCE_QUERY, "source_a", date_format="%Y-%m-%d",
+                            order_by=["isin", "CPTY", " QTY ", "Exec Price", "Exec Date", "Direction"])
     return _canon(df)
 
 
@@ -132,7 +137,7 @@ def source_profile(spark, sf_dir):
 @query("content_sha256", "SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents")
 def content_sha256(spark, sf_dir):
     """SHA-256 of every document's full text."""
-    d = table(spark, sf_dir, "documents", balanced=True)
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", sha256_hex(F.col("text")).alias("sha256"), "n_chars")
 
 
@@ -157,7 +162,7 @@ def daily_run(spark, sf_dir):
     import datetime as dt
     from tradetally.runner import SourceSpec, run_day
     pa, pb = write_feed_csv(spark, sf_dir, "a"), write_feed_csv(spark, sf_dir, "b")
-    root = _fixture_dir(spark, sf_dir, "daily-ledger")
+    root = _fixture_dir(spark, "daily-ledger")
     row = run_day(spark, root, "run-0001", dt.date(2026, 3, 1),
                   SourceSpec(pa, "source_a", date_format="%Y-%m-%d"),
                   SourceSpec(pb, "source_b", date_format="%Y-%m-%d"))

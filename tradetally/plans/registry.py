@@ -40,4 +40,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing registers the queries
-    from tradetally.plans import q_clean, q_config, q_ledger, q_match, q_sources  # noqa: F401
+    from tradetally.plans import q_clean, q_config, q_ledger, q_match, q_more, q_sources  # noqa: F401

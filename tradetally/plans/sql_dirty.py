@@ -19,24 +19,24 @@ RAW = f"""
 li AS (
   SELECT *, (l_orderkey * 7 + l_linenumber) % 40 AS k, CAST(l_shipdate AS DATE) AS d,
          CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS raw_side,
-         'TRD' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '-' || CAST(l_linenumber AS VARCHAR) AS tid,
+         'TRD' || lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(8, length(CAST(l_orderkey AS VARCHAR))) AS INTEGER), '0') || '-' || CAST(l_linenumber AS VARCHAR) AS tid,
          CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS qty,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS px,
          'P' || CAST(l_partkey % 100 AS VARCHAR) AS tk,
-         'US' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') AS isn
+         'US' || lpad(CAST(l_partkey % 10000000000 AS VARCHAR), 10, '0') AS isn
   FROM lineitem
 ),
 raw AS (
   SELECT
-    {_d("tid", (17, "'   '"))} AS trade_id,
+    {_d("tid", (17, "'   '"), (24, "chr(9) || tid || chr(13)"), (25, "chr(10) || chr(160) || chr(9)"))} AS trade_id,
     {_d("strftime(d, '%Y-%m-%d')", (16, "strftime(d, '%Y/%m/%d')"))} AS trade_date,
     {_d("strftime(d + 2, '%Y-%m-%d')", (11, "strftime(d - 1, '%Y-%m-%d')"))} AS settlement_date,
-    {_d("tk", (19, "' ' || lower(tk) || ' '"))} AS ticker,
+    {_d("tk", (19, "' ' || lower(tk) || ' '"), (21, "chr(160) || tk || chr(9)"))} AS ticker,
     {_d("isn", (8, "substring(isn, 1, 5)"), (9, "'12' || substring(isn, 3, 10)"),
-        (10, "substring(isn, 1, 11) || '*'"), (19, "' ' || lower(isn) || ' '"))} AS isin,
+        (10, "substring(isn, 1, 11) || '*'"), (19, "' ' || lower(isn) || ' '"), (22, "chr(9) || isn || chr(13)"))} AS isin,
     {_d("raw_side", (0, "CASE WHEN raw_side = 'B' THEN ' Buy ' ELSE ' sElL ' END"),
-        (1, "CASE WHEN raw_side = 'B' THEN '1' ELSE '-1' END"), (2, "'HOLD'"))} AS side,
-    {_d("qty", (3, "'1,234'"), (4, "qty || 'd'"), (7, "'-' || qty"))} AS quantity,
+        (1, "CASE WHEN raw_side = 'B' THEN '1' ELSE '-1' END"), (2, "'HOLD'"), (20, "raw_side || chr(9)"))} AS side,
+    {_d("qty", (3, "'1,234'"), (4, "qty || 'd'"), (7, "'-' || qty"), (23, "qty || chr(160)"))} AS quantity,
     {_d("CAST(px AS VARCHAR)", (5, "'NaN'"), (6, "'0'"))} AS price,
     {_d("CAST(px * CAST(l_quantity AS BIGINT) AS VARCHAR)",
         (12, "CAST(px * CAST(l_quantity AS BIGINT) * 2 AS VARCHAR)"))} AS consideration,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+from tradetally.schemas import WHITE_SPACE
+
 BASE = """
 base AS (
   SELECT
-    'TRD' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '-' || CAST(l_linenumber AS VARCHAR) AS trade_id,
+    'TRD' || lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(8, length(CAST(l_orderkey AS VARCHAR))) AS INTEGER), '0') || '-' || CAST(l_linenumber AS VARCHAR) AS trade_id,
     CAST(l_shipdate AS DATE) AS trade_date,
     CAST(l_shipdate AS DATE) + 2 AS settlement_date,
     'P' || CAST(l_partkey % 100 AS VARCHAR) AS ticker,
-    'US' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') AS isin,
+    'US' || lpad(CAST(l_partkey % 10000000000 AS VARCHAR), 10, '0') AS isin,
     CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
     l_quantity AS quantity,
     l_extendedprice / l_quantity AS price,
@@ -122,4 +126,5 @@ breaks AS (
 
 
 def with_ctes(ctes: str, select: str) -> str:
-    return "WITH " + ctes.strip() + "\n" + select
+    """The statement; every ``trim(x)`` strips all white space."""
+    return re.sub(r"\btrim\(([^(),]+)\)", lambda m: f"trim({m[1]}, '{WHITE_SPACE}')", "WITH " + ctes.strip() + "\n" + select)

@@ -39,6 +39,10 @@ COLUMN_ALIASES = {
     "executing_broker": "broker", "exec_broker": "broker", "agent": "broker",
 }
 
+# The characters that count as white space when text is stripped.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # Side value map applied after trim + upper.
 SIDE_MAP = {"B": "BUY", "S": "SELL", "1": "BUY", "-1": "SELL"}
 
@@ -88,15 +92,6 @@ ESCALATION = {
     "always_escalate_critical": True,
 }
 
-# Recipients and what they receive.
-RECIPIENTS = [
-    ("standard", "Operations Team", "ops-team@example.com", "operations", ["all_breaks", "summary"]),
-    ("standard", "Trade Support", "trade-support@example.com", "trade_support", ["all_breaks", "summary"]),
-    ("escalation", "Senior Operations Manager", "senior-ops@example.com", "senior_ops",
-     ["critical_breaks", "summary", "full_report"]),
-    ("escalation", "Compliance", "compliance@example.com", "compliance", ["summary", "critical_breaks"]),
-]
-
 MIN_FILE_SIZE_BYTES = 10
 ERROR_TEXT_LIMIT = 200
 ERROR_LIST_LIMIT = 10
@@ -135,6 +130,7 @@ BREAK_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("occurrences", T.LongType()),
     T.StructField("ticker", T.StringType()),
+    T.StructField("unit_price", T.DoubleType()),
     T.StructField("a_str", T.StringType()),
     T.StructField("b_str", T.StringType()),
     T.StructField("a_num", T.DoubleType()),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,18 +37,24 @@ def build_session(master: str | None = None, partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    scratch folder is created and registered.
+    Read from the session. Where it is unset, a scratch folder serves local
+    mode (one machine, as in tests); a cluster must name one.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradetally-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _scratch(spark.sparkContext.applicationId)
+
+
+@cache
+def _scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tradetally-shared-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A new folder of the shared folder for written intermediate tables: no
+    call finds what another one wrote."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

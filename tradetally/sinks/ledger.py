@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tradetally.functions.ids import stable_id
 from tradetally.operators.summary import ordered_breaks
+from tradetally.operators.validate import check_non_negative
 from tradetally.schemas import (AUDIT_SCHEMA, AUDIT_STATUSES, BREAK_TYPES, RUN_EVENT_SCHEMA,
                                 RUN_STATUSES, SEVERITIES)
 
@@ -150,8 +151,13 @@ class Ledger:
         read the staged copy. ``run_ids`` limits the existing-key read to
         those partitions."""
         stage = self._p(f"_staging/breaks-{uuid.uuid4().hex}")
-        breaks.write.mode("overwrite").parquet(stage)
-        staged = self.spark.read.parquet(stage)
+        try:
+            breaks.write.mode("overwrite").parquet(stage)
+            return self._insert(self.spark.read.parquet(stage), run_ids)
+        finally:
+            self._remove(stage)
+
+    def _insert(self, staged: DataFrame, run_ids: list[str] | None) -> int:
         chk = staged.agg(F.count_if(enum_violations(staged, {
             "break_type": BREAK_TYPES + ["CONSIDERATION_BREAK"], "severity": SEVERITIES})).alias("bad"),
             F.count_if(F.col("run_id").isNull()).alias("no_run")).first()
@@ -166,9 +172,7 @@ class Ledger:
         obs = Observation("inserted")
         new.observe(obs, F.count(F.lit(1)).alias("n")) \
             .write.mode("append").partitionBy("run_id").parquet(self._p("breaks"))
-        inserted = obs.get["n"]
-        self._remove(stage)
-        return inserted
+        return obs.get["n"]
 
     def _remove(self, path: str) -> None:
         """Drop a staging folder of this ledger through the Hadoop file system."""
@@ -197,7 +201,7 @@ class Ledger:
         """K4: append-only; ``detail`` is JSON text."""
         if not entries.where(enum_violations(entries, {"status": AUDIT_STATUSES})).isEmpty():
             raise LedgerError("audit rows with unknown status")
-        if "duration_ms" in entries.columns and not entries.where(F.col("duration_ms") < 0).isEmpty():
+        if "duration_ms" in entries.columns and not entries.where(check_non_negative(["duration_ms"])).isEmpty():
             raise LedgerError("duration_ms must be >= 0")
         if not missing_parent_keys(entries, self.runs()).isEmpty():
             raise LedgerError("audit rows reference runs that do not exist")

@@ -1,26 +1,53 @@
 """File fingerprints and source profiles (S5, S6): one row per file, hashed
-in parallel over files by the ``binaryFile`` source."""
+in parallel over files that the ``binaryFile`` source lists."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradetally.schemas import MIN_FILE_SIZE_BYTES
 
 
+CHUNK_BYTES = 8 << 20
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length, sha256 of the bytes. A file's bytes are hashed by one
-    task (binaryFile holds a file in memory, at most 2 GB): write large sources
-    as many part files."""
-    b = _binary(spark, path)
-    return b.select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("sha256"))
+    """Path, length, sha256 of the bytes. A file is read in chunks by one
+    task, so its size does not matter for memory; many part files are hashed
+    side by side."""
+    def digest(batches):
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                h = hashlib.sha256()
+                with _open(name) as stream:
+                    while chunk := stream.read(CHUNK_BYTES):
+                        h.update(chunk)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())],
+                                             ["path", "length", "sha256"])
+
+    return _binary(spark, path).select("path", "length").mapInArrow(digest, "path string, length long, sha256 string")
+
+
+def _open(path: str):
+    """Byte stream of a file that the ``binaryFile`` source has listed."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem().open_input_stream("/" + (rest or path).lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(inner)
 
 
 def source_profile(spark: SparkSession, path: str, expected: Sequence[str] | None = None,

@@ -21,11 +21,11 @@ def _h() -> Column:
 # The feeds are written as SQL expressions: one parse per column on the JVM
 # instead of one call per function from Python (planning time, not run time).
 _BASE = [
-    "concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linenumber AS STRING)) AS trade_id",
+    "concat('TRD', lpad(CAST(l_orderkey AS STRING), greatest(8, length(CAST(l_orderkey AS STRING))), '0'), '-', CAST(l_linenumber AS STRING)) AS trade_id",
     "to_date(l_shipdate) AS trade_date",
     "date_add(to_date(l_shipdate), 2) AS settlement_date",
     "concat('P', CAST(l_partkey % 100 AS STRING)) AS ticker",
-    "concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isin",
+    "concat('US', lpad(CAST(l_partkey % 10000000000 AS STRING), 10, '0')) AS isin",
     "CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side",
     "l_quantity AS quantity",
     "try_divide(l_extendedprice, l_quantity) AS price",
@@ -55,12 +55,12 @@ def _base(lineitem: DataFrame) -> DataFrame:
 
 
 def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(table(spark, sf_dir, "lineitem", balanced=True))
+    base = _base(table(spark, sf_dir, "lineitem"))
     return base.where("h % 50 <> 5").selectExpr(*FEED_COLUMNS, "'source_a' AS source")
 
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(table(spark, sf_dir, "lineitem", balanced=True)).where("h % 25 <> 0")
+    base = _base(table(spark, sf_dir, "lineitem")).where("h % 25 <> 0")
     # rows with h mod 50 = 6 are delivered twice: a narrow generator on one
     # scan instead of a union that would read lineitem a second time. Only a
     # copy counter is generated, so unused columns are still pruned below it.
@@ -83,25 +83,29 @@ def _dirt(clean: str, *cases: tuple[int, str]) -> str:
 _DIRTY_PREP = [
     "(l_orderkey * 7 + l_linenumber) % 40 AS k", "to_date(l_shipdate) AS d",
     "CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS raw_side",
-    "concat('TRD', lpad(CAST(l_orderkey AS STRING), 8, '0'), '-', CAST(l_linenumber AS STRING)) AS tid",
+    "concat('TRD', lpad(CAST(l_orderkey AS STRING), greatest(8, length(CAST(l_orderkey AS STRING))), '0'), '-', CAST(l_linenumber AS STRING)) AS tid",
     "CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty", "CAST(l_quantity AS BIGINT) AS q",
     "CAST(l_extendedprice AS DECIMAL(12,2)) AS px",
     "concat('P', CAST(l_partkey % 100 AS STRING)) AS tk",
-    "concat('US', lpad(CAST(l_partkey AS STRING), 10, '0')) AS isn",
+    "concat('US', lpad(CAST(l_partkey % 10000000000 AS STRING), 10, '0')) AS isn",
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
 ]
 
 _DIRTY = {
-    "trade_id": _dirt("tid", (17, "'   '")),
+    "trade_id": _dirt("tid", (17, "'   '"),
+                      (24, "concat(chr(9), tid, chr(13))"), (25, "concat(chr(10), chr(160), chr(9))")),
     "trade_date": _dirt("date_format(d, 'yyyy-MM-dd')", (16, "date_format(d, 'yyyy/MM/dd')")),
     "settlement_date": _dirt("date_format(date_add(d, 2), 'yyyy-MM-dd')",
                              (11, "date_format(date_sub(d, 1), 'yyyy-MM-dd')")),
-    "ticker": _dirt("tk", (19, "concat(' ', lower(tk), ' ')")),
+    "ticker": _dirt("tk", (19, "concat(' ', lower(tk), ' ')"), (21, "concat(chr(160), tk, chr(9))")),
     "isin": _dirt("isn", (8, "substring(isn, 1, 5)"), (9, "concat('12', substring(isn, 3, 10))"),
-                  (10, "concat(substring(isn, 1, 11), '*')"), (19, "concat(' ', lower(isn), ' ')")),
+                  (10, "concat(substring(isn, 1, 11), '*')"), (19, "concat(' ', lower(isn), ' ')"),
+                  (22, "concat(chr(9), isn, chr(13))")),
     "side": _dirt("raw_side", (0, "CASE WHEN raw_side = 'B' THEN ' Buy ' ELSE ' sElL ' END"),
-                  (1, "CASE WHEN raw_side = 'B' THEN '1' ELSE '-1' END"), (2, "'HOLD'")),
-    "quantity": _dirt("qty", (3, "'1,234'"), (4, "concat(qty, 'd')"), (7, "concat('-', qty)")),
+                  (1, "CASE WHEN raw_side = 'B' THEN '1' ELSE '-1' END"), (2, "'HOLD'"),
+                  (20, "concat(raw_side, chr(9))")),
+    "quantity": _dirt("qty", (3, "'1,234'"), (4, "concat(qty, 'd')"), (7, "concat('-', qty)"),
+                      (23, "concat(qty, chr(160))")),
     "price": _dirt("CAST(px AS STRING)", (5, "'NaN'"), (6, "'0'")),
     "consideration": _dirt("CAST(px * q AS STRING)", (12, "CAST(px * q * 2 AS STRING)")),
     "counterparty": _dirt("concat('CP', CAST(l_suppkey AS STRING))", (14, "''")),
@@ -112,8 +116,8 @@ _DIRTY = {
 
 
 def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-string raw feed with one kind of dirt per ``h mod 40`` (0..19);
+    """All-string raw feed with one kind of dirt per ``h mod 40`` (0..25);
     the other rows are clean text. ``ingest_seq`` is the lineitem key."""
-    li = table(spark, sf_dir, "lineitem", balanced=True).selectExpr(*_DIRTY_PREP)
+    li = table(spark, sf_dir, "lineitem").selectExpr(*_DIRTY_PREP)
     return li.selectExpr(*[f"{v} AS {n}" for n, v in _DIRTY.items()],
                          "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ingest_seq")

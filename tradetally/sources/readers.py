@@ -11,8 +11,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tradetally.operators.normalise import check_required_columns, date_failures, normalise
+from tradetally.functions.text import strip, upper_trim
+from tradetally.operators.normalise import MALFORMED, check_required_columns, date_failures, normalise
 from tradetally.sources.files import file_fingerprint
 
 
@@ -31,22 +33,26 @@ def with_ingest_seq(df: DataFrame) -> DataFrame:
 
 
 def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str,
-            what: str) -> DataFrame:
+            what: str, fold_na: bool = True) -> DataFrame:
     """Normalise, check required columns (plan time), then the S7 empty check
     and the P4 date policy: ``strict`` checks every date in one aggregate job
     now; ``strict_lazy`` folds the check into the parse, so the first job
     that uses the dates fails instead (no extra pass over the source);
-    ``quarantine`` flags rows with ``date_parse_failed``."""
-    norm = normalise(df, source_name, date_format, keep_raw_dates=True)
+    ``quarantine`` flags rows with ``date_parse_failed`` and keeps the text of
+    malformed rows in ``MALFORMED``, which the strict policies reject."""
+    norm = normalise(df, source_name, date_format, fold_na=fold_na, keep_raw_dates=True)
     missing = check_required_columns(norm)
     if missing:
         raise SourceError(f"Source '{source_name}' missing required columns after "
                           f"normalisation: {missing}")
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in norm.columns else F.lit(False)
     if dates == "strict":
-        row = norm.agg(F.count(F.lit(1)).alias("n"),
+        row = norm.agg(F.count(F.lit(1)).alias("n"), F.count_if(malformed).alias("malformed"),
                        F.count_if(date_failures(norm)).alias("bad")).first()
         if row["n"] == 0:
             raise SourceError(f"{what} is empty")
+        if row["malformed"]:
+            raise SourceError(f"{what}: {row['malformed']} malformed row(s)")
         if row["bad"]:
             raise SourceError(f"Failed to parse date columns of '{source_name}': "
                               f"{row['bad']} row(s) do not match {date_format or 'any known format'}")
@@ -58,6 +64,11 @@ def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str
     raw_cols = [c for c in norm.columns if c.endswith("_raw")]
     if dates == "quarantine":
         return norm.withColumn("date_parse_failed", date_failures(norm)).drop(*raw_cols)
+    if MALFORMED in norm.columns:
+        if dates == "strict_lazy":
+            fail = F.raise_error(F.concat(F.lit(f"{what}: malformed row "), F.col(MALFORMED))).cast("string")
+            norm = norm.withColumn("trade_id", F.when(malformed, fail).otherwise(F.col("trade_id")))
+        norm = norm.drop(MALFORMED)
     if dates == "strict_lazy":
         # no separate pass: the first job that reads a date fails on a bad one
         msg = (f"Failed to parse date columns of '{source_name}': a value does not match "
@@ -81,12 +92,16 @@ def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8",
                  multiline: bool = False) -> DataFrame:
     """All-string CSV read (no schema inference); quoted fields may hold commas.
     ``multiline=True`` allows line breaks inside quoted fields, at the price of
-    one task per file (such files cannot be split)."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("escape", '"').option("encoding", encoding)
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).csv(path))
+    one task per file (such files cannot be split). A row with more or fewer
+    fields than the header has its whole text in the column ``MALFORMED``."""
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("escape", '"').option("encoding", encoding)
+              .option("multiLine", multiline).option("columnPruning", False)
+              .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+    return reader.option("columnNameOfCorruptRecord", MALFORMED).schema(schema).csv(path)
 
 
 def load_csv(spark: SparkSession, path: str, source_name: str, encoding: str = "utf-8",
@@ -103,36 +118,41 @@ def load_fixed_width(spark: SparkSession, path: str, source_name: str,
                      encoding: str = "utf-8", date_format: str | None = None,
                      dates: str = "strict") -> DataFrame:
     """0-based half-open ``(start, end)`` slices of each line, no header;
-    fields trimmed, blank fields NULL. Splittable text scan, no Python per row."""
+    fields trimmed, blank fields NULL. Lines are read by the CSV source with a
+    separator that no text holds, since it decodes any ``encoding`` and splits."""
     if len(colspecs) != len(col_names):
         raise ValueError("colspecs and col_names differ in length")
     _exists(spark, path)
-    lines = spark.read.option("encoding", encoding).text(path)
-    lines = with_ingest_seq(lines).where(F.length(F.trim("value")) > 0)
-    cols = [F.nullif(F.trim(F.substring("value", s + 1, e - s)), F.lit("")).alias(n)
+    lines = (spark.read.schema("value string").option("encoding", encoding).option("sep", "\uffff")
+             .option("quote", "").option("escape", "").option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False).csv(path))
+    lines = with_ingest_seq(lines).where(F.length(strip(F.col("value"))) > 0)
+    cols = [F.nullif(strip(F.substring("value", s + 1, e - s)), F.lit("")).alias(n)
             for (s, e), n in zip(colspecs, col_names)]
     return _finish(lines.select(*cols, "ingest_seq"), source_name, date_format, dates,
                    f"Fixed-width file {path}")
 
 
-def load_query(spark: SparkSession, sql: str, source_name: str,
-               date_format: str | None = None, dates: str = "strict") -> DataFrame:
+def load_query(spark: SparkSession, sql: str, source_name: str, date_format: str | None = None,
+               dates: str = "strict", *, order_by: Sequence[str]) -> DataFrame:
     """S3: a SELECT over registered views / catalog tables (or any JDBC frame
-    via ``load_frame``); results become strings, then the usual pipeline."""
-    return load_frame(spark.sql(sql), source_name, date_format, dates, "query result")
+    via ``load_frame``); results become strings, then the usual pipeline.
+    ``order_by`` names result columns that fix which copy of an id is first.
+    Texts such as ``NA`` are values here: only a file's reader folds them."""
+    return load_frame(spark.sql(sql), source_name, date_format, dates, "query result", order_by, fold_na=False)
 
 
 def load_frame(df: DataFrame, source_name: str, date_format: str | None = None,
                dates: str = "strict", what: str = "frame",
-               order_by: Sequence[str] | None = None) -> DataFrame:
+               order_by: Sequence[str] | None = None, fold_na: bool = True) -> DataFrame:
     """Any DataFrame as a source: every column cast to string. The ingest order
     is ``order_by`` when given, else the frame's partition order (only stable
-    for a deterministic scan)."""
+    for a deterministic scan). ``fold_na`` makes missing-value tokens NULL."""
     cols = [F.col(c).cast("string").alias(c) for c in df.columns]
     seq = (F.struct(*[F.col(c) for c in order_by]) if order_by
            else F.monotonically_increasing_id())
     return _finish(df.select(*cols, seq.alias("ingest_seq")), source_name, date_format, dates,
-                   what)
+                   what, fold_na)
 
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {
@@ -158,10 +178,6 @@ def load_source(spark: SparkSession, path: str, source_name: str, file_type: str
     return df, file_fingerprint(spark, path)
 
 
-def local_path(p: str) -> str:
-    return p[5:] if p.startswith("file:") else p
-
-
 __all__ = ["load_csv", "load_fixed_width", "load_query", "load_frame", "load_source",
            "with_ingest_seq", "read_csv_raw", "SourceError", "load_reference_csv"]
 
@@ -169,9 +185,10 @@ __all__ = ["load_csv", "load_fixed_width", "load_query", "load_frame", "load_sou
 def load_reference_csv(spark: SparkSession, path: str, key: str = "ticker",
                        encoding: str = "utf-8") -> DataFrame:
     """Security master CSV (ticker, isin, name, asset_class, currency),
-    all strings, keys trimmed and upper-cased."""
+    all strings, keys trimmed and upper-cased; malformed rows are left out."""
     _exists(spark, path)
     df = read_csv_raw(spark, path, encoding)
     df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
-    return df.select(*[F.upper(F.trim(F.col(c))).alias(c) if c in (key, "isin") else F.trim(F.col(c)).alias(c)
+    df = df.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
+    return df.select(*[(upper_trim(F.col(c)) if c in (key, "isin") else strip(F.col(c))).alias(c)
                        for c in df.columns])

@@ -6,37 +6,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Read-only inputs: their schema and split count are looked up once per
-# application and path (each lookup costs a footer read or a planning pass).
+# Read-only inputs: a lookup of the schema costs a footer read.
 _SCHEMAS: dict[tuple[str, str], object] = {}
-_SPLITS: dict[tuple[str, str], int] = {}
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, cache_key=None) -> DataFrame:
-    """Small-input guard: a scan with fewer splits than the cluster has cores
-    (e.g. one large parquet row group, which cannot be split) is spread
-    round-robin so the CPU-heavy narrow work that follows uses every core.
-    A large input already has more splits than cores and is left untouched:
-    no shuffle is added at scale."""
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = _SPLITS.get(cache_key) if cache_key else None
-        if have is None:
-            have = df.rdd.getNumPartitions()
-            if cache_key:
-                _SPLITS[cache_key] = have
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        return df
-    return df if have >= want else df.repartition(want)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = False) -> DataFrame:
-    """A driver table; ``balanced`` applies the small-input guard (used for the
-    fact-sized reads that feed CPU-heavy projections, not for dimensions)."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; its schema is looked up once per application and path."""
     path = os.path.abspath(os.path.join(sf_dir, f"{name}.parquet"))
     key = (spark.sparkContext.applicationId, path)
     schema = _SCHEMAS.get(key)
     df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     if schema is None:
         _SCHEMAS[key] = df.schema
-    return spread(df, cache_key=key) if balanced else df
+    return df
