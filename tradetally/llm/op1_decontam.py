@@ -22,6 +22,7 @@ nothing; further columns of the inputs are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,19 @@ from pyspark.sql import functions as F
 
 from tradetally.llm.common import slices, stored, table, utf8, word_hashes
 
-BUCKETS = 1 << 15
-RANK = 48
+BUCKETS = 1 << 14
+RANK = 64
 OVERSAMPLED = 8
-#: Documents whose passages fit the SVD, about.
+#: Documents whose passages fit the SVD, about, and the weight of an item's
+#: passage among them: the latent space has to tell the items apart.
 SAMPLE = 600
+ITEM_WEIGHT = 20
 #: Words in a block; window lengths and the steps between their starts, in blocks.
 BLOCK = 4
-LENGTHS = ((4, 1), (8, 2), (14, 4))
+LENGTHS = ((5, 1), (9, 2), (13, 3))
 #: Least cosine of a candidate, and least weighted share of the item's words it holds.
-COSINE = 0.6
-SHARE = 0.5
+COSINE = 0.62
+SHARE = 0.55
 #: Common subsequence, as a share of the item: a copy, and a paraphrase that
 #: holds this share of the answer too.
 COPY = 0.85
@@ -122,7 +125,7 @@ def randomised_svd(docs: DataFrame, items: list[bytes], idf: np.ndarray, n: int)
             some = np.flatnonzero(np.abs(total).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["bucket", "v"])
 
-        out = of(items)
+        out = ITEM_WEIGHT * of(items)
         for r in sample.mapInArrow(run, "bucket long, v binary").toLocalIterator():  # 4 tasks, at most BUCKETS rows each
             out[r.bucket] += np.frombuffer(r.v, np.float64)
         return out
@@ -143,7 +146,6 @@ class Items:
         self.words = [t.encode().lower().split() for _, t in rows]
         self.answers = [_answer(t) for _, t in rows]
         self.masks = [_masks(w) for w in self.words]
-        self.idf = idf
         self.parts = [[] for _ in LENGTHS]  # (item, from, to, vector) by window length
         for i, words in enumerate(self.words):
             cell = np.array([xxhash.xxh64_intdigest(w) & BUCKETS - 1 for w in words], np.int64)
@@ -151,10 +153,17 @@ class Items:
             for lo, hi in zip((len(words) * j // cuts for j in range(cuts)), (len(words) * (j + 1) // cuts for j in range(cuts))):
                 v = self.table[cell[lo:hi]].sum(axis=0)
                 if (size := np.sqrt((v * v).sum())) > 0:
-                    k = next((k for k, (blocks, _) in enumerate(LENGTHS) if hi - lo <= blocks * BLOCK * 1.25), len(LENGTHS) - 1)
+                    k = next((k for k, (blocks, _) in enumerate(LENGTHS) if hi - lo <= blocks * BLOCK * 1.15), len(LENGTHS) - 1)
                     self.parts[k].append((i, lo, hi, v / size))
         self.matrix = [np.array([p[3] for p in parts], np.float32).reshape(-1, RANK).T for parts in self.parts]
-        self.weights = [_weights(w, idf) for w in self.words]
+        # weights of each part's words by bucket, and their sums
+        self.members = [np.zeros((len(parts), BUCKETS + 1), np.float32) for parts in self.parts]
+        self.totals = [np.zeros(len(parts)) for parts in self.parts]
+        for parts, member, total in zip(self.parts, self.members, self.totals):
+            for k, (i, lo, hi, _) in enumerate(parts):
+                cell = np.array([xxhash.xxh64_intdigest(w) & BUCKETS - 1 for w in self.words[i][lo:hi]], np.int64)
+                member[k, cell] = idf[cell]
+                total[k] = idf[cell].sum()
 
 
 def _answer(text: str) -> list[bytes]:
@@ -164,10 +173,6 @@ def _answer(text: str) -> list[bytes]:
     return [w.encode() for w in last]
 
 
-def _weights(words: list[bytes], idf: np.ndarray) -> dict[bytes, float]:
-    return {w: float(idf[xxhash.xxh64_intdigest(w) & BUCKETS - 1]) for w in words}
-
-
 def _masks(words: list[bytes]) -> dict[bytes, int]:
     out: dict[bytes, int] = {}
     for i, w in enumerate(words):
@@ -204,43 +209,41 @@ def check(items: Items, i: int, words: list[bytes], lo: int, hi: int) -> float:
 def _search(items: Items, texts: list[bytes]):
     """For each text, found items with their shares."""
     split = [t.lower().split() for t in texts]
-    cells, start, at = [], [], 0
-    for words in split:
-        cell = np.fromiter((xxhash.xxh64_intdigest(w) & BUCKETS - 1 for w in words), np.int64, len(words))
-        rest = -len(words) % BLOCK
-        cells.append(np.append(cell, np.full(rest, BUCKETS)) if rest else cell)
-        start.append(at)
-        at += len(cells[-1]) // BLOCK
-    cell = np.concatenate(cells)
+    size = np.array([len(w) for w in split])
+    # a gap behind each text, so that no window holds words of two texts
+    blocks = -(-size // BLOCK)
+    blocks += np.maximum(max(step for _, step in LENGTHS), LENGTHS[-1][0] - blocks)
+    start = np.cumsum(blocks) - blocks
+    n_blocks = int(blocks.sum())
+    cell = np.full(n_blocks * BLOCK, BUCKETS, np.int64)
+    n_words = int(size.sum())
+    place = np.arange(n_words) + np.repeat(start * BLOCK - np.cumsum(size) + size, size)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, n_words)
+    cell[place] = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
     out = [{} for _ in texts]
-    if not len(cell):
+    if not n_words:
         return out
-    blocks = np.add.reduceat(items.table[cell], np.arange(0, len(cell), BLOCK), axis=0)
-    sums = np.zeros((len(blocks) + 1, RANK))
-    np.cumsum(blocks, axis=0, out=sums[1:])
-    ends = np.array(start[1:] + [at])
-    for (length, step), parts, matrix in zip(LENGTHS, items.parts, items.matrix):
+    sums = np.zeros((n_blocks + 1, RANK), np.float32)
+    items.table[cell].reshape(n_blocks, BLOCK, RANK).sum(axis=1, out=sums[1:])
+    np.cumsum(sums, axis=0, out=sums)
+    for (length, step), parts, matrix, member, total in zip(LENGTHS, items.parts, items.matrix, items.members, items.totals):
         if not parts:
             continue
-        lo = np.concatenate([np.arange(s, max(s + 1, e - length + step), step) for s, e in zip(start, ends) if e > s])
-        hi = np.minimum(lo + length, ends[np.searchsorted(ends, lo, side="right")])
-        v = (sums[hi] - sums[lo]).astype(np.float32)
-        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
-        w, p = np.nonzero(v @ matrix >= COSINE)
-        owner = np.searchsorted(ends, lo[w], side="right")
-        for j, k, o in zip(w.tolist(), p.tolist(), owner.tolist()):
-            i, words = parts[k][0], split[o]
-            if out[o].get(i, 0) >= COPY:
-                continue
-            a, b = (int(lo[j]) - start[o]) * BLOCK, (int(hi[j]) - start[o]) * BLOCK
-            near = set(words[max(0, a - 2 * BLOCK):b + 2 * BLOCK])
-            part = items.words[i][parts[k][1]:parts[k][2]]
-            weight = items.weights[i]
-            if sum(weight[x] for x in part if x in near) < SHARE * sum(weight[x] for x in part):
-                continue
-            share = check(items, i, words, a, b)
-            if share > out[o].get(i, 0):
-                out[o][i] = share
+        v = sums[length::step] - sums[:-length:step]
+        size = np.sqrt(np.einsum("ij,ij->i", v, v), dtype=np.float32)
+        w, p = np.nonzero(v @ matrix >= np.maximum(COSINE * size, np.float32(1e-6))[:, None])
+        # words of the part that the window and a block on either side hold, by weight
+        for at in range(0, len(w), 20_000):
+            j, k = w[at:at + 20_000] * step, p[at:at + 20_000]
+            words = cell[np.clip((j[:, None] - 1) * BLOCK + np.arange((length + 2) * BLOCK), 0, len(cell) - 1)]
+            weight = member[k[:, None], words].sum(axis=1)
+            for x in np.flatnonzero(weight >= SHARE * total[k]).tolist():
+                o = int(np.searchsorted(start, j[x], side="right")) - 1
+                i, lo = parts[k[x]][0], (int(j[x]) - int(start[o])) * BLOCK
+                if out[o].get(i, 0) < COPY:
+                    share = check(items, i, split[o], lo, min(len(split[o]), lo + length * BLOCK))
+                    if share > out[o].get(i, 0):
+                        out[o][i] = share
     return out
 
 
