@@ -21,7 +21,8 @@ from tradetally.session import build_session  # noqa: E402
 
 HEADLINE = ["recon_summary", "recon_breaks", "duplicates_b", "dedup_first_b", "missing_in_b",
             "matched_pairs", "validate_rows", "validation_counts", "run_summary",
-            "security_master", "content_sha256"]
+            "security_master", "content_sha256", "missing_trades", "duplicate_rows_b", "side_breaks",
+            "severity_counts", "asset_class_tolerance"]
 
 
 def run_once(spark, fn, sf_dir) -> float:
@@ -31,8 +32,7 @@ def run_once(spark, fn, sf_dir) -> float:
 
 
 def exchanges(spark, fn, sf_dir) -> dict:
-    """Exchanges of the physical plan by kind (round-robin ones come from the
-    small-input guard and disappear on inputs with enough splits)."""
+    """Exchanges of the physical plan by kind."""
     plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     kinds = {"hash": r"Exchange hashpartitioning", "range": r"Exchange rangepartitioning",
              "round_robin": r"Exchange RoundRobinPartitioning", "single": r"Exchange SinglePartition",
