@@ -2,9 +2,9 @@
 ledger writes and the final run status (what the reconciled system's agents
 do, without the printing).
 
-Jobs per source: one ingestion pass (quarantined rows are written, counts are
-observed on the same pass) and the matching pass. Breaks are staged once
-and their counts observed on that write.
+Jobs per source: one ingestion pass (the source is parsed and validated once,
+written as Parquet, and counted on that pass); quarantine and matching read the
+written feed. Breaks are staged once and their counts observed on that write.
 """
 
 from __future__ import annotations
@@ -83,15 +83,19 @@ def preflight(spark: SparkSession, specs: list[SourceSpec], failed_files: str |
 
 def ingest(spark: SparkSession, led: Ledger, run_id: str, spec: SourceSpec,
            strict_isin: bool = False) -> Ingested:
-    """Load, validate, write the quarantined rows, count on the same pass."""
+    """Load and validate once: the validated feed is written to the ledger's
+    folder and counted on that pass; quarantine and matching read it there."""
     t0 = time.time()
     df, fp = readers.load_source(spark, spec.path, spec.name, spec.file_type,
                                  date_format=spec.date_format, dates="quarantine", **spec.options)
     v = V.validate(df, strict_isin=strict_isin)
     obs = Observation(f"ingest-{spec.name}")
-    counted = v.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok"))
+    fpath = led._p(f"feeds/run_id={run_id}/source={spec.name}")
+    v.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok")) \
+        .write.mode("overwrite").parquet(fpath)
+    feed = spark.read.schema(v.schema).parquet(fpath)
     qpath = led._p(f"quarantine/run_id={run_id}/source={spec.name}")
-    counted.where(~F.col("valid")).select(
+    feed.where(~F.col("valid")).select(
         "ingest_seq", "trade_id", "error_codes",
         V.error_message(F.lit(spec.name), F.col("trade_id"), F.col("error_codes")).alias("message")) \
         .write.mode("overwrite").parquet(qpath)
@@ -113,7 +117,7 @@ def ingest(spark: SparkSession, led: Ledger, run_id: str, spec: SourceSpec,
             for at in range(1, 65, 8)]).first()
         files_n = agg["n"]
         digest = hashlib.sha256(":".join(map(str, agg)).encode()).hexdigest() if files_n else None
-    ing = Ingested(spec.name, v, m["n"], m["ok"], m["n"] - m["ok"], errors, files_n, digest)
+    ing = Ingested(spec.name, feed, m["n"], m["ok"], m["n"] - m["ok"], errors, files_n, digest)
     led.quick_audit("ingestion", "load_source", "SUCCESS" if ing.invalid_count == 0 else "WARNING",
                     run_id=run_id, duration_ms=_ms(t0), input_hash=digest,
                     detail={"source": spec.name, "files": files_n, "record_count": ing.record_count,
