@@ -7,7 +7,8 @@ each side, and pooled by attention; all windows of a text are scored, and the
 most toxic one decides. The model is trained in numpy on windows of a bounded
 sample of labelled texts: first all windows of a toxic text count as toxic,
 then those only that the network itself finds so, and at least the worst of
-each text. Last, the largest window value is mapped to a probability.
+each text. Last, the largest window value is mapped to a probability on
+sampled texts that the network has not seen.
 
 Defined results: null text counts as empty; an empty text is scored as one
 window without words; without labelled texts of both kinds every score is 0;
@@ -18,6 +19,7 @@ no rows; further columns of the inputs are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tradetally.llm.common import Adam, fold, mix, sample_of, slices, stored, table, utf8, with_fields
 
-#: Labelled texts of either kind in the training sample, about, and windows of each text.
-PER_LABEL = 900
+#: Labelled texts of either kind in the training sample, about (a quarter of them for
+#: the calibration), and windows of each text.
+PER_LABEL = 1200
 WINDOWS_PER_TEXT = 40
 #: Words in a window and from one window's start to the next.
 WINDOW = 32
@@ -48,6 +51,7 @@ BATCH = 256
 DECAY = 0.3
 DROPPED = 0.2
 THRESHOLD = 0.5
+MARKS = b".,;:!?*#$%&|<>()[]{}\"'`~+=/\\_-"
 
 
 def char_cells(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +247,10 @@ def fit(windows: list[list[bytes]], owner: np.ndarray, toxic: np.ndarray, seed:
             np.maximum.at(best, owner, value)
             target = (toxic[owner] & ((value > 0) | (value >= best[owner]))).astype(np.float32)
         bad, good = np.flatnonzero(target > 0), np.flatnonzero(target == 0)
+        # clean windows that look toxic come up more often
+        hard = None if not turn else 0.1 + _sigmoid(value[good] + 2)
         for _ in range(STEPS):
-            rows = np.concatenate([rng.choice(bad, BATCH // 2), rng.choice(good, BATCH // 2)])
+            rows = np.concatenate([rng.choice(bad, BATCH // 2), rng.choice(good, BATCH // 2, p=None if hard is None else hard / hard.sum())])
             index, mask = _grid(flat, start[rows], start[rows] + size[rows])
             mask *= rng.random(mask.shape) >= DROPPED
             used, local = np.unique(index, return_inverse=True)
@@ -254,11 +260,12 @@ def fit(windows: list[list[bytes]], owner: np.ndarray, toxic: np.ndarray, seed:
     return net
 
 
-def calibrate(net: Net, value: np.ndarray, toxic: np.ndarray) -> None:
-    """Logistic map of the largest window value of whole texts, both kinds weighing the same."""
+def calibrate(net: Net, value: np.ndarray, toxic: np.ndarray, rate: float) -> None:
+    """Logistic map of the largest window value of whole texts; toxic texts
+    weigh as much as their share ``rate`` of the labels."""
     center, spread = float(value.mean()), float(value.std()) + 1e-6
     x, p = ((value - center) / spread).astype(np.float64), {"w": np.array([1.0, 0.0])}
-    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    weight = np.where(toxic, rate / max(1, toxic.sum()), (1 - rate) / max(1, (~toxic).sum()))
     opt = Adam(p, 0.05)
     for _ in range(400):
         d = (_sigmoid(x * p["w"][0] + p["w"][1]) - toxic) * weight
@@ -268,7 +275,8 @@ def calibrate(net: Net, value: np.ndarray, toxic: np.ndarray) -> None:
 
 
 def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    """Words without case (A-Z) and outer marks; a word that follows itself counts once."""
+    return [w for w, _ in groupby(map(bytes.strip, text.lower().split(), repeat(MARKS))) if w]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -293,8 +301,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
                                              ["id", "toxic", "at", "words"])
 
+    # the texts of one fold are left for the calibration
+    fitted, rest = (rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(4)) != 0),
+                    rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(4)) == 0))
     got = sorted((r.id, r.at, r.toxic, bytes(r.words)) for r in
-                 rows.mapInArrow(windows, "id long, toxic int, at long, words binary").collect())
+                 fitted.mapInArrow(windows, "id long, toxic int, at long, words binary").collect())
     ids = sorted({r[0] for r in got})
     place = {x: i for i, x in enumerate(ids)}
     owner, toxic = np.array([place[r[0]] for r in got], np.int64), np.zeros(len(ids), bool)
@@ -313,8 +324,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
                 v = shared.value.values([_words(t) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(v)], ["toxic", "value"])
 
-    got = rows.mapInArrow(whole, "toxic int, value double").collect()
-    calibrate(net, np.array([r.value for r in got]), np.array([r.toxic == 1 for r in got]))
+    got = rest.mapInArrow(whole, "toxic int, value double").collect()
+    if len({r.toxic for r in got}) < 2:
+        got = rows.mapInArrow(whole, "toxic int, value double").collect()
+    share = {r[0]: r["count"] for r in known.groupBy(label_col).count().collect()}
+    calibrate(net, np.array([r.value for r in got]), np.array([r.toxic == 1 for r in got]), share[1] / (share[0] + share[1]))
     return net
 
 
