@@ -74,7 +74,7 @@ class WordIds:
                 i = e.ids
                 self.ids[w] = pack_ids(f"<{len(i)}I", *i)
 
-    def _learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Remembers words. Words of Latin letters alone need no normal form
         and no cutting, only lower case and their bytes as the model's letters;
         a comma or full stop behind them is a part of its own."""
@@ -111,7 +111,7 @@ class WordIds:
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         found = [list(map(self.ids.get, p)) for p in parts]
         holes = [list(_places(f)) for f in found]
-        self._learn({p[i] for p, h in zip(parts, holes) for i in h})
+        self.learn({p[i] for p, h in zip(parts, holes) for i in h})
         for p, f, h in zip(parts, found, holes):
             for i in h:
                 f[i] = self.ids[p[i]]

@@ -1,7 +1,7 @@
 """Scoring of texts by a causal self-attention language model over subword ids.
 
-A first pass over the training texts counts words and subword ids. Subword ids
-are split into classes of about equal probability mass by frequency; the
+One pass over the texts cuts them into words and subword ids and counts both
+in the training texts. Subword ids are split into classes of about equal probability mass by frequency; the
 probability of an id is that of its class, given the ids before it by the
 attention model, times its share of the class in the corpus counts. The model
 (one attention layer with learnt distance weights) is trained in numpy on
@@ -9,9 +9,9 @@ windows of a bounded sample of training texts. Scoring cuts each text's ids
 into overlapping windows, so that every id is scored once with at least
 ``WINDOW - STRIDE`` ids before it, and attends in batches under a causal mask.
 
-The base figures need the corpus count of every word. Words above
-1/``FREQUENT`` of all training tokens, fewer than ``FREQUENT`` whatever the
-corpus, are broadcast; all others are joined by word.
+The base figures need the corpus count of every word. The exact counts of
+``FREQUENT`` words, chosen as the most frequent ones of the sample, are
+broadcast; all others are joined by word.
 
 Defined results: null text counts as empty; an empty text is its end alone;
 without training texts all counts are 0 and the model is uniform; equal rows
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import gc
 import math
-from itertools import chain
+from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, mix, signed, stored, table, utf8
+from tradetally.llm.common import Adam, fold, mix, signed, slices, stored, table, utf8
 from tradetally.llm.op2_packing import WordIds, default_tokenizer
 
 #: Inputs of a window, and from one window's start to the next.
-WINDOW = 24
+WINDOW = 20
 STRIDE = 16
 #: Width of the model, classes of ids, ids with an embedding of their own.
 DIM = 16
-CLASSES = 48
+CLASSES = 32
 OWN = 4096
 VOCABULARY = 49_408
 #: The id that stands before a text and ends it.
@@ -50,8 +51,11 @@ SAMPLE = 1500
 WINDOWS_PER_TEXT = 10
 EPOCHS = 4
 BATCH = 256
-#: Frequent words: more than 1/FREQUENT of all training tokens.
-FREQUENT = 200_000
+#: Frequent words: so many of the sample, by their counts there.
+FREQUENT = 50_000
+#: Words that a task remembers before it sends their counts on and forgets them.
+REMEMBERED = 1_000_000
+SLICE_BYTES = 2 << 20
 SLICE = 300
 
 
@@ -176,35 +180,142 @@ def _ids(encode: WordIds, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), "<u4").astype(np.int64), offsets
 
 
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.lower().split() for t in texts]
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
-    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, offsets[-1]), offsets
+def _hash(words: list[bytes]) -> np.ndarray:
+    return signed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+
+
+class Words:
+    """What a task knows of the words it has met: the hash of the folded word,
+    its number among the frequent words (-1: none), its subword ids (those of
+    a text are those of its words in a row), and how often it has come up in
+    training texts."""
+
+    def __init__(self, tokenizer: str, frequent: dict[int, int]):
+        self.encode, self.frequent = WordIds(tokenizer), frequent
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.hash, self.number = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(0, np.uint16), 0
+
+    def learn(self, words: list[bytes]) -> None:
+        text = [w.decode("utf-8") for w in words]
+        self.encode.ids.clear()
+        self.encode.learn(set(text))
+        ids = [self.encode.ids[w] for w in text]
+        known, need = len(self.index), len(self.index) + len(words)
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint16)
+        if need > len(self.hash):
+            grow = need  # doubles
+            for k in ("hash", "number", "start", "size", "times"):
+                x = getattr(self, k)
+                setattr(self, k, np.concatenate([x, np.zeros(grow, x.dtype)]))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(flat), np.uint16)])
+        self.index.update(zip(words, range(known, need)))
+        h = _hash([w.lower() for w in words])
+        self.hash[known:need] = h
+        self.number[known:need] = [self.frequent.get(x, -1) for x in h.tolist()]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.size[known:need], self.start[known:need] = size, self.used + np.cumsum(size) - size
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Index of each word; new words are learnt."""
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        holes = np.flatnonzero(out < 0).tolist()
+        if holes:
+            self.learn(list({words[i] for i in holes}))
+            out[holes] = [self.index[words[i]] for i in holes]
+        return out
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        size = self.size[places]
+        shift = self.start[places] - np.cumsum(size) + size
+        return self.pool[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+
+def _packed(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of consecutive 16-bit numbers."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [
+        None, pa.py_buffer((cuts * 2).astype(np.int64).tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())]).cast(pa.binary())
+
+
+_READ = ("kind int, key long, n long, rid long, id long, learn boolean, n_tokens long, ids binary, frequent binary, "
+         "words array<long>, times array<int>")
+
 
+def read(rows: DataFrame, tokenizer: str, frequent) -> DataFrame:
+    """One pass over all texts. Kind 0: a row for each text with its subword ids,
+    the numbers of its frequent words, and its other words with their counts.
+    Kind 1: counts of words in training texts by hash. Kind 2: counts of subword ids."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("rid", pa.int64()), ("id", pa.int64()),
+                        ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("frequent", pa.binary()),
+                        ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+    def counts(kind: int, key: np.ndarray, n: np.ndarray):
+        some = np.flatnonzero(n)
+        for at in range(0, len(some), 100_000):
+            part = some[at:at + 100_000]
+            yield batch(len(part), kind=pa.array(np.full(len(part), kind, np.int32)), key=pa.array(key[part]), n=pa.array(n[part]))
 
-def count(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(kind, key, n) over texts: kind 0 words by hash, kind 1 subword ids, kind 2 texts."""
     def run(batches):
-        encode = WordIds.of(tokenizer)
+        known, id_counts = Words(tokenizer, frequent.value), np.zeros(VOCABULARY, np.int64)
+        part, serial = TaskContext.get().partitionId() << 33, 0
         gc.disable()
-        ids_total, texts_total = np.zeros(VOCABULARY, np.int64), 0
         for b in batches:
-            for at in range(0, b.num_rows, SLICE * 8):
-                texts = utf8(b.column(0).slice(at, SLICE * 8))
-                texts_total += len(texts)
-                keys, n = np.unique(_hashes(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(signed(keys)), pa.array(n.astype(np.int64))],
-                                                 ["kind", "key", "n"])
-                for lo in range(0, len(texts), SLICE):
-                    ids_total += np.bincount(_ids(encode, texts[lo:lo + SLICE])[0], minlength=VOCABULARY)
-        some = np.flatnonzero(ids_total)
-        kind = np.append(np.ones(len(some), np.int32), 2).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(some, 0)), pa.array(np.append(ids_total[some], texts_total))],
-                                         ["kind", "key", "n"])
+            texts = utf8(b.column(1))
+            learning = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in slices(texts, SLICE_BYTES, 3 * SLICE):
+                if len(known.index) > REMEMBERED:
+                    yield from counts(1, known.hash, known.times)
+                    known.forget()
+                split = [t.split() for t in texts[lo:hi]]
+                n = np.array([len(w) for w in split])
+                text, learn = np.repeat(np.arange(hi - lo), n), learning[lo:hi]
+                places = known.places(list(chain.from_iterable(split)))
+                known.times += np.bincount(places[learn[text]], minlength=len(known.times))
+                size = known.size[places]
+                ids, of_text = known.ids(places), np.bincount(text, weights=size, minlength=hi - lo).astype(np.int64)
+                id_counts += np.bincount(ids[np.repeat(learn, of_text)], minlength=VOCABULARY)
+                number = known.number[places]
+                often = number >= 0
+                t, x = text[~often], known.hash[places[~often]]
+                order = np.lexsort((x, t))
+                t, x = t[order], x[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
+                at = np.flatnonzero(new)
+                cuts = pa.array(np.searchsorted(t[at], np.arange(hi - lo + 1)).astype(np.int32))
+                often_cuts = np.append(0, np.cumsum(np.bincount(text[often], minlength=hi - lo)))
+                yield batch(hi - lo, kind=pa.array(np.zeros(hi - lo, np.int32)), rid=pa.array(part + serial + np.arange(hi - lo)),
+                            id=b.column(0).slice(lo, hi - lo), learn=b.column(2).slice(lo, hi - lo), n_tokens=pa.array(n + 1),
+                            ids=_packed(ids, np.append(0, np.cumsum(of_text))), frequent=_packed(number[often], often_cuts),
+                            words=pa.ListArray.from_arrays(cuts, pa.array(x[at])),
+                            times=pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(t))).astype(np.int32))))
+                serial += hi - lo
+        yield from counts(1, known.hash, known.times)
+        yield from counts(2, np.arange(VOCABULARY), id_counts)
         gc.enable()
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.select("id", "text", "learn").mapInArrow(run, _READ)
+
+
+def frequent_words(sample: DataFrame) -> list[int]:
+    """Hashes of the most frequent words of a sample; a bounded number."""
+    def run(batches):
+        for b in batches:
+            found = Counter(chain.from_iterable(t.lower().split() for t in utf8(b.column(0))))
+            yield pa.RecordBatch.from_arrays([pa.array(_hash(list(found))), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    total = sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
 def sample_windows(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,66 +355,62 @@ def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id"
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("learn"))
     learn = rows.where("learn")
-    counts = stored(spark, count(learn, tokenizer), "lm-counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    every = max(1, learn.count() // SAMPLE)
+    sample = learn.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0).limit(4 * SAMPLE)
+    sample = stored(spark, sample.select("id", "text"), "lm-sample")
+    frequent = frequent_words(sample)
+    numbers = spark.sparkContext.broadcast({h: i for i, h in enumerate(frequent)})
+    found = stored(spark, read(rows, tokenizer, numbers), "lm-read")
+
+    words = found.where("kind = 1").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c"))
+    words = stored(spark, words, "lm-words")
+    texts = found.where("kind = 0 and learn").count()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n + texts, total.v + (texts > 0)
-    frequent = words.where(F.col("c") * FREQUENT > tokens).collect()  # fewer than FREQUENT
-    frequent.sort(key=lambda r: r.word & (1 << 64) - 1)
-    frequent = (np.array([r.word for r in frequent], np.int64).view(np.uint64),
-                np.log10(np.array([r.c for r in frequent], np.float64) + 1))
+    log_count = np.zeros(len(frequent) + 1)
+    listed = spark.createDataFrame([(h, i) for i, h in enumerate(frequent)], "word long, number int")
+    for r in words.join(F.broadcast(listed), "word").collect():  # at most FREQUENT rows
+        log_count[r.number] = math.log10(r.c + 1)
     ids = np.zeros(VOCABULARY)
-    for r in counts.where("kind = 1").collect():  # at most VOCABULARY rows
+    for r in found.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most VOCABULARY rows
         ids[r.key] = r.n
+    ids[BORDER] += texts
 
     model = Attention(ids)
     if texts:
-        every = max(1, texts // SAMPLE)
-        lot = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0
-        windows = sample_windows(learn.where(lot).limit(4 * SAMPLE), tokenizer)
-        model.train(*windows)
-    shared = spark.sparkContext.broadcast((model, frequent))
+        model.train(*sample_windows(sample, tokenizer))
+    shared = spark.sparkContext.broadcast((model, log_count))
     end_known, end_log = int(texts > 0), math.log10(texts + 1)
 
     def run(batches):
-        (net, (hot, log_count)), encode = shared.value, WordIds.of(tokenizer)
-        tables, part, serial = net.tables(), TaskContext.get().partitionId() << 33, 0
-        gc.disable()
+        net, logs = shared.value
+        tables = net.tables()
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
                 s = b.slice(lo, SLICE)
-                texts = utf8(s.column(1))
-                h, offsets = _hashes(texts)
-                text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-                place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-                known = hot[place] == h if len(hot) else np.zeros(len(h), bool)
-                base = np.bincount(text[known], weights=log_count[place[known]], minlength=len(texts)) + end_log
-                n_known = np.bincount(text[known], minlength=len(texts)) + end_known
-                order = np.lexsort((h[~known], text[~known]))
-                t, x = text[~known][order], h[~known][order]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(t))).astype(np.int32)
-                cuts = pa.array(np.searchsorted(t[at], np.arange(len(texts) + 1)).astype(np.int32))
-                value = net.score(*_ids(encode, texts), tables)
-                rid = part + serial + np.arange(len(texts))
-                serial += len(texts)
+                flat = [np.frombuffer(x, "<u2") for x in s.column(4).to_pylist()]
+                offsets = np.zeros(len(flat) + 1, np.int64)
+                np.cumsum([len(x) + 1 for x in flat], out=offsets[1:])
+                text_ids = np.full(int(offsets[-1]), BORDER, np.int64)
+                inside = np.ones(len(text_ids), bool)
+                inside[offsets[1:] - 1] = False
+                text_ids[inside] = np.concatenate(flat)
+                number = [np.frombuffer(x, "<u2") for x in s.column(5).to_pylist()]
+                value = logs[np.concatenate(number).astype(np.int64)]
+                text = np.repeat(np.arange(len(number)), [len(x) for x in number])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), s.column(0), s.column(2), pa.array(np.diff(offsets) + 1), pa.array(n_known.astype(np.int64)),
-                     pa.array(base), pa.array(value), pa.ListArray.from_arrays(cuts, pa.array(signed(x[at]))),
-                     pa.ListArray.from_arrays(cuts, pa.array(times))],
-                    ["rid", "id", "learn", "n_tokens", "n_known", "base", "score", "words", "times"])
-        gc.enable()
-
-    scored = stored(spark, rows.mapInArrow(run, "rid long, id long, learn boolean, n_tokens long, n_known long, base double, "
-                                                "score double, words array<long>, times array<int>"), "lm-scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
+                    [*s.columns[:4], pa.array(np.bincount(text[value > 0], minlength=len(number)) + end_known),
+                     pa.array(np.bincount(text, weights=value, minlength=len(number)) + end_log),
+                     pa.array(net.score(text_ids, offsets, tables))],
+                    ["rid", "id", "learn", "n_tokens", "n_known", "base", "score"])
+
+    scored = found.where("kind = 0").select("rid", "id", "learn", "n_tokens", "ids", "frequent").mapInArrow(
+        run, "rid long, id long, learn boolean, n_tokens long, n_known long, base double, score double")
+    rare = found.where("kind = 0").select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     sums = rare.join(words, "word").groupBy("rid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    out = scored.drop("words", "times").join(sums, "rid", "left")
+    out = scored.join(sums, "rid", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
     return out.select(F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens",
                       (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
