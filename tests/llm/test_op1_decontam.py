@@ -96,9 +96,9 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r.doc_id: r.item_ids for r in op.query(spark, SF).collect()}
-    assert got.keys() == docs.keys()
+    assert got.keys() <= docs.keys()
     exact = {i: {k for k, b in items.items() if b in (t or "")} for i, t in docs.items()}
     assert sum(map(bool, exact.values())) > 3
     for i, found in exact.items():
-        assert found <= set(got[i])
-    assert sum(bool(got[i]) and not exact[i] for i in docs) <= 0.01 * len(docs)
+        assert found <= set(got.get(i, ()))
+    assert sum(not exact[i] for i in got) <= 0.01 * len(docs)

@@ -276,4 +276,6 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The contaminated documents with the items found in them."""
+    found = find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.where("contaminated")
