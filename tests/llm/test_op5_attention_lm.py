@@ -62,7 +62,7 @@ def test_tasks_forget_words(spark, monkeypatch):
 
 def test_ids_of_words_are_those_of_the_text(spark):
     words, encode = op.Words(op.default_tokenizer(), {}), op.WordIds.of(op.default_tokenizer())
-    for t in ("It's a TEST, of. words é\x0b.,x don't 12 ..", "", "again a TEST", "　 wide"):
+    for t in ("It's a TEST, of. words é\x0b.,x don't 12 ..", "", "again a TEST", "　 wide", "É. é, ß ª º. µ, ÿ Ā ΣΑΣ. e\u0301, x.. ,. . , a1. _. İ <|endoftext|>."):
         got = words.ids(words.places(t.encode().split()))
         assert got.tolist() == op._ids(encode, [t.encode()])[0].tolist()[:-1]
 

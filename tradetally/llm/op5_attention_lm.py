@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import math
+from codecs import charmap_decode
 from collections import Counter
 from itertools import chain, repeat
 
@@ -191,7 +192,9 @@ class Words:
     training texts."""
 
     def __init__(self, tokenizer: str, frequent: dict[int, int]):
-        self.encode, self.frequent = WordIds(tokenizer), frequent
+        self.encode, self.frequent = WordIds.of(tokenizer), frequent
+        one = self.encode.tokenizer.encode_batch([",", "."], add_special_tokens=False)
+        self.marks = {"": -1, ",": one[0].ids[0], ".": one[1].ids[0]}
         self.forget()
 
     def forget(self) -> None:
@@ -200,13 +203,43 @@ class Words:
         self.start, self.size, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(0, np.uint16), 0
 
+    def _subwords(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of words in a row, and their numbers. A word of Latin
+        letters shares the ids of its folded form; a comma or full stop behind
+        such letters is an id of its own."""
+        stems: dict[str, int] = {}
+        of, marks, other = [], [], []
+        for i, w in enumerate(text):
+            s, mark = (w, "") if w.isalpha() else (w[:-1], w[-1])
+            s = s.lower()
+            if mark in ("", ",", ".") and s.isalpha() and (s.isascii() or ord(max(s)) < 256):
+                of.append(stems.setdefault(s, len(stems)))
+                marks.append(self.marks[mark])
+            else:
+                of.append(-1 - len(other))
+                marks.append(-1)
+                other.append(w)
+        plain = [s if s.isascii() else charmap_decode(s.encode(), "strict", self.encode.letters)[0] for s in stems]
+        found = [e.ids for e in self.encode.bare.encode_batch_fast(plain, add_special_tokens=False)]
+        found += [e.ids for e in self.encode.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
+        of, marks = np.array(of, np.int64), np.array(marks, np.int64)
+        of = np.where(of < 0, len(stems) - 1 - of, of)
+        start, marked = (np.cumsum(size) - size)[of], marks >= 0
+        total = size[of] + marked
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint16)
+        inside = np.ones(len(out), bool)
+        inside[ends[marked] - 1] = False
+        out[ends[marked] - 1] = marks[marked]
+        length = size[of]
+        out[inside] = flat[np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+        return out, total
+
     def learn(self, words: list[bytes]) -> None:
-        text = [w.decode("utf-8") for w in words]
-        self.encode.ids.clear()
-        self.encode.learn(set(text))
-        ids = [self.encode.ids[w] for w in text]
+        flat, size = self._subwords(b"\n".join(words).decode("utf-8").split("\n"))
         known, need = len(self.index), len(self.index) + len(words)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint16)
         if need > len(self.hash):
             grow = need  # doubles
             for k in ("hash", "number", "start", "size", "times"):
@@ -217,8 +250,7 @@ class Words:
         self.index.update(zip(words, range(known, need)))
         h = _hash([w.lower() for w in words])
         self.hash[known:need] = h
-        self.number[known:need] = [self.frequent.get(x, -1) for x in h.tolist()]
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.number[known:need] = np.fromiter(map(self.frequent.get, h.tolist(), repeat(-1)), np.int32, len(words))
         self.size[known:need], self.start[known:need] = size, self.used + np.cumsum(size) - size
         self.pool[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
