@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id;
-    of rows that share its id and text, one."""
+    rows that share its id stay."""
     gone = op9_superminhash.near_duplicates(spark, docs).where("not kept").select("doc_id")
     gone = stored(spark, gone.distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -51,8 +51,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in fixed token windows, with their ids."""
-    return op2_packing.pack(spark, docs)
+    """Pieces of the documents in fixed token windows, with their ids. Workers
+    live on through the other stages, so they keep few words."""
+    return op2_packing.pack(spark, docs, remembered=250_000)
 
 
 STAGES = [

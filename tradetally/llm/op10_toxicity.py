@@ -51,6 +51,8 @@ BATCH = 256
 DECAY = 0.3
 DROPPED = 0.2
 THRESHOLD = 0.5
+#: Bytes of text that a task scores at once.
+SCORED_BYTES = 1 << 20
 MARKS = b".,;:!?*#$%&|<>()[]{}\"'`~+=/\\_-"
 
 
@@ -200,9 +202,9 @@ class Net:
             at += len(t)
         start, stop = np.array(start), np.array(stop)
         out = np.full(len(texts), -np.inf)
-        for lo in range(0, len(start), 4096):
-            index, mask = _grid(flat, start[lo:lo + 4096], stop[lo:lo + 4096])
-            np.maximum.at(out, owner[lo:lo + 4096], self.forward(inputs, index, mask)[0])
+        for lo in range(0, len(start), 1024):
+            index, mask = _grid(flat, start[lo:lo + 1024], stop[lo:lo + 1024])
+            np.maximum.at(out, owner[lo:lo + 1024], self.forward(inputs, index, mask)[0])
         return out
 
     def score(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -241,7 +243,8 @@ def fit(windows: list[list[bytes]], owner: np.ndarray, toxic: np.ndarray, seed:
     target, opt = toxic[owner].astype(np.float32), Adam(net.p, 0.01)
     for turn in range(ROUNDS):
         if turn:
-            value = np.concatenate([net.forward(net.embed(words, cells)[0], *_grid(flat, start[i:i + 4096], start[i:i + 4096] + size[i:i + 4096]))[0]
+            inputs = net.embed(words, cells)[0]
+            value = np.concatenate([net.forward(inputs, *_grid(flat, start[i:i + 4096], start[i:i + 4096] + size[i:i + 4096]))[0]
                                     for i in range(0, len(start), 4096)])
             best = np.full(len(toxic), -np.inf)
             np.maximum.at(best, owner, value)
@@ -320,7 +323,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     def whole(batches):
         for b in batches:
             texts = utf8(b.column(2))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SCORED_BYTES):
                 v = shared.value.values([_words(t) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(v)], ["toxic", "value"])
 
@@ -340,7 +343,7 @@ def score(spark: SparkSession, docs: DataFrame, net: Net | None, text_col: str =
     def run(batches):
         for b in batches:
             texts = utf8(b.column(0))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SCORED_BYTES):
                 s = np.zeros(hi - lo) if shared.value is None else shared.value.score([_words(t) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[1:], pa.array(s.astype(np.float64))], [*kept, out_col])
 

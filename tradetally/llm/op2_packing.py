@@ -48,6 +48,7 @@ class WordIds:
     below are split at; rarer white space goes to the tokenizer itself."""
 
     def __init__(self, path: str):
+        self.most = REMEMBERED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,9 +63,11 @@ class WordIds:
         self.letters = "".join(letter[i] for i in range(256))
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
+    def of(cls, path: str, most: int = REMEMBERED) -> WordIds:
+        """This worker's memory for a tokenizer, of at most ``most`` words."""
         if path not in _KNOWN:
             _KNOWN[path] = cls(path)
+        _KNOWN[path].most = most
         return _KNOWN[path]
 
     def _encode(self, tokenizer, words: list[str], inputs: list[str]) -> None:
@@ -79,7 +82,7 @@ class WordIds:
         and no cutting, only lower case and their bytes as the model's letters;
         a comma or full stop behind them is a part of its own."""
         ids = self.ids
-        if len(ids) + len(words) > REMEMBERED:
+        if len(ids) + len(words) > self.most:
             ids.clear()
         if "," not in ids:
             ids[""] = b""
@@ -126,13 +129,14 @@ def _places(values: list) -> Iterator[int]:
         yield at
 
 
-def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int,
+                remembered: int = REMEMBERED) -> DataFrame:
     """(id, part, start, n_tokens, ids): ``start`` counts the tokens before
     the document in its task's part."""
     end = end_id.to_bytes(4, "little")
 
     def tokenise(batches):
-        encode, part, start = WordIds.of(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = WordIds.of(tokenizer, remembered), TaskContext.get().partitionId(), 0
         gc.disable()  # nothing here is cyclic, and large word tables are slow to walk
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -153,10 +157,13 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end
 
 
 def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+         tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID,
+         remembered: int = REMEMBERED) -> DataFrame:
     """Pieces (id_col, start, length, doc_tokens, sequence_id, offset, ids);
-    ``ids`` are little-endian unsigned 32-bit token ids."""
-    tokens = stored(spark, token_table(docs, id_col, text_col, tokenizer or default_tokenizer(), end_id), "tokens")
+    ``ids`` are little-endian unsigned 32-bit token ids. ``remembered`` bounds
+    the words whose ids a worker keeps, which saves encoding them again."""
+    tokens = token_table(docs, id_col, text_col, tokenizer or default_tokenizer(), end_id, remembered)
+    tokens = stored(spark, tokens, "tokens")
     # one row per task of the first pass, whatever the number of documents
     totals = sorted(tokens.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).collect())
     before = list(zip((r.part for r in totals), accumulate((r.n for r in totals), initial=0)))
