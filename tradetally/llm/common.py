@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -35,6 +37,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Hands freed memory back to the system: Python workers live on between
+    stages, and what they keep would add up."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
     """The schema of ``df`` with further fields of the given SQL types."""
     more = df.sparkSession.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in kinds.items()])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import slices, stored, table, utf8, word_hashes
+from tradetally.llm.common import release, slices, stored, table, utf8, word_hashes
 
 BUCKETS = 1 << 14
 RANK = 64
@@ -76,6 +76,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 seen = np.zeros((hi - lo, BUCKETS), bool)
                 seen[np.repeat(np.arange(hi - lo), np.diff(offsets)), cell] = True
                 total += seen.sum(axis=0)
+            release()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
 
@@ -271,6 +272,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array([bool(x) for x in ids]), pa.array(ids, pa.list_(pa.int64())),
                      pa.array([max(f.values(), default=0.0) for f in found], pa.float64())], [id_col, "contaminated", "item_ids", "share"])
+            release()
 
     return rows.mapInArrow(run, f"{id_col} {kind}, contaminated boolean, item_ids array<long>, share double")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import stored, table, utf8
+from tradetally.llm.common import release, stored, table, utf8
 
 WINDOW = 4096
 END_ID = 2
@@ -150,6 +150,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end
                      pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     ["id", "part", "start", "n_tokens", "ids"])
         gc.enable()
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import mix, rolling, signed, slices, stored, table, utf8
+from tradetally.llm.common import mix, release, rolling, signed, slices, stored, table, utf8
 
 SHINGLE = 5
 #: Slots of a signature, in bands of ``BAND`` slots. A link at the threshold of
@@ -134,6 +134,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      pa.array([None if x else k.astype("<u8").tobytes() for x, k in zip(blank, key)], pa.binary()),
                      pa.array([None if x else r for x, r in zip(blank, signed(bands))], pa.list_(pa.int64()))],
                     ["id", "n_shingles", "set_key", "bands"])
+            release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>")
@@ -222,6 +223,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     [b.column(0).slice(lo, hi - lo),
                      pa.array([value[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())],
                     ["id", "shingles"])
+            release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.join(wanted, "id", "left_semi").mapInArrow(collect, "id long, shingles binary")
