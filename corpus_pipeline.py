@@ -29,8 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id;
-    rows that share its id stay."""
-    gone = op9_superminhash.near_duplicates(spark, docs).where("not kept").select("doc_id")
+    rows that share its id stay. A stage on word shingles links from a
+    similarity of 0.8 on; the 0.85 is that of the op9 query only."""
+    gone = op9_superminhash.near_duplicates(spark, docs, num=80).where("not kept").select("doc_id")
     gone = stored(spark, gone.distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

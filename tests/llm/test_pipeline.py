@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline as cp
+from test_op9_superminhash import shingles
 from tradetally.llm import op1_decontam, op9_superminhash, op10_toxicity
 from tradetally.llm.common import stored
 
@@ -40,6 +41,31 @@ def test_one_of_each_group_stays(spark, steps):
     assert ids(steps[2]) == {r.doc_id for r in groups if r.kept} and any(not r.kept for r in groups)
 
 
+def test_near_duplicates_go_from_08_on(spark):
+    """Against all pairs that share a shingle, on whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    sets = {i: shingles(t) for i, t in rows}
+    holders, up, between = {}, {i: i for i in sets}, 0
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    for a, b in {(a, b) for ids in holders.values() for k, b in enumerate(ids) for a in ids[:k]}:
+        common = len(sets[a] & sets[b])
+        union = len(sets[a]) + len(sets[b]) - common
+        if 100 * common >= 80 * union:
+            between += 100 * common < 85 * union
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    assert between > 5
+    assert ids(cp.near_dedup(spark, docs, SF)) == {i for i in sets if top(i) == i}
+
+
 def test_contaminated_documents_go(spark, steps):
     leaks = op1_decontam.find_leaks(spark, steps[2], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
     assert ids(steps[3]) == {r.doc_id for r in leaks if not r.contaminated} and any(r.contaminated for r in leaks)

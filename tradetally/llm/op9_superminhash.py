@@ -26,6 +26,7 @@ no rows; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 from tradetally.llm.common import mix, release, rolling, signed, slices, stored, table, utf8
 
 SHINGLE = 5
-#: Slots of a signature, in bands of ``BAND`` slots. A link at the threshold of
-#: 0.85 is missed by all 16 bands with a probability of 1e-5.
+#: Slots of a signature at the threshold of 0.85, in bands of ``BAND`` slots. A
+#: link at the threshold is missed by all bands with a probability of ``MISSED``
+#: at most: 16 bands at 0.85, 22 at 0.8.
 SLOTS = 64
 BAND = 4
+MISSED = 1e-5
 #: Documents in a block when groups are compared; links in a file of the grouping's tables.
 BLOCK = 512
 LINKS_A_FILE = 500_000
@@ -94,7 +97,7 @@ def super_min_hash(value: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -
         open_texts = out.max(axis=1) >= level + 1
         keep = open_texts[owner]
         if state is None:
-            state = np.tile(np.arange(slots, dtype=np.uint8), (int(keep.sum()), 1))
+            state = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int64), (int(keep.sum()), 1))
             state[np.arange(len(state)), swap[keep]] = 0
         else:
             state = state[keep]
@@ -102,23 +105,29 @@ def super_min_hash(value: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -
     return out
 
 
+def slots_for(num: int, den: int) -> int:
+    """Slots whose bands miss a link at a similarity of num/den with a probability of ``MISSED`` at most."""
+    same = (num / den) ** BAND
+    return BAND * (math.ceil(math.log(MISSED) / math.log1p(-same)) if same < 1 else 1)
+
+
 def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
     """(id, n_shingles, set_key, bands): ``set_key`` is equal for equal
     sets only; ``bands`` is null for documents that are linked with nothing."""
-    per = SLOTS // BAND
+    per = slots // BAND
 
     def sign(batches):
         for b in batches:
             texts, none = utf8(b.column(1)), np.asarray(b.column(0).is_null())
             for lo, hi in slices(texts):
                 value, offsets = shingle_sets(texts[lo:hi])
-                sig = super_min_hash(value, offsets)
+                sig = super_min_hash(value, offsets, slots)
                 n = np.diff(offsets)
                 cells = mix(np.where(np.isinf(sig), -1, sig).view(np.uint64))
                 bands = np.zeros((hi - lo, per), np.uint64)
@@ -234,7 +243,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """(id_col, n_shingles, component_id, kept, class_id): documents whose sets
     reach a similarity of num/den are linked; ``component_id`` is the least id
     of the linked group, ``class_id`` the least id of an equal set."""
-    signed_docs = stored(spark, signatures(docs, id_col, text_col), "signatures")
+    signed_docs = stored(spark, signatures(docs, id_col, text_col, slots_for(num, den)), "signatures")
     with_set = signed_docs.where(F.col("set_key").isNotNull())
     # a set's class: represented by its least id
     classes = stored(spark, with_set.groupBy("set_key").agg(
