@@ -117,3 +117,18 @@ def test_training_helps():
     before = net.score(flat, np.array([0, len(flat)]), net.tables())[0]
     net.train(x[:, :-1], x[:, 1:], np.ones((400, op.WINDOW), np.float32))
     assert net.score(flat, np.array([0, len(flat)]), net.tables())[0] > before + 5
+
+
+def test_every_training_text_is_learnt_from(spark, monkeypatch):
+    """The start sees a window of about one text; what follows what is learnt from the others."""
+    monkeypatch.setattr(op, "SAMPLE", 1)
+    monkeypatch.setattr(op, "WINDOWS_PER_TEXT", 1)
+    seen, learn = [], op.learn_all
+    monkeypatch.setattr(op, "learn_all", lambda *a: seen.append(learn(*a)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[(i + k) % 26] for k in range(400))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [r.score for r in op.score(spark, docs, F.col("doc_id") % 10 != 0).collect() if r.doc_id % 10 == 0]
+    assert seen == [1350 * 21]  # 400 ids and the end
+    # a letter is 1 of 26, about 0.04, unless the one before it tells
+    assert all(s > -0.8 * 400 * math.log10(26) for s in got)

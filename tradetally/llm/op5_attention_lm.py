@@ -4,8 +4,10 @@ One pass over the texts cuts them into words and subword ids and counts both
 in the training texts. Subword ids are split into classes of about equal probability mass by frequency; the
 probability of an id is that of its class, given the ids before it by the
 attention model, times its share of the class in the corpus counts. The model
-(one attention layer with learnt distance weights) is trained in numpy on
-windows of a bounded sample of training texts. Scoring cuts each text's ids
+(one attention layer with learnt distance weights) starts from a few windows of
+a bounded sample; then every task steps from there through all windows of its
+training texts, and the tasks' weights are averaged by their windows, so that
+each id of each training text is learnt from. Scoring cuts each text's ids
 into overlapping windows, so that every id is scored once with at least
 ``WINDOW - STRIDE`` ids before it, and attends in batches under a causal mask.
 
@@ -21,6 +23,7 @@ further columns of the input are ignored. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import copy
 import gc
 import math
 from codecs import charmap_decode
@@ -47,11 +50,14 @@ OWN = 4096
 VOCABULARY = 49_408
 #: The id that stands before a text and ends it.
 BORDER = 49_407
-#: Texts in the training sample, about, and windows of each.
+#: Texts in the sample that training starts from, about, and windows of each.
 SAMPLE = 1500
 WINDOWS_PER_TEXT = 10
 EPOCHS = 4
 BATCH = 256
+RATE = 0.01
+#: Steps of a weight when tasks' weights are summed: whole numbers add up alike in any order.
+FINE = 1 << 20
 #: Frequent words: so many of the sample, by their counts there.
 FREQUENT = 50_000
 #: Words that a task remembers before it sends their counts on and forgets them.
@@ -89,40 +95,49 @@ class Attention:
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, seed: int = 5) -> None:
         """``inputs`` and ``targets`` are ids (windows x WINDOW); weight 0 marks padding."""
-        rng, opt, p = np.random.default_rng(seed), Adam(self.p, 0.01), self.p
-        root = np.float32(1 / math.sqrt(DIM))
+        rng, opt = np.random.default_rng(seed), Adam(self.p, RATE)
         for _ in range(EPOCHS):
             order = rng.permutation(len(inputs))
             for at in range(0, len(order), BATCH):
                 rows = order[at:at + BATCH]
-                ids, y, m = self.row[inputs[rows]], self.cls[targets[rows]], weight[rows]
-                e = p["e"][ids]
-                q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-                s = q @ k.transpose(0, 2, 1) * root + p["far"][self.distance] + self.mask
-                a = np.exp(s - s.max(axis=2, keepdims=True))
-                a /= a.sum(axis=2, keepdims=True)
-                mixed = a @ v
-                h = np.tanh(mixed @ p["o"] + e @ p["r"] + p["b"])
-                z = h @ p["c"] + p["d"]
-                z = np.exp(z - z.max(axis=2, keepdims=True))
-                dz = z / z.sum(axis=2, keepdims=True)
-                np.put_along_axis(dz, y[:, :, None], np.take_along_axis(dz, y[:, :, None], 2) - 1, 2)
-                dz *= (m / max(1.0, m.sum()))[:, :, None]
-                flat = lambda x: x.reshape(-1, x.shape[2])
-                g = {"c": flat(h).T @ flat(dz), "d": flat(dz).sum(axis=0)}
-                du = (dz @ p["c"].T) * (1 - h * h)
-                g |= {"o": flat(mixed).T @ flat(du), "r": flat(e).T @ flat(du), "b": flat(du).sum(axis=0)}
-                dmixed = du @ p["o"].T
-                dv, da = a.transpose(0, 2, 1) @ dmixed, dmixed @ v.transpose(0, 2, 1)
-                ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-                g["far"] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
-                ds *= root
-                dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-                g |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-                de = flat(du @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-                cell = ids.ravel()
-                g["e"] = np.stack([np.bincount(cell, weights=de[:, j], minlength=OWN + CLASSES) for j in range(DIM)], axis=1)
-                opt.step({x: y.astype(np.float32) for x, y in g.items()})
+                self.step(opt, inputs[rows], targets[rows], weight[rows])
+
+    def step(self, opt: Adam, inputs: np.ndarray, targets: np.ndarray, m: np.ndarray) -> None:
+        """One step on a batch of windows with the weights ``m``."""
+        p, root = self.p, np.float32(1 / math.sqrt(DIM))
+        ids, y = self.row[inputs], self.cls[targets]
+        e = p["e"][ids]
+        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
+        s = q @ k.transpose(0, 2, 1) * root + p["far"][self.distance] + self.mask
+        a = np.exp(s - s.max(axis=2, keepdims=True))
+        a /= a.sum(axis=2, keepdims=True)
+        mixed = a @ v
+        h = np.tanh(mixed @ p["o"] + e @ p["r"] + p["b"])
+        z = h @ p["c"] + p["d"]
+        z = np.exp(z - z.max(axis=2, keepdims=True))
+        dz = z / z.sum(axis=2, keepdims=True)
+        dz.reshape(-1, CLASSES)[np.arange(y.size), y.ravel()] -= 1
+        dz *= (m / max(1.0, m.sum()))[:, :, None]
+        flat = lambda x: x.reshape(-1, x.shape[2])
+        g = {"c": flat(h).T @ flat(dz), "d": flat(dz).sum(axis=0)}
+        du = (dz @ p["c"].T) * (1 - h * h)
+        g |= {"o": flat(mixed).T @ flat(du), "r": flat(e).T @ flat(du), "b": flat(du).sum(axis=0)}
+        dmixed = du @ p["o"].T
+        dv, da = a.transpose(0, 2, 1) @ dmixed, dmixed @ v.transpose(0, 2, 1)
+        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        g["far"] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
+        ds *= root
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        g |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
+        de = flat(du @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
+        cell = ids.ravel()
+        g["e"] = np.stack([np.bincount(cell, weights=de[:, j], minlength=OWN + CLASSES) for j in range(DIM)], axis=1)
+        opt.step({x: y.astype(np.float32) for x, y in g.items()})
+
+    def copy(self) -> Attention:
+        out = copy.copy(self)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
 
     def tables(self) -> dict[str, np.ndarray]:
         """What an input contributes, by its embedding's row."""
@@ -380,6 +395,75 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndar
     return x[:, :-1], x[:, 1:], weight
 
 
+def _rows_of_ids(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each ended by the border, from their 16-bit numbers."""
+    flat = [np.frombuffer(x, "<u2") for x in packed]
+    offsets = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in flat], out=offsets[1:])
+    ids = np.full(int(offsets[-1]), BORDER, np.int64)
+    inside = np.ones(len(ids), bool)
+    inside[offsets[1:] - 1] = False
+    ids[inside] = np.concatenate(flat)
+    return ids, offsets
+
+
+def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and weights of windows that hold every id once as a target."""
+    n = np.diff(offsets)
+    count = -(-n // WINDOW)
+    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    place = number[:, None] * WINDOW + np.arange(WINDOW)
+    real = place < np.repeat(n, count)[:, None]
+    place = np.where(real, place, 0) + np.repeat(offsets[:-1], count)[:, None]
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[offsets[:-1]] = BORDER
+    return before[place], ids[place], real.astype(np.float32)
+
+
+def learn_all(spark: SparkSession, model: Attention, texts: DataFrame) -> int:
+    """Trains ``model`` on all windows of ``texts`` (ids): each task steps once
+    through its own from the model's weights, and the weights are averaged by
+    windows. Returns the number of windows."""
+    names, start = sorted(model.p), spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        net = start.value.copy()
+        opt, rng, learnt = Adam(net.p, RATE), np.random.default_rng(7), 0
+        held = None
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                new = windows(*_rows_of_ids(b.column(0).slice(lo, SLICE).to_pylist()))
+                order = rng.permutation(len(new[0]))
+                new = [x[order] for x in new]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+                learnt += len(order)
+                done = len(held[0]) // BATCH * BATCH
+                for at in range(0, done, BATCH):
+                    net.step(opt, *(x[at:at + BATCH] for x in held))
+                held = [x[done:] for x in held]
+        if held is not None and len(held[0]):
+            net.step(opt, *held)
+        if learnt:
+            flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64)
+            value = np.append(np.rint(flat * FINE).astype(np.int64) * learnt, learnt)
+            place = np.append(np.arange(len(flat)), -1)
+            for at in range(0, len(place), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(place[at:at + 50_000]), pa.array(value[at:at + 50_000])], ["place", "v"])
+
+    size = sum(x.size for x in model.p.values())
+    total = np.zeros(size + 1)
+    rows = texts.select("ids").mapInArrow(run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v"))
+    for r in rows.toLocalIterator():  # one row a weight, and the windows at -1
+        total[r.place] = r.v
+    if total[-1]:
+        flat, at = (total[:-1] / total[-1] / FINE).astype(np.float32), 0
+        for k in names:
+            model.p[k] = flat[at:at + model.p[k].size].reshape(model.p[k].shape)
+            at += model.p[k].size
+    return int(total[-1])
+
+
 def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text",
           tokenizer: str | None = None) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of
@@ -411,6 +495,7 @@ def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id"
     model = Attention(ids)
     if texts:
         model.train(*sample_windows(sample, tokenizer))
+        learn_all(spark, model, found.where("kind = 0 and learn"))
     shared = spark.sparkContext.broadcast((model, log_count))
     end_known, end_log = int(texts > 0), math.log10(texts + 1)
 
@@ -420,13 +505,7 @@ def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id"
         for b in batches:
             for lo in range(0, b.num_rows, SLICE):
                 s = b.slice(lo, SLICE)
-                flat = [np.frombuffer(x, "<u2") for x in s.column(4).to_pylist()]
-                offsets = np.zeros(len(flat) + 1, np.int64)
-                np.cumsum([len(x) + 1 for x in flat], out=offsets[1:])
-                text_ids = np.full(int(offsets[-1]), BORDER, np.int64)
-                inside = np.ones(len(text_ids), bool)
-                inside[offsets[1:] - 1] = False
-                text_ids[inside] = np.concatenate(flat)
+                text_ids, offsets = _rows_of_ids(s.column(4).to_pylist())
                 number = [np.frombuffer(x, "<u2") for x in s.column(5).to_pylist()]
                 value = logs[np.concatenate(number).astype(np.int64)]
                 text = np.repeat(np.arange(len(number)), [len(x) for x in number])
