@@ -92,6 +92,39 @@ def test_svd_finds_the_main_directions(spark):
     assert kept > 1.5 * power * op.RANK / 1500  # more than directions at random would hold
 
 
+def test_svd_products_hold_every_passage():
+    """Against one passage at a time."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)).encode() for n in (0, 1, 23, 24, 25, 48, 49, 72, 73, 500)]
+    idf = rng.random(op.BUCKETS + 1)
+    idf[-1] = 0
+    right = rng.standard_normal((op.BUCKETS + 1, 7))
+    cell, offsets = op._buckets(texts)
+    want = np.zeros((op.BUCKETS + 1, 7))
+    for lo, hi in op._passages(cell, offsets, 48):
+        c, k = np.unique(cell[lo:hi], return_counts=True)
+        x = k * idf[c]
+        x /= np.sqrt((x * x).sum())
+        want[c] += np.outer(x, x @ right[c])
+    got = np.zeros((op.BUCKETS + 1, 7))
+    op._product(got, (right * idf[:, None]).astype(np.float32), idf, cell, offsets)
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_svd_is_fitted_on_all_documents(spark):
+    """Documents of words of their own, of which a sample would hold a part: the
+    space holds the direction that the last one of many shares with none."""
+    rows = [(1, " ".join(f"a{i % 40}" for i in range(200))) for _ in range(2600)] + [(1, " ".join(f"z{i % 40}" for i in range(4000)))] * 20
+    d = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    df, n = op.document_frequency(d)
+    basis = op.randomised_svd(d, [], np.log((n + 1) / (df + 1)) + 0.01, n)
+    for letter in "az":
+        cell = op._buckets([" ".join(f"{letter}{i}" for i in range(40)).encode()])[0]
+        x = np.zeros(op.BUCKETS)
+        x[cell] += np.log((n + 1) / (df[cell] + 1)) + 0.01
+        assert np.linalg.norm(basis.T @ x) > 0.95 * np.linalg.norm(x)
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

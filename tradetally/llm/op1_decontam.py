@@ -10,8 +10,8 @@ cosine. What comes near enough is checked on the words themselves: the longest
 common subsequence with the item within the window and a margin, and, for
 paraphrases, that it holds the item's answer, its last sentence.
 
-The SVD is fitted on the passages of about ``SAMPLE`` documents and all items;
-document frequencies, candidates and checks cover everything.
+The SVD, document frequencies, candidates and checks cover all documents and
+items.
 
 Defined results: null or empty text is clean; null or wordless items and items
 without id find nothing; items of equal text are all reported; equal documents
@@ -35,10 +35,13 @@ from tradetally.llm.common import release, slices, stored, table, utf8, word_has
 BUCKETS = 1 << 14
 RANK = 64
 OVERSAMPLED = 8
-#: Documents whose passages fit the SVD, about, and the weight of an item's
-#: passage among them: the latent space has to tell the items apart.
-SAMPLE = 600
+#: Weight of an item's passage in the SVD for so many documents, more for more
+#: documents: the latent space has to tell the items apart in any corpus.
 ITEM_WEIGHT = 20
+DOCUMENTS = 600
+#: Words of half a passage of the SVD, and the steps of its partial sums.
+HALF = 24
+FINE = 1 << 20
 #: Words in a block; window lengths and the steps between their starts, in blocks.
 BLOCK = 4
 LENGTHS = ((5, 1), (9, 2), (13, 3))
@@ -98,40 +101,102 @@ def _passages(cell: np.ndarray, offsets: np.ndarray, size: int):
                 yield at, min(int(hi), at + size)
 
 
+def _grid(cell: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Half passages (halves x HALF buckets, filled up with BUCKETS), the first
+    half of each passage, and the passages' half overlapping rows of buckets."""
+    n = np.diff(offsets)
+    halves = np.where(n > 0, np.maximum(2, -(-n // HALF)), 0)
+    first = np.cumsum(halves) - halves
+    out = np.full(int(halves.sum()) * HALF, BUCKETS, np.int64)
+    out[np.arange(len(cell)) + np.repeat(first * HALF - offsets[:-1], n)] = cell
+    out = out.reshape(-1, HALF)
+    last = np.zeros(len(out), bool)
+    last[(first + halves - 1)[halves > 0]] = True
+    at = np.flatnonzero(~last)
+    return out, at, np.concatenate([out[at], out[at + 1]], axis=1)
+
+
+def _product(total: np.ndarray, right: np.ndarray, idf: np.ndarray, cell: np.ndarray, offsets: np.ndarray) -> None:
+    """Adds A'(A right) to ``total`` (BUCKETS + 1 rows), where A are the unit
+    TF-IDF vectors of the texts' passages; ``right`` is weighted by ``idf``."""
+    half, at, rows = _grid(cell, offsets)
+    if not len(at):
+        return
+    # lengths: equal buckets of a passage stand together and add up before they are squared
+    order = np.sort(rows, axis=1).ravel()
+    new = np.ones(len(order), bool)
+    new[1:] = order[1:] != order[:-1]
+    new[::rows.shape[1]] = True
+    run = np.flatnonzero(new)
+    weight = np.add.reduceat(idf[order], run)
+    norm = np.add.reduceat(weight * weight, np.searchsorted(run, np.arange(0, len(order), rows.shape[1])))
+    norm = np.maximum(1e-9, np.sqrt(norm))
+    sums = np.zeros((len(half), right.shape[1]), np.float32)
+    for lo in range(0, len(half), 2048):
+        sums[lo:lo + 2048] = right[half[lo:lo + 2048]].sum(axis=1)
+    y = (sums[at] + sums[at + 1]) / (norm * norm)[:, None].astype(np.float32)
+    back = np.zeros_like(sums)  # what the words of a half get, from both its passages
+    back[at] += y
+    back[at + 1] += y
+    flat = half.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    flat = flat[order]
+    for lo in range(0, len(flat), 1 << 16):
+        c = flat[lo:lo + (1 << 16)]
+        start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        part = np.add.reduceat(back[order[lo:lo + (1 << 16)] // HALF], start, axis=0)
+        total[c[start]] += part * idf[c[start]][:, None]
+
+
 def randomised_svd(docs: DataFrame, items: list[bytes], idf: np.ndarray, n: int) -> np.ndarray:
     """(BUCKETS x RANK) right singular vectors of the passages' TF-IDF matrix.
 
-    Two products with the matrix and its transpose on the sample, whose
-    partial sums are (bucket, vector) rows; the rest is small and local."""
-    lot = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, n // SAMPLE))) == 0
-    sample = stored(docs.sparkSession, docs.where(lot).limit(4 * SAMPLE).select("text").repartition(4), "svd-sample")
-    width = RANK + OVERSAMPLED
-
-    def product(right: np.ndarray | None):
-        def of(texts):
-            total, m = np.zeros((BUCKETS, width), np.float64), right if right is not None else _omega()
+    Two products with the matrix and its transpose over all ``n`` documents and
+    the items, whose partial sums are rows (bucket, vector) of whole numbers, so
+    that any order gives the same; the rest is small and local."""
+    def hashed(batches):
+        for b in batches:
+            texts = utf8(b.column(0))
             for lo, hi in slices(texts, SLICE, 300):
                 cell, offsets = _buckets(texts[lo:hi])
-                for s, e in _passages(cell, offsets, 48):
-                    c, k = np.unique(cell[s:e], return_counts=True)
-                    x = k * idf[c]
-                    x = x / max(1e-9, np.sqrt((x * x).sum()))
-                    total[c] += x[:, None] * (x @ m[c])
-            return total
+                cell = cell.astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array([cell[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())], ["cells"])
+            release()
+
+    spark, width = docs.sparkSession, RANK + OVERSAMPLED
+    cells = stored(spark, docs.select("text").mapInArrow(hashed, "cells binary"), "svd-cells")
+    idf = np.append(idf, 0.0)
+
+    def weighted(right: np.ndarray) -> np.ndarray:
+        return (np.vstack([right, np.zeros((1, width))]) * idf[:, None]).astype(np.float32)
+
+    def product(right: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(right)
 
         def run(batches):
-            total = np.zeros((BUCKETS, width), np.float64)
+            total, m = np.zeros((BUCKETS + 1, width)), weighted(shared.value)
             for b in batches:
-                total += of(utf8(b.column(0)))
-            some = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["bucket", "v"])
+                rows = [x or b"" for x in b.column(0).to_pylist()]
+                for lo, hi in slices(rows, 2 * SLICE // 8, 300):
+                    offsets = np.append(0, np.cumsum([len(x) // 2 for x in rows[lo:hi]])).astype(np.int64)
+                    _product(total, m, idf, np.frombuffer(b"".join(rows[lo:hi]), "<u2").astype(np.int64), offsets)
+            total = np.rint(total[:-1] * FINE).astype(np.int64)
+            some = np.flatnonzero(total.any(axis=1))
+            for at in range(0, len(some), 2048):
+                part = some[at:at + 2048]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(total[part, j])) for j in range(width))],
+                                                 ["bucket", *(f"v{j}" for j in range(width))])
+            release()
 
-        out = ITEM_WEIGHT * of(items)
-        for r in sample.mapInArrow(run, "bucket long, v binary").toLocalIterator():  # 4 tasks, at most BUCKETS rows each
-            out[r.bucket] += np.frombuffer(r.v, np.float64)
+        own = np.zeros((BUCKETS + 1, width))
+        _product(own, weighted(right), idf, *_buckets(items))
+        out = ITEM_WEIGHT * max(1.0, n / DOCUMENTS) * own[:-1]
+        rows = cells.mapInArrow(run, "bucket long, " + ", ".join(f"v{j} long" for j in range(width)))
+        for r in rows.groupBy("bucket").agg(*(F.sum(f"v{j}") for j in range(width))).toLocalIterator():  # at most BUCKETS rows
+            out[r[0]] += np.array(r[1:], np.float64) / FINE
         return out
 
-    q = np.linalg.qr(product(None))[0]
+    q = np.linalg.qr(product(_omega()))[0]
     y = product(q.astype(np.float32))  # A'A q, so that q'y is the projected Gram matrix
     value, vectors = np.linalg.eigh(q.T @ y)
     return (q @ vectors[:, np.argsort(-value)[:RANK]]).astype(np.float32)
