@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tradetally.llm import op6_pii as op
 
@@ -77,6 +78,16 @@ def test_no_seeds_and_empty_table(spark):
     assert op.find(spark, docs.limit(0)).count() == 0
 
 
+def test_support_does_not_grow_with_the_corpus(spark):
+    """A pattern of seven instances counts among 160,000 others as it does alone."""
+    rows = [(-1 - i, f"please call hotline +1 (988) 555-{2000 + i} today") for i in range(6)] + [(-9, "please call hotline 988553000 today")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.range(160_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("in the year "), F.col("id") + 1_000_000, F.lit(" we saw")).alias("text"))
+    for docs in (few, few.unionByName(many)):
+        spans = op.find(spark, docs).where("doc_id = -9").first().spans
+        assert [(s.kind, s.start, s.end, s.base) for s in spans] == [("phone", 20, 29, False)]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -9,8 +9,10 @@ instances that are of that kind, and the instances by a noisy-or over their
 accepted patterns; seeds keep the score 1. Instances that accepted patterns
 find with a high score join the seeds' kind.
 
-Accepted patterns need a support that grows with the graph, so their number
-stays below ``3 * PATTERN_SHARE``, whatever the input, and they are broadcast.
+Support and precision are the same for any size of the input. Accepted patterns
+can thus be many; they meet the candidates' patterns by a join that spreads
+each pattern over ``SPREAD`` tasks, and what is found returns to the texts by
+their hashes.
 
 Defined results: null text counts as empty and has no spans; equal rows are
 all returned; a corpus without seeds has no patterns; offsets count code
@@ -19,9 +21,7 @@ points, ends are exclusive; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -37,8 +37,8 @@ PRECISION = 0.8
 SUPPORT = 4
 SCORE = 0.8
 ROUNDS = 3
-#: A pattern holds at least one in so many instances.
-PATTERN_SHARE = 20_000
+#: Parts of a pattern's rows in joins.
+SPREAD = 32
 #: Digits that make a word an instance, and code points of context looked at.
 DIGITS = 5
 CONTEXT = 60
@@ -166,27 +166,56 @@ def graph(docs: DataFrame, text_col: str) -> DataFrame:
         edges, "pattern long, instance long, kind int").distinct()
 
 
-def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict[int, list[tuple[int, float]]]:
-    """Accepted patterns: (kind, confidence) by the pattern's key."""
+def by_pattern(rows: DataFrame, accepted: DataFrame, *lot: str) -> DataFrame:
+    """``rows`` joined with ``accepted`` by pattern; a pattern's rows are dealt by
+    the columns ``lot``, so that those of a frequent one do not meet in one task."""
+    part = F.pmod(F.xxhash64(*lot), F.lit(SPREAD)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    return rows.withColumn("part", part).join(accepted.withColumn("part", each), ["pattern", "part"]).drop("part")
+
+
+def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Accepted patterns: (pattern, kind, confidence)."""
     links = stored(spark, graph(docs, text_col), "pii-graph")
     seeds = stored(spark, links.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
     pairs = stored(spark, links.select("pattern", "instance").distinct(), "pii-pairs")
-    size = stored(spark, pairs.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
-    support = max(SUPPORT, math.ceil(pairs.count() / 3 / PATTERN_SHARE))
-    size = size.where(F.col("n") >= support)
+    size = stored(spark, pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pii-sizes")
     scores, accepted = seeds, None
     for _ in range(ROUNDS):
         sums = pairs.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("good"))
         rated = sums.join(size, "pattern").withColumn("confidence", F.col("good") / (F.col("n") + 0.5))
         accepted = stored(spark, rated.where(F.col("confidence") >= PRECISION).select("pattern", "kind", "confidence"), "pii-patterns")
-        found = pairs.join(accepted, "pattern").groupBy("instance", "kind").agg(
+        found = by_pattern(pairs, accepted, "instance").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         found = found.where(F.col("score") >= SCORE).join(seeds.select("instance").distinct(), "instance", "left_anti")
         scores = stored(spark, seeds.unionByName(found), "pii-scores")
-    out: dict[int, list[tuple[int, float]]] = {}
-    for r in accepted.collect():  # fewer than 3 * PATTERN_SHARE
-        out.setdefault(r.pattern, []).append((r.kind, r.confidence))
-    return out
+    return accepted
+
+
+def learnt_spans(spark: SparkSession, docs: DataFrame, accepted: DataFrame, text_col: str) -> DataFrame:
+    """(text_key, learnt): the spans (kind, start, end) that accepted patterns
+    find in the text of that SHA-256."""
+    def offer(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                key, out = b.column(0).slice(lo, 1000).to_pylist(), set()
+                for k, text in zip(key, b.column(1).slice(lo, 1000).to_pylist()):
+                    if text and _HINT.search(text):
+                        for s, e in candidates(text, base_spans(text)):
+                            out.update((k, s, e, _key(p)) for p in patterns(text, s, e))
+                rows = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])],
+                                                 ["text_key", "start", "end", "pattern"])
+
+    text = F.col(text_col).cast("string")
+    offered = docs.select(F.sha2(text, 256).alias("text_key"), text.alias("text")).mapInArrow(
+        offer, "text_key string, start long, end long, pattern long").distinct()
+    doubt = by_pattern(offered, accepted, "text_key", "start").groupBy("text_key", "start", "end", "kind").agg(
+        F.sum(F.log(1 - F.col("confidence"))).alias("doubt"))
+    best = doubt.groupBy("text_key", "start", "end").agg(F.min(F.struct("doubt", "kind")).alias("best"))
+    best = best.where(1 - F.exp("best.doubt") >= SCORE)
+    return stored(spark, best.groupBy("text_key").agg(F.collect_list(
+        F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("learnt")), "pii-learnt")
 
 
 def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col: str = "spans",
@@ -194,23 +223,20 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
     """The columns ``keep`` of ``docs`` (all, if not named) with a column of
     spans (kind, start, end, base), ordered by kind as in ``KINDS`` and start;
     ``base`` marks the fixed formats."""
-    known = spark.sparkContext.broadcast(learn(spark, docs, text_col))
     rest = [c for c in keep or docs.columns if c != out_col]
-
-    def mark(text: str) -> list[dict]:
+    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *rest)
+    accepted = learn(spark, docs, text_col)
+    if accepted.isEmpty():
+        rows = rows.select("_read", F.lit(None).cast("array<struct<kind:int,start:long,end:long>>").alias("_learnt"), *rest)
+    else:
+        more = learnt_spans(spark, docs, accepted, text_col).select(F.col("text_key").alias("_key"), F.col("learnt").alias("_learnt"))
+        rows = rows.withColumn("_key", F.sha2("_read", 256)).join(more, "_key", "left").select("_read", "_learnt", *rest)
+
+    def mark(text: str, learnt: list[dict]) -> list[dict]:
         if not text or not _HINT.search(text):
             return []
-        base = base_spans(text)
-        out = [(KINDS.index(k), s, e, True) for k, s, e in base]
-        for s, e in candidates(text, base) if known.value else ():
-            doubt = Counter()
-            for p in patterns(text, s, e):
-                for kind, confidence in known.value.get(_key(p), ()):
-                    doubt[kind] += math.log(1 - confidence)
-            if doubt:
-                kind = min(doubt, key=lambda k: (doubt[k], k))
-                if 1 - math.exp(doubt[kind]) >= SCORE:
-                    out.append((kind, s, e, False))
+        out = [(KINDS.index(k), s, e, True) for k, s, e in base_spans(text)]
+        out += [(x["kind"], x["start"], x["end"], False) for x in learnt or ()]
         return [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(out)]
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -219,10 +245,9 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
-                spans = pa.array([mark(t) for t in s.column(0).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*s.columns[1:], spans], [*rest, out_col])
+                spans = pa.array([mark(t, x) for t, x in zip(s.column(0).to_pylist(), s.column(1).to_pylist())], kind)
+                yield pa.RecordBatch.from_arrays([*s.columns[2:], spans], [*rest, out_col])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *rest)
     return rows.mapInArrow(run, with_fields(docs.select(*rest), **{out_col: _SPANS}))
 
 
