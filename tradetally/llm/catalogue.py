@@ -14,6 +14,7 @@ from tradetally.llm import (
     op8_substrings,
     op9_superminhash,
     op10_toxicity,
+    op13_fingerprints,
 )
 
 
@@ -29,9 +30,13 @@ def queries() -> dict:
         "op8_prefix_suffix_trees": op8_substrings.query,
         "op9_superminhash": op9_superminhash.query,
         "op10_bidirectional_gru": op10_toxicity.query,
+        "op13_closed_syncmers": op13_fingerprints.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_host_reputation": op7_urls.ORACLE_SQL}
+    return {
+        "op7_host_reputation": op7_urls.ORACLE_SQL,
+        "op13_closed_syncmers": op13_fingerprints.ORACLE_SQL,
+    }
