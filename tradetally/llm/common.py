@@ -29,12 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, name: str, with_path: bool = False):
     """``df`` written as a table of the shared folder and read again: a lost
-    executor costs its running tasks only, and what follows starts from files."""
+    executor costs its running tasks only, and what follows starts from files.
+    With ``with_path`` also the table's path, for ``dropped``."""
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back, path) if with_path else back
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that ``stored`` has written, once nothing reads them."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
