@@ -58,3 +58,19 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
             master, applicationId = "spark://host:7077", "x"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Fake)
+
+
+def test_hot_keys_are_broadcast_and_others_joined(spark):
+    rows = spark.createDataFrame([(i, i % 2 or i) for i in range(100)], "id long, k long")
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = c.join_counted(rows, per_key, ["k"], most=4).collect()
+    assert len(got) == 100 and all((r.n, r.top) == ((50, 99) if r.k == 1 else (1, r.id)) for r in got)
+    assert c.join_counted(rows.limit(0), per_key.limit(0), ["k"]).count() == 0
+
+
+def test_dropped_tables_are_gone(spark):
+    df, path = c.stored(spark, spark.range(3), "test", with_path=True)
+    assert df.count() == 3
+    c.dropped(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -107,10 +107,3 @@ def test_sql_gives_the_same(spark):
     want = con.sql(op.ORACLE_SQL)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
-
-
-def test_hot_keys_are_broadcast_and_others_joined(spark):
-    rows = spark.createDataFrame([(i, i % 2 or i) for i in range(100)], "id long, k long")
-    totals = rows.groupBy("k").count().withColumnRenamed("count", "n")
-    got = op.with_totals(rows, totals.withColumn("t", totals.n), ["k"], most=4).collect()
-    assert len(got) == 100 and all(r.t == (50 if r.k == 1 else 1) for r in got)

@@ -14,6 +14,7 @@ from tradetally.llm import (
     op8_substrings,
     op9_superminhash,
     op10_toxicity,
+    op11_prefix_trie,
     op12_codes,
     op13_fingerprints,
 )
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_prefix_suffix_trees": op8_substrings.query,
         "op9_superminhash": op9_superminhash.query,
         "op10_bidirectional_gru": op10_toxicity.query,
+        "op11_sketched_prefix_trie": op11_prefix_trie.query,
         "op12_adaptive_bounds": op12_codes.query,
         "op13_closed_syncmers": op13_fingerprints.query,
         "pipeline": corpus_pipeline.run,
@@ -40,6 +42,7 @@ def queries() -> dict:
 def oracles() -> dict[str, str]:
     return {
         "op7_host_reputation": op7_urls.ORACLE_SQL,
+        "op11_sketched_prefix_trie": op11_prefix_trie.ORACLE_SQL,
         "op12_adaptive_bounds": op12_codes.ORACLE_SQL,
         "op13_closed_syncmers": op13_fingerprints.ORACLE_SQL,
     }

@@ -46,6 +46,18 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """``rows`` with the row of ``per_key`` for their keys, which are never
+    null; its column ``n`` counts the rows of the key. Keys that hold at least
+    1/``most`` of all rows, of which there are at most ``most``, are broadcast;
+    all other keys are small and joined by key."""
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * most >= total
+    hot = F.broadcast(per_key.where(often))
+    rare = rows.join(F.broadcast(per_key.where(often).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rare.join(per_key.where(~often), keys))
+
+
 def release() -> None:
     """Hands freed memory back to the system: Python workers live on between
     stages, and what they keep would add up."""

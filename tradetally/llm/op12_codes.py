@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import dropped, stored, table
+from tradetally.llm.common import dropped, join_counted, stored, table
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 SCALE, LIMIT = 256.0, 1 << 25
@@ -276,22 +276,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = done.groupBy(*named).agg(F.expr("try_cast(sum(CAST(error AS DECIMAL(38,0))) AS BIGINT)").alias("label_error"),
                                       F.count("*").alias("n"))
     done = done.select("*", *named)
-    joined = with_totals(done, totals, ["none", "of"])
+    joined = join_counted(done, totals, ["none", "of"])
     return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
                          F.lit(digest(books)).alias("codebooks_sha256"))
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
-    """``rows`` with the row of ``totals`` (n: rows of the key) for their key.
-    Keys that hold at least 1/``most`` of all rows, of which there are at most
-    ``most``, are broadcast; all other keys are small and joined by key."""
-    share = F.col("n") * most >= F.lit(rows.count())
-    hot = F.broadcast(totals.where(share).drop("n"))
-    rare = totals.where(~share).drop("n")
-    found = rows.join(hot, keys)
-    return found.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rare, keys))
-
-
 def _assign_sql(books: str, out: str) -> str:
     return f"""{out} AS (SELECT vec_id, label, row, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
     SELECT v.vec_id, v.label, v.row, v.p, b.e,
