@@ -199,3 +199,70 @@ def test_fingerprint_streams_a_sparse_large_file(spark, tmpdir_path):
         h.update(bytes(1 << 20))
     h.update(bytes(size % (1 << 20)))
     assert (row["length"], row["sha256"]) == (size, h.hexdigest())
+
+
+@pytest.fixture()
+def small_splits(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield use
+    for k, v in before.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def _messy_csv(path, files=2, rows=400):
+    import random
+    r = random.Random(7)
+
+    def field():
+        return r.choice(['"two\nlines, and ""quotes"" ' + "x" * r.randrange(60) + '"', '"a\r\n\n\nb"', '""', "plain",
+                         '"' + "line\n" * r.randrange(300) + '"', "é 日本"])
+
+    for f in range(files):
+        with open(f"{path}/f{f}.csv", "w", newline="", encoding="utf-8") as out:
+            out.write(("\ufeff" if f else "") + "id,b,c,d\n")
+            for i in range(rows):
+                out.write(f"{f}-{i},{field()},{field()},x" + (",extra" if i % 97 == 0 else "") + "\n")
+    return [f"{f}-{i}" for f in range(files) for i in range(rows)]
+
+
+@pytest.mark.parametrize("size", ["64m", "7k", "900"])
+def test_line_breaks_in_split_files_equal_the_whole_file_load(spark, tmpdir_path, small_splits, size):
+    from tradetally.operators.normalise import MALFORMED
+    from tradetally.sources import quoted
+    ids = _messy_csv(tmpdir_path)
+    whole = readers.read_csv_raw(spark, tmpdir_path, multiline=True)
+    want = sorted(map(str, map(tuple, whole.collect())))
+    small_splits(size)
+    got = quoted.read_quoted_csv(spark, tmpdir_path, whole.columns[:-1], MALFORMED).collect()
+    assert sorted(str(tuple(r)[:-1]) for r in got) == want
+    assert [r[0] for r in sorted(got, key=lambda r: r.ingest_seq)] == ids
+    assert sum(r[MALFORMED] is not None for r in got) == 10
+    if size == "900":  # most splits lie within fields
+        assert quoted.crossings(spark, tmpdir_path).count() > 100
+
+
+def test_line_breaks_crlf_latin1_and_unclosed_quotes(spark, tmpdir_path, small_splits):
+    from tradetally.sources import quoted
+    with open(f"{tmpdir_path}/l.csv", "w", newline="", encoding="latin-1") as out:
+        out.write("id,name\r\n" + "".join(f'{i},"Société\r\n{i}"\r\n' for i in range(300)))
+    small_splits("1k")
+    got = quoted.read_quoted_csv(spark, f"{tmpdir_path}/l.csv", ["id", "name"], "bad", "latin-1").collect()
+    assert sorted((int(r.id), r.name) for r in got) == [(i, f"Société\r\n{i}") for i in range(300)]
+    with open(f"{tmpdir_path}/u.csv", "w") as out:
+        out.write('id,name\n1,"never closed\n2,x\n')
+    with pytest.raises(quoted.UnclosedQuote):
+        quoted.read_records(spark, f"{tmpdir_path}/u.csv")
+
+
+def test_multiline_feed_in_many_splits(spark, tmpdir_path, small_splits):
+    body = [ROW.format(i=i, q=10, c=1855.0).replace("CITI", f'"CITI\nLondon {i}"') for i in range(500)]
+    write(f"{tmpdir_path}/m.csv", body)
+    small_splits("2k")
+    df = readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a", multiline=True)
+    assert df.count() == 500 and df.rdd.getNumPartitions() > 8
+    assert {r.counterparty for r in df.collect()} == {f"CITI\nLondon {i}" for i in range(500)}

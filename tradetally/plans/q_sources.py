@@ -70,6 +70,22 @@ def csv_load(spark, sf_dir):
     return readers.load_csv(spark, path, "source_a", date_format="%Y-%m-%d").select(*CANON)
 
 
+# every seventh counterparty has an address of several lines, with a quote and a comma
+_ADDRESS = "counterparty || chr(10) || 'Floor \"2\", ' || broker || chr(10) || chr(10) || 'x'"
+
+
+@query("csv_multiline", S.with_ctes(S.FEEDS, f"""SELECT {CANON_SQL.replace("counterparty", f"""
+    CASE WHEN CAST(substr(isin, 3) AS BIGINT) % 7 = 0 THEN {_ADDRESS} ELSE counterparty END AS counterparty""")} FROM feed_a"""))
+def csv_multiline(spark, sf_dir):
+    """S1 with line breaks in quoted fields: split by quote parity."""
+    path = _fixture_dir(spark, "feed_a_multiline")
+    long = F.concat("counterparty", F.lit('\nFloor "2", '), "broker", F.lit("\n\nx"))
+    odd = F.substring("isin", 3, 10).cast("long") % 7 == 0
+    feed = feed_a(spark, sf_dir).withColumn("counterparty", F.when(odd, long).otherwise(F.col("counterparty")))
+    feed.select(*[c for c in CANON if c != "source"]).write.option("header", True).option("escape", '"').csv(path)
+    return readers.load_csv(spark, path, "source_a", date_format="%Y-%m-%d", multiline=True).select(*CANON)
+
+
 @query("fixed_width_load", _FEED_A_CANON)
 def fixed_width_load(spark, sf_dir):
     """Fixed-width slices of a header-less text file."""

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tradetally.functions.text import strip, upper_trim
 from tradetally.operators.normalise import MALFORMED, check_required_columns, date_failures, normalise
+from tradetally.sources import quoted
 from tradetally.sources.files import file_fingerprint
 
 
@@ -92,7 +93,8 @@ def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8",
                  multiline: bool = False) -> DataFrame:
     """All-string CSV read (no schema inference); quoted fields may hold commas.
     ``multiline=True`` allows line breaks inside quoted fields, at the price of
-    one task per file (such files cannot be split). A row with more or fewer
+    one task per file; ``load_csv`` reads such files in many tasks
+    (``sources.quoted``). A row with more or fewer
     fields than the header has its whole text in the column ``MALFORMED``."""
     reader = (spark.read.option("header", True).option("inferSchema", False)
               .option("escape", '"').option("encoding", encoding)
@@ -107,9 +109,17 @@ def read_csv_raw(spark: SparkSession, path: str, encoding: str = "utf-8",
 def load_csv(spark: SparkSession, path: str, source_name: str, encoding: str = "utf-8",
              date_format: str | None = None, dates: str = "strict",
              multiline: bool = False) -> DataFrame:
-    """S1."""
+    """S1. ``multiline=True`` allows line breaks inside quoted fields; its files
+    are split like others, except in an encoding of wide characters."""
     _exists(spark, path)
-    raw = with_ingest_seq(read_csv_raw(spark, path, encoding, multiline))
+    if multiline and quoted.splittable(encoding):
+        names = read_csv_raw(spark, path, encoding, multiline).columns[:-1]
+        try:
+            raw = quoted.read_quoted_csv(spark, path, names, MALFORMED, encoding)
+        except quoted.UnclosedQuote as e:
+            raise SourceError(f"CSV file {path}: {e}") from e
+    else:
+        raw = with_ingest_seq(read_csv_raw(spark, path, encoding, multiline))
     return _finish(raw, source_name, date_format, dates, f"CSV file {path}")
 
 
