@@ -197,3 +197,19 @@ def test_concat_and_run_status(spark):
     st = spark.createDataFrame([(1, 0), (1, 5), (0, 5)], "e int, t int").select(
         summary.run_status(F.col("e"), F.col("t")).alias("s")).collect()
     assert [r["s"] for r in st] == ["FAILED", "PARTIAL", "COMPLETED"]
+
+
+def test_events_of_one_instant_have_an_order(spark, tmpdir_path):
+    import datetime as dt
+    from tradetally.sinks.ledger import Ledger, latest_run_state
+    led = Ledger(spark, tmpdir_path, writer="w1")
+    future = dt.datetime(2999, 1, 1)
+    led.create_run("r", dt.date(2024, 1, 1), started_at=future)   # this writer's clock was ahead
+    led.complete_run("r", "FAILED")
+    led.complete_run("r", "COMPLETED")
+    row = led.get_run("r").first()
+    assert (row.status, row.event_seq, row.updated_at, row.writer) == ("COMPLETED", 2, future, "w1")
+    ev = [("r", future, n, w, "create") for n, w in [(0, "a"), (1, "a"), (1, "c"), (1, "b")]]
+    for order in (ev, ev[::-1]):
+        df = spark.createDataFrame(order, "run_id string, updated_at timestamp, event_seq long, writer string, event string")
+        assert [(r.event_seq, r.writer) for r in latest_run_state(df.repartition(3)).collect()] == [(1, "c")]

@@ -266,3 +266,77 @@ def test_multiline_feed_in_many_splits(spark, tmpdir_path, small_splits):
     df = readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a", multiline=True)
     assert df.count() == 500 and df.rdd.getNumPartitions() > 8
     assert {r.counterparty for r in df.collect()} == {f"CITI\nLondon {i}" for i in range(500)}
+
+
+def _root(data, chunk, fanout):
+    level = [hashlib.sha256(data[i:i + chunk]).hexdigest() for i in range(0, max(1, len(data)), chunk)]
+    while len(level) > 1:
+        groups = [level[i:i + fanout] for i in range(0, len(level), fanout)]
+        level = [g[0] if len(groups) == 1 == len(g) else hashlib.sha256("".join(g).encode()).hexdigest() for g in groups]
+    return level[0]
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_merkle_roots_equal_plain_hash_trees(spark, tmpdir_path, partitions):
+    data = {"one": b"abc", "exact": b"x" * 4000, "long": os.urandom(123_457), "level": os.urandom(9 * 1000 + 1)}
+    for name, content in data.items():
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(content)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.path.rsplit("/", 1)[1]: r for r in files.merkle_roots(spark, tmpdir_path, 1000, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {n: r.merkle_root for n, r in got.items()} == {n: _root(d, 1000, 3) for n, d in data.items()}
+    assert got["long"].chunks == 124
+
+
+def _dates(spark, **columns):
+    rows = list(zip(*columns.values()))
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+
+
+def test_one_date_format_is_elected_for_a_column(spark):
+    from tradetally.operators.elect import DateFormatError, elect
+    assert elect(_dates(spark, trade_date=["03/04/2024", " 13/04/2024 ", "N/A"]), ["trade_date"]) == {"trade_date": "dd/MM/yyyy"}
+    assert elect(_dates(spark, trade_date=["03/04/2024", "03/14/2024"]), ["trade_date"]) == {"trade_date": "MM/dd/yyyy"}
+    # all values read alike both ways: no ambiguity
+    assert elect(_dates(spark, trade_date=["03/03/2024", "04/04/2024"]), ["trade_date"]) == {"trade_date": "MM/dd/yyyy"}
+    # another column of the source decides
+    both = _dates(spark, trade_date=["03/04/2024", "05/06/2024"], settlement_date=["05/04/2024", "25/06/2024"])
+    assert set(elect(both, ["trade_date", "settlement_date"]).values()) == {"dd/MM/yyyy"}
+    with pytest.raises(DateFormatError, match="ambiguous"):
+        elect(_dates(spark, trade_date=["03/04/2024", "05/06/2024"]), ["trade_date"])
+    with pytest.raises(DateFormatError, match="no known format"):
+        elect(_dates(spark, trade_date=["14/04/2024", "2024-04-14"]), ["trade_date"])
+    # quarantine: the format of most values, the others fail row by row
+    assert elect(_dates(spark, trade_date=["2024-04-13", "2024-04-14", "14/04/2024"]), ["trade_date"], whole=False) == {
+        "trade_date": "yyyy-MM-dd"}
+    assert elect(_dates(spark, trade_date=[None, ""]), ["trade_date", "settlement_date"]) == {}
+
+
+def test_load_reads_a_column_in_one_format(spark, tmpdir_path):
+    import datetime as dt
+    days = ["03/04/2024", "13/04/2024"]
+    rows = [ROW.format(i=i, q=10, c=1855.0).replace("2024-01-15", d).replace("2024-01-17", d) for i, d in enumerate(days)]
+    write(f"{tmpdir_path}/d.csv", rows)
+    got = {r.trade_id: r.trade_date for r in readers.load_csv(spark, f"{tmpdir_path}/d.csv", "a").collect()}
+    assert got == {"T0": dt.date(2024, 4, 3), "T1": dt.date(2024, 4, 13)}
+    write(f"{tmpdir_path}/m.csv", rows + [ROW.format(i=9, q=10, c=1855.0)])
+    with pytest.raises(readers.SourceError, match="no known format"):
+        readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a")
+    q = readers.load_csv(spark, f"{tmpdir_path}/m.csv", "a", dates="quarantine").collect()
+    assert {r.trade_id for r in q if r.date_parse_failed} == {"T9"}
+    write(f"{tmpdir_path}/u.csv", rows[:1])
+    with pytest.raises(readers.SourceError, match="ambiguous"):
+        readers.load_csv(spark, f"{tmpdir_path}/u.csv", "a")
+
+
+def test_malformed_security_master_rows_fail_or_are_kept(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/ref.csv", "w") as f:
+        f.write("ticker,name,asset_class\nAAA,Alpha,EQUITY\nBBB,Beta, Inc,EQUITY\nCCC,Gamma\n")
+    with pytest.raises(readers.SourceError, match="2 malformed"):
+        readers.load_reference_csv(spark, f"{tmpdir_path}/ref.csv")
+    got = readers.load_reference_csv(spark, f"{tmpdir_path}/ref.csv", malformed="quarantine").collect()
+    assert len(got) == 3 and [r.malformed_row for r in got if r.malformed_row] == ["BBB,Beta, Inc,EQUITY", "CCC,Gamma"]

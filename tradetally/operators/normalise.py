@@ -109,14 +109,15 @@ def check_required_columns(df: DataFrame) -> list[str]:
     return [c for c in REQUIRED_COLUMNS if c not in have]
 
 
-def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
+def normalise(df: DataFrame, source_name: str, date_format: str | dict[str, str] | None = None,
               aliases: dict[str, str] = COLUMN_ALIASES, fold_na: bool = True,
               keep_raw_dates: bool = False, drop_empty: bool = True) -> DataFrame:
     """P1, S8, P3, P4, P5, P6, P7 in one projection, then P8 (or, with
     ``drop_empty=False``, an ``empty_row`` flag instead of the drop).
 
     The steps compose per column, so each raw column feeds exactly one output
-    expression (the step-by-step helpers above stay available on their own)."""
+    expression (the step-by-step helpers above stay available on their own).
+    ``date_format`` may name a format for each date column."""
     out = normalise_columns(df, aliases)
     source_cols = [c for c in out.columns if c not in META_COLUMNS]
     # P8 on the NA-folded source text: a cheap predicate next to the scan
@@ -146,7 +147,7 @@ def normalise(df: DataFrame, source_name: str, date_format: str | None = None,
         elif c in DATE_COLUMNS:
             if keep_raw_dates:
                 cols.append(x.alias(c + "_raw"))
-            x = parse_date(x, date_format)
+            x = parse_date(x, date_format.get(c) if isinstance(date_format, dict) else date_format)
         elif c in NUMERIC_COLUMNS:
             x = parse_number(x)
         elif t == "string":

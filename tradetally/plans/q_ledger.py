@@ -80,6 +80,22 @@ def runs_latest(spark, sf_dir):
         "run_id", "status", "event", "updated_at", "event_seq", "total_breaks")
 
 
+@query("runs_latest_clock", """
+WITH ev AS (SELECT 'run-' || CAST(user_id % 10 AS VARCHAR) AS run_id, date_trunc('day', ts) AS updated_at,
+    event_id % 4 AS event_seq, 'writer-' || CAST(event_id // 4 % 5 AS VARCHAR) || '-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS writer,
+    CASE WHEN event_type = 'signup' THEN 'create' ELSE 'complete' END AS event FROM events)
+SELECT run_id, updated_at, event_seq, writer, event FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_at DESC, event_seq DESC, writer DESC) AS rn FROM ev
+) WHERE rn = 1 AND run_id IN (SELECT run_id FROM ev WHERE event = 'create')""")
+def runs_latest_clock(spark, sf_dir):
+    """W4 with many events of one instant: number and writer decide."""
+    ev = run_events(spark, sf_dir).withColumn("id", F.col("event_seq")).select(
+        "run_id", F.date_trunc("day", "updated_at").alias("updated_at"), (F.col("id") % 4).alias("event_seq"),
+        F.concat(F.lit("writer-"), (F.floor(F.col("id") / 4) % 5).cast("string"), F.lit("-"),
+                 F.lpad(F.col("id").cast("string"), 12, "0")).alias("writer"), "event")
+    return L.latest_run_state(ev).select("run_id", "updated_at", "event_seq", "writer", "event")
+
+
 @query("run_lookup", S.with_ctes(RUN_EVENTS_SQL, """
 SELECT run_id, status, updated_at FROM runs WHERE run_id = 'run-7'"""))
 def run_lookup(spark, sf_dir):

@@ -9,6 +9,7 @@ from tradetally.functions.dates import parse_date
 from tradetally.operators import dedupe, joins, routing, summary
 from tradetally.operators import validate as V
 from tradetally.operators.compare import Checks
+from tradetally.operators.elect import elect
 from tradetally.operators.normalise import MALFORMED
 from tradetally.operators.reconcile import reconcile
 from tradetally.plans import sql_dirty as D
@@ -103,6 +104,39 @@ def dates_inferred(spark, sf_dir):
     return o.select("o_orderkey", parse_date(text).alias("parsed"))
 
 
+@query("dates_elected", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS trade_date,
+  make_date(year(o_orderdate), month(o_orderdate), least(day(o_orderdate), 12)) AS settlement_date,
+  'dd/MM/yyyy' AS trade_format, 'dd/MM/yyyy' AS settlement_format FROM orders""")
+def dates_elected(spark, sf_dir):
+    """P4 without a format, for the whole column: days first, and a column
+    that no value of its own decides takes the format of the source."""
+    d = F.to_date("o_orderdate")
+    early = F.make_date(F.year(d), F.month(d), F.least(F.dayofmonth(d), F.lit(12)))
+    src = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(d, "dd/MM/yyyy").alias("trade_date"),
+                                                F.date_format(early, "dd/MM/yyyy").alias("settlement_date"))
+    found = elect(src, ["trade_date", "settlement_date"])
+    return src.select("o_orderkey", *[parse_date(F.col(c), f).alias(c) for c, f in found.items()],
+                      F.lit(found["trade_date"]).alias("trade_format"),
+                      F.lit(found["settlement_date"]).alias("settlement_format"))
+
+
+@query("reference_csv_malformed", "WITH " + MASTER_SQL.strip() + """
+SELECT upper(ticker) AS ticker, CASE WHEN length(ticker) % 2 = 1 THEN NULL ELSE security_name END AS security_name,
+  length(ticker) % 2 = 1 AS malformed FROM master""")
+def reference_csv_malformed(spark, sf_dir):
+    """Rows of a security master that do not fit its header are kept and marked."""
+    path = _fixture_dir(spark, "master_malformed")
+    master = security_master_table(spark, sf_dir)
+    odd = F.length("ticker") % 2 == 1
+    line = F.concat("ticker", F.lit(","), "security_name", F.lit(","), "asset_class", F.when(odd, ",x,y").otherwise(""))
+    lines = master.select(line.alias("ticker,security_name,asset_class"))
+    lines.write.option("header", True).option("quote", "").option("sep", "\uffff").csv(path)
+    back = readers.load_reference_csv(spark, path, malformed="quarantine")
+    ticker = F.coalesce(F.col("ticker"), F.upper(F.split_part(F.col(MALFORMED), F.lit(","), F.lit(1))))
+    return back.select(ticker.alias("ticker"), "security_name", F.col(MALFORMED).isNotNull().alias("malformed"))
+
+
 _AUDIT = "SELECT event_id, user_id % 13 AS r, event_type, CAST(floor(value * 10) AS BIGINT) AS duration_ms FROM events"
 
 

@@ -139,6 +139,30 @@ def file_fingerprint(spark, sf_dir):
     return fp.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "sha256")
 
 
+#: Bytes of a chunk and children of a node in the query below.
+_CHUNK, _FANOUT = 4096, 16
+_HEX = 2 * _CHUNK
+
+
+def _level(source: str) -> str:
+    return f"""SELECT name, length, chunks, place // {_FANOUT} AS place,
+      CASE WHEN count(*) = 1 AND place // {_FANOUT} = 0 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+      FROM {source} GROUP BY name, length, chunks, place // {_FANOUT}"""
+
+
+@query("file_merkle_roots", f"""
+WITH f AS (SELECT regexp_extract(filename, '[^/]+$') AS name, size AS length, hex(content) AS h,
+    greatest(1, CAST(ceil(size / {_CHUNK}) AS BIGINT)) AS chunks FROM read_blob('/root/testdata/sf0.01/*.parquet')),
+l0 AS (SELECT name, length, chunks, place, sha256(unhex(substr(h, place * {_HEX} + 1, {_HEX}))) AS digest
+    FROM (SELECT *, unnest(range(chunks)) AS place FROM f)),
+l1 AS ({_level("l0")}), l2 AS ({_level("l1")}), l3 AS ({_level("l2")})
+SELECT name, length, chunks, digest AS merkle_root FROM l3""")
+def file_merkle_roots(spark, sf_dir):
+    """A hash tree over every file's chunks, hashed in many tasks."""
+    roots = files.merkle_roots(spark, os.path.join(sf_dir, "*.parquet"), chunk_bytes=_CHUNK, fanout=_FANOUT)
+    return roots.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "chunks", "merkle_root")
+
+
 @query("source_profile", """
 SELECT regexp_extract(filename, '[^/]+$') AS name, size AS length, size < 10 AS too_small, true AS found
 FROM read_blob('/root/testdata/sf0.01/*.parquet')

@@ -160,6 +160,9 @@ RUN_EVENT_SCHEMA = T.StructType([
     T.StructField("error_message", T.StringType()),
     T.StructField("updated_at", T.TimestampType()),
     T.StructField("event", T.StringType()),
+    # with updated_at the event's logical time: place among events of one instant, and who wrote it
+    T.StructField("event_seq", T.LongType()),
+    T.StructField("writer", T.StringType()),
 ])
 
 AUDIT_SCHEMA = T.StructType([

@@ -29,14 +29,13 @@ class LedgerError(ValueError):
 
 
 def latest_run_state(events: DataFrame) -> DataFrame:
-    """Current state per run = its latest event (ties broken by the
-    event's own sort key); runs without a create event are dropped (an UPDATE
+    """Current state per run = its latest event by logical time: instant,
+    then ``event_seq``, then ``writer``, as far as the events have them; runs without a create event are dropped (an UPDATE
     of an unknown id changes nothing). Partial aggregation keeps a run with a
     huge number of events cheap."""
     created = events.where(F.col("event") == "create").select("run_id").distinct()
     cols = [c for c in events.columns if c != "run_id"]
-    order = F.struct(F.col("updated_at"), F.col("event_seq")) if "event_seq" in events.columns \
-        else F.col("updated_at")
+    order = F.struct(*[c for c in ("updated_at", "event_seq", "writer") if c in events.columns])
     latest = events.groupBy("run_id").agg(F.max_by(F.struct(*cols), order).alias("s"))
     return latest.join(created, "run_id", "left_semi").select("run_id", "s.*")
 
@@ -81,8 +80,17 @@ class Ledger:
     """Tables under ``root`` (a shared folder): ``runs/``, ``breaks/``,
     ``audit/``, ``explanations/``."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, writer: str | None = None):
+        """``writer`` names who writes run events; it decides between two
+        events of one instant and number, and must differ between writers."""
+        self.spark, self.root, self.writer = spark, root, writer or uuid.uuid4().hex
+
+    def _clock(self, now: dt.datetime, seen: tuple[dt.datetime, int | None] | None = None) -> dict:
+        """Logical time of a new event: later than the one it has ``seen``, even
+        within one instant or where this writer's clock is behind."""
+        if seen and seen[0] >= now:
+            return {"updated_at": seen[0], "event_seq": (seen[1] or 0) + 1, "writer": self.writer}
+        return {"updated_at": now, "event_seq": 0, "writer": self.writer}
 
     def _p(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -118,7 +126,7 @@ class Ledger:
         ev = self._run_event(run_id=run_id, run_date=run_date, started_at=now, status="RUNNING",
                              total_breaks=0, critical_breaks=0, high_breaks=0, medium_breaks=0,
                              source_a_count=0, source_b_count=0, matched_count=0,
-                             email_sent=False, updated_at=now, event="create")
+                             email_sent=False, event="create", **self._clock(now))
         ev.write.mode("append").parquet(self._p("runs"))
 
     def complete_run(self, run_id: str, status: str, counts: dict | None = None,
@@ -130,8 +138,8 @@ class Ledger:
         base = prev.asDict() if prev else {"run_id": run_id}
         base.update(counts or {})
         base.update(status=status, completed_at=now, report_path=report_path,
-                    email_sent=email_sent, error_message=error_message, updated_at=now,
-                    event="complete")
+                    email_sent=email_sent, error_message=error_message, event="complete",
+                    **self._clock(now, (prev["updated_at"], prev["event_seq"]) if prev else None))
         self._run_event(**base).write.mode("append").parquet(self._p("runs"))
 
     def runs(self) -> DataFrame:

@@ -16,6 +16,8 @@ from tradetally.schemas import MIN_FILE_SIZE_BYTES
 
 
 CHUNK_BYTES = 8 << 20
+#: Children of a node of a file's hash tree.
+FANOUT = 1024
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +43,50 @@ def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).select("path", "length").mapInArrow(digest, "path string, length long, sha256 string")
 
 
-def _open(path: str):
-    """Byte stream of a file that the ``binaryFile`` source has listed."""
+def merkle_roots(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """S5 for huge files: path, length, chunks and the root of a hash tree over
+    the file's chunks, which are read and hashed in many tasks.
+
+    A leaf is the SHA-256 of ``chunk_bytes`` bytes (the last one of what is
+    left; empty files are not listed); a node is the SHA-256 of the hex
+    digests of up to ``fanout`` children in a row. A file of one chunk has its
+    leaf as root. Levels follow the longest file, so no group has more than
+    ``fanout`` rows, and the root does not depend on how chunks are dealt."""
+    sizes = _binary(spark, path).select("path", "length")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("length") / chunk_bytes)).cast("long")
+    sizes = sizes.withColumn("chunks", chunks)
+    longest = sizes.agg(F.max("chunks")).first()[0] or 0
+
+    def digest(batches):
+        for b in batches:
+            out = []
+            for name, i in zip(b["path"].to_pylist(), b["place"].to_pylist()):
+                with _open(name, seek=True) as f:
+                    f.seek(i * chunk_bytes)
+                    out.append(hashlib.sha256(f.read(chunk_bytes)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b["path"], b["place"], pa.array(out, pa.string())],
+                                             ["path", "place", "digest"])
+
+    places = sizes.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("place"))
+    nodes = places.repartition("path", "place").mapInArrow(digest, "path string, place long, digest string")
+    while longest > 1:
+        children = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        nodes = nodes.groupBy("path", F.floor(F.col("place") / fanout).alias("at")).agg(children.alias("c")).select(
+            "path", F.col("at").alias("place"), F.when(F.size("c") + F.col("at") == 1, F.col("c")[0]["digest"]).otherwise(
+                F.sha2(F.array_join(F.transform("c", lambda c: c["digest"]), ""), 256)).alias("digest"))
+        longest = -(-longest // fanout)
+    return sizes.join(nodes.select("path", F.col("digest").alias("merkle_root")), "path")
+
+
+def _open(path: str, seek: bool = False):
+    """Byte stream of a file that the ``binaryFile`` source has listed; with
+    ``seek`` one that can begin at any place."""
     scheme, _, rest = path.partition(":")
     if scheme == "file" or not rest:
-        return fs.LocalFileSystem().open_input_stream("/" + (rest or path).lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-    return system.open_input_stream(inner)
+        system, inner = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    else:
+        system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(inner) if seek else system.open_input_stream(inner)
 
 
 def source_profile(spark: SparkSession, path: str, expected: Sequence[str] | None = None,

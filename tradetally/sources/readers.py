@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradetally.functions.text import strip, upper_trim
-from tradetally.operators.normalise import MALFORMED, check_required_columns, date_failures, normalise
+from tradetally.operators.elect import DateFormatError, elect
+from tradetally.operators.normalise import (MALFORMED, check_required_columns, date_failures, normalise,
+                                            normalise_columns)
+from tradetally.schemas import DATE_COLUMNS
 from tradetally.sources import quoted
 from tradetally.sources.files import file_fingerprint
 
@@ -36,11 +39,17 @@ def with_ingest_seq(df: DataFrame) -> DataFrame:
 def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str,
             what: str, fold_na: bool = True) -> DataFrame:
     """Normalise, check required columns (plan time), then the S7 empty check
-    and the P4 date policy: ``strict`` checks every date in one aggregate job
+    and the P4 date policy. Without ``date_format`` one format is elected for each
+    date column first (``operators.elect``). ``strict`` checks every date in one aggregate job
     now; ``strict_lazy`` folds the check into the parse, so the first job
     that uses the dates fails instead (no extra pass over the source);
     ``quarantine`` flags rows with ``date_parse_failed`` and keeps the text of
     malformed rows in ``MALFORMED``, which the strict policies reject."""
+    if date_format is None:
+        try:
+            date_format = elect(normalise_columns(df), DATE_COLUMNS, fold_na=fold_na, whole=dates != "quarantine")
+        except DateFormatError as e:
+            raise SourceError(f"Failed to parse date columns of '{source_name}': {e}") from e
     norm = normalise(df, source_name, date_format, fold_na=fold_na, keep_raw_dates=True)
     missing = check_required_columns(norm)
     if missing:
@@ -193,12 +202,24 @@ __all__ = ["load_csv", "load_fixed_width", "load_query", "load_frame", "load_sou
 
 
 def load_reference_csv(spark: SparkSession, path: str, key: str = "ticker",
-                       encoding: str = "utf-8") -> DataFrame:
+                       encoding: str = "utf-8", malformed: str = "fail") -> DataFrame:
     """Security master CSV (ticker, isin, name, asset_class, currency),
-    all strings, keys trimmed and upper-cased; malformed rows are left out."""
+    all strings, keys trimmed and upper-cased. Rows that do not fit the header
+    fail the load; ``malformed="quarantine"`` keeps every row, with the text of
+    such rows in the column ``MALFORMED`` and their fields NULL."""
+    if malformed not in ("fail", "quarantine"):
+        raise ValueError(f"malformed must be 'fail' or 'quarantine', not {malformed!r}")
     _exists(spark, path)
     df = read_csv_raw(spark, path, encoding)
     df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
-    df = df.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
-    return df.select(*[(upper_trim(F.col(c)) if c in (key, "isin") else strip(F.col(c))).alias(c)
-                       for c in df.columns])
+    bad = F.col(MALFORMED).isNotNull()
+    if malformed == "quarantine":
+        df = df.select(*[F.when(~bad, F.col(c)).alias(c) for c in df.columns if c != MALFORMED], MALFORMED)
+    else:
+        # the reader refuses to read the column of malformed rows alone
+        n = df.agg(F.count_if(bad).alias("n"), F.count(F.col(df.columns[0]))).first()["n"]
+        if n:
+            raise SourceError(f"Security master {path}: {n} malformed row(s)")
+        df = df.drop(MALFORMED)
+    return df.select(*[(upper_trim(F.col(c)) if c in (key, "isin") else F.col(c) if c == MALFORMED
+                        else strip(F.col(c))).alias(c) for c in df.columns])
