@@ -73,10 +73,10 @@ def test_empty_tables(spark):
 def test_svd_finds_the_main_directions(spark):
     items, docs, _ = corpus()
     d = spark.createDataFrame([(i, t) for i, t in docs.items()], "id long, text string")
-    df, n = op.document_frequency(d)
+    df, n = op.document_frequency(op.hashed_words(d))
     assert n == len(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.01
-    basis = op.randomised_svd(d, [], idf, 1)
+    basis = op.randomised_svd(op.hashed_words(d), [], idf, 1)
     assert np.allclose(basis.T @ basis, np.eye(op.RANK), atol=1e-4)
     gram = np.zeros((op.BUCKETS, op.RANK))
     power = 0.0
@@ -116,8 +116,8 @@ def test_svd_is_fitted_on_all_documents(spark):
     space holds the direction that the last one of many shares with none."""
     rows = [(1, " ".join(f"a{i % 40}" for i in range(200))) for _ in range(2600)] + [(1, " ".join(f"z{i % 40}" for i in range(4000)))] * 20
     d = spark.createDataFrame(rows, "id long, text string").repartition(8)
-    df, n = op.document_frequency(d)
-    basis = op.randomised_svd(d, [], np.log((n + 1) / (df + 1)) + 0.01, n)
+    df, n = op.document_frequency(op.hashed_words(d))
+    basis = op.randomised_svd(op.hashed_words(d), [], np.log((n + 1) / (df + 1)) + 0.01, n)
     for letter in "az":
         cell = op._buckets([" ".join(f"{letter}{i}" for i in range(40)).encode()])[0]
         x = np.zeros(op.BUCKETS)
@@ -135,3 +135,15 @@ def test_query(spark):
     for i, found in exact.items():
         assert found <= set(got.get(i, ()))
     assert sum(not exact[i] for i in got) <= 0.01 * len(docs)
+
+
+def test_buckets_are_those_of_words():
+    texts = [b"", b"one Two one", b"  \n", "é 日本 Z\tz".encode(), b"x" * 200_000, b"w1 w2 " * 70_000]
+    cell, offsets = op._buckets(texts)
+    words = [t.lower().split() for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    known = {w: int(op._buckets([w])[0][0]) for w in set(flat)}
+    assert cell.tolist() == [known[w] for w in flat]
+    many = [f"word{i}".encode() for i in range(20_000)]
+    assert len(set(op._buckets(many)[0].tolist())) > 0.65 * op.BUCKETS

@@ -4,7 +4,7 @@ Passages are overlapping word windows of a few lengths. Their TF-IDF vectors
 over hashed words, weighted by document frequencies of the whole corpus, are
 projected on the right singular vectors of a TF-IDF matrix, which a
 distributed randomised SVD finds: tasks multiply their passages by a random
-matrix, then by its transpose, and the partial products are summed. Every
+matrix and by their own transpose, and the partial products are summed. Every
 window of every document is projected and compared with the benchmark items by
 cosine. What comes near enough is checked on the words themselves: the longest
 common subsequence with the item within the window and a margin, and, for
@@ -22,21 +22,19 @@ nothing; further columns of the inputs are ignored.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import release, slices, stored, table, utf8, word_hashes
+from tradetally.llm.common import mix, release, slices, stored, table, utf8
 
 BUCKETS = 1 << 14
 RANK = 64
 OVERSAMPLED = 8
-#: Weight of an item's passage in the SVD for so many documents, more for more
-#: documents: the latent space has to tell the items apart in any corpus.
+#: Weight of an item's passage in the SVD for so many documents, in proportion
+#: to all documents: the latent space has to tell the items apart in any corpus.
 ITEM_WEIGHT = 20
 DOCUMENTS = 600
 #: Words of half a passage of the SVD, and the steps of its partial sums.
@@ -58,19 +56,63 @@ PART = 56
 SLICE = 1 << 20
 
 
+class Hasher:
+    """Buckets of words, worked out for all words of a slice at once: with a
+    random value for each byte and powers of an odd base modulo 2**64, the sum
+    over a word is a difference of running sums, moved to the word's start."""
+
+    _byte = np.random.default_rng(5).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _base = 0x9E3779B97F4A7C15
+    _space = np.zeros(256, bool)
+    _space[[9, 10, 11, 12, 13, 32]] = True
+    _up = _down = np.ones(1, np.uint64)
+
+    @classmethod
+    def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._up) < n:
+            def run(base: int) -> np.ndarray:
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                return np.multiply.accumulate(steps)
+            cls._up, cls._down = run(cls._base), run(pow(cls._base, -1, 1 << 64))
+        return cls._up, cls._down
+
+    @classmethod
+    def buckets(cls, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words (runs without ASCII white space, A-Z lower-cased)
+        of all texts in a row, and the offsets of the texts among them."""
+        data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+        space = cls._space[data]
+        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        end = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+        out = np.zeros(len(start), np.int64)
+        step = 1 << 16  # words at a time: the powers start again with each lot
+        for at in range(0, len(start), step):
+            s, e = start[at:at + step], end[at:at + step]
+            lo, hi = int(s[0]), int(e[-1])
+            up, down = cls._powers(hi - lo)
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(cls._byte[data[lo:hi]] * up[:hi - lo], out=sums[1:])
+            h = mix((sums[e - lo] - sums[s - lo]) * down[s - lo])
+            out[at:at + step] = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+        return out, np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
+
+
 def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, offsets = word_hashes([t.lower() for t in texts])
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), offsets
+    return Hasher.buckets(texts)
 
 
 def _omega() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, RANK + OVERSAMPLED)).astype(np.float32)
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents of each bucket, over the whole corpus, and all documents."""
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """One pass over all texts, stored: ``cells``, the buckets of each text's
+    words as 16-bit numbers, and for each task rows (bucket, n) of how many of
+    its documents hold a bucket (bucket -1: documents)."""
     def run(batches):
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        names, total, n = ["cells", "bucket", "n"], np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             texts = utf8(b.column(0))
             n += len(texts)
@@ -78,12 +120,22 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 cell, offsets = _buckets(texts[lo:hi])
                 seen = np.zeros((hi - lo, BUCKETS), bool)
                 seen[np.repeat(np.arange(hi - lo), np.diff(offsets)), cell] = True
-                total += seen.sum(axis=0)
+                total += np.count_nonzero(seen, axis=0)
+                cell = cell.astype("<u2").tobytes()
+                rows = [cell[2 * s:2 * e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.binary()), *(pa.nulls(hi - lo, pa.int64()) for _ in range(2))], names)
             release()
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some) + 1, pa.binary()), pa.array(np.append(some, -1)),
+                                          pa.array(np.append(total[some], n))], names)
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    return stored(docs.sparkSession, docs.select("text").mapInArrow(run, "cells binary, bucket long, n long"), "svd-cells")
+
+
+def document_frequency(hashed: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents of each bucket, over the whole corpus, and all documents."""
+    rows = hashed.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(BUCKETS), 0
     for r in rows:  # at most BUCKETS + 1
         if r.bucket < 0:
@@ -148,23 +200,15 @@ def _product(total: np.ndarray, right: np.ndarray, idf: np.ndarray, cell: np.nda
         total[c[start]] += part * idf[c[start]][:, None]
 
 
-def randomised_svd(docs: DataFrame, items: list[bytes], idf: np.ndarray, n: int) -> np.ndarray:
-    """(BUCKETS x RANK) right singular vectors of the passages' TF-IDF matrix.
+def randomised_svd(hashed: DataFrame, items: list[bytes], idf: np.ndarray, n: int) -> np.ndarray:
+    """(BUCKETS x RANK) right singular vectors of the passages' TF-IDF matrix A.
 
-    Two products with the matrix and its transpose over all ``n`` documents and
-    the items, whose partial sums are rows (bucket, vector) of whole numbers, so
-    that any order gives the same; the rest is small and local."""
-    def hashed(batches):
-        for b in batches:
-            texts = utf8(b.column(0))
-            for lo, hi in slices(texts, SLICE, 300):
-                cell, offsets = _buckets(texts[lo:hi])
-                cell = cell.astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.array([cell[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())], ["cells"])
-            release()
-
-    spark, width = docs.sparkSession, RANK + OVERSAMPLED
-    cells = stored(spark, docs.select("text").mapInArrow(hashed, "cells binary"), "svd-cells")
+    One product A'(A omega) over all ``n`` documents and the items, whose
+    partial sums are rows (bucket, vector) of whole numbers, so that any order
+    gives the same. From it and omega alone the vectors of A'A follow (the
+    single-pass form for a positive semidefinite matrix); that is small and local."""
+    spark, width = hashed.sparkSession, RANK + OVERSAMPLED
+    cells = hashed.where("cells IS NOT NULL").select("cells")
     idf = np.append(idf, 0.0)
 
     def weighted(right: np.ndarray) -> np.ndarray:
@@ -190,16 +234,27 @@ def randomised_svd(docs: DataFrame, items: list[bytes], idf: np.ndarray, n: int)
 
         own = np.zeros((BUCKETS + 1, width))
         _product(own, weighted(right), idf, *_buckets(items))
-        out = ITEM_WEIGHT * max(1.0, n / DOCUMENTS) * own[:-1]
+        out = ITEM_WEIGHT * n / DOCUMENTS * own[:-1]
         rows = cells.mapInArrow(run, "bucket long, " + ", ".join(f"v{j} long" for j in range(width)))
         for r in rows.groupBy("bucket").agg(*(F.sum(f"v{j}") for j in range(width))).toLocalIterator():  # at most BUCKETS rows
             out[r[0]] += np.array(r[1:], np.float64) / FINE
         return out
 
-    q = np.linalg.qr(product(_omega()))[0]
-    y = product(q.astype(np.float32))  # A'A q, so that q'y is the projected Gram matrix
-    value, vectors = np.linalg.eigh(q.T @ y)
-    return (q @ vectors[:, np.argsort(-value)[:RANK]]).astype(np.float32)
+    return _from_sketch(product(_omega()), _omega().astype(np.float64))
+
+
+def _from_sketch(y: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """Leading vectors of a positive semidefinite G, from y = G omega."""
+    shift = 1e-7 * np.linalg.norm(y)  # keeps the small core matrix regular
+    y = y + shift * omega
+    core = omega.T @ y
+    value, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = value > 1e-12 * max(value.max(), 1e-300)
+    root = y @ (vectors[:, kept] / np.sqrt(value[kept]))
+    found = np.linalg.svd(root, full_matrices=False)[0][:, :RANK]
+    out = np.zeros((len(y), RANK))
+    out[:, :found.shape[1]] = found
+    return out.astype(np.float32)
 
 
 class Items:
@@ -214,7 +269,7 @@ class Items:
         self.masks = [_masks(w) for w in self.words]
         self.parts = [[] for _ in LENGTHS]  # (item, from, to, vector) by window length
         for i, words in enumerate(self.words):
-            cell = np.array([xxhash.xxh64_intdigest(w) & BUCKETS - 1 for w in words], np.int64)
+            cell = _buckets([b" ".join(words)])[0]
             cuts = -(-len(words) // PART)
             for lo, hi in zip((len(words) * j // cuts for j in range(cuts)), (len(words) * (j + 1) // cuts for j in range(cuts))):
                 v = self.table[cell[lo:hi]].sum(axis=0)
@@ -227,7 +282,7 @@ class Items:
         self.totals = [np.zeros(len(parts)) for parts in self.parts]
         for parts, member, total in zip(self.parts, self.members, self.totals):
             for k, (i, lo, hi, _) in enumerate(parts):
-                cell = np.array([xxhash.xxh64_intdigest(w) & BUCKETS - 1 for w in self.words[i][lo:hi]], np.int64)
+                cell = _buckets([b" ".join(self.words[i][lo:hi])])[0]
                 member[k, cell] = idf[cell]
                 total[k] = idf[cell].sum()
 
@@ -274,8 +329,8 @@ def check(items: Items, i: int, words: list[bytes], lo: int, hi: int) -> float:
 
 def _search(items: Items, texts: list[bytes]):
     """For each text, found items with their shares."""
-    split = [t.lower().split() for t in texts]
-    size = np.array([len(w) for w in split])
+    found, offsets = _buckets(texts)
+    size, split = np.diff(offsets), {}  # words themselves only where something is found
     # a gap behind each text, so that no window holds words of two texts
     blocks = -(-size // BLOCK)
     blocks += np.maximum(max(step for _, step in LENGTHS), LENGTHS[-1][0] - blocks)
@@ -284,8 +339,7 @@ def _search(items: Items, texts: list[bytes]):
     cell = np.full(n_blocks * BLOCK, BUCKETS, np.int64)
     n_words = int(size.sum())
     place = np.arange(n_words) + np.repeat(start * BLOCK - np.cumsum(size) + size, size)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, n_words)
-    cell[place] = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    cell[place] = found
     out = [{} for _ in texts]
     if not n_words:
         return out
@@ -307,6 +361,8 @@ def _search(items: Items, texts: list[bytes]):
                 o = int(np.searchsorted(start, j[x], side="right")) - 1
                 i, lo = parts[k[x]][0], (int(j[x]) - int(start[o])) * BLOCK
                 if out[o].get(i, 0) < COPY:
+                    if o not in split:
+                        split[o] = texts[o].lower().split()
                     share = check(items, i, split[o], lo, min(len(split[o]), lo + length * BLOCK))
                     if share > out[o].get(i, 0):
                         out[o][i] = share
@@ -322,9 +378,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
     # the benchmark is the stated query set
     asked = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     asked = sorted((r.i, r.t) for r in asked.where("i is not null and t is not null").distinct().collect() if r.t.split())
-    df, n = document_frequency(rows)
+    hashed = hashed_words(rows)
+    df, n = document_frequency(hashed)
     idf = np.log((n + 1) / (df + 1)) + 0.01
-    basis = randomised_svd(rows, [t.encode() for _, t in asked], idf, n)
+    basis = randomised_svd(hashed, [t.encode() for _, t in asked], idf, n)
     shared = spark.sparkContext.broadcast(Items(asked, basis, idf))
 
     def run(batches):
