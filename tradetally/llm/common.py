@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tradetally.session import checkpoint_dir
 
@@ -66,6 +66,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def text_once(docs: DataFrame, text_col: str, kept: list[str]) -> tuple[DataFrame, int, int]:
+    """``docs`` with the columns ``kept`` and its text as a string, for a task
+    in Python that must not get the text twice: the frame, the place of the
+    text, and the place from which the kept columns follow."""
+    if text_col in kept and docs.schema[text_col].dataType == StringType():
+        return docs.select(*kept), kept.index(text_col), 0
+    return docs.select(F.col(text_col).cast("string").alias("_read"), *kept), 0, 1
+
+
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
     """The schema of ``df`` with further fields of the given SQL types."""
     more = df.sparkSession.range(0).select(*[F.lit(None).cast(k).alias(n) for n, k in kinds.items()])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, mix, release, sample_of, slices, stored, table, utf8, with_fields
+from tradetally.llm.common import Adam, fold, mix, release, sample_of, slices, stored, table, text_once, utf8, with_fields
 
 #: Labelled texts of either kind in the training sample, about (a quarter of them for
 #: the calibration), and windows of each text.
@@ -339,16 +339,16 @@ def score(spark: SparkSession, docs: DataFrame, net: Net | None, text_col: str =
           keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if not named) with the probability of being toxic."""
     shared, kept = spark.sparkContext.broadcast(net), [c for c in keep or docs.columns if c != out_col]
+    rows, at, own = text_once(docs, text_col, kept)
 
     def run(batches):
         for b in batches:
-            texts = utf8(b.column(0))
+            texts = utf8(b.column(at))
             for lo, hi in slices(texts, SCORED_BYTES):
                 s = np.zeros(hi - lo) if shared.value is None else shared.value.score([_words(t) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[1:], pa.array(s.astype(np.float64))], [*kept, out_col])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[own:], pa.array(s.astype(np.float64))], [*kept, out_col])
             release()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *kept)
     return rows.mapInArrow(run, with_fields(docs.select(*kept), **{out_col: "double"}))
 
 

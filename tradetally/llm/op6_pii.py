@@ -22,13 +22,14 @@ points, ends are exclusive; further columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import stored, table, with_fields
+from tradetally.llm.common import release, stored, table, text_once, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least share of a pattern's instances that are of its kind, least instances,
@@ -224,13 +225,25 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
     spans (kind, start, end, base), ordered by kind as in ``KINDS`` and start;
     ``base`` marks the fixed formats."""
     rest = [c for c in keep or docs.columns if c != out_col]
-    rows = docs.select(F.col(text_col).cast("string").alias("_read"), *rest)
-    accepted = learn(spark, docs, text_col)
+    return _marked(spark, docs, text_col, rest, out_col)
+
+
+def cleaned(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of personal data replaced by its kind, as
+    ``redact`` of ``find``, in one pass over the texts."""
+    return _marked(spark, docs, text_col, docs.columns, None)
+
+
+def _marked(spark: SparkSession, docs: DataFrame, text_col: str, rest: list[str], out_col: str | None) -> DataFrame:
+    rows, at, own = text_once(docs, text_col, rest)
+    read, accepted = rows.columns[at], learn(spark, docs, text_col)
+    # both names are this function's own, and none of the columns'
+    learnt_at, key_at = f"_learnt_{uuid.uuid4().hex}", f"_key_{uuid.uuid4().hex}"
     if accepted.isEmpty():
-        rows = rows.select("_read", F.lit(None).cast("array<struct<kind:int,start:long,end:long>>").alias("_learnt"), *rest)
+        rows = rows.withColumn(learnt_at, F.lit(None).cast("array<struct<kind:int,start:long,end:long>>"))
     else:
-        more = learnt_spans(spark, docs, accepted, text_col).select(F.col("text_key").alias("_key"), F.col("learnt").alias("_learnt"))
-        rows = rows.withColumn("_key", F.sha2("_read", 256)).join(more, "_key", "left").select("_read", "_learnt", *rest)
+        more = learnt_spans(spark, docs, accepted, text_col).select(F.col("text_key").alias(key_at), F.col("learnt").alias(learnt_at))
+        rows = rows.withColumn(key_at, F.sha2(read, 256)).join(more, key_at, "left").select(*rows.columns, learnt_at)
 
     def mark(text: str, learnt: list[dict]) -> list[dict]:
         if not text or not _HINT.search(text):
@@ -245,10 +258,28 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", out_col:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
-                spans = pa.array([mark(t, x) for t, x in zip(s.column(0).to_pylist(), s.column(1).to_pylist())], kind)
-                yield pa.RecordBatch.from_arrays([*s.columns[2:], spans], [*rest, out_col])
-
-    return rows.mapInArrow(run, with_fields(docs.select(*rest), **{out_col: _SPANS}))
+                texts = s.column(at).to_pylist()
+                spans = [mark(t, x) for t, x in zip(texts, s.column(s.num_columns - 1).to_pylist())]
+                kept = s.columns[own:-1]
+                if out_col is None:
+                    kept[rest.index(text_col)] = pa.array(map(replaced, texts, spans), pa.string())
+                    yield pa.RecordBatch.from_arrays(kept, rest)
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, kind)], [*rest, out_col])
+            release()
+
+    schema = docs.select(*rest).schema if out_col is None else with_fields(docs.select(*rest), **{out_col: _SPANS})
+    return rows.mapInArrow(run, schema)
+
+
+def replaced(text: str | None, spans: list[dict] | None) -> str | None:
+    """The text with each span replaced by its kind; overlapping spans are one."""
+    parts, at = [], 0
+    for x in sorted(spans or (), key=lambda x: (x["start"], -x["end"])):
+        if x["start"] >= at:
+            parts += [text[at:x["start"]], f"<{x['kind'].upper()}>"]
+        at = max(at, x["end"])
+    return text if not parts else "".join(parts) + text[at:]
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -257,14 +288,7 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
         for b in batches:
             names = b.schema.names
             t, s = names.index(text_col), names.index(spans_col)
-            out = []
-            for text, spans in zip(b.column(t).to_pylist(), b.column(s).to_pylist()):
-                parts, at = [], 0
-                for x in sorted(spans or (), key=lambda x: (x["start"], -x["end"])):
-                    if x["start"] >= at:
-                        parts += [text[at:x["start"]], f"<{x['kind'].upper()}>"]
-                    at = max(at, x["end"])
-                out.append(text if not parts else "".join(parts) + text[at:])
+            out = list(map(replaced, b.column(t).to_pylist(), b.column(s).to_pylist()))
             cols = [pa.array(out, pa.string()) if i == t else b.column(i) for i in range(len(names)) if i != s]
             yield pa.RecordBatch.from_arrays(cols, [n for n in names if n != spans_col])
 
