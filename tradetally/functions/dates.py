@@ -36,9 +36,9 @@ def to_spark_pattern(fmt: str) -> str:
     return "".join(out)
 
 
-def parse_date(c: Column, fmt: str | None = None) -> Column:
+def parse_date(c: Column, fmt: str | None = None, stripped: bool = False) -> Column:
     """text -> date by the given format, or the first inference pattern that fits."""
-    t = strip(c)
+    t = c if stripped else strip(c)
     if fmt:
         return F.try_to_date(t, to_spark_pattern(fmt))
     return F.coalesce(*[F.try_to_date(t, p) for p in INFER_PATTERNS])

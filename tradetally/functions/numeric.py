@@ -12,10 +12,11 @@ from tradetally.functions.text import strip
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def parse_number(c: Column) -> Column:
-    """P5: text -> double; unparseable text and NaN become NULL."""
-    t = strip(c)
-    return nan_to_null(F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double")))
+def parse_number(c: Column, stripped: bool = False) -> Column:
+    """P5: text -> double; unparseable text and NaN become NULL. The text is
+    named once: what the pattern does not take comes out empty."""
+    t = c if stripped else strip(c)
+    return nan_to_null(F.regexp_extract(t, NUMBER_PATTERN, 0).try_cast("double"))
 
 
 def nan_to_null(c: Column) -> Column:

@@ -13,9 +13,22 @@ def fold_na(c: Column, tokens: list[str] = NA_TOKENS) -> Column:
     return F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
 
 
+def _bare(c: Column) -> Column:
+    """Cheap proof that there is nothing to strip: the first and the last byte
+    are printable ASCII (strings compare byte by byte)."""
+    last = F.substring(c, -1, 1)
+    return (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
+
+
 def strip(c: Column) -> Column:
-    """Strip white space of any kind from both ends."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Strip white space of any kind from both ends. ``c`` is named several
+    times, so it should be a column, not a long expression."""
+    return F.when(_bare(c), c).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
+
+
+def fold_strip(c: Column, tokens: list[str] = NA_TOKENS) -> Column:
+    """S8 and P7 of a raw column at once: NULL for a missing-value token, else stripped."""
+    return F.when(~c.isin(*tokens), strip(c))
 
 
 def upper_trim(c: Column) -> Column:
@@ -23,10 +36,10 @@ def upper_trim(c: Column) -> Column:
     return F.upper(strip(c))
 
 
-def normalise_side(c: Column) -> Column:
+def normalise_side(c: Column, stripped: bool = False) -> Column:
     """Trim + upper, then B/1 -> BUY and S/-1 -> SELL; other values stay.
 
     One map lookup, so the input expression is referenced twice, not once per code."""
-    u = upper_trim(c)
+    u = F.upper(c) if stripped else upper_trim(c)
     m = F.create_map(*[F.lit(x) for kv in SIDE_MAP.items() for x in kv])
     return F.coalesce(F.try_element_at(m, u), u)

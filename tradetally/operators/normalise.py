@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tradetally.functions.dates import parse_date
 from tradetally.functions.numeric import parse_number
 from tradetally.functions.text import fold_na as fold_na_value
-from tradetally.functions.text import normalise_side, strip
+from tradetally.functions.text import fold_strip, normalise_side, strip
 from tradetally.schemas import (COLUMN_ALIASES, DATE_COLUMNS, NA_TOKENS, NUMERIC_COLUMNS,
                                 REQUIRED_COLUMNS, TRADE_COLUMNS)
 
@@ -139,19 +139,20 @@ def normalise(df: DataFrame, source_name: str, date_format: str | dict[str, str]
             continue
         if c == "source":
             continue
-        x = F.col(c)
-        if t == "string" and fold_na:
-            x = fold_na_value(x)
+        raw = F.col(c)
+        if t != "string":  # another type is its own text, as before
+            x = raw.cast("string") if c == "side" or c in DATE_COLUMNS or c in NUMERIC_COLUMNS else raw
+            x = strip(x) if c == "side" or c in DATE_COLUMNS or c in NUMERIC_COLUMNS else x
+        else:
+            x = fold_strip(raw) if fold_na else strip(raw)
         if c == "side":
-            x = normalise_side(x)
+            x = normalise_side(x, stripped=True)
         elif c in DATE_COLUMNS:
             if keep_raw_dates:
-                cols.append(x.alias(c + "_raw"))
-            x = parse_date(x, date_format.get(c) if isinstance(date_format, dict) else date_format)
+                cols.append((fold_na_value(raw) if t == "string" and fold_na else raw).alias(c + "_raw"))
+            x = parse_date(x, date_format.get(c) if isinstance(date_format, dict) else date_format, stripped=True)
         elif c in NUMERIC_COLUMNS:
-            x = parse_number(x)
-        elif t == "string":
-            x = strip(x)
+            x = parse_number(x, stripped=True)
         cols.append(x.alias(c))
     cols.append(F.lit(source_name).alias("source"))
     return out.select(*cols)

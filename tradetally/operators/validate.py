@@ -24,16 +24,18 @@ def _code(cond: Column, code: str) -> Column:
     return F.when(cond, F.lit(code))
 
 
-def field_error_codes(strict_isin: bool = False, date_range: tuple[str, str] | None = None) -> list[Column]:
-    """V1-V7 (+ D7): one nullable code per rule, in field order."""
+def field_error_codes(strict_isin: bool = False, date_range: tuple[str, str] | None = None,
+                      stripped: bool = False) -> list[Column]:
+    """V1-V7 (+ D7): one nullable code per rule, in field order. ``stripped``
+    says that text columns are stripped already, as ``normalise`` leaves them."""
     c = F.col
     codes: list[Column] = []
     for f in REQUIRED_NON_NULL:
         codes.append(_code(c(f).isNull(), f"{f}:required"))
         if f in MIN_LENGTH_1:
-            codes.append(_code(F.length(strip(c(f))) == 0, f"{f}:empty"))
+            codes.append(_code((c(f) if stripped else strip(c(f))) == "", f"{f}:empty"))
         if f == "isin":
-            isin = upper_trim(c("isin"))
+            isin = F.upper(c("isin")) if stripped else upper_trim(c("isin"))
             codes.append(_code((F.length(isin) != 12) | ~isin.rlike("^[A-Z]{2}"), "isin:format"))
             if strict_isin:
                 codes.append(_code(~isin.rlike(STRICT_ISIN), "isin:strict"))
@@ -64,11 +66,12 @@ def consideration_error() -> Column:
 SEP = "; "
 
 
-def error_text(strict_isin: bool = False, date_range: tuple[str, str] | None = None) -> Column:
+def error_text(strict_isin: bool = False, date_range: tuple[str, str] | None = None,
+               stripped: bool = False) -> Column:
     """All codes of a row joined by ``'; '`` (empty when valid). V10: the
     cross-field rules run only when every field rule passed, and V9 only when
     V8 passed. ``concat_ws`` skips the NULL codes and stays in generated code."""
-    fields = F.concat_ws(SEP, *field_error_codes(strict_isin, date_range))
+    fields = F.concat_ws(SEP, *field_error_codes(strict_isin, date_range, stripped))
     cross = (F.when(settlement_error(), F.lit("settlement_date:before_trade_date"))
               .when(consideration_error(), F.lit("consideration:mismatch"))
               .otherwise(F.lit("")))
@@ -76,16 +79,17 @@ def error_text(strict_isin: bool = False, date_range: tuple[str, str] | None = N
 
 
 def validate(df: DataFrame, strict_isin: bool = False,
-             date_range: tuple[str, str] | None = None) -> DataFrame:
+             date_range: tuple[str, str] | None = None, stripped: bool = False) -> DataFrame:
     """Adds ``error_codes`` (text), ``errors`` (array<string>) and ``valid``, and
     replaces trade_id, ticker and isin by their V13 output forms (trimmed;
-    ticker and isin upper-cased)."""
+    ticker and isin upper-cased). ``stripped`` says that text columns come from
+    ``normalise`` and need no strip of their own."""
     # one select (chained withColumn calls would re-analyse the plan each time)
-    v13 = {"isin": upper_trim, "ticker": upper_trim, "trade_id": strip}
+    v13 = {"isin": F.upper, "ticker": F.upper} if stripped else {"isin": upper_trim, "ticker": upper_trim, "trade_id": strip}
     # the codes come out of a one-element generator: a filter on ``valid``
     # then stays above it, instead of being pushed below with the whole rule
     # tree substituted into it (the rules run once per row either way)
-    text = error_text(strict_isin, date_range)
+    text = error_text(strict_isin, date_range, stripped)
     if MALFORMED in df.columns:
         text = F.when(F.col(MALFORMED).isNotNull(), F.lit("row:malformed")).otherwise(text)
     codes = df.select("*", F.explode(F.array(text)).alias("error_codes"))

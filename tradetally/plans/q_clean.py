@@ -20,7 +20,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validated(spark, sf_dir, strict_isin=False) -> DataFrame:
-    return V.validate(normalised(spark, sf_dir), strict_isin=strict_isin)
+    return V.validate(normalised(spark, sf_dir), strict_isin=strict_isin, stripped=True)
 
 
 def _codes() -> F.Column:

@@ -88,7 +88,7 @@ def ingest(spark: SparkSession, led: Ledger, run_id: str, spec: SourceSpec,
     t0 = time.time()
     df, fp = readers.load_source(spark, spec.path, spec.name, spec.file_type,
                                  date_format=spec.date_format, dates="quarantine", **spec.options)
-    v = V.validate(df, strict_isin=strict_isin)
+    v = V.validate(df, strict_isin=strict_isin, stripped=True)
     obs = Observation(f"ingest-{spec.name}")
     fpath = led._p(f"feeds/run_id={run_id}/source={spec.name}")
     v.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok")) \
