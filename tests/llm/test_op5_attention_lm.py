@@ -132,3 +132,47 @@ def test_every_training_text_is_learnt_from(spark, monkeypatch):
     assert seen == [1350 * 21]  # 400 ids and the end
     # a letter is 1 of 26, about 0.04, unless the one before it tells
     assert all(s > -0.8 * 400 * math.log10(26) for s in got)
+
+
+def test_scores_do_not_follow_the_dealing(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARDING", 8)  # several shards
+    rng = np.random.default_rng(3)
+    rows = [(i % 290, " ".join(f"w{n}" for n in rng.zipf(1.5, int(rng.integers(1, 200))) % 500)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in (1, 4, 16):
+        out = op.score(spark, docs.repartition(n, F.rand(n)), F.col("doc_id") % 7 != 2)
+        got.append(sorted(tuple(r) for r in out.select("doc_id", "n_tokens", "n_known", "score").collect()))
+    for other in got[1:]:
+        assert [r[:3] for r in got[0]] == [r[:3] for r in other]
+        assert np.allclose([r[3] for r in got[0]], [r[3] for r in other], rtol=1e-4)
+
+
+def test_gradients():
+    """Against differences of the loss."""
+    net, rng = lm(), np.random.default_rng(4)
+    net.p["far"] = rng.standard_normal(op.WINDOW).astype(np.float32)
+    inputs, targets = rng.integers(0, 50, (2, 6, op.WINDOW))
+    weight = (rng.random(inputs.shape) < 0.8).astype(np.float32)
+
+    def loss():
+        p = {k: v.astype(np.float64) for k, v in net.p.items()}
+        e = p["e"][net.row[inputs]]
+        s = (e @ p["q"]) @ (e @ p["k"]).transpose(0, 2, 1) / math.sqrt(op.DIM) + p["far"][net.distance] + net.mask
+        a = np.exp(s - s.max(axis=2, keepdims=True))
+        a /= a.sum(axis=2, keepdims=True)
+        z = np.tanh(a @ (e @ p["v"]) @ p["o"] + e @ p["r"] + p["b"]) @ p["c"] + p["d"]
+        own = np.take_along_axis(z, net.cls[targets][:, :, None], axis=2)[:, :, 0]
+        return (weight * (np.log(np.exp(z).sum(axis=2)) - own)).sum() / weight.sum()
+    grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.gradients(grads, inputs, targets, weight)
+    for name, g in grads.items():
+        at = np.unravel_index(np.argsort(-np.abs(g), axis=None)[:3], g.shape)
+        for place in zip(*at):
+            value, h = net.p[name][place], np.float32(1e-2)
+            net.p[name][place] = value + h
+            up = loss()
+            net.p[name][place] = value - h
+            down = loss()
+            net.p[name][place] = value
+            assert abs((up - down) / (2 * h) - g[place]) < 0.02 * abs(g[place]) + 1e-4, (name, place)

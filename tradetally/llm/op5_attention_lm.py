@@ -5,9 +5,12 @@ in the training texts. Subword ids are split into classes of about equal probabi
 probability of an id is that of its class, given the ids before it by the
 attention model, times its share of the class in the corpus counts. The model
 (one attention layer with learnt distance weights) starts from a few windows of
-a bounded sample; then every task steps from there through all windows of its
-training texts, and the tasks' weights are averaged by their windows, so that
-each id of each training text is learnt from. Scoring cuts each text's ids
+a bounded sample; then the training texts are dealt by a hash of id and subword
+ids into shards, whose number follows the root of the number of windows; a task
+steps from there through all windows of its shard in the order of the hash, and
+the shards' weights are averaged by their windows. So each id of each training
+text is learnt from, and the weights do not depend on how the rows lie on tasks
+(scores agree to the rounding of float32). Scoring cuts each text's ids
 into overlapping windows, so that every id is scored once with at least
 ``WINDOW - STRIDE`` ids before it, and attends in batches under a causal mask.
 
@@ -19,6 +22,7 @@ Defined results: null text counts as empty; an empty text is its end alone;
 without training texts all counts are 0 and the model is uniform; equal rows
 are scored each; a null id counts as fold 0; an empty table gives no rows;
 further columns of the input are ignored. Words are told apart by 64-bit hashes.
+Rows equal in id and text are learnt from each, in one shard that streams them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import gc
 import math
 from codecs import charmap_decode
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, mix, signed, slices, stored, table, utf8
+from tradetally.llm.common import fold, mix, pooled, release, signed, slices, stored, table, utf8
 from tradetally.llm.op2_packing import WordIds, default_tokenizer
 
 #: Inputs of a window, and from one window's start to the next.
@@ -56,7 +60,9 @@ WINDOWS_PER_TEXT = 10
 EPOCHS = 4
 BATCH = 256
 RATE = 0.01
-#: Steps of a weight when tasks' weights are summed: whole numbers add up alike in any order.
+#: Training shards: the root of the number of windows, divided by this.
+SHARDING = 64
+#: Steps of a weight when shards' weights are summed: whole numbers add up alike in any order.
 FINE = 1 << 20
 #: Frequent words: so many of the sample, by their counts there.
 FREQUENT = 50_000
@@ -64,6 +70,38 @@ FREQUENT = 50_000
 REMEMBERED = 1_000_000
 SLICE_BYTES = 2 << 20
 SLICE = 300
+#: Windows that are scored at once: their arrays stay within a processor's cache.
+SCORED = 512
+
+
+class Steps:
+    """Adam steps over parameters that lie in one array, as their gradients do."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float):
+        flat = np.concatenate([x.ravel() for x in params.values()])
+        self.flat, self.grad, self.rate, self.t = flat, np.zeros_like(flat), rate, 0
+        self.m, self.v, self.room = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+        ends = np.cumsum([x.size for x in params.values()])
+        self.p, self.g = ({k: part.reshape(params[k].shape) for k, part in zip(params, np.split(whole, ends[:-1]))}
+                          for whole in (self.flat, self.grad))
+
+    def step(self) -> None:
+        """One step along the gradients, which are used up."""
+        self.t += 1
+        g, m, v, room = self.grad, self.m, self.v, self.room
+        m *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1), out=room)
+        m += room
+        g *= g
+        g *= np.float32(0.001)
+        v *= np.float32(0.999)
+        v += g
+        np.multiply(v, np.float32(1 / (1 - 0.999 ** self.t)), out=room)
+        np.sqrt(room, out=room)
+        room += np.float32(1e-8)
+        np.divide(m, room, out=room)
+        room *= np.float32(self.rate / (1 - 0.9 ** self.t))
+        self.flat -= room
 
 
 class Attention:
@@ -95,44 +133,76 @@ class Attention:
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, seed: int = 5) -> None:
         """``inputs`` and ``targets`` are ids (windows x WINDOW); weight 0 marks padding."""
-        rng, opt = np.random.default_rng(seed), Adam(self.p, RATE)
+        rng, opt = np.random.default_rng(seed), self.steps()
         for _ in range(EPOCHS):
             order = rng.permutation(len(inputs))
             for at in range(0, len(order), BATCH):
                 rows = order[at:at + BATCH]
                 self.step(opt, inputs[rows], targets[rows], weight[rows])
 
-    def step(self, opt: Adam, inputs: np.ndarray, targets: np.ndarray, m: np.ndarray) -> None:
-        """One step on a batch of windows with the weights ``m``."""
+    def steps(self) -> Steps:
+        """Steps that change this model's parameters."""
+        opt = Steps(self.p, RATE)
+        self.p = opt.p
+        return opt
+
+    def gradients(self, g: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
+        """Writes the gradients of a batch of windows into ``g``. What an input
+        contributes (query, key, value, own part) is computed once a row of the
+        embeddings, and all four come back through one product."""
         p, root = self.p, np.float32(1 / math.sqrt(DIM))
-        ids, y = self.row[inputs], self.cls[targets]
-        e = p["e"][ids]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * root + p["far"][self.distance] + self.mask
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
+        ids, y, m = self.row[inputs], self.cls[targets].ravel(), weight.ravel()
+        cell, place = ids.ravel(), np.arange(targets.size)
+        m = m / max(np.float32(1), m.sum())
+        wide = np.concatenate([p["q"] * root, p["k"], p["v"] @ p["o"], p["r"]], axis=1)
+        rows = p["e"] @ wide
+        rows[:, 3 * DIM:] += p["b"]
+        x = rows.take(cell, axis=0).reshape(*ids.shape, 4 * DIM)
+        q, k, v, own = (x[:, :, i * DIM:(i + 1) * DIM] for i in range(4))
+        a = q @ k.transpose(0, 2, 1)
+        a += p["far"][self.distance] + self.mask
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        total = (a @ np.ones(a.shape[2], np.float32))[:, :, None]
         mixed = a @ v
-        h = np.tanh(mixed @ p["o"] + e @ p["r"] + p["b"])
-        z = h @ p["c"] + p["d"]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        dz = z / z.sum(axis=2, keepdims=True)
-        dz.reshape(-1, CLASSES)[np.arange(y.size), y.ravel()] -= 1
-        dz *= (m / max(1.0, m.sum()))[:, :, None]
-        flat = lambda x: x.reshape(-1, x.shape[2])
-        g = {"c": flat(h).T @ flat(dz), "d": flat(dz).sum(axis=0)}
-        du = (dz @ p["c"].T) * (1 - h * h)
-        g |= {"o": flat(mixed).T @ flat(du), "r": flat(e).T @ flat(du), "b": flat(du).sum(axis=0)}
-        dmixed = du @ p["o"].T
-        dv, da = a.transpose(0, 2, 1) @ dmixed, dmixed @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        g["far"] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
-        ds *= root
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        de = flat(du @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-        cell = ids.ravel()
-        g["e"] = np.stack([np.bincount(cell, weights=de[:, j], minlength=OWN + CLASSES) for j in range(DIM)], axis=1)
-        opt.step({x: y.astype(np.float32) for x, y in g.items()})
+        mixed /= total
+        h = np.tanh(mixed + own).reshape(-1, DIM)
+        z = h @ p["c"]
+        z += p["d"]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (m / (z @ np.ones(CLASSES, np.float32)))[:, None]
+        z[place, y] -= m
+        g["c"][:] = h.T @ z
+        g["d"][:] = np.ones(len(z), np.float32) @ z
+        du = z @ p["c"].T
+        h *= h
+        du *= np.subtract(1, h, out=h)
+        du = du.reshape(mixed.shape)
+        back = np.empty_like(x)
+        back[:, :, 3 * DIM:] = du
+        inner = np.einsum("bij,bij->bi", du, mixed)[:, :, None]
+        inner /= total
+        du /= total
+        np.matmul(a.transpose(0, 2, 1), du, out=back[:, :, 2 * DIM:3 * DIM])
+        ds = du @ v.transpose(0, 2, 1)
+        ds -= inner
+        ds *= a
+        g["far"][:] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
+        np.matmul(ds, k, out=back[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM:2 * DIM])
+        back = back.reshape(-1, 4 * DIM)
+        f = p["e"].take(cell, axis=0).T @ back
+        g["q"][:], g["k"][:], g["r"][:] = f[:, :DIM] * root, f[:, DIM:2 * DIM], f[:, 3 * DIM:]
+        g["v"][:], g["o"][:] = f[:, 2 * DIM:3 * DIM] @ p["o"].T, p["v"].T @ f[:, 2 * DIM:3 * DIM]
+        g["b"][:] = (np.ones(len(back), np.float32) @ back)[3 * DIM:]
+        for j, part in enumerate(wide @ back.T):
+            g["e"][:, j] = np.bincount(cell, weights=part, minlength=OWN + CLASSES)
+
+    def step(self, opt: Steps, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
+        """One step on a batch of windows with the weights ``weight``."""
+        self.gradients(opt.g, inputs, targets, weight)
+        opt.step()
 
     def copy(self) -> Attention:
         out = copy.copy(self)
@@ -163,25 +233,27 @@ class Attention:
         for scored, select in ((WINDOW, number == 0), (STRIDE, number > 0)):
             skip = WINDOW - scored
             windows = np.flatnonzero(select)
-            for at in range(0, len(windows), 2048):
-                w = windows[at:at + 2048]
+            for at in range(0, len(windows), SCORED):
+                w = windows[at:at + SCORED]
                 place = number[w][:, None] * STRIDE + step
                 real = place < n[text[w]][:, None]
                 place = np.where(real, place, 0) + offsets[text[w]][:, None]
                 r = row[place]
-                s = tables["q"][r[:, skip:]] @ tables["k"][r].transpose(0, 2, 1)
+                late = r[:, skip:]
+                s = tables["q"].take(late, axis=0) @ tables["k"].take(r, axis=0).transpose(0, 2, 1)
                 s += bias[skip:]
                 np.exp(s, out=s)
-                total = s.sum(axis=2, keepdims=True)
-                h = (s @ tables["v"][r]) / total
-                h += tables["r"][r[:, skip:]]
+                total = (s @ np.ones(WINDOW, np.float32))[:, :, None]
+                h = s @ tables["v"].take(r, axis=0)
+                h /= total
+                h += tables["r"].take(late, axis=0)
                 np.tanh(h, out=h)
                 z = h.reshape(-1, DIM) @ c
                 z += d
                 target = place[:, skip:].ravel()
                 own = z[np.arange(len(z)), cls[target]]
                 np.exp(z, out=z)
-                value = (own - np.log(z.sum(axis=1))) / math.log(10) + within[target]
+                value = (own - np.log(z @ np.ones(CLASSES, np.float32))) / math.log(10) + within[target]
                 value = np.where(real[:, skip:].ravel(), value, 0).reshape(len(w), -1).sum(axis=1)
                 out += np.bincount(text[w], weights=value, minlength=len(n))
         return out
@@ -421,27 +493,32 @@ def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before[place], ids[place], real.astype(np.float32)
 
 
-def learn_all(spark: SparkSession, model: Attention, texts: DataFrame) -> int:
-    """Trains ``model`` on all windows of ``texts`` (ids): each task steps once
-    through its own from the model's weights, and the weights are averaged by
-    windows. Returns the number of windows."""
+def learn_all(spark: SparkSession, model: Attention, texts: DataFrame, ids: int) -> int:
+    """Trains ``model`` on all windows of ``texts`` (id, ids), which hold about
+    ``ids`` ids: a task steps once through a shard from the model's weights,
+    and the weights are averaged by windows. Returns the number of windows."""
     names, start = sorted(model.p), spark.sparkContext.broadcast(model)
+    shards = math.ceil(math.sqrt(ids / WINDOW) / SHARDING) or 1
+    lot = F.xxhash64("id", "ids")
+    dealt = texts.select("ids", lot.alias("lot"), F.pmod(lot, F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("lot")
 
     def run(batches):
+        pooled()
         net = start.value.copy()
-        opt, rng, learnt = Adam(net.p, RATE), np.random.default_rng(7), 0
+        opt, rng, learnt = net.steps(), np.random.default_rng(7), 0
         held = None
-        for b in batches:
-            for lo in range(0, b.num_rows, SLICE):
-                new = windows(*_rows_of_ids(b.column(0).slice(lo, SLICE).to_pylist()))
-                order = rng.permutation(len(new[0]))
-                new = [x[order] for x in new]
-                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-                learnt += len(order)
-                done = len(held[0]) // BATCH * BATCH
-                for at in range(0, done, BATCH):
-                    net.step(opt, *(x[at:at + BATCH] for x in held))
-                held = [x[done:] for x in held]
+        every = chain.from_iterable(b.column(0).to_pylist() for b in batches)
+        while some := list(islice(every, SLICE)):
+            new = windows(*_rows_of_ids(some))
+            order = rng.permutation(len(new[0]))
+            new = [x[order] for x in new]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            learnt += len(order)
+            done = len(held[0]) // BATCH * BATCH
+            for at in range(0, done, BATCH):
+                net.step(opt, *(x[at:at + BATCH] for x in held))
+            held = [x[done:] for x in held]
         if held is not None and len(held[0]):
             net.step(opt, *held)
         if learnt:
@@ -450,10 +527,12 @@ def learn_all(spark: SparkSession, model: Attention, texts: DataFrame) -> int:
             place = np.append(np.arange(len(flat)), -1)
             for at in range(0, len(place), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(place[at:at + 50_000]), pa.array(value[at:at + 50_000])], ["place", "v"])
+        del held
+        release()
 
     size = sum(x.size for x in model.p.values())
     total = np.zeros(size + 1)
-    rows = texts.select("ids").mapInArrow(run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v"))
+    rows = dealt.select("ids").mapInArrow(run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v"))
     for r in rows.toLocalIterator():  # one row a weight, and the windows at -1
         total[r.place] = r.v
     if total[-1]:
@@ -495,11 +574,12 @@ def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id"
     model = Attention(ids)
     if texts:
         model.train(*sample_windows(sample, tokenizer))
-        learn_all(spark, model, found.where("kind = 0 and learn"))
+        learn_all(spark, model, found.where("kind = 0 and learn"), int(ids.sum()))
     shared = spark.sparkContext.broadcast((model, log_count))
     end_known, end_log = int(texts > 0), math.log10(texts + 1)
 
     def run(batches):
+        pooled()
         net, logs = shared.value
         tables = net.tables()
         for b in batches:
@@ -514,6 +594,7 @@ def score(spark: SparkSession, docs: DataFrame, training, id_col: str = "doc_id"
                      pa.array(np.bincount(text, weights=value, minlength=len(number)) + end_log),
                      pa.array(net.score(text_ids, offsets, tables))],
                     ["rid", "id", "learn", "n_tokens", "n_known", "base", "score"])
+        release()
 
     scored = found.where("kind = 0").select("rid", "id", "learn", "n_tokens", "ids", "frequent").mapInArrow(
         run, "rid long, id long, learn boolean, n_tokens long, n_known long, base double, score double")
