@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradetally.schemas import SEVERITIES
+from tradetally.session import scratch_path
+from tradetally.sinks.ordered import OrderedTable
 
 
 def severity_counts(breaks: DataFrame) -> DataFrame:
@@ -42,17 +41,8 @@ def ordered_breaks(breaks: DataFrame, by_rank: bool = False) -> DataFrame:
 
 def positioned(df: DataFrame, *order: str) -> DataFrame:
     """All rows with their ``position`` (from 1) in the given order, which must
-    be total. Rows are range-partitioned and sorted; counts of the partitions
-    (one row each) give every partition's offset, so no task sees all rows.
-    The sorted rows are kept on disk, so both uses see the same ranges."""
-    row = F.monotonically_increasing_id()
-    ranged = df.orderBy(*order).select("*", F.shiftright(row, 33).alias("_part"),
-                                       row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")).persist(StorageLevel.DISK_ONLY)
-    counts = sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    before = list(zip((r["_part"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
-    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
-    return (ranged.join(offsets, "_part")
-            .withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before"))
+    be total: read from an ordered table written in the shared folder."""
+    return OrderedTable.write(df, scratch_path(df.sparkSession, "ordered"), *order).positioned()
 
 
 def run_status(error_count: Column, total_breaks: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tradetally.plans.q_match import BREAK_SELECT, RUN_ID, recon
 from tradetally.plans.registry import query
 from tradetally.session import scratch_path
 from tradetally.sinks import ledger as L
+from tradetally.sinks.tables import staged
 from tradetally.sources.tables import table
 
 
@@ -166,7 +166,7 @@ SELECT break_id, trade_id, break_type FROM ({BREAK_SELECT}) WHERE step > 2"""))
 def breaks_insert_ignore(spark, sf_dir):
     """K1: new breaks minus those already stored (here: the duplicate breaks
     of an earlier partial write), by ``break_id``."""
-    new = recon(spark, sf_dir).breaks().persist(StorageLevel.DISK_ONLY)     # computed once, read twice
+    new = staged(recon(spark, sf_dir).breaks(), "new-breaks")  # computed once, read twice
     existing = new.where(F.col("step") <= 2)
     return L.insert_ignore(new, existing).select("break_id", "trade_id", "break_type")
 
@@ -177,13 +177,32 @@ SELECT break_id, break_type,
 FROM ({BREAK_SELECT})"""))
 def explanations_merge(spark, sf_dir):
     """K5: explanations arrive as a table and are merged onto the breaks."""
-    b = recon(spark, sf_dir).breaks().persist(StorageLevel.DISK_ONLY)       # computed once, read twice
+    b = staged(recon(spark, sf_dir).breaks(), "breaks")  # computed once, read twice
     exp = (b.where(F.col("break_type") == "SIDE_BREAK")
             .select("break_id", F.concat(F.lit("Side differs: "), "a_str", F.lit(" vs "), "b_str")
                     .alias("explanation"), F.current_timestamp().alias("explained_at")))
     return L.merge_explanations(b, exp).select("break_id", "break_type", "explanation")
 
 
+@query("explanations_written", S.with_ctes(S.BREAKS, f"""
+SELECT break_id, break_type,
+       CASE WHEN break_type = 'SIDE_BREAK' THEN 'Side differs: ' || a_str || ' vs ' || b_str
+            WHEN break_type = 'MISSING' THEN 'No counterpart' END AS explanation
+FROM ({BREAK_SELECT})"""))
+def explanations_written(spark, sf_dir):
+    """K5 end to end: explanations of a stored run are written, those of side
+    breaks a second time; reads show the later ones."""
+    led = L.Ledger(spark, scratch_path(spark, "ledger"))
+    led.create_run(RUN_ID, dt.date(2026, 3, 1))
+    led.write_breaks(recon(spark, sf_dir).breaks(), run_ids=[RUN_ID])
+    kind, stored = F.col("break_type"), led.read_breaks()
+    led.update_break_explanations(stored.where(kind.isin("SIDE_BREAK", "MISSING"))
+                                  .select("break_id", F.lit("No counterpart").alias("explanation")))
+    led.update_break_explanations(stored.where(kind == "SIDE_BREAK").select(
+        "break_id", F.concat(F.lit("Side differs: "), "a_str", F.lit(" vs "), "b_str").alias("explanation")))
+    return led.get_breaks_for_run(RUN_ID).select("break_id", "break_type", "explanation")
+
+
 @query("ledger_breaks_for_run", S.with_ctes(S.BREAKS, f"""
 SELECT break_id, trade_id, break_type, severity, step FROM ({BREAK_SELECT})"""))
 def ledger_breaks_for_run(spark, sf_dir):

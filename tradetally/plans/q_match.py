@@ -257,3 +257,15 @@ def derived_consideration(spark, sf_dir):
     d = dc(F.col("quantity"), F.col("price"))
     return a.select("trade_id", "quantity", "price", d.alias("derived_consideration"),
                     (F.abs(d - F.col("consideration")) <= 0.01).alias("agrees"))
+
+
+@query("matched_pair_counts", S.with_ctes(S.FEEDS, """
+SELECT a.trade_id, CAST(max(a.n) AS BIGINT) AS n_a, CAST(max(b.n) AS BIGINT) AS n_b, count(*) AS pairs,
+       count(*) FILTER (WHERE a.side = b.side) AS same_side,
+       count(*) FILTER (WHERE a.settlement_date = b.settlement_date) AS same_settlement_date
+FROM (SELECT *, count(*) OVER (PARTITION BY trade_id) AS n FROM feed_a) a
+JOIN (SELECT *, count(*) OVER (PARTITION BY trade_id) AS n FROM feed_b) b ON a.trade_id = b.trade_id
+GROUP BY a.trade_id"""))
+def matched_pair_counts(spark, sf_dir):
+    """J3 on feeds with repeated ids: pairs counted and compared, not listed."""
+    return joins.pair_counts(feed_a(spark, sf_dir), feed_b(spark, sf_dir), same=["side", "settlement_date"])

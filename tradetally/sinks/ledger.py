@@ -60,9 +60,10 @@ def fk_violations(child: DataFrame, runs: DataFrame, key: str = "run_id") -> Dat
 
 def merge_explanations(breaks: DataFrame, explanations: DataFrame) -> DataFrame:
     """K5: latest explanation per break (``break_id, explanation, explained_at``)
-    joined onto the breaks; breaks without one keep NULL."""
+    joined onto the breaks; breaks without one keep NULL. Of two explanations of
+    one instant the greater text counts."""
     latest = explanations.groupBy("break_id").agg(
-        F.max_by(F.struct("explanation", "explained_at"), "explained_at").alias("e"))
+        F.max(F.struct("explained_at", "explanation")).alias("e"))
     return (breaks.join(latest, "break_id", "left")
             .withColumn("explanation", F.col("e.explanation"))
             .withColumn("explained_at", F.col("e.explained_at")).drop("e"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tradetally.session import scratch_path
+
 KEY = "trade_id"
 
 
@@ -21,3 +23,11 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, path: str | None = N
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again: what follows starts
+    from files that outlive an executor, and holds no blocks in the session."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
