@@ -74,3 +74,16 @@ def test_dropped_tables_are_gone(spark):
     c.dropped(spark, path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_rows_of_chosen_ids_are_bounded(spark):
+    from tradetally.llm.common import rows_of
+    rows = [(1, f"text {i}", "en") for i in range(20_000)] + [(2, "again", "en")] * 20_000 + [(3, "x", "de"), (3, "y", "de"), (3, None, "de")]
+    rows += [(4, "not chosen", "en"), (None, "no id", "en")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4)
+    chosen = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id long, toxic int")
+    got = [tuple(r) for r in rows_of(df, chosen, "id", "text").select("id", "text", "toxic").collect()]
+    assert len([r for r in got if r[0] == 1]) < 40
+    assert sorted((r for r in got if r[0] == 3), key=str) == sorted([(3, "x", 1), (3, "y", 1), (3, None, 1)], key=str)
+    assert len([r for r in got if r[0] == 2]) <= 1 and {r[0] for r in got} <= {1, 2, 3}
+    assert rows_of(df.limit(0), chosen, "id", "text").count() == 0

@@ -176,6 +176,19 @@ def sample_of(labelled: DataFrame, id_col: str, label_col: str, per_label: int)
     return labelled.select(id_col, label_col).where(lot < share).limit(2 * per_label * max(1, len(counts)))
 
 
+def rows_of(rows: DataFrame, chosen: DataFrame, id_col: str, text_col: str, per_id: int = 8) -> DataFrame:
+    """``rows`` of the ``chosen`` ids (unique, a bounded number) with the columns
+    of ``chosen``: all different rows of an id that has up to ``per_id`` rows, and
+    about so many of one that has more, chosen by a hash of the text. So what a
+    bounded sample of ids brings to the driver is bounded in rows, too; equal
+    rows are brought once, made one in the tasks that read them."""
+    ids = rows.select(id_col).join(F.broadcast(chosen.select(id_col)), id_col)
+    share = ids.groupBy(id_col).agg((F.lit(float(per_id)) / F.count(F.lit(1))).alias("_share"))
+    lot = F.pmod(F.xxhash64(F.col(text_col), F.lit(4)), F.lit(1 << 30)) / F.lit(1 << 30)
+    few = rows.join(F.broadcast(chosen.join(F.broadcast(share), id_col)), id_col)
+    return few.where(lot < F.col("_share")).drop("_share").distinct()
+
+
 class Adam:
     """Adam steps for a dictionary of arrays."""
 

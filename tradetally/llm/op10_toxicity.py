@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, mix, release, sample_of, slices, stored, table, text_once, utf8, with_fields
+from tradetally.llm.common import Adam, fold, mix, release, rows_of, sample_of, slices, stored, table, text_once, utf8, with_fields
 
 #: Labelled texts of either kind in the training sample, about (a quarter of them for
 #: the calibration), and windows of each text.
@@ -287,7 +287,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     """Network for ``docs`` (id, text) and ``labels`` (id, 0/1)."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     chosen = stored(spark, sample_of(known, id_col, label_col, PER_LABEL), "toxic-sample")
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
+    rows = rows_of(docs.select(id_col, F.col(text_col).cast("string").alias("text")), chosen, id_col, "text")
     rows = rows.select(F.col(id_col).cast("long"), F.col(label_col).cast("int"), "text")
 
     def windows(batches):

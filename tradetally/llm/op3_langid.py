@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import Adam, fold, sample_of, slices, stored, table, utf8
+from tradetally.llm.common import Adam, fold, rows_of, sample_of, slices, stored, table, utf8
 
 #: Texts of a label in the training sample, about.
 PER_LABEL = 700
@@ -136,7 +136,8 @@ def train(spark: SparkSession, labelled: DataFrame, id_col: str, text_col: str,
     """``labelled`` (id, text, lang): its bounded sample is brought to the driver as features."""
     chosen = sample_of(labelled.where(F.col(lang_col).isNotNull()), id_col, lang_col, PER_LABEL).select(id_col)
     chosen = stored(spark, chosen.distinct(), "lang-sample")
-    rows = labelled.where(F.col(lang_col).isNotNull()).join(F.broadcast(chosen), id_col, "left_semi")
+    rows = labelled.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull())
+    rows = rows_of(rows, chosen, id_col, text_col)
     rows = rows.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string"), text_col)
 
     def extract(batches):
