@@ -119,6 +119,19 @@ def audit_for_run(spark, sf_dir):
              .select("audit_id", "action", "status", "created_at"))
 
 
+@query("audit_for_run_clustered", S.with_ctes(RUN_EVENTS_SQL, """
+SELECT audit_id, action, status, created_at FROM audit WHERE run_id = 'run-3'"""))
+def audit_for_run_clustered(spark, sf_dir):
+    """L3 from a stored table: audit rows appended before and after a compaction."""
+    audit = L.Ledger(spark, scratch_path(spark, "ledger")).audit_table()
+    rows = audit_events(spark, sf_dir).withColumn("input_hash", F.lit(None)).withColumn("error_message", F.lit(None))
+    late = F.col("status") == "FAILURE"
+    audit.append(rows.where(~late))
+    audit.compact()
+    audit.append(rows.where(late))
+    return audit.read_key("run-3").select("audit_id", "action", "status", "created_at")
+
+
 @query("fk_violations", S.with_ctes(RUN_EVENTS_SQL, """
 SELECT audit_id, run_id FROM audit WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM runs)"""))
 def fk_violations(spark, sf_dir):

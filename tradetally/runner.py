@@ -2,8 +2,9 @@
 ledger writes and the final run status (what the reconciled system's agents
 do, without the printing).
 
-Jobs per source: one ingestion pass (the source is parsed and validated once,
-written as Parquet, and counted on that pass); quarantine and matching read the
+Jobs per source: one ingestion pass (the source is parsed and validated once and
+written once, valid and quarantined rows apart, and counted on that pass). The
+first errors are a top-k over the quarantined rows alone, and matching reads the
 written feed. Breaks are staged once and their counts observed on that write.
 """
 
@@ -81,27 +82,33 @@ def preflight(spark: SparkSession, specs: list[SourceSpec], failed_files: str |
     return failures
 
 
+def feed_path(led: Ledger, run_id: str, source: str) -> str:
+    return led._p(f"feeds/run_id={run_id}/source={source}")
+
+
+def quarantined(feed: DataFrame) -> DataFrame:
+    """The quarantined rows of an ingested feed; only their files are read."""
+    return feed.where(~F.col("valid")).select("ingest_seq", "trade_id", "error_codes", "message")
+
+
 def ingest(spark: SparkSession, led: Ledger, run_id: str, spec: SourceSpec,
            strict_isin: bool = False) -> Ingested:
     """Load and validate once: the validated feed is written to the ledger's
-    folder and counted on that pass; quarantine and matching read it there."""
+    folder, a partition each for valid and quarantined rows, and counted on
+    that pass; matching reads it there. Of the first errors each task keeps ten."""
     t0 = time.time()
     df, fp = readers.load_source(spark, spec.path, spec.name, spec.file_type,
                                  date_format=spec.date_format, dates="quarantine", **spec.options)
     v = V.validate(df, strict_isin=strict_isin, stripped=True)
     obs = Observation(f"ingest-{spec.name}")
-    fpath = led._p(f"feeds/run_id={run_id}/source={spec.name}")
+    fpath = feed_path(led, run_id, spec.name)
+    message = V.error_message(F.lit(spec.name), F.col("trade_id"), F.col("error_codes"))
+    v = v.withColumn("message", F.when(~F.col("valid"), message))
     v.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok")) \
-        .write.mode("overwrite").parquet(fpath)
-    feed = spark.read.schema(v.schema).parquet(fpath)
-    qpath = led._p(f"quarantine/run_id={run_id}/source={spec.name}")
-    feed.where(~F.col("valid")).select(
-        "ingest_seq", "trade_id", "error_codes",
-        V.error_message(F.lit(spec.name), F.col("trade_id"), F.col("error_codes")).alias("message")) \
-        .write.mode("overwrite").parquet(qpath)
+        .write.mode("overwrite").partitionBy("valid").parquet(fpath)
     m = obs.get
-    quarantine = spark.read.parquet(qpath)
-    errors = [r["message"] for r in quarantine.orderBy("ingest_seq", "message").limit(10).collect()]
+    feed = spark.read.schema(v.schema).parquet(fpath)
+    errors = [r["message"] for r in quarantined(feed).orderBy("ingest_seq", "message").limit(V.ERROR_LIST_LIMIT).collect()]
     files_n, digest = (0, None)
     if fp is not None:
         # per-file hashes go to a ledger table; the audit row gets the file
@@ -195,4 +202,4 @@ def run_status_value(error_count: int, total_breaks: int) -> str:
     return "COMPLETED"
 
 
-__all__ = ["SourceSpec", "preflight", "ingest", "run_day", "run_status", "run_status_value"]
+__all__ = ["SourceSpec", "preflight", "ingest", "quarantined", "run_day", "run_status", "run_status_value"]

@@ -24,7 +24,9 @@ def build_session(master: str | None = None, partitions: int | None = None,
           .config("spark.ui.showConsoleProgress", "false")
           # generated methods above HotSpot's 8000-bytecode JIT limit would run
           # interpreted; split such stages into per-operator code instead
-          .config("spark.sql.codegen.hugeMethodLimit", "8000"))
+          .config("spark.sql.codegen.hugeMethodLimit", "8000")
+          # a table with few partition values is written without a sort of its rows by them
+          .config("spark.sql.maxConcurrentOutputFileWriters", "8"))
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in (extra or {}).items():

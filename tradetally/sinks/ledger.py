@@ -22,6 +22,7 @@ from tradetally.operators.summary import ordered_breaks
 from tradetally.operators.validate import check_non_negative
 from tradetally.schemas import (AUDIT_SCHEMA, AUDIT_STATUSES, BREAK_TYPES, RUN_EVENT_SCHEMA,
                                 RUN_STATUSES, SEVERITIES)
+from tradetally.sinks.events import FILE_BYTES, EventTable
 
 
 class LedgerError(ValueError):
@@ -110,6 +111,19 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._p(name))
 
+    def run_table(self) -> EventTable:
+        return EventTable(self.spark, self._p("runs"), RUN_EVENT_SCHEMA, ["updated_at"])
+
+    def audit_table(self) -> EventTable:
+        return EventTable(self.spark, self._p("audit"), AUDIT_SCHEMA, ["created_at"])
+
+    def compact(self, file_bytes: int = FILE_BYTES) -> None:
+        """Run events and audit rows into few files sorted by run; reads by run
+        then open only files that can hold it. Not beside another compaction."""
+        for t in (self.run_table(), self.audit_table()):
+            t.compact(file_bytes)
+            t.tidy()
+
     # ---- runs ---------------------------------------------------------------
     def _run_event(self, **vals) -> DataFrame:
         row = {f.name: vals.get(f.name) for f in RUN_EVENT_SCHEMA.fields}
@@ -144,11 +158,11 @@ class Ledger:
         self._run_event(**base).write.mode("append").parquet(self._p("runs"))
 
     def runs(self) -> DataFrame:
-        return latest_run_state(self._read("runs", RUN_EVENT_SCHEMA))
+        return latest_run_state(self.run_table().read())
 
     def get_run(self, run_id: str) -> DataFrame:
-        """L1."""
-        return self.runs().where(F.col("run_id") == run_id)
+        """L1: only files that can hold the run's events are read."""
+        return latest_run_state(self.run_table().read_key(run_id))
 
     # ---- breaks -------------------------------------------------------------
     def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None) -> int:
@@ -214,8 +228,7 @@ class Ledger:
             raise LedgerError("duration_ms must be >= 0")
         if not missing_parent_keys(entries, self.runs()).isEmpty():
             raise LedgerError("audit rows reference runs that do not exist")
-        entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_SCHEMA.fields]) \
-            .write.mode("append").parquet(self._p("audit"))
+        self.audit_table().append(entries)
 
     def quick_audit(self, agent_name: str, action: str, status: str, run_id: str | None = None,
                     detail: dict | None = None, duration_ms: int | None = None,
@@ -229,5 +242,5 @@ class Ledger:
         self.write_audit(df.withColumn("audit_id", stable_id(F.col("audit_id"))))
 
     def get_audit_for_run(self, run_id: str) -> DataFrame:
-        """L3."""
-        return self._read("audit", AUDIT_SCHEMA).where(F.col("run_id") == run_id).orderBy("created_at")
+        """L3: only files that can hold the run's rows are read."""
+        return self.audit_table().read_key(run_id).orderBy("created_at")
