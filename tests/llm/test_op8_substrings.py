@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradetally.llm import op8_substrings as op
 
@@ -48,7 +50,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("group", [256, 3])
+@pytest.mark.parametrize("group", [op.GROUP, 700, 256, 3])
 def test_brute_force(spark, group):
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts())]
     random.Random(1).shuffle(rows)
@@ -62,7 +64,50 @@ def test_brute_force(spark, group):
 def test_lengthened_prefixes_are_used(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
     docs = op._input(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    assert len(op.hot_prefixes(docs, 50, 12, 3)) > 5 and op.hot_prefixes(docs, 50, 12, 10**6) == []
+    steps = op.large_prefixes(docs, 50, 12, 3)
+    assert len(steps) == len(op.lengths(50, 12)) == 3 and all(len(x) > 5 for x in steps)
+    some = op.large_prefixes(docs, 50, 12, 700)
+    assert len(some) > 1 and len(some[0]) > 0
+    assert [len(x) for x in op.large_prefixes(docs, 50, 12, 10**6)] == [0]
+
+
+def test_groups_do_not_grow_with_the_input(spark):
+    """With ten times the input no subtree gets more words than before."""
+    group, few = 3000, [(i, t) for i, t in enumerate(texts())]
+    for rows in (few, [(i * 10 + k, t) for i, t in few for k in range(10)]):
+        docs = op._input(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        large = spark.sparkContext.broadcast(op.large_prefixes(docs, 50, 12, group))
+        common = spark.sparkContext.broadcast(op.common_words(docs))
+        dealt = op._deal(docs, large, common, 50, op.lengths(50, 12)).where("at >= 0")
+        words = dealt.groupBy("prefix").agg(F.sum(F.length("words") / 2).alias("n")).agg(F.max("n")).first()[0]
+        assert 0 < words <= group
+
+
+def test_subtrees_by_definition():
+    rng = np.random.default_rng(5)
+    for depth, top in ((5, 2), (7, 3), (50, 1), (50, 70_000), (9, 70_000)):
+        size = rng.integers(depth, depth + 40, 30)
+        words = np.concatenate([np.tile(rng.integers(0, top + 1, 4), 30)[:n] for n in size])
+        start = np.repeat(np.cumsum(size) - size, size)
+        end = np.repeat(np.cumsum(size), size)
+        want = sorted((tuple(words[i:i + depth]), i) for i in range(len(words)) if end[i] - i >= depth)
+        order, head = op.subtrees(words, size, depth)
+        assert [tuple(words[i:i + depth]) for i in order] == [w for w, _ in want] and set(order) == {i for _, i in want}
+        assert head.tolist() == [k == 0 or want[k][0] != want[k - 1][0] for k in range(len(want))]
+        assert len(start) == len(end)
+
+
+@pytest.mark.parametrize("common", [65_535, 3])
+def test_words_come_through_their_numbers(common, monkeypatch):
+    monkeypatch.setattr(op, "COMMON", 65_535)
+    frequent = np.sort(np.arange(common, dtype=np.uint64) * np.uint64(7919))
+    words = [np.array([7919, 14, 7919 * 2, 14, 15], np.uint64), np.array([15, 0], np.uint64)]
+    sent = [np.where(op._among(w, frequent), np.searchsorted(frequent, w), 65_535).astype("<u2") for w in words]
+    rare = [w[s == 65_535].astype("<u8").tobytes() for w, s in zip(words, sent)]
+    number, size = op._decoded([s.tobytes() for s in sent], rare)
+    assert size.tolist() == [5, 2]
+    whole = np.concatenate(words)
+    assert [[a == b for b in number] for a in number] == [[a == b for b in whole] for a in whole]
 
 
 def test_empty_table(spark):
