@@ -64,11 +64,11 @@ def test_brute_force(spark, group):
 def test_lengthened_prefixes_are_used(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
     docs = op._input(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    steps = op.large_prefixes(docs, 50, 12, 3)
+    steps = op.prefixes(docs, 50, 12, 3)[0]
     assert len(steps) == len(op.lengths(50, 12)) == 3 and all(len(x) > 5 for x in steps)
-    some = op.large_prefixes(docs, 50, 12, 700)
+    some = op.prefixes(docs, 50, 12, 700)[0]
     assert len(some) > 1 and len(some[0]) > 0
-    assert [len(x) for x in op.large_prefixes(docs, 50, 12, 10**6)] == [0]
+    assert [len(x) for x in op.prefixes(docs, 50, 12, 10**6)[0]] == [0]
 
 
 def test_groups_do_not_grow_with_the_input(spark):
@@ -76,13 +76,21 @@ def test_groups_do_not_grow_with_the_input(spark):
     group, few = 3000, [(i, t) for i, t in enumerate(texts())]
     for rows in (few, [(i * 10 + k, t) for i, t in few for k in range(10)]):
         docs = op._input(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-        large = spark.sparkContext.broadcast(op.large_prefixes(docs, 50, 12, group))
-        common = spark.sparkContext.broadcast(op.common_words(docs))
-        dealt = op._deal(docs, large, common, 50, op.lengths(50, 12)).where("at >= 0")
+        large, shared = op.prefixes(docs, 50, 12, group)
+        large, common = spark.sparkContext.broadcast(large), spark.sparkContext.broadcast(op.common_words(docs))
+        lists = shared.groupBy("doc").agg(F.collect_set("prefix").alias("shared"))
+        dealt = op._deal(docs.join(lists, "doc", "left"), large, common, 50, op.lengths(50, 12)).where("at >= 0")
         words = dealt.groupBy("prefix").agg(F.sum(F.length("words") / 2).alias("n")).agg(F.max("n")).first()[0]
         assert 0 < words <= group
 
 
+def test_texts_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = op.remove_repeats(spark, docs)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_subtrees_by_definition():
     rng = np.random.default_rng(5)
     for depth, top in ((5, 2), (7, 3), (50, 1), (50, 70_000), (9, 70_000)):

@@ -8,8 +8,10 @@ passage, and neighbouring leaves along a document join into its maximal repeats.
 Suffixes are dealt to subtrees by a prefix. It is not taken at the suffix's own
 first word but at the least of the k-word hashes within its first ``WINDOW``
 words: equal suffixes still meet, and neighbouring suffixes of a document, which
-share most of their words, travel together as one record of words. k is
-variable: from ``PREFIX`` words on, a prefix whose records hold more than
+share most of their words, travel together as one record of words. A prefix
+that one document alone has leads to no repeat, so the places of all prefixes are
+counted first, and documents get back those that they share with others. k is
+variable: from ``PREFIX`` words on, a shared prefix whose records hold more than
 ``GROUP`` words in all is lengthened step by step, so that every group fits
 the same memory whatever the input. The prefixes too large at each step are
 broadcast; there are at most (words in records) / ``GROUP`` of them, 8 bytes
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradetally.llm.common import rolling, signed, slices, sliding_min, table, utf8, word_hashes
+from tradetally.llm.common import rolling, signed, slices, sliding_min, stored, table, utf8, word_hashes
 
 WINDOW = 50
 #: Words of the shortest prefix, and lengths tried before the whole window.
@@ -108,34 +110,41 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("row", F.xxhash64("text"))
 
 
-def large_prefixes(rows: DataFrame, window: int, prefix: int, group: int) -> list[np.ndarray]:
-    """For each length in turn, the prefixes whose records hold more than
-    ``group`` words; a length after the first without any is not judged."""
-    spark, sizes, large = rows.sparkSession, lengths(window, prefix), []
+def prefixes(rows: DataFrame, window: int, prefix: int, group: int) -> tuple[list[np.ndarray], DataFrame]:
+    """For each length in turn, the shared prefixes whose records hold more than
+    ``group`` words (a length after the first without any is not judged); and
+    (doc, prefix) of all other shared ones."""
+    spark, sizes, large, shared = rows.sparkSession, lengths(window, prefix), [], None
     for length in sizes:
         known = spark.sparkContext.broadcast(large)
 
-        def count(batches, known=known, length=length):
+        def places(batches, known=known, length=length):
             for b in batches:
-                texts = utf8(b.column(0))
+                ids, texts = b.column(0).to_numpy(), utf8(b.column(1))
                 for lo, hi in slices(texts):
                     h, offsets = word_hashes(texts[lo:hi])
                     at, text = _windows(offsets, window)
-                    _, rest = _prefixes(h, at, window, sizes, known.value)
-                    at, text = (at[rest], text[rest]) if known.value else (at, text)
-                    key = _prefix(h, at, window, length) if len(at) else np.zeros(0, np.uint64)
+                    if known.value and len(at):
+                        rest = _prefixes(h, at, window, sizes, known.value)[1]
+                        at, text = at[rest], text[rest]
+                    if not len(at):
+                        continue
+                    key = _prefix(h, at, window, length)
                     start = _records(text, key, at)
                     words = np.diff(np.append(start, len(at))) + window - 1
-                    keys, which = np.unique(key[start], return_inverse=True)
-                    n = np.bincount(which, words, len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], ["prefix", "n"])
-
-        counts = rows.where("doc is not null").select("text").mapInArrow(count, "prefix long, n long")
-        found = counts.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > group).select("prefix").collect()
-        large.append(np.sort(np.array([r.prefix for r in found], np.int64).view(np.uint64)))
-        if not found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(key[start])), pa.array(ids[lo + text[start]]), pa.array(words)], ["prefix", "doc", "n"])
+
+        found = stored(spark, rows.where("doc is not null").select("doc", "text").mapInArrow(places, "prefix long, doc long, n long"), "prefixes")
+        each = found.groupBy("prefix").agg(F.sum("n").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+        each = stored(spark, each.where("least < most").select("prefix", "n"), "shared-prefixes")
+        fit = found.join(each.where(F.col("n") <= group).select("prefix"), "prefix").select("doc", "prefix")
+        shared = fit if shared is None else shared.unionByName(fit)
+        over = each.where(F.col("n") > group).select("prefix").collect()
+        large.append(np.sort(np.array([r.prefix for r in over], np.int64).view(np.uint64)))
+        if not over:
             break
-    return large
+    return large, shared
 
 
 def common_words(rows: DataFrame) -> np.ndarray:
@@ -162,8 +171,13 @@ def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return values.cast(pa.binary())
 
 
+def _tagged(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return key ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _deal(rows: DataFrame, large, common, window: int, sizes: list[int]) -> DataFrame:
-    """Records by prefix; for a prefix of the whole window the task's smallest document."""
+    """Records of the shared prefixes (``rows`` has a list of them) by prefix; for
+    a prefix of the whole window the task's smallest document."""
     def deal(batches):
         known, frequent, owners = large.value, common.value, {}
 
@@ -182,7 +196,7 @@ def _deal(rows: DataFrame, large, common, window: int, sizes: list[int]) -> Data
         for b in batches:
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             row, texts = b.column(2).to_numpy(zero_copy_only=False), utf8(b.column(1))
-            none = np.asarray(b.column(0).is_null())
+            none, lists = np.asarray(b.column(0).is_null()), b.column(3)
             for lo, hi in slices(texts):
                 h, offsets = word_hashes([b"" if none[i] else texts[i] for i in range(lo, hi)])
                 at, text = _windows(offsets, window)
@@ -201,6 +215,12 @@ def _deal(rows: DataFrame, large, common, window: int, sizes: list[int]) -> Data
                     if len(owners) > GATHERED:
                         yield from flush()
                     at, text, key = (np.delete(x, rest) for x in (at, text, key))
+                # a prefix of one text taken for another's costs a record, no more
+                own = lists.slice(lo, hi - lo)
+                whose = np.repeat(np.arange(hi - lo), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                own = np.sort(_tagged(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), whose))
+                mine = _among(_tagged(key, text), own)
+                at, text, key = at[mine], text[mine], key[mine]
                 start = _records(text, key, at)
                 if not len(start):
                     continue
@@ -225,7 +245,7 @@ def _deal(rows: DataFrame, large, common, window: int, sizes: list[int]) -> Data
                     begin = to
         yield from flush()
 
-    return rows.select("doc", "text", "row").mapInArrow(deal, _ROWS)
+    return rows.select("doc", "text", "row", "shared").mapInArrow(deal, _ROWS)
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,9 +394,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     of passages that a document of smaller id has, joined by blanks."""
     rows, sizes = _input(docs, id_col, text_col), lengths(window, prefix)
     known, nameless = rows.where("doc is not null"), rows.where("doc is null")
-    large = spark.sparkContext.broadcast(large_prefixes(known, window, prefix, group))
-    common = spark.sparkContext.broadcast(common_words(known))
-    found = _repeats(_deal(known, large, common, window, sizes), window)
+    large, shared = prefixes(known, window, prefix, group)
+    large, common = spark.sparkContext.broadcast(large), spark.sparkContext.broadcast(common_words(known))
+    # both joins with the texts are by the same column and of one kind, so texts are shuffled once
+    dealt = known.join(shared.groupBy("doc").agg(F.collect_set("prefix").alias("shared")), "doc", "left")
+    found = _repeats(_deal(dealt, large, common, window, sizes), window)
     # ranges and owned nodes of a document: no more than it has words
     found = found.groupBy("doc").agg(
         F.collect_list(F.when(F.col("lo") >= 0, F.struct("row", "lo", "hi"))).alias("ranges"),
