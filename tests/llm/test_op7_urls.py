@@ -42,6 +42,25 @@ def test_subdomains_share_their_domain(spark):
     assert (got[1000], got[1001]) == ("block", "allow")
 
 
+def test_registered_domains(spark):
+    cases = [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.co.uk", "x.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("uk", "uk", "uk"),
+             ("www.a.com", "a.com", "com"), ("co.com", "co.com", "com"), ("me.github.io", "me.github.io", "github.io"),
+             ("a.me.github.io:80", "me.github.io", "github.io"), ("10.0.0.1", "10.0.0.1", op.ADDRESS), ("u:p@10.0.0.1:8080", "10.0.0.1", op.ADDRESS),
+             ("[2001:db8::1]:443", "[2001:db8::1]", op.ADDRESS), ("1.2.3", "2.3", "3"), ("a.b.de.", "b.de", "de"), ("news.gov.br", "news.gov.br", "gov.br"),
+             ("q.a.b.c", "b.c", "c"), (":80", "", ""), ("..", "", ""), ("x" * 5000 + ".org", "x" * 5000 + ".org", "org")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "host string").select("host", *op.domain_of(F.col("host")))
+    assert {tuple(r) for r in df.collect()} == set(cases)
+
+
+def test_neighbours_below_a_suffix_and_addresses_are_strangers(spark):
+    pages = [(i, f"http://s{i % 5}.bad.co.uk/") for i in range(60)] + [(100 + i, f"http://s{i % 40}.d{i}.co.uk/") for i in range(300)]
+    pages += [(1000 + i, "http://10.0.0.1:80/") for i in range(60)] + [(1100 + i, f"http://10.{i}.0.1/") for i in range(60)]
+    pages += [(2000, "http://new.bad.co.uk/"), (2001, "http://new.d7.co.uk/"), (2002, "http://10.200.0.1/")]
+    bad = [(i, int(i < 60 or 1000 <= i < 1100)) for i, _ in pages if i < 2000]
+    got = {r.page_id: r.verdict for r in judged(spark, pages, bad).collect()}
+    assert [got[i] for i in (0, 2000, 2001, 1000, 1100, 2002)] == ["block", "block", "allow", "block", "allow", "allow"]
+
+
 def test_empty_tables(spark):
     assert judged(spark, []).count() == 0
     assert judged(spark, [], [(1, 1)]).count() == 0

@@ -7,11 +7,19 @@ rates; so a host with few labelled pages is shrunk to its domain, a domain to
 its suffix, and a suffix to all pages. A host is blocked if the lower bound of
 its posterior bad rate exceeds a threshold. Explicit rules go before that.
 
+A suffix is the last label of a host name; the last two below a country's code
+if the first of them names a kind of registrant there (``co.uk``), and below a
+platform whose customers have names of their own (``PLATFORMS``). The registered
+domain is the suffix with the label before it. For both, a user, a port and dots at
+the end of the host do not count. A numeric address is its own domain; all addresses
+share one suffix.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; a page that is labelled more than once counts
 as bad if any of its labels is; without labels nothing is blocked by the
 method; equal rows are judged alike and all returned; a null page_id has no
-label; further columns of the inputs are ignored.
+label; a host that is a suffix itself is its own domain; urls of any length are
+read whole; further columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +37,13 @@ Z = 1.645
 BAD_RATE = 0.5
 #: Limits of a prior's strength, in pages.
 STRENGTH = (4.0, 1000.0)
+# fixed values: labels that name kinds of registrants below country codes
+KINDS = ("ac", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "gv", "ltd", "mil", "ne", "net", "nhs", "nic", "nom", "or",
+         "org", "plc", "sch", "school")
+#: Names below which customers of a platform have their own.
+PLATFORMS = ("blogspot.com", "github.io", "wordpress.com")
+ADDRESS = "[address]"
+_ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +65,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def domain_of(host: Column, platforms=PLATFORMS) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+    parts = F.split(name, r"\.")
+    size, last, before = F.size(parts), F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2)
+    two = F.concat_ws(".", before, last)
+    of_two = F.coalesce(last.rlike("^[a-z][a-z]$") & before.isin(*KINDS), F.lit(False)) | two.isin(*platforms)
+    n = F.when(of_two, 2).otherwise(1)
+
+    def end(labels: Column) -> Column:
+        return F.array_join(F.slice(parts, size - labels + 1, labels), ".")
+
+    address = name.rlike(_ADDRESS)
+    return (F.when(address, name).otherwise(end(F.least(n + 1, size))),
+            F.when(address, F.lit(ADDRESS)).otherwise(end(F.least(n, size))))
+
+
 def _strength(level: DataFrame) -> DataFrame:
     """One row (s): the prior strength of a level by moments of (n, k)."""
     t = level.where("n > 0").agg(
@@ -70,10 +102,8 @@ def reputations(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> Dat
     bad = labels.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     per_host = pages.where("host != ''").join(bad, "page_id", "left").groupBy("host").agg(
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
-    name = F.split(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.")
-    hosts = stored(spark, per_host.withColumns({
-        "domain": F.array_join(F.slice(name, F.greatest(F.size(name) - 1, F.lit(1)), 2), "."),
-        "suffix": F.element_at(name, -1)}), "hosts")
+    domain, suffix = domain_of(F.col("host"))
+    hosts = stored(spark, per_host.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = stored(spark, hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
@@ -99,7 +129,10 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES,
     known = stored(spark, reputations(spark, rows, labels).select("host", "bound"), "reputations")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bound") > bad_rate, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(known, "host", "left").select(
+    # pages without a host do not meet in the join
+    named = rows.where("host != ''").join(known, "host", "left")
+    nameless = rows.where("host = ''").withColumn("bound", F.lit(None).cast("double"))
+    return named.unionByName(nameless).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "bound")
 
 
@@ -114,6 +147,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    kinds, platforms = (", ".join(f"'{x}'" for x in xs) for xs in (KINDS, PLATFORMS))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", v, h + p) for v, h, p in order]
     rule = " ".join(f"WHEN {f} THEN '{r}'" for f, _, r in fits)
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, v, _ in fits)
@@ -134,9 +168,13 @@ WITH u AS (SELECT page_id,
 l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels
       WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k,
-       string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+       regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS name
        FROM u LEFT JOIN l ON page_id = doc_id WHERE host <> '' GROUP BY host),
-h AS (SELECT host, n, k, parts[-1] AS suffix, array_to_string(parts[-2:], '.') AS domain FROM h0),
+h1 AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '{_ADDRESS}') AS address FROM h0),
+h2 AS (SELECT *, CASE WHEN len(parts) > 1 AND (regexp_matches(parts[-1], '^[a-z][a-z]$') AND parts[-2] IN ({kinds})
+       OR parts[-2] || '.' || parts[-1] IN ({platforms})) THEN 2 ELSE 1 END AS labels FROM h1),
+h AS (SELECT host, n, k, CASE WHEN address THEN '{ADDRESS}' ELSE array_to_string(parts[-labels:], '.') END AS suffix,
+       CASE WHEN address THEN name ELSE array_to_string(parts[-(labels + 1):], '.') END AS domain FROM h2),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 m0 AS (SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS m FROM s),
