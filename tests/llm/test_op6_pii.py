@@ -44,9 +44,28 @@ def test_base_spans(text):
 
 
 def test_long_runs_stay_fast():
-    for t in ("1" * 200_000, "a" * 200_000, "1." * 50_000, "@" * 100_000, "a@" * 50_000, "+1" * 50_000, "+1 " + "(" * 50_000):
+    for t in ("1 " * 100_000, "1 " * 100_000 + "x", "1x 1" * 50_000, "(1" * 50_000, "1" * 200_000 + "x", "a" * 200_000, "1." * 50_000, "@" * 100_000, "a@" * 50_000, "+1" * 50_000, "+1 " + "(" * 50_000):
         op.base_spans(t)
-        list(op.candidates(t, []))
+        op.wanted(t, [])
+
+
+def test_runs_of_digit_groups():
+    def found(text):
+        return sorted(text[s:e] for s, e in op.runs(text, op.base_spans(text)))
+
+    assert found("call 988 555 3000 or (988) 555-3001, not 12 34") == ["988 555 3000", "988) 555-3001"]
+    assert found("card 4111 1111 1111 1112, 12.3456.7") == ["12.3456.7", "4111 1111 1111 1112"]
+    assert found("x123 4567 8y 5é 66666") == []
+    assert found("ok +1 (988) 555-2485 and 4111 1111 1111 1111 and 1.2.3.4") == []  # base spans
+    assert found("+12 345678901234567890") == ["+12 345678901234567890"]
+    assert op.outermost([(1, 3, 9), (1, 3, 5), (1, 5, 9), (0, 4, 5), (1, 8, 12)]) == [(0, 4, 5), (1, 3, 9), (1, 8, 12)]
+
+
+def test_equal_kinds_and_repeated_rows(spark):
+    rows = [(i, f"write to contact a{i}@b.org now") for i in range(8)] + [(20 + i, f"write to contact 10.0.0.{i} now") for i in range(8)]
+    rows += [(50, "write to contact 777 888 999 now")] * 3
+    spans = [r.spans for r in op.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 50").collect()]
+    assert len(spans) == 3 and spans[0] == spans[1] == spans[2] == []  # no kind has the share that is asked for
 
 
 def corpus():
@@ -64,11 +83,13 @@ def test_patterns_find_unseen_identifiers(spark):
     texts = dict(corpus())
     for i, t in texts.items():
         assert [s[:3] for s in got[i] if s[3]] == plain(t or "")
+    for i in range(100, 103):
+        assert [(k, texts[i][s:e], b) for k, s, e, b in got[i]] == [("phone", f"988 555{3000 + i - 100}", False)]
     for i in range(103, 106):
         assert [(k, texts[i][s:e], b) for k, s, e, b in got[i]] == [("phone", f"98855{3000 + i - 100}", False)]
     assert all(not got[i] for i in range(200, 220))
     red = {r.doc_id: r.text for r in op.redact(op.find(spark, docs)).collect()}
-    assert red[3] == "please call hotline <PHONE> today and ask" and red[103] == red[3] and red[300] is None
+    assert red[3] == "please call hotline <PHONE> today and ask" and red[103] == red[100] == red[3] and red[300] is None
     assert red[205] == texts[205] and red[302].endswith("x <EMAIL>")
 
 

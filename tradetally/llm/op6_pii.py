@@ -2,10 +2,12 @@
 
 Fixed formats (e-mail, IP address, card, phone) are found directly; they stay
 in the result and are the seeds. Every identifier-like word (one that holds an
-at sign or several digits), seed or not, is an instance, and the words around
-it are its patterns. Over the pattern-instance graph of the whole corpus,
+at sign or several digits) and every run of digit groups (joined by blanks, dots,
+brackets or hyphens, with several digits in all), seed or not, is an instance, and
+the words around it are its patterns. Over the pattern-instance graph of the whole corpus,
 rounds of joins and sums score the patterns of each kind by the share of their
-instances that are of that kind, and the instances by a noisy-or over their
+instances that are of that kind (an instance of no known kind is what is looked for,
+so it counts half against a pattern), and the instances by a noisy-or over their
 accepted patterns; seeds keep the score 1. Instances that accepted patterns
 find with a high score join the seeds' kind.
 
@@ -15,7 +17,8 @@ each pattern over ``SPREAD`` tasks, and what is found returns to the texts by
 their hashes.
 
 Defined results: null text counts as empty and has no spans; equal rows are
-all returned; a corpus without seeds has no patterns; offsets count code
+all returned; a span that several kinds find equally well is of the first of
+them in ``KINDS``; a found span inside another of its kind is left out; a corpus without seeds has no patterns; offsets count code
 points, ends are exclusive; further columns of the input are ignored.
 """
 
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -38,6 +43,8 @@ PRECISION = 0.8
 SUPPORT = 4
 SCORE = 0.8
 ROUNDS = 3
+#: What an instance of no known kind counts against a pattern.
+UNKNOWN = 0.5
 #: Parts of a pattern's rows in joins.
 SPREAD = 32
 #: Digits that make a word an instance, and code points of context looked at.
@@ -53,6 +60,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_RUN = re.compile(r"(?<!\w)\+?\(?[0-9]+(?:[ .()-]{1,3}[0-9]+)+(?!\w)")
 _HINT = re.compile(r"[0-9@]")
 _WORD_END = re.compile(r"\S*")
 _SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -131,6 +139,33 @@ def candidates(text: str, spans: list[tuple[str, int, int]]):
             yield start, end
 
 
+def runs(text: str, spans: list[tuple[str, int, int]]):
+    """Runs of digit groups that do not touch the spans."""
+    taken = sorted((s, e) for _, s, e in spans)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        start += text[start] == "("
+        before = bisect_left(starts, end)
+        if (not before or reach[before - 1] <= start) and sum(c.isdigit() for c in m.group()) >= DIGITS:
+            yield start, end
+
+
+def wanted(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, int]]:
+    """All that patterns may find outside of the spans."""
+    return {*candidates(text, spans), *runs(text, spans)}
+
+
+def outermost(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of (kind, start, end) that no other of their kind holds."""
+    out, reach = [], {}
+    for kind, start, end in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+        if end > reach.get(kind, -1):
+            out.append((kind, start, end))
+            reach[kind] = end
+    return out
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
@@ -156,7 +191,7 @@ def graph(docs: DataFrame, text_col: str) -> DataFrame:
                     continue
                 spans = base_spans(text)
                 marked = [(KINDS.index(k), s, e) for k, s, e in spans]
-                for kind, s, e in marked + [(None, s, e) for s, e in candidates(text, spans)]:
+                for kind, s, e in marked + [(None, s, e) for s, e in wanted(text, spans)]:
                     x = _instance(text, s, e)
                     found.update((_key(p), x, kind) for p in patterns(text, s, e))
                 if len(found) > GATHERED:
@@ -178,17 +213,21 @@ def by_pattern(rows: DataFrame, accepted: DataFrame, *lot: str) -> DataFrame:
 def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Accepted patterns: (pattern, kind, confidence)."""
     links = stored(spark, graph(docs, text_col), "pii-graph")
-    seeds = stored(spark, links.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
+    seeds = stored(spark, links.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"), F.lit(0.0).alias("more")), "pii-seeds")
     pairs = stored(spark, links.select("pattern", "instance").distinct(), "pii-pairs")
-    size = stored(spark, pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pii-sizes")
+    # every instance weighs as unknown, seeds the rest of 1, and what is found the rest of its score
+    known = seeds.groupBy("instance").agg(F.lit(1 - UNKNOWN).alias("known"))
+    size = pairs.join(known, "instance", "left").groupBy("pattern").agg(
+        F.count("*").alias("n"), (F.count("*") * UNKNOWN + F.coalesce(F.sum("known"), F.lit(0.0))).alias("weight"))
+    size = stored(spark, size.where(F.col("n") >= SUPPORT).select("pattern", "weight"), "pii-sizes")
     scores, accepted = seeds, None
     for _ in range(ROUNDS):
-        sums = pairs.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("good"))
-        rated = sums.join(size, "pattern").withColumn("confidence", F.col("good") / (F.col("n") + 0.5))
+        sums = pairs.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.sum("more").alias("more"))
+        rated = sums.join(size, "pattern").withColumn("confidence", F.col("good") / (F.col("weight") + F.col("more") + 0.5))
         accepted = stored(spark, rated.where(F.col("confidence") >= PRECISION).select("pattern", "kind", "confidence"), "pii-patterns")
         found = by_pattern(pairs, accepted, "instance").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        found = found.where(F.col("score") >= SCORE).join(seeds.select("instance").distinct(), "instance", "left_anti")
+        found = found.where(F.col("score") >= SCORE).withColumn("more", F.col("score") - UNKNOWN).join(seeds.select("instance").distinct(), "instance", "left_anti")
         scores = stored(spark, seeds.unionByName(found), "pii-scores")
     return accepted
 
@@ -202,7 +241,7 @@ def learnt_spans(spark: SparkSession, docs: DataFrame, accepted: DataFrame, text
                 key, out = b.column(0).slice(lo, 1000).to_pylist(), set()
                 for k, text in zip(key, b.column(1).slice(lo, 1000).to_pylist()):
                     if text and _HINT.search(text):
-                        for s, e in candidates(text, base_spans(text)):
+                        for s, e in wanted(text, base_spans(text)):
                             out.update((k, s, e, _key(p)) for p in patterns(text, s, e))
                 rows = list(zip(*out)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])],
@@ -249,7 +288,7 @@ def _marked(spark: SparkSession, docs: DataFrame, text_col: str, rest: list[str]
         if not text or not _HINT.search(text):
             return []
         out = [(KINDS.index(k), s, e, True) for k, s, e in base_spans(text)]
-        out += [(x["kind"], x["start"], x["end"], False) for x in learnt or ()]
+        out += [(*x, False) for x in outermost([(x["kind"], x["start"], x["end"]) for x in learnt or ()])]
         return [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(out)]
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
