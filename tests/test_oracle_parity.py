@@ -15,7 +15,7 @@ from tradetally.plans.registry import all_oracles, all_queries  # noqa: E402
 
 QUERIES, ORACLES = all_queries(), all_oracles()
 # the file-based oracles read sf0.01 by path (as the driver does)
-PATH_BOUND = {"file_fingerprint", "source_profile"}
+PATH_BOUND = {"file_fingerprint", "file_merkle_roots", "source_profile"}
 
 
 @pytest.fixture(scope="module")
