@@ -2,6 +2,10 @@
 
 import datetime as dt
 import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from conftest import TRADE_HEADER
 from test_reconcile import OWN_A
@@ -107,3 +111,24 @@ def test_feed_is_written_once_and_quarantine_is_a_partition(spark, tmpdir_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(valid" in plan and "csv" not in plan.lower()
     assert not os.path.exists(f"{tmpdir_path}/ledger/quarantine")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_now_is_utc_wherever_the_driver_is(spark, tmpdir_path, monkeypatch, zone):
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        led = Ledger(spark, f"{tmpdir_path}/ledger")
+        led.create_run("n", dt.date(2026, 3, 1))
+        led.complete_run("n", "COMPLETED")
+        led.quick_audit("agent", "act", "INFO", run_id="n")
+        led.create_run("given", dt.date(2026, 3, 1), started_at=dt.datetime(2026, 3, 1, 12))
+        off = [F.abs(F.unix_timestamp(c) - F.unix_timestamp(F.current_timestamp())) for c in ("started_at", "completed_at", "updated_at")]
+        assert max(led.get_run("n").select(*off).first()) < 120
+        assert led.get_audit_for_run("n").select(F.abs(F.unix_timestamp("created_at") - F.unix_timestamp(F.current_timestamp()))).first()[0] < 120
+        assert led.get_run("given").select(F.date_format("started_at", "HH:mm")).first()[0] == "12:00"
+        state = led.get_run("n").select("status", "event_seq").first()
+        assert (state.status, state.event_seq) == ("COMPLETED", 0)  # completed later than created
+    finally:
+        monkeypatch.undo()
+        time.tzset()

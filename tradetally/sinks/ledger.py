@@ -29,6 +29,12 @@ class LedgerError(ValueError):
     pass
 
 
+def utc_now() -> dt.datetime:
+    """the present instant. It names its zone, since Spark takes a time
+    without one as local to the driver."""
+    return dt.datetime.now(dt.timezone.utc)
+
+
 def latest_run_state(events: DataFrame) -> DataFrame:
     """Current state per run = its latest event by logical time: instant,
     then ``event_seq``, then ``writer``, as far as the events have them; runs without a create event are dropped (an UPDATE
@@ -42,7 +48,8 @@ def latest_run_state(events: DataFrame) -> DataFrame:
 
 
 def insert_ignore(new: DataFrame, existing: DataFrame, key: str = "break_id") -> DataFrame:
-    """K1: rows of ``new`` whose key is neither already stored nor repeated."""
+    """K1: rows of ``new`` whose key is neither already stored nor repeated. What
+    is stored is read once, so two writers of one run must not run together."""
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
@@ -89,7 +96,10 @@ class Ledger:
 
     def _clock(self, now: dt.datetime, seen: tuple[dt.datetime, int | None] | None = None) -> dict:
         """Logical time of a new event: later than the one it has ``seen``, even
-        within one instant or where this writer's clock is behind."""
+        within one instant or where this writer's clock is behind. A time without
+        a zone is one that Spark returned, local to the driver."""
+        if seen:
+            seen = (seen[0].astimezone(dt.timezone.utc), seen[1])
         if seen and seen[0] >= now:
             return {"updated_at": seen[0], "event_seq": (seen[1] or 0) + 1, "writer": self.writer}
         return {"updated_at": now, "event_seq": 0, "writer": self.writer}
@@ -136,8 +146,9 @@ class Ledger:
         return self.spark.createDataFrame([tuple(row.values())], RUN_EVENT_SCHEMA)
 
     def create_run(self, run_id: str, run_date: dt.date, started_at: dt.datetime | None = None) -> None:
-        """K2."""
-        now = started_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        """K2. A ``started_at`` without a zone is UTC."""
+        now = started_at or utc_now()
+        now = now if now.tzinfo else now.replace(tzinfo=dt.timezone.utc)
         ev = self._run_event(run_id=run_id, run_date=run_date, started_at=now, status="RUNNING",
                              total_breaks=0, critical_breaks=0, high_breaks=0, medium_breaks=0,
                              source_a_count=0, source_b_count=0, matched_count=0,
@@ -148,7 +159,7 @@ class Ledger:
                      report_path: str | None = None, email_sent: bool = False,
                      error_message: str | None = None) -> None:
         """K3: appends the closing event; reads see it as the run's state."""
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        now = utc_now()
         prev = self.get_run(run_id).first()
         base = prev.asDict() if prev else {"run_id": run_id}
         base.update(counts or {})
@@ -233,7 +244,7 @@ class Ledger:
     def quick_audit(self, agent_name: str, action: str, status: str, run_id: str | None = None,
                     detail: dict | None = None, duration_ms: int | None = None,
                     input_hash: str | None = None, error_message: str | None = None) -> None:
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        now = utc_now()
         audit_id = f"{run_id}|{agent_name}|{action}|{now.isoformat()}"
         row = (audit_id, run_id, agent_name, action, status,
                json.dumps(detail, default=str) if detail is not None else None,
