@@ -1,4 +1,4 @@
-"""Per-pair field comparison (C1-C4, C7, C11) and break-struct builders.
+"""Per-pair field comparison (C1-C4, C7, C11) and the fields of a break.
 
 Every condition is a plain Column over a joined pair frame with ``_a``/``_b``
 suffixed columns; null-safe so that a missing value never fails a job and
@@ -77,22 +77,10 @@ def dates_differ(a: Column, b: Column, tol: Num) -> Column:
     return F.coalesce(days_apart(a, b) > _lit(tol), F.lit(False))
 
 
-_NULLS = {
+#: The typed slots of a break, null where a kind does not fill them.
+BREAK_FIELDS = {
+    "step": "int", "break_type": "string", "severity": "string",
     "source": "string", "occurrences": "bigint", "ticker": "string", "unit_price": "double",
     "a_str": "string", "b_str": "string", "a_num": "double", "b_num": "double",
     "diff_num": "double", "a_date": "date", "b_date": "date", "diff_days": "int",
 }
-
-
-BREAK_STRUCT_TYPE = ("struct<step:int,break_type:string,severity:string,"
-                     + ",".join(f"{k}:{v}" for k, v in _NULLS.items()) + ">")
-
-
-def break_struct(step: int, break_type: str, severity: str, **vals: Column) -> Column:
-    """One break as a struct with every typed slot (nulls where unused)."""
-    fields = [F.lit(step).alias("step"), F.lit(break_type).alias("break_type"),
-              F.lit(severity).alias("severity")]
-    for name, typ in _NULLS.items():
-        v = vals.get(name)
-        fields.append((v if v is not None else F.lit(None)).cast(typ).alias(name))
-    return F.struct(*fields)

@@ -5,7 +5,7 @@ the first copy (keep-first). Partial aggregation runs before the exchange, so a
 hot id costs one row per map task; so do rows without a usable id, which stay in
 the pair frame only to be counted as excluded.
 The two aggregates meet in a single full outer sort-merge join that reuses
-both hash partitionings, and every break of a pair is built in one projection.
+both hash partitionings; only pairs with a break are spread into one row each break.
 
 Exchanges in the plan: one per side (plus one single-row exchange for a
 global summary).
@@ -21,9 +21,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tradetally.operators.compare import (BREAK_STRUCT_TYPE, Checks, Tolerances, break_struct,
-                                          dates_differ, days_apart, norm_side, num_differs,
-                                          side_differs)
+from tradetally.operators.compare import (BREAK_FIELDS, Checks, Tolerances, dates_differ, days_apart,
+                                          norm_side, num_differs, side_differs)
 from tradetally.operators.dedupe import KEY, collapse, usable_key
 
 _CMP = ["side", "quantity", "price", "settlement_date"]
@@ -72,32 +71,36 @@ class Flags:
     consideration: Column
     field_break: Column
     clean: Column
+    #: By name of kind, for pairs whose id is known to be usable.
+    of_usable: dict[str, Column]
 
 
 def flags(cols: Sequence[str], tol: Tolerances, checks: Checks) -> Flags:
     has = set(cols)
     off = F.lit(False)
     usable = usable_key()
-    pa, pb = usable & F.col("n_a").isNotNull(), usable & F.col("n_b").isNotNull()
-    both = pa & pb
+    in_a, in_b = F.col("n_a").isNotNull(), F.col("n_b").isNotNull()
 
     def on(name: str, enabled: bool, cond) -> Column:
-        return (both & cond()) if enabled and {name + "_a", name + "_b"} <= has else off
-
-    side = on("side", checks.side, lambda: side_differs(F.col("side_a"), F.col("side_b")))
-    qty = on("quantity", checks.quantity,
-             lambda: num_differs(F.col("quantity_a"), F.col("quantity_b"), tol.quantity))
-    price = on("price", checks.price,
-               lambda: num_differs(F.col("price_a"), F.col("price_b"), tol.price))
-    settle = on("settlement_date", checks.settlement,
-                lambda: dates_differ(F.col("settlement_date_a"), F.col("settlement_date_b"),
-                                     tol.settlement_days))
-    cons = on("consideration", checks.consideration,
-              lambda: num_differs(F.col("consideration_a"), F.col("consideration_b"),
-                                  tol.consideration))
-    fb = side | qty | price | settle | cons
-    return Flags(usable, pa, pb, usable & F.coalesce(F.col("n_a") > 1, off),
-                 usable & F.coalesce(F.col("n_b") > 1, off), pa & ~pb, usable & ~pa & pb, side, qty, price, settle, cons, fb, both & ~fb)
+        return (in_a & in_b & cond()) if enabled and {name + "_a", name + "_b"} <= has else off
+
+    of = {"duplicate_a": F.coalesce(F.col("n_a") > 1, off), "duplicate_b": F.coalesce(F.col("n_b") > 1, off),
+          "missing_in_b": in_a & ~in_b, "missing_in_a": ~in_a & in_b,
+          "side_break": on("side", checks.side, lambda: side_differs(F.col("side_a"), F.col("side_b"))),
+          "qty_break": on("quantity", checks.quantity,
+                          lambda: num_differs(F.col("quantity_a"), F.col("quantity_b"), tol.quantity)),
+          "price_break": on("price", checks.price,
+                            lambda: num_differs(F.col("price_a"), F.col("price_b"), tol.price)),
+          "settle_break": on("settlement_date", checks.settlement,
+                             lambda: dates_differ(F.col("settlement_date_a"), F.col("settlement_date_b"),
+                                                  tol.settlement_days)),
+          "consideration_break": on("consideration", checks.consideration,
+                                    lambda: num_differs(F.col("consideration_a"), F.col("consideration_b"),
+                                                        tol.consideration))}
+    known = {n: usable & c for n, c in of.items()}
+    pa, pb = usable & in_a, usable & in_b
+    fb = reduce(or_, (known[n] for n in ("side_break", "qty_break", "price_break", "settle_break", "consideration_break")))
+    return Flags(usable, pa, pb, *known.values(), fb, pa & pb & ~fb, of)
 
 
 def _opt(cols: set, name: str) -> Column | None:
@@ -130,51 +133,64 @@ def flag_of(fl: Flags) -> dict[str, Column]:
             "settle_break": fl.settle, "consideration_break": fl.consideration}
 
 
-def break_array(cols: Sequence[str], fl: Flags, checks: Checks, kinds: Sequence[str] | None = None) -> Column:
-    """Every break of one pair (of the given types only), in emission order."""
+def break_values(cols: Sequence[str], checks: Checks) -> list[dict]:
+    """The fields that a break of each kind fills, in emission order."""
     has = set(cols)
     sev = checks.severity
     g = lambda n: _opt(has, n)
     both = lambda x, y: x in has and y in has
-    items = [
-        (fl.dup_a, break_struct(1, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_a"),
-                                occurrences=F.col("n_a"))),
-        (fl.dup_b, break_struct(2, "DUPLICATE", sev["DUPLICATE"], source=F.lit("source_b"),
-                                occurrences=F.col("n_b"))),
-        (fl.missing_in_b, break_struct(
-            3, "MISSING", sev["MISSING"], source=F.lit("source_a"), ticker=g("ticker_a"),
-            a_str=g("side_a"), a_num=g("quantity_a"), unit_price=g("price_a"))),
-        (fl.missing_in_a, break_struct(
-            4, "MISSING", sev["MISSING"], source=F.lit("source_b"), ticker=g("ticker_b"),
-            b_str=g("side_b"), b_num=g("quantity_b"), unit_price=g("price_b"))),
-        (fl.side, break_struct(5, "SIDE_BREAK", sev["SIDE_BREAK"],
-                               a_str=norm_side(F.col("side_a")) if "side_a" in has else None,
-                               b_str=norm_side(F.col("side_b")) if "side_b" in has else None)),
-        (fl.qty, break_struct(5, "QTY_BREAK", sev["QTY_BREAK"], a_num=g("quantity_a"),
-                              b_num=g("quantity_b"),
-                              diff_num=(F.col("quantity_a") - F.col("quantity_b"))
-                              if both("quantity_a", "quantity_b") else None)),
-        (fl.price, break_struct(5, "PRICE_BREAK", sev["PRICE_BREAK"], a_num=g("price_a"),
-                                b_num=g("price_b"),
-                                diff_num=(F.col("price_a") - F.col("price_b"))
-                                if both("price_a", "price_b") else None)),
-        (fl.settle, break_struct(
-            5, "SETTLE_BREAK", sev["SETTLE_BREAK"], a_date=g("settlement_date_a"),
-            b_date=g("settlement_date_b"),
-            diff_days=days_apart(F.col("settlement_date_a"), F.col("settlement_date_b"))
-            if both("settlement_date_a", "settlement_date_b") else None)),
+    values = [
+        dict(step=1, severity=sev["DUPLICATE"], source=F.lit("source_a"), occurrences=F.col("n_a")),
+        dict(step=2, severity=sev["DUPLICATE"], source=F.lit("source_b"), occurrences=F.col("n_b")),
+        dict(step=3, severity=sev["MISSING"], source=F.lit("source_a"), ticker=g("ticker_a"),
+             a_str=g("side_a"), a_num=g("quantity_a"), unit_price=g("price_a")),
+        dict(step=4, severity=sev["MISSING"], source=F.lit("source_b"), ticker=g("ticker_b"),
+             b_str=g("side_b"), b_num=g("quantity_b"), unit_price=g("price_b")),
+        dict(step=5, severity=sev["SIDE_BREAK"],
+             a_str=norm_side(F.col("side_a")) if "side_a" in has else None,
+             b_str=norm_side(F.col("side_b")) if "side_b" in has else None),
+        dict(step=5, severity=sev["QTY_BREAK"], a_num=g("quantity_a"), b_num=g("quantity_b"),
+             diff_num=(F.col("quantity_a") - F.col("quantity_b"))
+             if both("quantity_a", "quantity_b") else None),
+        dict(step=5, severity=sev["PRICE_BREAK"], a_num=g("price_a"), b_num=g("price_b"),
+             diff_num=(F.col("price_a") - F.col("price_b")) if both("price_a", "price_b") else None),
+        dict(step=5, severity=sev["SETTLE_BREAK"], a_date=g("settlement_date_a"), b_date=g("settlement_date_b"),
+             diff_days=days_apart(F.col("settlement_date_a"), F.col("settlement_date_b"))
+             if both("settlement_date_a", "settlement_date_b") else None),
     ]
     if checks.consideration:
-        items.append((fl.consideration, break_struct(
-            5, "CONSIDERATION_BREAK", sev.get("CONSIDERATION_BREAK", "MEDIUM"),
-            a_num=F.col("consideration_a"), b_num=F.col("consideration_b"),
-            diff_num=F.col("consideration_a") - F.col("consideration_b"))))
-    # each break is a one-element array when its condition holds, else empty;
-    # ``concat`` joins them without a lambda, so the stage stays in generated code
-    empty = F.array().cast(f"array<{BREAK_STRUCT_TYPE}>")
-    types = [t for _, t in kinds_of(checks)]
-    return F.concat(*[F.when(cond, F.array(st)).otherwise(empty) for t, (cond, st) in zip(types, items, strict=True)
-                      if kinds is None or t in kinds])
+        values.append(dict(step=5, severity=sev.get("CONSIDERATION_BREAK", "MEDIUM"),
+                           a_num=F.col("consideration_a"), b_num=F.col("consideration_b"),
+                           diff_num=F.col("consideration_a") - F.col("consideration_b")))
+    return values
+
+
+def break_rows(pairs: DataFrame, fl: Flags, checks: Checks, kinds: Sequence[str] | None = None) -> DataFrame:
+    """A row for every break of a pair (of the given types only), in emission
+    order: a pair yields the numbers of its kinds, and each column is then filled by
+    kind. With a struct of all columns for each kind the generated method is too
+    long for the JVM to compile, and a whole run's pairs go through its interpreter."""
+    on = [(i, fl.of_usable[n], t) for i, (n, t) in enumerate(kinds_of(checks)) if kinds is None or t in kinds]
+    kind = F.col("_kind")
+    if kinds is not None:
+        flag = flag_of(fl)
+        pairs = pairs.where(reduce(or_, (flag[n] for n, t in kinds_of(checks) if t in kinds)))
+    found = (pairs.where(fl.usable)
+             .select("*", F.explode(F.array(*[F.when(c, F.lit(i)) for i, c, _ in on])).alias("_kind"))
+             .where(kind.isNotNull()))
+    values = {i: dict(v, break_type=t) for i, (v, (_, t)) in
+              enumerate(zip(break_values(pairs.columns, checks), kinds_of(checks), strict=True))}
+
+    def column(name: str, typ: str) -> Column:
+        out = None
+        for i, _, _ in on:
+            v = values[i].get(name)
+            if v is not None:
+                v = v if isinstance(v, Column) else F.lit(v)
+                out = F.when(kind == i, v) if out is None else out.when(kind == i, v)
+        return (F.lit(None) if out is None else out).cast(typ).alias(name)
+
+    return found.select(KEY, *[column(n, t) for n, t in BREAK_FIELDS.items()])
 
 
 def break_id(run_id: Column) -> Column:
@@ -196,12 +212,7 @@ class Reconciliation:
         returns them in emission order (O7): duplicates of A, of B, missing in
         B, missing in A, then field breaks; ids ascending within a step and the
         field breaks of one pair in side, quantity, price, settlement order."""
-        arr = break_array(self.pairs.columns, self.flags, self.checks, kinds)
-        pairs = self.pairs
-        if kinds is not None:
-            flag = flag_of(self.flags)
-            pairs = pairs.where(reduce(or_, (flag[n] for n, t in kinds_of(self.checks) if t in kinds)))
-        exploded = pairs.select(KEY, F.inline(arr))
+        exploded = break_rows(self.pairs, self.flags, self.checks, kinds)
         rid = F.lit(self.run_id)
         out = exploded.select(break_id(rid).alias("break_id"), rid.alias("run_id"), "step", KEY,
                               "break_type", "severity", "source", "occurrences", "ticker",

@@ -223,7 +223,7 @@ def ledger_breaks_for_run(spark, sf_dir):
     write inserts nothing), read them back by run id."""
     led = L.Ledger(spark, scratch_path(spark, "ledger"))
     led.create_run(RUN_ID, dt.date(2026, 3, 1))
-    breaks = recon(spark, sf_dir).breaks()
-    led.write_breaks(breaks, run_ids=[RUN_ID])
-    led.write_breaks(breaks, run_ids=[RUN_ID])
+    breaks = staged(recon(spark, sf_dir).breaks(), "new-breaks")  # computed once, written twice
+    led.write_breaks(breaks, run_ids=[RUN_ID], stored=True)
+    led.write_breaks(breaks, run_ids=[RUN_ID], stored=True)
     return led.get_breaks_for_run(RUN_ID).select("break_id", "trade_id", "break_type", "severity", "step")

@@ -25,6 +25,10 @@ from tradetally.schemas import (AUDIT_SCHEMA, AUDIT_STATUSES, BREAK_TYPES, RUN_E
 from tradetally.sinks.events import FILE_BYTES, EventTable
 
 
+#: Break ids are hexadecimal text, which Parquet's default codec leaves as long as it is.
+CODEC = "zstd"
+
+
 class LedgerError(ValueError):
     pass
 
@@ -53,6 +57,15 @@ def insert_ignore(new: DataFrame, existing: DataFrame, key: str = "break_id") ->
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def keys_meet(new: DataFrame, existing: DataFrame, key: str = "break_id") -> bool:
+    """Can a key of ``new`` be stored already, or repeated there? Hashes of the keys
+    are counted, so no rows are shuffled; two keys of one hash only cost the exact way."""
+    h = F.xxhash64(key).alias("h")
+    both = new.select(h, F.lit(1).alias("is_new")).unionAll(existing.select(h, F.lit(0).alias("is_new")))
+    return not (both.groupBy("h").agg(F.sum("is_new").alias("n_new"), F.count(F.lit(1)).alias("n"))
+                .where("n_new > 0 AND n > 1").isEmpty())
+
+
 def missing_parent_keys(child: DataFrame, parents: DataFrame, key: str = "run_id") -> DataFrame:
     """K6 on keys: the distinct non-null keys of ``child`` with no parent.
     All rows of a run share one key, so the check works on distinct keys
@@ -176,17 +189,20 @@ class Ledger:
         return latest_run_state(self.run_table().read_key(run_id))
 
     # ---- breaks -------------------------------------------------------------
-    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None) -> int:
+    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None, stored: bool = False) -> int:
         """K1 + K6 + V15: insert-or-ignore by ``break_id`` into ``breaks/``
         (partitioned by run_id). Returns the number of rows inserted.
 
         The upstream plan (a whole reconciliation) runs once: the breaks are
         staged as Parquet in the ledger folder, and the checks and the insert
         read the staged copy. ``run_ids`` limits the existing-key read to
-        those partitions."""
+        those partitions; ``stored`` says that ``breaks`` is a plain read of files,
+        which needs no staging."""
+        if stored:
+            return self._insert(breaks, run_ids)
         stage = self._p(f"_staging/breaks-{uuid.uuid4().hex}")
         try:
-            breaks.write.mode("overwrite").parquet(stage)
+            breaks.write.mode("overwrite").option("compression", CODEC).parquet(stage)
             return self._insert(self.spark.read.parquet(stage), run_ids)
         finally:
             self._remove(stage)
@@ -202,10 +218,14 @@ class Ledger:
         existing = self.read_breaks()
         if run_ids:
             existing = existing.where(F.col("run_id").isin(*run_ids))
-        new = insert_ignore(staged, existing).withColumn("created_at", F.current_timestamp())
+        new = staged
+        if keys_meet(staged, existing):
+            if missing_parent_keys(staged, existing, "break_id").isEmpty() and staged.where("break_id IS NULL").isEmpty():
+                return 0                                # all stored before: only keys were shuffled
+            new = insert_ignore(staged, existing)
         obs = Observation("inserted")
-        new.observe(obs, F.count(F.lit(1)).alias("n")) \
-            .write.mode("append").partitionBy("run_id").parquet(self._p("breaks"))
+        new.withColumn("created_at", F.current_timestamp()).observe(obs, F.count(F.lit(1)).alias("n")) \
+            .write.mode("append").option("compression", CODEC).partitionBy("run_id").parquet(self._p("breaks"))
         return obs.get["n"]
 
     def _remove(self, path: str) -> None:
@@ -228,7 +248,7 @@ class Ledger:
         """K5: append ``break_id, explanation`` rows (timestamped)."""
         (explanations.select("break_id", "explanation")
          .withColumn("explained_at", F.current_timestamp())
-         .write.mode("append").parquet(self._p("explanations")))
+         .write.mode("append").option("compression", CODEC).parquet(self._p("explanations")))
 
     # ---- audit --------------------------------------------------------------
     def write_audit(self, entries: DataFrame) -> None:
