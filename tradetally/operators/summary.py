@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradetally.schemas import SEVERITIES
 from tradetally.session import scratch_path
 from tradetally.sinks.ordered import OrderedTable
+from tradetally.sinks.tables import staged
 
 
 def severity_counts(breaks: DataFrame) -> DataFrame:
@@ -41,8 +42,9 @@ def ordered_breaks(breaks: DataFrame, by_rank: bool = False) -> DataFrame:
 
 def positioned(df: DataFrame, *order: str) -> DataFrame:
     """All rows with their ``position`` (from 1) in the given order, which must
-    be total: read from an ordered table written in the shared folder."""
-    return OrderedTable.write(df, scratch_path(df.sparkSession, "ordered"), *order).positioned()
+    be total: read from an ordered table written in the shared folder. The rows are
+    staged there first, as the sort reads them twice (range bounds, then rows)."""
+    return OrderedTable.write(staged(df, "unordered"), scratch_path(df.sparkSession, "ordered"), *order).positioned()
 
 
 def run_status(error_count: Column, total_breaks: Column) -> Column:

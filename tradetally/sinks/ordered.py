@@ -38,7 +38,7 @@ class OrderedTable:
         out = cls(df.sparkSession, path)
         (df.orderBy(*order).select("*", F.shiftright(row, 33).alias("_range"),
                                    row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-         .write.parquet(f"{path}/rows"))
+         .write.option("compression", "zstd").parquet(f"{path}/rows"))
         counts = sorted(out._rows().groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
         before = accumulate((r["n"] for r in counts), initial=0)
         ranges = [(r["_range"], r["n"], b) for r, b in zip(counts, before)]
