@@ -191,7 +191,7 @@ def read_records(spark: SparkSession, path: str, encoding: str = "utf-8") -> Dat
         out = out.withColumn("text", F.col("value").cast("string"))
     else:
         out = _decoded(out, encoding)
-    text = F.regexp_replace("text", "\r$", "")
+    text = F.when(F.endswith("text", F.lit("\r")), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))
     first = (F.col("block") == 0) & (F.col("row") == 0)
     text = F.when(first, F.regexp_replace(text, "^﻿", "")).otherwise(text)
     return out.select("file", "block", "row", text.alias("text")).where(F.length("text") > 0)
@@ -205,9 +205,10 @@ def read_quoted_csv(spark: SparkSession, path: str, names: list[str], malformed:
     options = {"escape": QUOTE, "columnNameOfCorruptRecord": malformed, "mode": "PERMISSIVE", "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     header = (F.col("block") == 0) & (F.col("row") == 0)
-    rows = found.where(~header).select(F.from_csv("text", _ddl([*names, malformed]), options).alias("r"),
-                                       F.struct("file", "block", "row").alias("ingest_seq"))
-    return rows.select("r.*", "ingest_seq")
+    # a generator's row is parsed once; a projection is parsed again in each filter above it
+    fields = F.inline(F.array(F.from_csv("text", _ddl([*names, malformed]), options)))
+    rows = found.where(~header).select(F.struct("file", "block", "row").alias("ingest_seq"), fields)
+    return rows.select(*[f"`{n.replace('`', '``')}`" for n in [*names, malformed]], "ingest_seq")
 
 
 def _ddl(names: list[str]) -> str:
