@@ -109,14 +109,33 @@ def check_required_columns(df: DataFrame) -> list[str]:
     return [c for c in REQUIRED_COLUMNS if c not in have]
 
 
+#: Columns that one generated method computes; with more it is too long to be compiled.
+STEP_COLUMNS = 6
+
+
+def computed_once(df: DataFrame, keep: list, columns: dict[str, F.Column]) -> DataFrame:
+    """``keep`` and ``columns`` (each of them from the column of its own name), a few
+    columns a step. What follows reads their values: they come out of one-row
+    generators, as projections are repeated in each filter and projection above."""
+    names = list(columns)
+    for at in range(0, len(names), STEP_COLUMNS):
+        step, rest = names[at:at + STEP_COLUMNS], [*names[:at], *names[at + STEP_COLUMNS:]]
+        df = df.select(*keep, *rest, F.inline(F.array(F.struct(*[columns[n].alias(n) for n in step]))))
+        keep = df.columns[:len(keep)]
+    return df if names else df.select(*keep)
+
+
 def normalise(df: DataFrame, source_name: str, date_format: str | dict[str, str] | None = None,
               aliases: dict[str, str] = COLUMN_ALIASES, fold_na: bool = True,
-              keep_raw_dates: bool = False, drop_empty: bool = True) -> DataFrame:
+              keep_raw_dates: bool = False, drop_empty: bool = True, stripped: bool = False) -> DataFrame:
     """P1, S8, P3, P4, P5, P6, P7 in one projection, then P8 (or, with
     ``drop_empty=False``, an ``empty_row`` flag instead of the drop).
 
     The steps compose per column, so each raw column feeds exactly one output
     expression (the step-by-step helpers above stay available on their own).
+    Texts are folded and stripped by a step of their own, and parsed by the next:
+    one method for both is too long for the JVM to compile. ``stripped`` says that
+    texts are stripped already.
     ``date_format`` may name a format for each date column."""
     out = normalise_columns(df, aliases)
     source_cols = [c for c in out.columns if c not in META_COLUMNS]
@@ -132,24 +151,31 @@ def normalise(df: DataFrame, source_name: str, date_format: str | dict[str, str]
             empty = empty & F.col(c).isNull()
     if drop_empty:
         out = out.where(~empty)
-    cols = [] if drop_empty else [empty.alias("empty_row")]
-    for c, t in out.dtypes:
-        if c in META_COLUMNS and c != "source":
+    texts = [c for c in source_cols if types[c] == "string" and c != "source"]
+    keep_text = [c for c in DATE_COLUMNS if keep_raw_dates and c in texts and not stripped]
+    clean = {c: fold_na_value(F.col(c)) if stripped else fold_strip(F.col(c)) if fold_na else strip(F.col(c))
+             for c in texts}
+    if stripped and not fold_na:
+        clean = {c: F.col(c) for c in texts}
+    others = [c for c in out.columns if c not in texts and (c in META_COLUMNS or c in source_cols) and c != "source"]
+    order = [c for c in out.columns if c != "source"]
+    head = [] if drop_empty else [empty.alias("empty_row")]
+    raw_texts = [(fold_na_value(F.col(c)) if fold_na else F.col(c)).alias(c + "_raw") for c in keep_text]
+    out = computed_once(out, [*head, *others, *raw_texts], clean)
+    cols = [] if drop_empty else [F.col("empty_row")]
+    for c in order:
+        if c in META_COLUMNS:
             cols.append(F.col(c))
             continue
-        if c == "source":
-            continue
-        raw = F.col(c)
-        if t != "string":  # another type is its own text, as before
-            x = raw.cast("string") if c == "side" or c in DATE_COLUMNS or c in NUMERIC_COLUMNS else raw
-            x = strip(x) if c == "side" or c in DATE_COLUMNS or c in NUMERIC_COLUMNS else x
-        else:
-            x = fold_strip(raw) if fold_na else strip(raw)
+        x = F.col(c)
+        typed = c == "side" or c in DATE_COLUMNS or c in NUMERIC_COLUMNS
+        if c not in texts and typed:  # another type is its own text, as before
+            x = strip(x.cast("string"))
         if c == "side":
             x = normalise_side(x, stripped=True)
         elif c in DATE_COLUMNS:
             if keep_raw_dates:
-                cols.append((fold_na_value(raw) if t == "string" and fold_na else raw).alias(c + "_raw"))
+                cols.append(F.col(c + "_raw" if c in keep_text else c).alias(c + "_raw"))
             x = parse_date(x, date_format.get(c) if isinstance(date_format, dict) else date_format, stripped=True)
         elif c in NUMERIC_COLUMNS:
             x = parse_number(x, stripped=True)

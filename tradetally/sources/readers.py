@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from tradetally.functions.text import strip, upper_trim
 from tradetally.operators.elect import DateFormatError, elect
-from tradetally.operators.normalise import (MALFORMED, check_required_columns, date_failures, normalise,
-                                            normalise_columns)
+from tradetally.operators.normalise import (MALFORMED, canonical_name, check_required_columns, computed_once,
+                                            date_failures, normalise, normalise_columns)
 from tradetally.schemas import DATE_COLUMNS
 from tradetally.sources import quoted
 from tradetally.sources.files import file_fingerprint
@@ -37,29 +37,37 @@ def with_ingest_seq(df: DataFrame) -> DataFrame:
 
 
 def _finish(df: DataFrame, source_name: str, date_format: str | None, dates: str,
-            what: str, fold_na: bool = True) -> DataFrame:
+            what: str, fold_na: bool = True, stripped: bool = False,
+            narrow: Callable[[Sequence[str]], DataFrame] | None = None) -> DataFrame:
     """Normalise, check required columns (plan time), then the S7 empty check
     and the P4 date policy. Without ``date_format`` one format is elected for each
     date column first (``operators.elect``). ``strict`` checks every date in one aggregate job
     now; ``strict_lazy`` folds the check into the parse, so the first job
     that uses the dates fails instead (no extra pass over the source);
     ``quarantine`` flags rows with ``date_parse_failed`` and keeps the text of
-    malformed rows in ``MALFORMED``, which the strict policies reject."""
+    malformed rows in ``MALFORMED``, which the strict policies reject. ``narrow``
+    yields the source with some columns only, where ``df`` cannot be pruned."""
     if date_format is None:
         try:
             date_format = elect(normalise_columns(df), DATE_COLUMNS, fold_na=fold_na, whole=dates != "quarantine")
         except DateFormatError as e:
             raise SourceError(f"Failed to parse date columns of '{source_name}': {e}") from e
-    norm = normalise(df, source_name, date_format, fold_na=fold_na, keep_raw_dates=True)
+    norm = normalise(df, source_name, date_format, fold_na=fold_na, keep_raw_dates=True, stripped=stripped)
     missing = check_required_columns(norm)
     if missing:
         raise SourceError(f"Source '{source_name}' missing required columns after "
                           f"normalisation: {missing}")
     malformed = F.col(MALFORMED).isNotNull() if MALFORMED in norm.columns else F.lit(False)
     if dates == "strict":
-        row = norm.agg(F.count(F.lit(1)).alias("n"), F.count_if(malformed).alias("malformed"),
-                       F.count_if(date_failures(norm)).alias("bad")).first()
-        if row["n"] == 0:
+        # a row that is malformed or has a bad date is not an empty one, so the check
+        # reads no other column
+        dated = [c for c in df.columns if canonical_name(c) in (*DATE_COLUMNS, MALFORMED)]
+        few = narrow(dated) if narrow else df.select(*[F.col(f"`{c}`") for c in dated])
+        checked = normalise(few, source_name, date_format, fold_na=fold_na,
+                            keep_raw_dates=True, drop_empty=False, stripped=stripped)
+        row = checked.agg(F.count_if(malformed).alias("malformed"),
+                          F.count_if(date_failures(checked)).alias("bad")).first()
+        if not (row["malformed"] or row["bad"]) and norm.isEmpty():
             raise SourceError(f"{what} is empty")
         if row["malformed"]:
             raise SourceError(f"{what}: {row['malformed']} malformed row(s)")
@@ -146,10 +154,27 @@ def load_fixed_width(spark: SparkSession, path: str, source_name: str,
              .option("quote", "").option("escape", "").option("ignoreLeadingWhiteSpace", False)
              .option("ignoreTrailingWhiteSpace", False).csv(path))
     lines = with_ingest_seq(lines).where(F.length(strip(F.col("value"))) > 0)
-    cols = [F.nullif(strip(F.substring("value", s + 1, e - s)), F.lit("")).alias(n)
-            for (s, e), n in zip(colspecs, col_names)]
-    return _finish(lines.select(*cols, "ingest_seq"), source_name, date_format, dates,
-                   f"Fixed-width file {path}")
+
+    def fields(names: Sequence[str]) -> DataFrame:
+        # each slice is cut once: a projection would be repeated wherever a slice is named
+        own = {f"_{i}": (n, s, e) for i, ((s, e), n) in enumerate(zip(colspecs, col_names)) if n in names}
+        if not own:
+            return lines.select("ingest_seq")
+        cut = lines.select("ingest_seq", F.inline(F.array(F.struct(*[_slice("value", s, e).alias(i)
+                                                                     for i, (_, s, e) in own.items()]))))
+        cut = computed_once(cut, ["ingest_seq"], {i: strip(F.col(i)) for i in own})
+        return cut.select(*[F.nullif(F.col(i), F.lit("")).alias(n) for i, (n, _, _) in own.items()], "ingest_seq")
+
+    return _finish(fields(col_names), source_name, date_format, dates, f"Fixed-width file {path}", stripped=True,
+                   narrow=fields)
+
+
+def _slice(name: str, start: int, end: int) -> F.Column:
+    """Characters ``start`` to ``end``. Where every character is one byte the
+    bytes are cut, as looking for a character walks the line from its start."""
+    c = F.col(name)
+    at, n = F.lit(start + 1), F.lit(end - start)
+    return F.when(F.octet_length(c) == F.length(c), c.cast("binary").substr(at, n).cast("string")).otherwise(c.substr(at, n))
 
 
 def load_query(spark: SparkSession, sql: str, source_name: str, date_format: str | None = None,
