@@ -176,3 +176,49 @@ def test_gradients():
             down = loss()
             net.p[name][place] = value
             assert abs((up - down) / (2 * h) - g[place]) < 0.02 * abs(g[place]) + 1e-4, (name, place)
+
+
+def test_a_reading_task_hands_its_memory_back(spark, monkeypatch):
+    """Python workers live on: what a task leaves unused stays with its executor beside the later stages."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    class Frequent:
+        value = {}
+    released = []
+    monkeypatch.setattr(op, "release", lambda: released.append(1))
+    monkeypatch.setattr(op, "TaskContext", Task)
+    run = op.read(Rows(), op.default_tokenizer(), Frequent)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None]), pa.array([True, True])], ["id", "text", "learn"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2 + 2 + 2
+    assert released == [1]
+
+
+def test_gradients_of_great_values():
+    """Against the same batch with every class's value lowered alike."""
+    net, rng = lm(), np.random.default_rng(5)
+    inputs, targets = rng.integers(0, 50, (2, 6, op.WINDOW))
+    weight, got = np.ones(inputs.shape, np.float32), []
+    for shift in (0, 500, -500):
+        net.p["d"] += np.float32(shift)
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        net.gradients(grads, inputs, targets, weight)
+        net.p["d"] -= np.float32(shift)
+        got.append(grads)
+    for other in got[1:]:
+        assert all(np.allclose(got[0][k], other[k], rtol=1e-2, atol=1e-4) for k in other)

@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import copy
 import gc
+import json
 import math
 from codecs import charmap_decode
 from collections import Counter
+from functools import cache
 from itertools import chain, islice, repeat
 
 import numpy as np
@@ -70,6 +72,9 @@ FREQUENT = 50_000
 REMEMBERED = 1_000_000
 SLICE_BYTES = 2 << 20
 SLICE = 300
+#: Values beyond this are lowered before they become powers of e, and words that are encoded as one text.
+FAR = 40
+JOINED = 64
 #: Windows that are scored at once: their arrays stay within a processor's cache.
 SCORED = 512
 
@@ -104,6 +109,14 @@ class Steps:
         self.flat -= room
 
 
+def _lowered(x: np.ndarray, axis: int) -> np.ndarray:
+    """``x`` less its greatest values along an axis, in place, if a power could
+    leave float32: looking for each of them costs more than the power."""
+    if max(x.max(), -x.min()) > FAR:
+        x -= x.max(axis=axis, keepdims=True)
+    return x
+
+
 class Attention:
     """Parameters, training and scoring; all arrays are float32."""
 
@@ -160,35 +173,32 @@ class Attention:
         x = rows.take(cell, axis=0).reshape(*ids.shape, 4 * DIM)
         q, k, v, own = (x[:, :, i * DIM:(i + 1) * DIM] for i in range(4))
         a = q @ k.transpose(0, 2, 1)
-        a += p["far"][self.distance] + self.mask
-        a -= a.max(axis=2, keepdims=True)
+        a += p["far"][self.distance]
+        _lowered(a, -1)
+        a += self.mask
         np.exp(a, out=a)
-        total = (a @ np.ones(a.shape[2], np.float32))[:, :, None]
+        a /= (a @ np.ones(a.shape[2], np.float32))[:, :, None]
         mixed = a @ v
-        mixed /= total
-        h = np.tanh(mixed + own).reshape(-1, DIM)
-        z = h @ p["c"]
-        z += p["d"]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z *= (m / (z @ np.ones(CLASSES, np.float32)))[:, None]
-        z[place, y] -= m
-        g["c"][:] = h.T @ z
-        g["d"][:] = np.ones(len(z), np.float32) @ z
-        du = z @ p["c"].T
+        h = mixed + own
+        h = np.tanh(h, out=h).reshape(-1, DIM)
+        z = p["c"].T @ h.T  # a row for each class: long rows cost less than many
+        z += p["d"][:, None]
+        np.exp(_lowered(z, 0), out=z)
+        z *= m / (np.ones(CLASSES, np.float32) @ z)
+        z[y, place] -= m
+        g["c"][:] = (z @ h).T
+        g["d"][:] = z @ np.ones(len(h), np.float32)
+        du = z.T @ p["c"].T
         h *= h
         du *= np.subtract(1, h, out=h)
         du = du.reshape(mixed.shape)
         back = np.empty_like(x)
         back[:, :, 3 * DIM:] = du
-        inner = np.einsum("bij,bij->bi", du, mixed)[:, :, None]
-        inner /= total
-        du /= total
         np.matmul(a.transpose(0, 2, 1), du, out=back[:, :, 2 * DIM:3 * DIM])
         ds = du @ v.transpose(0, 2, 1)
-        ds -= inner
+        ds -= np.einsum("bij,bij->bi", du, mixed)[:, :, None]
         ds *= a
-        g["far"][:] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
+        g["far"][:] = np.bincount(self.distance.ravel(), weights=np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1), minlength=WINDOW)
         np.matmul(ds, k, out=back[:, :, :DIM])
         np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM:2 * DIM])
         back = back.reshape(-1, 4 * DIM)
@@ -272,6 +282,25 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return signed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
 
 
+@cache
+def _joined(path: str):
+    """The tokenizer for normal words that commas end: the same merges, and a
+    comma is an id of its own."""
+    from tokenizers import Tokenizer
+
+    parts = json.loads(WordIds.of(path).tokenizer.to_str())
+    comma = {"type": "Split", "pattern": {"String": ","}, "behavior": "Isolated", "invert": False}
+    return Tokenizer.from_str(json.dumps(parts | {
+        "normalizer": None, "pre_tokenizer": comma, "post_processor": None, "added_tokens": []}))
+
+
+def _flat(tokenizer, texts: list[str]) -> np.ndarray:
+    """Ids of all texts in a row."""
+    found = [np.array(e.ids, np.uint16) for at in range(0, len(texts), 100)
+             for e in tokenizer.encode_batch_fast(texts[at:at + 100], add_special_tokens=False)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint16)
+
+
 class Words:
     """What a task knows of the words it has met: the hash of the folded word,
     its number among the frequent words (-1: none), its subword ids (those of
@@ -279,7 +308,7 @@ class Words:
     training texts."""
 
     def __init__(self, tokenizer: str, frequent: dict[int, int]):
-        self.encode, self.frequent = WordIds.of(tokenizer), frequent
+        self.encode, self.frequent, self.joined = WordIds.of(tokenizer), frequent, _joined(tokenizer)
         one = self.encode.tokenizer.encode_batch([",", "."], add_special_tokens=False)
         self.marks = {"": -1, ",": one[0].ids[0], ".": one[1].ids[0]}
         self.forget()
@@ -307,10 +336,13 @@ class Words:
                 marks.append(-1)
                 other.append(w)
         plain = [s if s.isascii() else charmap_decode(s.encode(), "strict", self.encode.letters)[0] for s in stems]
-        found = [e.ids for e in self.encode.bare.encode_batch_fast(plain, add_special_tokens=False)]
-        found += [e.ids for e in self.encode.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
+        rows = [",".join(plain[at:at + JOINED]) + "," for at in range(0, len(plain), JOINED)]
+        flat = _flat(self.joined, rows)
+        comma = flat == self.marks[","]  # letters alone have no such id
+        size, flat = np.diff(np.flatnonzero(comma), prepend=-1) - 1, flat[~comma]
+        found = [e.ids for e in self.encode.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        size = np.append(size, np.fromiter(map(len, found), np.int64, len(found)))
+        flat = np.append(flat, np.fromiter(chain.from_iterable(found), np.uint16))
         of, marks = np.array(of, np.int64), np.array(marks, np.int64)
         of = np.where(of < 0, len(stems) - 1 - of, of)
         start, marked = (np.cumsum(size) - size)[of], marks >= 0
@@ -421,7 +453,9 @@ def read(rows: DataFrame, tokenizer: str, frequent) -> DataFrame:
                 serial += hi - lo
         yield from counts(1, known.hash, known.times)
         yield from counts(2, np.arange(VOCABULARY), id_counts)
+        del known
         gc.enable()
+        release()
 
     return rows.select("id", "text", "learn").mapInArrow(run, _READ)
 
