@@ -15,7 +15,7 @@ from tradetally.plans.registry import query
 from tradetally.schemas import TRADE_COLUMNS
 from tradetally.session import scratch_path
 from tradetally.sources import files, readers
-from tradetally.sources.fixtures import FEED_ORDER, feed_a, feed_b
+from tradetally.sources.fixtures import feed_a, ordered_feed
 from tradetally.sources.tables import table
 
 CANON = [c for c in TRADE_COLUMNS]
@@ -33,12 +33,11 @@ def _fixture_dir(spark: SparkSession, kind: str) -> str:
 
 
 def write_feed_csv(spark: SparkSession, sf_dir: str, side: str = "a") -> str:
-    """Feed A or B as CSV part files, globally sorted by (trade_id, survivor
+    """Feed A or B as compressed CSV part files, globally sorted by (trade_id, survivor
     order): file order then yields the same surviving copies as FEED_ORDER."""
     path = _fixture_dir(spark, f"feed_{side}_csv")
-    feed = feed_a(spark, sf_dir) if side == "a" else feed_b(spark, sf_dir)
-    (feed.orderBy("trade_id", *FEED_ORDER).select(*[c for c in CANON if c != "source"])
-     .write.mode("overwrite").option("header", True).csv(path))
+    (ordered_feed(spark, sf_dir, side).select(*[c for c in CANON if c != "source"])
+     .write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path))
     return path
 
 

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from tradetally.operators import validate as V
 from tradetally.operators.compare import Checks, Tolerances
 from tradetally.operators.normalise import MALFORMED
-from tradetally.operators.reconcile import by_type, reconcile
+from tradetally.operators.reconcile import break_id, by_type, reconcile
 from tradetally.operators.summary import run_status
 from tradetally.schemas import SEVERITIES
-from tradetally.sinks.ledger import Ledger
+from tradetally.sinks.ledger import CODEC, Ledger
 from tradetally.sources import files, readers
 
 
@@ -105,7 +105,7 @@ def ingest(spark: SparkSession, led: Ledger, run_id: str, spec: SourceSpec,
     message = V.error_message(F.lit(spec.name), F.col("trade_id"), F.col("error_codes"))
     v = v.withColumn("message", F.when(~F.col("valid"), message))
     v.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok")) \
-        .write.mode("overwrite").partitionBy("valid").parquet(fpath)
+        .write.mode("overwrite").option("compression", CODEC).partitionBy("valid").parquet(fpath)
     m = obs.get
     feed = spark.read.schema(v.schema).parquet(fpath)
     errors = [r["message"] for r in quarantined(feed).orderBy("ingest_seq", "message").limit(V.ERROR_LIST_LIMIT).collect()]
@@ -167,7 +167,7 @@ def run_day(spark: SparkSession, ledger_root: str, run_id: str, run_date: dt.dat
     t0 = time.time()
     r = reconcile(a, b, order_by=["ingest_seq"], run_id=run_id, tolerances=tolerances, checks=checks)
     breaks, obs = r.observed_breaks()
-    led.write_breaks(breaks, run_ids=[run_id])
+    led.write_breaks(breaks, run_ids=[run_id], derived={"break_id": break_id(F.col("run_id"))})
     c = obs.get
     sev = r.checks.severity
     per_type = {t: sum(c[n] for n in names) for t, names in by_type(r.checks).items()}

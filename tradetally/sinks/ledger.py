@@ -14,7 +14,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tradetally.functions.ids import stable_id
@@ -189,7 +189,8 @@ class Ledger:
         return latest_run_state(self.run_table().read_key(run_id))
 
     # ---- breaks -------------------------------------------------------------
-    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None, stored: bool = False) -> int:
+    def write_breaks(self, breaks: DataFrame, run_ids: list[str] | None = None, stored: bool = False,
+                     derived: dict[str, Column] | None = None) -> int:
         """K1 + K6 + V15: insert-or-ignore by ``break_id`` into ``breaks/``
         (partitioned by run_id). Returns the number of rows inserted.
 
@@ -197,13 +198,15 @@ class Ledger:
         staged as Parquet in the ledger folder, and the checks and the insert
         read the staged copy. ``run_ids`` limits the existing-key read to
         those partitions; ``stored`` says that ``breaks`` is a plain read of files,
-        which needs no staging."""
+        which needs no staging. ``derived`` names columns that a row's others yield:
+        they are not staged but derived again, as break ids are most of a row's bytes."""
         if stored:
             return self._insert(breaks, run_ids)
         stage = self._p(f"_staging/breaks-{uuid.uuid4().hex}")
         try:
-            breaks.write.mode("overwrite").option("compression", CODEC).parquet(stage)
-            return self._insert(self.spark.read.parquet(stage), run_ids)
+            breaks.drop(*derived or ()).write.mode("overwrite").option("compression", CODEC).parquet(stage)
+            staged = self.spark.read.parquet(stage).withColumns(derived or {}).select(*breaks.columns)
+            return self._insert(staged, run_ids)
         finally:
             self._remove(stage)
 
