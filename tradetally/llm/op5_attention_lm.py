@@ -72,8 +72,7 @@ FREQUENT = 50_000
 REMEMBERED = 1_000_000
 SLICE_BYTES = 2 << 20
 SLICE = 300
-#: Values beyond this are lowered before they become powers of e, and words that are encoded as one text.
-FAR = 40
+#: Words that are encoded as one text.
 JOINED = 64
 #: Windows that are scored at once: their arrays stay within a processor's cache.
 SCORED = 512
@@ -109,12 +108,10 @@ class Steps:
         self.flat -= room
 
 
-def _lowered(x: np.ndarray, axis: int) -> np.ndarray:
-    """``x`` less its greatest values along an axis, in place, if a power could
-    leave float32: looking for each of them costs more than the power."""
-    if max(x.max(), -x.min()) > FAR:
-        x -= x.max(axis=axis, keepdims=True)
-    return x
+def _greatest(x: np.ndarray) -> np.ndarray:
+    """The greatest value of each row, of many short rows: looked for across
+    them, which costs a fraction of looking along each."""
+    return np.ascontiguousarray(x.reshape(-1, x.shape[-1]).T).max(axis=0).reshape(*x.shape[:-1], 1)
 
 
 class Attention:
@@ -173,32 +170,35 @@ class Attention:
         x = rows.take(cell, axis=0).reshape(*ids.shape, 4 * DIM)
         q, k, v, own = (x[:, :, i * DIM:(i + 1) * DIM] for i in range(4))
         a = q @ k.transpose(0, 2, 1)
-        a += p["far"][self.distance]
-        _lowered(a, -1)
-        a += self.mask
+        a += p["far"][self.distance] + self.mask
+        a -= _greatest(a)
         np.exp(a, out=a)
-        a /= (a @ np.ones(a.shape[2], np.float32))[:, :, None]
+        total = (a @ np.ones(a.shape[2], np.float32))[:, :, None]
         mixed = a @ v
-        h = mixed + own
-        h = np.tanh(h, out=h).reshape(-1, DIM)
-        z = p["c"].T @ h.T  # a row for each class: long rows cost less than many
-        z += p["d"][:, None]
-        np.exp(_lowered(z, 0), out=z)
-        z *= m / (np.ones(CLASSES, np.float32) @ z)
-        z[y, place] -= m
-        g["c"][:] = (z @ h).T
-        g["d"][:] = z @ np.ones(len(h), np.float32)
-        du = z.T @ p["c"].T
+        mixed /= total
+        h = np.tanh(mixed + own).reshape(-1, DIM)
+        z = h @ p["c"]
+        z += p["d"]
+        z -= _greatest(z)
+        np.exp(z, out=z)
+        z *= (m / (z @ np.ones(CLASSES, np.float32)))[:, None]
+        z[place, y] -= m
+        g["c"][:] = h.T @ z
+        g["d"][:] = np.ones(len(z), np.float32) @ z
+        du = z @ p["c"].T
         h *= h
         du *= np.subtract(1, h, out=h)
         du = du.reshape(mixed.shape)
         back = np.empty_like(x)
         back[:, :, 3 * DIM:] = du
+        inner = np.einsum("bij,bij->bi", du, mixed)[:, :, None]
+        inner /= total
+        du /= total
         np.matmul(a.transpose(0, 2, 1), du, out=back[:, :, 2 * DIM:3 * DIM])
         ds = du @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", du, mixed)[:, :, None]
+        ds -= inner
         ds *= a
-        g["far"][:] = np.bincount(self.distance.ravel(), weights=np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1), minlength=WINDOW)
+        g["far"][:] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
         np.matmul(ds, k, out=back[:, :, :DIM])
         np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM:2 * DIM])
         back = back.reshape(-1, 4 * DIM)
