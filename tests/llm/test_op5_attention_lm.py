@@ -222,3 +222,73 @@ def test_gradients_of_great_values():
         got.append(grads)
     for other in got[1:]:
         assert all(np.allclose(got[0][k], other[k], rtol=1e-2, atol=1e-4) for k in other)
+
+
+def test_a_step_looks_for_no_greatest_values(monkeypatch):
+    """Only where attention values differ so much that a row's sum might vanish; with the same gradients."""
+    net, rng = lm(), np.random.default_rng(6)
+    inputs, targets = rng.integers(0, 50, (2, 16, op.WINDOW))
+    weight, looked, got, greatest = np.ones(inputs.shape, np.float32), [], [], op._greatest
+    monkeypatch.setattr(op, "_greatest", lambda x: looked.append(1) or greatest(x))
+    for far, spread in ((0, op.SPREAD), (0, 0), (300, op.SPREAD)):
+        net.p["far"][:] = np.linspace(0, -far, op.WINDOW)
+        monkeypatch.setattr(op, "SPREAD", spread)
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        net.gradients(grads, inputs, targets, weight)
+        got.append((len(looked), grads))
+    assert [n for n, _ in got] == [0, 1, 2]
+    assert all(np.allclose(got[0][1][k], got[1][1][k], rtol=1e-3, atol=1e-6) for k in net.p)
+    assert all(np.isfinite(g).all() for g in got[2][1].values())
+
+
+def test_gradients_by_blocks_are_those_of_one_product(monkeypatch):
+    net, rng = lm(), np.random.default_rng(7)
+    inputs, targets = rng.integers(0, 50, (2, 16, op.WINDOW))
+    weight, got = (rng.random(inputs.shape) < 0.8).astype(np.float32), []
+    for block in (8, 16, 5):  # in two, in one, and not even
+        monkeypatch.setattr(op, "BLOCK", block)
+        grads = {k: np.ones_like(v) for k, v in net.p.items()}
+        net.gradients(grads, inputs, targets, weight)
+        got.append(grads)
+    assert all(np.allclose(got[0][k], other[k], rtol=1e-3, atol=1e-6) for other in got[1:] for k in net.p)
+
+
+def test_steps_are_those_of_adam():
+    from tradetally.llm.common import Adam
+    rng = np.random.default_rng(8)
+    start = rng.standard_normal(50).astype(np.float32)
+    steps, other = op.Steps({"x": start}, 0.01), Adam({"x": start.astype(np.float64)}, 0.01)
+    for _ in range(20):
+        grad = rng.standard_normal(50).astype(np.float32)
+        steps.g["x"][:] = grad
+        steps.step()
+        other.step({"x": grad.astype(np.float64)})
+    assert np.allclose(steps.p["x"], other.p["x"], rtol=1e-4, atol=1e-5)
+
+
+def test_marks_behind_words_are_parts_of_their_own(spark, monkeypatch):
+    """The tokenizer gets a run of marks once, not once a word; ids are those of the text."""
+    words, encode = op.Words(op.default_tokenizer(), {}), op.WordIds.of(op.default_tokenizer())
+    text = "that*** this*** é*** a!? b!? James' it's x'.. [a] a<|b a_ _a µ. a.̸ KK. Å, \x00 a\x00 a\x01."
+    got = words.ids(words.places(text.encode().split()))
+    assert got.tolist() == op._ids(encode, [text.encode()])[0].tolist()[:-1]
+    asked = []
+
+    class Encode:
+        class tokenizer:
+            @staticmethod
+            def encode_batch_fast(texts, **more):
+                asked.extend(texts)
+                return encode.tokenizer.encode_batch_fast(texts, **more)
+        letters = encode.letters
+    words = op.Words(op.default_tokenizer(), {})
+    words.encode = Encode
+    words.learn([b"that***", b"this***", b"the***"])
+    assert asked == ["***"]
+
+
+def test_a_slice_looks_each_word_up_once(spark):
+    import pyarrow as pa
+    words, n = op.words_of(pa.array(["a b  a", "", " \x0b", " b a\x1cb\x0cb ", "É"]))
+    assert words.dictionary.to_pylist() == ["a", "b", "a\x1cb", "É"]
+    assert words.indices.to_pylist() == [0, 1, 0, 1, 2, 1, 3] and n.tolist() == [3, 0, 0, 3, 1]

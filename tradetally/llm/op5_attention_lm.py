@@ -38,6 +38,7 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +65,20 @@ BATCH = 256
 RATE = 0.01
 #: Training shards: the root of the number of windows, divided by this.
 SHARDING = 64
+#: Attention values of a batch that differ by less need no greatest value of their own: exponentials stay in float32's range.
+SPREAD = 60
 #: Steps of a weight when shards' weights are summed: whole numbers add up alike in any order.
 FINE = 1 << 20
 #: Frequent words: so many of the sample, by their counts there.
 FREQUENT = 50_000
 #: Words that a task remembers before it sends their counts on and forgets them.
 REMEMBERED = 1_000_000
+#: Windows of a block in products of long narrow matrices.
+BLOCK = 8
 SLICE_BYTES = 2 << 20
 SLICE = 300
+#: A word of the letters below U+0100 and the ASCII marks behind them, if any.
+LATIN = r"^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
 #: Words that are encoded as one text.
 JOINED = 64
 #: Windows that are scored at once: their arrays stay within a processor's cache.
@@ -79,7 +86,8 @@ SCORED = 512
 
 
 class Steps:
-    """Adam steps over parameters that lie in one array, as their gradients do."""
+    """Adam steps over parameters that lie in one array, as their gradients do.
+    The running sums ``m`` and ``v`` are not scaled to means; their factors are in the step."""
 
     def __init__(self, params: dict[str, np.ndarray], rate: float):
         flat = np.concatenate([x.ravel() for x in params.values()])
@@ -94,17 +102,15 @@ class Steps:
         self.t += 1
         g, m, v, room = self.grad, self.m, self.v, self.room
         m *= np.float32(0.9)
-        np.multiply(g, np.float32(0.1), out=room)
-        m += room
+        m += g
         g *= g
-        g *= np.float32(0.001)
         v *= np.float32(0.999)
         v += g
-        np.multiply(v, np.float32(1 / (1 - 0.999 ** self.t)), out=room)
-        np.sqrt(room, out=room)
-        room += np.float32(1e-8)
+        np.sqrt(v, out=room)
+        shown = math.sqrt(0.001 / (1 - 0.999 ** self.t))  # times the root of v: the root of the mean square
+        room += np.float32(1e-8 / shown)
         np.divide(m, room, out=room)
-        room *= np.float32(self.rate / (1 - 0.9 ** self.t))
+        room *= np.float32(0.1 * self.rate / (1 - 0.9 ** self.t) / shown)
         self.flat -= room
 
 
@@ -114,6 +120,12 @@ def _greatest(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(-1, x.shape[-1]).T).max(axis=0).reshape(*x.shape[:-1], 1)
 
 
+def _blocks(x: np.ndarray) -> np.ndarray:
+    """Rows of all windows in blocks, if they come out even, or in one: products
+    of long narrow matrices are taken block by block, from the nearest cache."""
+    return x.reshape(-1, (BLOCK if len(x) % BLOCK == 0 else len(x)) * x.shape[1], x.shape[2])
+
+
 class Attention:
     """Parameters, training and scoring; all arrays are float32."""
 
@@ -159,55 +171,73 @@ class Attention:
     def gradients(self, g: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
         """Writes the gradients of a batch of windows into ``g``. What an input
         contributes (query, key, value, own part) is computed once a row of the
-        embeddings, and all four come back through one product."""
+        embeddings, and all four come back through one product. Classes lie
+        across ``z``, so what is done to all classes of an id runs along ids."""
         p, root = self.p, np.float32(1 / math.sqrt(DIM))
-        ids, y, m = self.row[inputs], self.cls[targets].ravel(), weight.ravel()
-        cell, place = ids.ravel(), np.arange(targets.size)
+        cell, y, m = self.row[inputs].ravel(), self.cls[targets].ravel(), weight.ravel()
         m = m / max(np.float32(1), m.sum())
+        order = cell.astype(np.uint16).argsort(kind="stable")  # by radix
+        met = cell[order]
+        new = np.ones(len(met), bool)
+        np.not_equal(met[1:], met[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        met, number = met[first], np.empty_like(cell)
+        number[order] = np.cumsum(new) - 1
+        e = p["e"].take(met, axis=0)
         wide = np.concatenate([p["q"] * root, p["k"], p["v"] @ p["o"], p["r"]], axis=1)
-        rows = p["e"] @ wide
+        rows = e @ wide
         rows[:, 3 * DIM:] += p["b"]
-        x = rows.take(cell, axis=0).reshape(*ids.shape, 4 * DIM)
+        x = rows.take(number, axis=0).reshape(*inputs.shape, 4 * DIM)
         q, k, v, own = (x[:, :, i * DIM:(i + 1) * DIM] for i in range(4))
         a = q @ k.transpose(0, 2, 1)
-        a += p["far"][self.distance] + self.mask
-        a -= _greatest(a)
-        np.exp(a, out=a)
-        total = (a @ np.ones(a.shape[2], np.float32))[:, :, None]
+        self.weigh(a)
+        a /= (a @ np.ones(a.shape[2], np.float32))[:, :, None]
         mixed = a @ v
-        mixed /= total
-        h = np.tanh(mixed + own).reshape(-1, DIM)
-        z = h @ p["c"]
-        z += p["d"]
-        z -= _greatest(z)
+        h = mixed + own
+        np.tanh(h, out=h)
+        hs, back = _blocks(h), np.empty_like(x)
+        flats = _blocks(back)
+        z = np.empty((CLASSES, len(cell)), np.float32)
+        zs = z.reshape(CLASSES, *hs.shape[:2]).transpose(1, 0, 2)  # the same by blocks
+        np.matmul(np.ascontiguousarray(p["c"].T), hs.transpose(0, 2, 1), out=zs)
+        z += p["d"][:, None]
+        z -= z.max(axis=0)
         np.exp(z, out=z)
-        z *= (m / (z @ np.ones(CLASSES, np.float32)))[:, None]
-        z[place, y] -= m
-        g["c"][:] = h.T @ z
-        g["d"][:] = np.ones(len(z), np.float32) @ z
-        du = z @ p["c"].T
-        h *= h
-        du *= np.subtract(1, h, out=h)
+        z *= m / (np.ones(CLASSES, np.float32) @ z)
+        z.ravel()[y * len(cell) + np.arange(len(cell))] -= m
+        g["c"][:] = (zs @ hs).sum(axis=0).T
+        g["d"][:] = z @ np.ones(len(cell), np.float32)
+        du = zs.transpose(0, 2, 1) @ np.ascontiguousarray(p["c"].T)
+        hs *= hs
+        du *= np.subtract(1, hs, out=hs)
         du = du.reshape(mixed.shape)
-        back = np.empty_like(x)
         back[:, :, 3 * DIM:] = du
-        inner = np.einsum("bij,bij->bi", du, mixed)[:, :, None]
-        inner /= total
-        du /= total
+        g["b"][:] = np.ones(len(cell), np.float32) @ du.reshape(-1, DIM)
         np.matmul(a.transpose(0, 2, 1), du, out=back[:, :, 2 * DIM:3 * DIM])
         ds = du @ v.transpose(0, 2, 1)
-        ds -= inner
+        mixed *= du
+        ds -= (mixed @ np.ones(DIM, np.float32))[:, :, None]
         ds *= a
         g["far"][:] = np.bincount(self.distance.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
         np.matmul(ds, k, out=back[:, :, :DIM])
         np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM:2 * DIM])
-        back = back.reshape(-1, 4 * DIM)
-        f = p["e"].take(cell, axis=0).T @ back
+        f = (e.take(number, axis=0).reshape(*flats.shape[:2], DIM).transpose(0, 2, 1) @ flats).sum(axis=0)
         g["q"][:], g["k"][:], g["r"][:] = f[:, :DIM] * root, f[:, DIM:2 * DIM], f[:, 3 * DIM:]
         g["v"][:], g["o"][:] = f[:, 2 * DIM:3 * DIM] @ p["o"].T, p["v"].T @ f[:, 2 * DIM:3 * DIM]
-        g["b"][:] = (np.ones(len(back), np.float32) @ back)[3 * DIM:]
-        for j, part in enumerate(wide @ back.T):
-            g["e"][:, j] = np.bincount(cell, weights=part, minlength=OWN + CLASSES)
+        g["e"][:] = 0
+        g["e"][met] = np.add.reduceat((flats @ np.ascontiguousarray(wide.T)).reshape(-1, DIM).take(order, axis=0), first, axis=0)
+
+    def weigh(self, a: np.ndarray) -> None:
+        """Products of queries and keys become exponentials, under the causal
+        mask and by distance. One value is taken off all of them where that
+        leaves each row a sum far from 0, else each row's greatest value."""
+        far = self.p["far"]
+        top, low = a.max() + far.max(), a.min() + far.min()
+        near = top - low < SPREAD
+        a += (far - top if near else far)[self.distance] + self.mask
+        if not near:
+            a -= _greatest(a)
+        np.exp(a, out=a)
 
     def step(self, opt: Steps, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> None:
         """One step on a batch of windows with the weights ``weight``."""
@@ -258,10 +288,10 @@ class Attention:
                 h /= total
                 h += tables["r"].take(late, axis=0)
                 np.tanh(h, out=h)
-                z = h.reshape(-1, DIM) @ c
+                z = (_blocks(h) @ c).reshape(-1, CLASSES)
                 z += d
                 target = place[:, skip:].ravel()
-                own = z[np.arange(len(z)), cls[target]]
+                own = z.ravel()[np.arange(0, z.size, CLASSES) + cls[target]]
                 np.exp(z, out=z)
                 value = (own - np.log(z @ np.ones(CLASSES, np.float32))) / math.log(10) + within[target]
                 value = np.where(real[:, skip:].ravel(), value, 0).reshape(len(w), -1).sum(axis=1)
@@ -284,14 +314,16 @@ def _hash(words: list[bytes]) -> np.ndarray:
 
 @cache
 def _joined(path: str):
-    """The tokenizer for normal words that commas end: the same merges, and a
-    comma is an id of its own."""
+    """The tokenizer for normal words between commas: the same merges. And which
+    ids end a word: the model marks them."""
     from tokenizers import Tokenizer
 
     parts = json.loads(WordIds.of(path).tokenizer.to_str())
-    comma = {"type": "Split", "pattern": {"String": ","}, "behavior": "Isolated", "invert": False}
+    comma = {"type": "Split", "pattern": {"String": ","}, "behavior": "Removed", "invert": False}
+    ends = np.zeros(VOCABULARY, bool)
+    ends[[i for word, i in parts["model"]["vocab"].items() if word.endswith(parts["model"]["end_of_word_suffix"])]] = True
     return Tokenizer.from_str(json.dumps(parts | {
-        "normalizer": None, "pre_tokenizer": comma, "post_processor": None, "added_tokens": []}))
+        "normalizer": None, "pre_tokenizer": comma, "post_processor": None, "added_tokens": []})), ends
 
 
 def _flat(tokenizer, texts: list[str]) -> np.ndarray:
@@ -301,6 +333,20 @@ def _flat(tokenizer, texts: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint16)
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of consecutive runs that begin at ``start`` and have ``size`` places."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all texts in a row, and the number of those of each text."""
+    split = pc.ascii_split_whitespace(texts)
+    words, n = split.flatten(), np.diff(np.asarray(split.offsets))
+    some = pc.not_equal(words, "")  # white space at an end leaves an empty word
+    text = np.repeat(np.arange(len(n)), n)[np.asarray(some)]
+    return words.filter(some).dictionary_encode(), np.bincount(text, minlength=len(n))
+
+
 class Words:
     """What a task knows of the words it has met: the hash of the folded word,
     its number among the frequent words (-1: none), its subword ids (those of
@@ -308,9 +354,7 @@ class Words:
     training texts."""
 
     def __init__(self, tokenizer: str, frequent: dict[int, int]):
-        self.encode, self.frequent, self.joined = WordIds.of(tokenizer), frequent, _joined(tokenizer)
-        one = self.encode.tokenizer.encode_batch([",", "."], add_special_tokens=False)
-        self.marks = {"": -1, ",": one[0].ids[0], ".": one[1].ids[0]}
+        self.encode, self.frequent, (self.joined, self.ends) = WordIds.of(tokenizer), frequent, _joined(tokenizer)
         self.forget()
 
     def forget(self) -> None:
@@ -319,45 +363,36 @@ class Words:
         self.start, self.size, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(0, np.uint16), 0
 
-    def _subwords(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _subwords(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of words in a row, and their numbers. A word of Latin
-        letters shares the ids of its folded form; a comma or full stop behind
-        such letters is an id of its own."""
-        stems: dict[str, int] = {}
-        of, marks, other = [], [], []
-        for i, w in enumerate(text):
-            s, mark = (w, "") if w.isalpha() else (w[:-1], w[-1])
-            s = s.lower()
-            if mark in ("", ",", ".") and s.isalpha() and (s.isascii() or ord(max(s)) < 256):
-                of.append(stems.setdefault(s, len(stems)))
-                marks.append(self.marks[mark])
-            else:
-                of.append(-1 - len(other))
-                marks.append(-1)
-                other.append(w)
-        plain = [s if s.isascii() else charmap_decode(s.encode(), "strict", self.encode.letters)[0] for s in stems]
-        rows = [",".join(plain[at:at + JOINED]) + "," for at in range(0, len(plain), JOINED)]
-        flat = _flat(self.joined, rows)
-        comma = flat == self.marks[","]  # letters alone have no such id
-        size, flat = np.diff(np.flatnonzero(comma), prepend=-1) - 1, flat[~comma]
-        found = [e.ids for e in self.encode.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        size = np.append(size, np.fromiter(map(len, found), np.int64, len(found)))
+        letters shares the ids of its folded form; ASCII marks behind such
+        letters are a part of their own, so a word has up to two parts."""
+        parts = pc.extract_regex(words, LATIN)
+        other = parts.is_null().to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(pc.struct_field(parts.drop_null(), "stem")).dictionary_encode()
+        marks = pc.struct_field(parts.drop_null(), "mark").dictionary_encode()
+        known = len(stems.dictionary)
+        cuts = np.append(np.arange(0, known, JOINED), known).astype(np.int32)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), stems.dictionary), ",").to_pylist()
+        flat = _flat(self.joined, [
+            row if row.isascii() else charmap_decode(row.encode(), "strict", self.encode.letters)[0] for row in rows])
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        # behind the stems' parts: those of marks, of which one may be empty, and of other words
+        rest = marks.dictionary.to_pylist() + words.filter(pa.array(other)).to_numpy(zero_copy_only=False).tolist()
+        found = [e.ids for at in range(0, len(rest), 20_000)
+                 for e in self.encode.tokenizer.encode_batch_fast(rest[at:at + 20_000], add_special_tokens=False)]
+        # and an empty part
+        size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found)), [0]])
         flat = np.append(flat, np.fromiter(chain.from_iterable(found), np.uint16))
-        of, marks = np.array(of, np.int64), np.array(marks, np.int64)
-        of = np.where(of < 0, len(stems) - 1 - of, of)
-        start, marked = (np.cumsum(size) - size)[of], marks >= 0
-        total = size[of] + marked
-        ends = np.cumsum(total)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint16)
-        inside = np.ones(len(out), bool)
-        inside[ends[marked] - 1] = False
-        out[ends[marked] - 1] = marks[marked]
-        length = size[of]
-        out[inside] = flat[np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
-        return out, total
+        part = np.full((len(words), 2), len(size) - 1)
+        part[~other, 0] = stems.indices.to_numpy()
+        part[~other, 1] = known + marks.indices.to_numpy()
+        part[other, 0] = known + len(marks.dictionary) + np.arange(np.count_nonzero(other))
+        total = size[part].sum(axis=1)
+        return flat[_runs((np.cumsum(size) - size)[part].ravel(), size[part].ravel())], total
 
     def learn(self, words: list[bytes]) -> None:
-        flat, size = self._subwords(b"\n".join(words).decode("utf-8").split("\n"))
+        flat, size = self._subwords(pa.array(words, pa.binary()).cast(pa.string()))
         known, need = len(self.index), len(self.index) + len(words)
         if need > len(self.hash):
             grow = need  # doubles
@@ -379,14 +414,13 @@ class Words:
         out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         holes = np.flatnonzero(out < 0).tolist()
         if holes:
-            self.learn(list({words[i] for i in holes}))
-            out[holes] = [self.index[words[i]] for i in holes]
+            new = [words[i] for i in holes]
+            self.learn(list(dict.fromkeys(new)))
+            out[holes] = list(map(self.index.get, new))
         return out
 
     def ids(self, places: np.ndarray) -> np.ndarray:
-        size = self.size[places]
-        shift = self.start[places] - np.cumsum(size) + size
-        return self.pool[np.repeat(shift, size) + np.arange(int(size.sum()))]
+        return self.pool[_runs(self.start[places], self.size[places])]
 
 
 def _packed(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -427,17 +461,19 @@ def read(rows: DataFrame, tokenizer: str, frequent) -> DataFrame:
                 if len(known.index) > REMEMBERED:
                     yield from counts(1, known.hash, known.times)
                     known.forget()
-                split = [t.split() for t in texts[lo:hi]]
-                n = np.array([len(w) for w in split])
+                words, n = words_of(b.column(1).slice(lo, hi - lo).fill_null(""))
                 text, learn = np.repeat(np.arange(hi - lo), n), learning[lo:hi]
-                places = known.places(list(chain.from_iterable(split)))
-                known.times += np.bincount(places[learn[text]], minlength=len(known.times))
+                # a slice's words are looked up once each; what is known of them then lies close together
+                places = known.places(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+                word = words.indices.to_numpy()
+                known.times[places] += np.bincount(word[learn[text]], minlength=len(places))
                 size = known.size[places]
-                ids, of_text = known.ids(places), np.bincount(text, weights=size, minlength=hi - lo).astype(np.int64)
+                pool, start, size = known.ids(places), (np.cumsum(size) - size)[word], size[word]
+                ids, of_text = pool[_runs(start, size)], np.bincount(text, weights=size, minlength=hi - lo).astype(np.int64)
                 id_counts += np.bincount(ids[np.repeat(learn, of_text)], minlength=VOCABULARY)
-                number = known.number[places]
+                number = known.number[places][word]
                 often = number >= 0
-                t, x = text[~often], known.hash[places[~often]]
+                t, x = text[~often], known.hash[places][word[~often]]
                 order = np.lexsort((x, t))
                 t, x = t[order], x[order]
                 new = np.ones(len(t), bool)
