@@ -9,12 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, trades_df
+from tradetally.functions.dates import parse_date
+from tradetally.functions.text import strip
 from tradetally.operators.reconcile import reconcile
 from tradetally.plans.q_match import recon
 from tradetally.plans.registry import all_queries
 from tradetally.session import scratch_path
 from tradetally.sinks import ledger as L
 from tradetally.sources import readers
+from tradetally.sources.fixtures import ordered_feed
 
 COMPILED = 8000
 
@@ -41,6 +44,31 @@ def test_files_are_loaded_in_compiled_code(spark, name):
     assert largest_method(all_queries()[name](spark, SF_SMALL)) < COMPILED
 
 
+@pytest.mark.parametrize("side", ["a", "b"])
+def test_a_written_feed_is_sorted_by_a_column(spark, side):
+    plan = ordered_feed(spark, SF_SMALL, side)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Sort \[id_tail#\d+ ASC", plan)     # an expression is worked out again for every comparison
+    ids = [r[0] for r in ordered_feed(spark, SF_SMALL, side).select("trade_id").collect()]
+    assert ids == sorted(ids) and ids
+
+
+def test_plain_dates_are_cast_and_others_parsed_as_before(spark):
+    texts = ["2024-02-29", "2023-02-29", "2024-13-01", "2024-1-5", "2024-01-15T10:00:00", "2024", "0000-01-01", "0999-12-31",
+             "1000-01-01", "1582-10-10", "9999-12-31", "12024-01-01", "+2024-01-01", "2024-01-15\n", "2024-01-15 ", "", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quick = parse_date(F.col("t"), "%Y-%m-%d", stripped=True)
+    assert "CAST" in str(quick).upper()
+    assert df.where(~quick.eqNullSafe(F.try_to_date("t", "yyyy-MM-dd"))).collect() == []
+    assert df.where(quick.isNotNull()).count() >= 5
+
+
+def test_the_end_of_a_text_is_looked_up_in_its_bytes(spark):
+    texts = ["a", " a", "a ", "a\u00a0", "\u00e9", "a\u00e9", "\u00e9a", "a\x7f", "\u3000a\u2028", "", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("s"))
+    assert "cast(t#" in df._jdf.queryExecution().optimizedPlan().toString().lower()   # not a string's last character
+    assert [r.s for r in df.collect()] == [t and t.strip() for t in texts]
+
+
 def test_wide_characters_keep_their_places(spark, tmpdir_path):
     path = f"{tmpdir_path}/wide"
     names = ["trade_id", "trade_date", "settlement_date", "ticker", "isin", "side", "quantity", "price",

@@ -15,9 +15,10 @@ def fold_na(c: Column, tokens: list[str] = NA_TOKENS) -> Column:
 
 def _bare(c: Column) -> Column:
     """Cheap proof that there is nothing to strip: the first and the last byte
-    are printable ASCII (strings compare byte by byte)."""
-    last = F.substring(c, -1, 1)
-    return (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
+    are printable ASCII (strings compare byte by byte). The last one is taken from
+    the bytes, as a string's characters are counted to find it."""
+    last = F.substring(c.cast("binary"), -1, 1)
+    return (c >= "!") & (c < "\x7f") & (last >= F.lit(b"!")) & (last < F.lit(b"\x7f"))
 
 
 def strip(c: Column) -> Column:

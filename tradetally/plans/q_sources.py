@@ -37,7 +37,8 @@ def write_feed_csv(spark: SparkSession, sf_dir: str, side: str = "a") -> str:
     order): file order then yields the same surviving copies as FEED_ORDER."""
     path = _fixture_dir(spark, f"feed_{side}_csv")
     (ordered_feed(spark, sf_dir, side).select(*[c for c in CANON if c != "source"])
-     .write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path))
+     .write.mode("overwrite").option("header", True).option("compression", "gzip")
+     .option("zlib.compress.level", "FOUR").csv(path))
     return path
 
 

@@ -22,8 +22,9 @@ def _h() -> Column:
 
 # The feeds are written as SQL expressions: one parse per column on the JVM
 # instead of one call per function from Python (planning time, not run time).
+_ID_TAIL = "concat(lpad(CAST(l_orderkey AS STRING), greatest(8, length(CAST(l_orderkey AS STRING))), '0'), '-', CAST(l_linenumber AS STRING))"
 _BASE = [
-    "concat('TRD', lpad(CAST(l_orderkey AS STRING), greatest(8, length(CAST(l_orderkey AS STRING))), '0'), '-', CAST(l_linenumber AS STRING)) AS trade_id",
+    f"concat('TRD', {_ID_TAIL}) AS trade_id",
     "to_date(l_shipdate) AS trade_date",
     "date_add(to_date(l_shipdate), 2) AS settlement_date",
     "concat('P', CAST(l_partkey % 100 AS STRING)) AS ticker",
@@ -65,10 +66,14 @@ def _raw(expr: str) -> str:
 def ordered_feed(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Feed A or B sorted by (trade_id, survivor order). The columns of
     ``lineitem`` are sorted, which take half the feed's bytes in the shuffle; the
-    feed's columns are then derived in that order."""
+    feed's columns are then derived in that order. Behind the shuffle each row has
+    its id as a column, as a sort works an expression out for every two rows it
+    compares; without the letters that all ids begin with, the first eight
+    characters, which are compared as one number, tell most ids apart."""
     changed = _B_CHANGED if side == "b" else {}
     by = [F.expr(_raw(changed.get(c, c))) for c in ("trade_id", *FEED_ORDER)]
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_RAW).orderBy(*by)
+    ranges = table(spark, sf_dir, "lineitem").selectExpr(*_RAW).repartitionByRange(*by)
+    rows = ranges.selectExpr("*", f"{_ID_TAIL} AS id_tail").sortWithinPartitions("id_tail", *by[1:])
     return (_feed_b if side == "b" else _feed_a)(rows)
 
 
