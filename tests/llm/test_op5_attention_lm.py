@@ -292,3 +292,16 @@ def test_a_slice_looks_each_word_up_once(spark):
     words, n = op.words_of(pa.array(["a b  a", "", " \x0b", " b a\x1cb\x0cb ", "É"]))
     assert words.dictionary.to_pylist() == ["a", "b", "a\x1cb", "É"]
     assert words.indices.to_pylist() == [0, 1, 0, 1, 2, 1, 3] and n.tolist() == [3, 0, 0, 3, 1]
+
+
+def test_a_stem_is_encoded_once_a_task(monkeypatch):
+    words, encode = op.Words(op.default_tokenizer(), {}), op.WordIds.of(op.default_tokenizer())
+    given, flat = [], op._flat
+    monkeypatch.setattr(op, "_flat", lambda tokenizer, texts: given.extend(",".join(texts).split(",")) or flat(tokenizer, texts))
+    words.places(["market".encode(), "für".encode()])
+    given.clear()
+    later = ["Market,", "MARKET", "zebra", "FÜR!", "x1", "zebra."]
+    places = words.places([w.encode() for w in later])
+    assert given == ["zebra"]
+    for word, place in zip(later, places):
+        assert words.ids(np.array([place])).tolist() == encode.tokenizer.encode(word, add_special_tokens=False).ids

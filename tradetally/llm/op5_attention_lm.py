@@ -372,27 +372,38 @@ class Words:
         stems = pc.utf8_lower(pc.struct_field(parts.drop_null(), "stem")).dictionary_encode()
         marks = pc.struct_field(parts.drop_null(), "mark").dictionary_encode()
         known = len(stems.dictionary)
-        cuts = np.append(np.arange(0, known, JOINED), known).astype(np.int32)
-        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), stems.dictionary), ",").to_pylist()
+        # a stem that was a word of an earlier slice has its ids
+        met = np.fromiter(map(self.index.get, stems.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, known)
+        new = stems.dictionary.filter(pa.array(met < 0))
+        cuts = np.append(np.arange(0, len(new), JOINED), len(new)).astype(np.int32)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), new), ",").to_pylist()
         flat = _flat(self.joined, [
             row if row.isascii() else charmap_decode(row.encode(), "strict", self.encode.letters)[0] for row in rows])
-        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        size = np.empty(known, np.int64)
+        size[met < 0] = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        size[met >= 0] = self.size[met[met >= 0]]
+        flat, own = np.concatenate([flat, self.ids(met[met >= 0])]), np.argsort(met >= 0, kind="stable")
+        first = np.empty(known, np.int64)
+        first[own] = np.cumsum(size[own]) - size[own]
         # behind the stems' parts: those of marks, of which one may be empty, and of other words
         rest = marks.dictionary.to_pylist() + words.filter(pa.array(other)).to_numpy(zero_copy_only=False).tolist()
         found = [e.ids for at in range(0, len(rest), 20_000)
                  for e in self.encode.tokenizer.encode_batch_fast(rest[at:at + 20_000], add_special_tokens=False)]
         # and an empty part
-        size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found)), [0]])
+        more = np.append(np.fromiter(map(len, found), np.int64, len(found)), 0)
+        first = np.append(first, len(flat) + np.cumsum(more) - more)
+        size = np.append(size, more)
         flat = np.append(flat, np.fromiter(chain.from_iterable(found), np.uint16))
         part = np.full((len(words), 2), len(size) - 1)
         part[~other, 0] = stems.indices.to_numpy()
         part[~other, 1] = known + marks.indices.to_numpy()
         part[other, 0] = known + len(marks.dictionary) + np.arange(np.count_nonzero(other))
         total = size[part].sum(axis=1)
-        return flat[_runs((np.cumsum(size) - size)[part].ravel(), size[part].ravel())], total
+        return flat[_runs(first[part].ravel(), size[part].ravel())], total
 
     def learn(self, words: list[bytes]) -> None:
-        flat, size = self._subwords(pa.array(words, pa.binary()).cast(pa.string()))
+        texts = pa.array(words, pa.binary()).cast(pa.string())
+        flat, size = self._subwords(texts)
         known, need = len(self.index), len(self.index) + len(words)
         if need > len(self.hash):
             grow = need  # doubles
@@ -402,7 +413,7 @@ class Words:
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(self.used + len(flat), np.uint16)])
         self.index.update(zip(words, range(known, need)))
-        h = _hash([w.lower() for w in words])
+        h = _hash(pc.ascii_lower(texts).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         self.hash[known:need] = h
         self.number[known:need] = np.fromiter(map(self.frequent.get, h.tolist(), repeat(-1)), np.int32, len(words))
         self.size[known:need], self.start[known:need] = size, self.used + np.cumsum(size) - size
@@ -414,9 +425,10 @@ class Words:
         out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         holes = np.flatnonzero(out < 0).tolist()
         if holes:
-            new = [words[i] for i in holes]
-            self.learn(list(dict.fromkeys(new)))
-            out[holes] = list(map(self.index.get, new))
+            new, known = [words[i] for i in holes], len(self.index)
+            once = list(dict.fromkeys(new))
+            self.learn(once)
+            out[holes] = np.arange(known, known + len(new)) if len(once) == len(new) else list(map(self.index.get, new))
         return out
 
     def ids(self, places: np.ndarray) -> np.ndarray:
@@ -473,19 +485,20 @@ def read(rows: DataFrame, tokenizer: str, frequent) -> DataFrame:
                 id_counts += np.bincount(ids[np.repeat(learn, of_text)], minlength=VOCABULARY)
                 number = known.number[places][word]
                 often = number >= 0
-                t, x = text[~often], known.hash[places][word[~often]]
-                order = np.lexsort((x, t))
-                t, x = t[order], x[order]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
+                # text and place of the hash among the slice's hashes as one number, which sorts at once
+                hashes, place = np.unique(known.hash[places], return_inverse=True)
+                both = np.sort(text[~often] * len(hashes) + place[word[~often]])
+                new = np.ones(len(both), bool)
+                np.not_equal(both[1:], both[:-1], out=new[1:])
                 at = np.flatnonzero(new)
-                cuts = pa.array(np.searchsorted(t[at], np.arange(hi - lo + 1)).astype(np.int32))
+                t, x = np.divmod(both[at], max(1, len(hashes)))
+                cuts = pa.array(np.searchsorted(t, np.arange(hi - lo + 1)).astype(np.int32))
                 often_cuts = np.append(0, np.cumsum(np.bincount(text[often], minlength=hi - lo)))
                 yield batch(hi - lo, kind=pa.array(np.zeros(hi - lo, np.int32)), rid=pa.array(part + serial + np.arange(hi - lo)),
                             id=b.column(0).slice(lo, hi - lo), learn=b.column(2).slice(lo, hi - lo), n_tokens=pa.array(n + 1),
                             ids=_packed(ids, np.append(0, np.cumsum(of_text))), frequent=_packed(number[often], often_cuts),
-                            words=pa.ListArray.from_arrays(cuts, pa.array(x[at])),
-                            times=pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(t))).astype(np.int32))))
+                            words=pa.ListArray.from_arrays(cuts, pa.array(hashes[x])),
+                            times=pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(both))).astype(np.int32))))
                 serial += hi - lo
         yield from counts(1, known.hash, known.times)
         yield from counts(2, np.arange(VOCABULARY), id_counts)
